@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pavestat.llm import bpe, lang_id, mixing, ngram_join, quality
-from pavestat.llm.common import fold_of, spread, written
+from pavestat.llm.common import fold_of, sized_broadcast, spread, written
 from pavestat.llm.queries import WEIGHTS, branches, vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -35,11 +35,18 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the least id; texts
-    without words link with nothing and stay."""
-    groups = ngram_join.join(docs.select("doc_id", "text"), words=5, num=8, den=10)
-    gone = written(groups.where("component_id < doc_id").select("doc_id").distinct(), "duplicates")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS).dropDuplicates(["doc_id"])
+    """One document of each group of near duplicates, that with the least id; of rows
+    that repeat an id one; texts without words link with nothing, and they and rows
+    without an id stay."""
+    groups = written(ngram_join.join(docs.select("doc_id", "text"), words=5, num=8, den=10), "groups")
+    gone = groups.where("component_id < doc_id").select("doc_id").distinct()
+    left = docs.select(*COLUMNS).join(sized_broadcast(gone, ngram_join.BROADCAST_IDS), "doc_id", "left_anti")
+    again = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.isEmpty():
+        return left.select(*COLUMNS)
+    again = sized_broadcast(written(again, "repeated"), ngram_join.BROADCAST_IDS)
+    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return left.join(again, "doc_id", "left_anti").select(*COLUMNS).unionByName(once.select(*COLUMNS))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -309,7 +309,7 @@ def join(df: DataFrame, words: int = 5, num: int = 8, den: int = 10, doc_id: str
     shared = prefix.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
     rows = prefix.join(shared, "h")
     sketches = single.select("row", "doc_id", "n", F.lit(0).cast("long").alias("tree"), "sketch")
-    found = _candidates(rows, sketches, num, den, every=False)
+    found = written(_candidates(rows, sketches, num, den, every=False), "found")
     pairs = written(found.groupBy("a", "b").agg(F.bool_or("clear").alias("clear")), "pairs")
     counted = written(_verified(docs, pairs, words, num, den), "counted")
 
@@ -321,10 +321,12 @@ def join(df: DataFrame, words: int = 5, num: int = 8, den: int = 10, doc_id: str
 
     wrong = counted.where("clear and not linked").select("a", "b")
     if not wrong.isEmpty():
-        again = found.join(wrong, ["a", "b"]).select("h").distinct()
+        again = sized_broadcast(written(found.join(wrong, ["a", "b"]).select("h").distinct(), "again"), BROADCAST_IDS)
+        rows = prefix.join(again, "h", "left_semi")
+        rows = rows.join(rows.groupBy("h").agg(F.count("*").alias("size")), "h")
         labels = written(labels, "labels")
         trees = sketches.join(labels, sketches.doc_id == labels.id, "left").select("row", "doc_id", "n", F.coalesce("component", "doc_id").alias("tree"), "sketch")
-        more = _candidates(rows.join(again, "h", "left_semi"), trees, num, den, every=True)
+        more = _candidates(rows, trees, num, den, every=True)
         done = counted.select("a", "b")
         more = written(more.groupBy("a", "b").agg(F.bool_or("clear").alias("clear")).join(done, ["a", "b"], "left_anti"), "pairs")
         edges = edges.unionByName(_verified(docs, more, words, num, den).where("linked").select("a", "b"))

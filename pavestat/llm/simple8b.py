@@ -16,33 +16,35 @@ PACKINGS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8)
 ESCAPE = 0
 _COUNT = np.array([1, 0, *(c for c, _ in PACKINGS)])
 _BY_COUNT = {c: s for s, (c, _) in enumerate(PACKINGS, 2)}
-#: Most values in a word when the widest has so many bits; none above 60.
-_MOST = np.array([max([0, *(c for c, bits in PACKINGS if bits >= w)]) for w in range(65)])
 _ROW = BLOCK + 60  # a block and room for the last word's padding
 _U = np.uint64
 
 
+_SMALL = np.frexp(np.arange(1 << 18, dtype=np.float64))[1].astype(np.int8)
+
+
 def _widths(values: np.ndarray) -> np.ndarray:
     """Bits of each value; 0 for 0."""
+    if len(values) and values.max() < len(_SMALL):
+        return _SMALL[values.astype(np.int64)]
     low = values & _U(0xFFFFFFFF)
     high = values >> _U(32)
     top = np.where(high > 0, high, low).astype(np.float64)
     return (np.frexp(top)[1] + np.where(high > 0, 32, 0)).astype(np.int8)
 
 
-def _choose(width: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """The selector that packs most values from each start on. A longer packing is
-    tried only while the widest value so far allows one."""
-    widest = width[start]
-    selector = np.where(widest > 60, ESCAPE, 15)
-    live, count = np.arange(len(start)), 1
-    while len(live := live[_MOST[widest[live]] > count]):
-        widest[live] = np.maximum(widest[live], width[start[live] + count])
-        count += 1
+def _choose(width: np.ndarray) -> np.ndarray:
+    """The selector that packs most values from each place on. The widest of the next
+    c values is kept for all places at once as c grows."""
+    best = np.where(width > 60, np.int8(ESCAPE), np.int8(15))
+    widest, n = width.copy(), len(width)
+    for count in range(2, 61):
+        part = widest[: n - count + 1]
+        np.maximum(part, width[count - 1 :], out=part)
         if count in _BY_COUNT:
             s = _BY_COUNT[count]
-            selector[live[widest[live] <= PACKINGS[s - 2][1]]] = s
-    return selector
+            np.copyto(best[: len(part)], np.int8(s), where=part <= PACKINGS[s - 2][1])
+    return best
 
 
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,11 +59,11 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     grid[:, :BLOCK] = flat.reshape(blocks, BLOCK)
     size = np.full(blocks, BLOCK)
     size[-1] = len(values) - (blocks - 1) * BLOCK
-    width = _widths(grid.ravel())
+    best = _choose(_widths(grid.ravel()))
     place, words, live = np.zeros(blocks, np.int64), np.zeros(blocks, np.int64), np.arange(blocks)
     steps = []
     while len(live):
-        selector = _choose(width, live * _ROW + place[live])
+        selector = best[live * _ROW + place[live]].astype(np.int64)
         steps.append((live, place[live], words[live], selector))
         place[live] += _COUNT[selector]
         words[live] += 1 + (selector == ESCAPE)

@@ -32,55 +32,76 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .bpe import KEPT, KEPT_CHARS, SPACE, small_batches
+from .bpe import KEPT_CHARS, SPACE, small_batches
 from .common import new_path
 
 MAGIC = b"S8B1"
 #: magic, documents, ids, blocks, words
 HEADER = struct.Struct("<4sIQIQ")
 SEGMENT_IDS = 1 << 18
+#: Words, and pieces, kept per worker: a bound of memory only.
+KEPT = 1_200_000
 #: How the word vocabulary cuts normalised text.
 CUT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
 
 
 class WordIds(dict):
-    """A cache from piece to ids in front of a tokenizer of the library whose pieces
-    are coded one by one: NFC, lower case, ``CUT``, white space dropped."""
+    """Words and their pieces, with ids, in front of a tokenizer of the library whose
+    pieces are coded one by one: NFC, lower case, ``CUT``, white space dropped. Only
+    pieces not met before go to the library, already normalised and cut."""
 
     def __init__(self, path: str) -> None:
         super().__init__()
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.library, self.model = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for t in (self.library, self.model):
+            t.no_truncation()
+            t.no_padding()
+        self.model.normalizer = None
+        self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.pieces: dict[str, bytes] = {}
 
-    def pieces(self, text: str) -> list[str] | None:
-        """None: the text holds a special token's string and goes to the library whole."""
+    def words(self, text: str) -> list[str] | None:
+        """Normalised text between spaces and line ends. None: it holds a special
+        token's string and goes to the library whole."""
         if any(s in text for s in self.special):
             return None
         if not text.isascii():
             if not is_normalized("NFC", text):
                 text = normalize("NFC", text)
             text = text.replace("Σ", "σ")  # by itself: lower() minds the word's end
-        return CUT.findall(text.lower())
+        return text.lower().replace("\n", " ").split(" ")
+
+    def learn(self, words: list[str]) -> None:
+        cut = [CUT.findall(w) for w in words]
+        new = list(set().union(*cut).difference(self.pieces))
+        coded = self.model.encode_batch_fast(new, add_special_tokens=False)
+        self.pieces.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(new, coded, strict=True))
+        get = self.pieces.__getitem__
+        self.update((w, b"".join(map(get, c))) for w, c in zip(words, cut, strict=True))
+        for p in new:
+            if len(p) > KEPT_CHARS:
+                del self.pieces[p]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of whole texts."""
-        cut = [self.pieces(x) for x in texts]
         if len(self) > KEPT:
             self.clear()
+        if len(self.pieces) > KEPT:
+            self.pieces.clear()
+        cut = [self.words(x) for x in texts]
         new = list(set().union(*filter(None, cut)).difference(self))
-        coded = self.library.encode_batch_fast(new, add_special_tokens=False)
-        self.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(new, coded, strict=True))
+        self.learn(new)
+        get = self.__getitem__
         out = [
-            np.array(self.library.encode(x, add_special_tokens=False).ids, "<u4").tobytes() if c is None else b"".join(map(self.__getitem__, c))
+            np.array(self.library.encode(x, add_special_tokens=False).ids, "<u4").tobytes() if c is None else b"".join(map(get, c))
             for x, c in zip(texts, cut, strict=True)
         ]
-        for p in new:
-            if len(p) > KEPT_CHARS:
-                del self[p]
+        for w in new:
+            if len(w) > KEPT_CHARS:
+                del self[w]
         return out
 
 

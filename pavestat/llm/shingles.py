@@ -18,7 +18,6 @@ _FOLD = np.arange(256)
 _FOLD[65:91] += 32
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)[_FOLD]
-_BYTE[_SPACE] = 0
 _BASE = int(_rng.integers(1 << 62, 1 << 63)) | 1
 _POSITION = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) | _U(1)
 #: Bytes of text hashed at once.
@@ -43,26 +42,29 @@ class _Powers:
         return cls.values
 
 
-def _words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word of the documents that start at ``starts``, and the index of
-    each document's first word, with the number of words at the end."""
-    space = _SPACE[data]
+def words_at(data: np.ndarray, starts: np.ndarray, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each word of the documents that start at ``starts``; the index of each
+    document's first word, with the number of words at the end; where words begin.
+    ``breaks`` tells the bytes between words."""
+    space = breaks[data]
     begins = ~space
     begins[1:] &= space[:-1]
     inner = starts[starts < len(data)]
     begins[inner] = ~space[inner]
     at = np.flatnonzero(begins)
-    first = np.searchsorted(at, starts)
+    first = np.append(np.searchsorted(at, starts), len(at))
     if not len(at):
-        return np.zeros(0, np.uint64), np.append(first, 0)
-    value = _BYTE[data]
-    run = np.arange(len(data)) - np.repeat(at, np.diff(np.append(at, len(data)))) if at[0] == 0 else None
-    if run is None:
-        run = np.arange(len(data))
-        run[at[0] :] -= np.repeat(at, np.diff(np.append(at, len(data))))
-        run[: at[0]] = 0
+        return np.zeros(0, np.uint64), first, at
+    value = np.where(breaks, _U(0), _BYTE)[data]
+    run = np.arange(len(data), dtype=np.int32)
+    run[: at[0]] = 0
+    run[at[0] :] -= np.repeat(at.astype(np.int32), np.diff(np.append(at, len(data))))
     value *= _Powers.upto(int(run.max()) + 1)[run]
-    return mix(np.add.reduceat(value, at)), np.append(first, len(at))
+    return mix(np.add.reduceat(value, at)), first, at
+
+
+def _words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return words_at(data, starts)[:2]
 
 
 def sets_of(texts: pa.Array, words: int) -> Iterator[np.ndarray]:

@@ -34,24 +34,32 @@ from pyspark.sql import functions as F
 from . import simple8b
 from .bpe import KEPT_CHARS, SPACE, small_batches
 from .common import new_path
+from .shingles import mix, words_at
 
 MAGIC = b"S8B1"
 #: magic, documents, ids, blocks, words
 HEADER = struct.Struct("<4sIQIQ")
 SEGMENT_IDS = 1 << 18
-#: Words, and pieces, kept per worker: a bound of memory only.
-KEPT = 1_200_000
+#: Slots of the word table and pieces kept per worker: bounds of memory only.
+SLOTS, KEPT_PIECES = 1 << 22, 500_000
+#: Bytes between words for the table; other white space is left to ``CUT``.
+BREAK = np.zeros(256, bool)
+BREAK[[10, 32]] = True
 #: How the word vocabulary cuts normalised text.
 CUT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
 
 
-class WordIds(dict):
-    """Words and their pieces, with ids, in front of a tokenizer of the library whose
-    pieces are coded one by one: NFC, lower case, ``CUT``, white space dropped. Only
-    pieces not met before go to the library, already normalised and cut."""
+class WordIds:
+    """A table from words to ids in front of a tokenizer of the library whose pieces are
+    coded one by one: NFC, lower case, ``CUT``, white space dropped. Only pieces not met
+    before go to the library, already normalised and cut.
+
+    The table is of numpy arrays, with open addressing by a 64-bit hash of the word; a
+    slot also has the word's length and its first eight bytes, and holds only if all
+    three agree. No Python object is made of a word that is known.
+    """
 
     def __init__(self, path: str) -> None:
-        super().__init__()
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.library, self.model = Tokenizer.from_file(path), Tokenizer.from_file(path)
@@ -62,46 +70,112 @@ class WordIds(dict):
         self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.pieces: dict[str, bytes] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.words, self.filled = 0, 0
+        self.key, self.check = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64)
+        self.begin, self.size = np.zeros(SLOTS, np.int32), np.full(SLOTS, -1, np.int32)
+        self.pool = np.zeros(1 << 16, "<u4")
 
-    def words(self, text: str) -> list[str] | None:
-        """Normalised text between spaces and line ends. None: it holds a special
-        token's string and goes to the library whole."""
+    def normal(self, text: str) -> str | None:
+        """None: the text holds a special token's string and goes to the library whole."""
         if any(s in text for s in self.special):
             return None
         if not text.isascii():
             if not is_normalized("NFC", text):
                 text = normalize("NFC", text)
             text = text.replace("Σ", "σ")  # by itself: lower() minds the word's end
-        return text.lower().replace("\n", " ").split(" ")
+        return text.lower()
 
-    def learn(self, words: list[str]) -> None:
+    def code(self, words: list[str]) -> list[bytes]:
+        """Ids of whole words, by their pieces."""
         cut = [CUT.findall(w) for w in words]
+        if len(self.pieces) > KEPT_PIECES:
+            self.pieces.clear()
         new = list(set().union(*cut).difference(self.pieces))
         coded = self.model.encode_batch_fast(new, add_special_tokens=False)
         self.pieces.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(new, coded, strict=True))
         get = self.pieces.__getitem__
-        self.update((w, b"".join(map(get, c))) for w, c in zip(words, cut, strict=True))
+        out = [b"".join(map(get, c)) for c in cut]
         for p in new:
             if len(p) > KEPT_CHARS:
                 del self.pieces[p]
+        return out
+
+    def _slots(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Each word's slot: its own, or the free one where it belongs."""
+        slot = (key >> np.uint64(20)).astype(np.int64) & (SLOTS - 1)
+        open_ = np.arange(len(key))
+        while True:
+            s = slot[open_]
+            other = (self.size[s] >= 0) & ((self.key[s] != key[open_]) | (self.check[s] != check[open_]))
+            open_ = open_[other]
+            if not len(open_):
+                return slot
+            slot[open_] = (slot[open_] + 1) & (SLOTS - 1)
+
+    def _learn(self, key: np.ndarray, check: np.ndarray, words: list[str]) -> None:
+        """Different words into the table, which has room for them."""
+        ids = self.code(words)
+        size = np.array([len(x) // 4 for x in ids], np.int32)
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        while self.filled + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.filled : self.filled + len(flat)] = flat
+        begin = self.filled + np.cumsum(size) - size
+        self.filled += len(flat)
+        self.words += len(words)
+        rest = np.arange(len(key))
+        while len(rest):  # words that meet in one free slot: the first takes it
+            slot = self._slots(key[rest], check[rest])
+            _, first = np.unique(slot, return_index=True)
+            now, at = rest[first], slot[first]
+            self.key[at], self.check[at], self.begin[at], self.size[at] = key[now], check[now], begin[now], size[now]
+            rest = np.delete(rest, first)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of whole texts."""
-        if len(self) > KEPT:
-            self.clear()
-        if len(self.pieces) > KEPT:
-            self.pieces.clear()
-        cut = [self.words(x) for x in texts]
-        new = list(set().union(*filter(None, cut)).difference(self))
-        self.learn(new)
-        get = self.__getitem__
-        out = [
-            np.array(self.library.encode(x, add_special_tokens=False).ids, "<u4").tobytes() if c is None else b"".join(map(get, c))
-            for x, c in zip(texts, cut, strict=True)
-        ]
-        for w in new:
-            if len(w) > KEPT_CHARS:
-                del self[w]
+        normal = [self.normal(x) for x in texts]
+        raw = [b"" if x is None else x.encode() for x in normal]
+        length = np.array([len(x) + 1 for x in raw])
+        data = np.frombuffer(b"\n".join(raw) + b"\n" + bytes(8), np.uint8)
+        starts = np.cumsum(length) - length
+        text = data[:-8]
+        key, first, begins = words_at(text, starts, BREAK)
+        counts = np.zeros(len(texts), np.int64)
+        flat = np.zeros(0, "<u4")
+        if len(key):
+            # ends: the next break; the text ends with one
+            breaks = np.flatnonzero(BREAK[text])
+            ends = breaks[np.searchsorted(breaks, begins)]
+            head = np.lib.stride_tricks.as_strided(data, (len(text) + 1, 8), (1, 1))[begins].copy().view(np.uint64).ravel()
+            long = (ends - begins).astype(np.uint64)
+            mask = np.where(long >= 8, ~np.uint64(0), (np.uint64(1) << (np.minimum(long, np.uint64(7)) * np.uint64(8))) - np.uint64(1))
+            check = (head & mask) ^ (long << np.uint64(40)) ^ mix(long)
+            if self.words + len(key) > SLOTS // 2:
+                self.clear()
+            if len(key) > SLOTS // 2:
+                raise ValueError("more words at once than the table holds; encode fewer texts at a time")
+            slot = self._slots(key, check)
+            new = np.flatnonzero(self.size[slot] < 0)
+            if len(new):
+                _, one = np.unique(key[new] ^ mix(check[new]), return_index=True)
+                once = new[one]
+                buffer = text.tobytes()
+                self._learn(key[once], check[once], [buffer[a:b].decode() for a, b in zip(begins[once].tolist(), ends[once].tolist(), strict=True)])
+                slot[new] = self._slots(key[new], check[new])
+            size = self.size[slot].astype(np.int64)
+            total = np.concatenate([[0], np.cumsum(size)])
+            flat = self.pool[np.arange(total[-1]) + np.repeat(self.begin[slot] - total[:-1], size)]
+            counts = total[first[1:]] - total[first[:-1]]
+        stored, at, out = flat.tobytes(), 0, []
+        for x, n, t in zip(normal, counts.tolist(), texts, strict=True):
+            if x is None:
+                out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
+            else:
+                out.append(stored[4 * at : 4 * (at + n)])
+                at += n
         return out
 
 

@@ -42,7 +42,7 @@ from .components import components
 from .shingles import mix, sets_of
 
 #: Shingles that are ordered by frequency: a bound on what is collected and broadcast.
-FREQUENT = 1 << 17
+FREQUENT = 1 << 19
 #: Shingle occurrences that one local count covers.
 LOCAL = 1 << 21
 #: Documents of one prefix shingle that are compared in one block.
@@ -305,8 +305,11 @@ def join(df: DataFrame, words: int = 5, num: int = 8, den: int = 10, doc_id: str
     copies = sized_broadcast(member.where("row <> rep_row").select("row"), BROADCAST_IDS)
     single = real.join(copies, "row", "left_anti")
 
-    prefix = single.select(F.explode("prefix").alias("h"), "row")
-    shared = prefix.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
+    prefix = single.select(F.explode("prefix").alias("h"), "row", "n")
+    # two documents of sizes too far apart to link need not meet
+    shared = prefix.groupBy("h").agg(F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"))
+    shared = shared.where((F.col("size") > 1) & ((F.col("size") > 2) | (F.col("high") * num <= F.col("low") * den))).select("h", "size")
+    prefix = prefix.drop("n")
     rows = prefix.join(shared, "h")
     sketches = single.select("row", "doc_id", "n", F.lit(0).cast("long").alias("tree"), "sketch")
     found = written(_candidates(rows, sketches, num, den, every=False), "found")

@@ -37,13 +37,28 @@ from .license_scan import _PLAIN
 from .shingles import _words
 
 K1, B, SCALE = 1.2, 0.75, 1 << 10
-SHARD_BYTES, BLOCK_DOCS, DENSE, BATCH = 24 << 20, 64, 16, 256
+SHARD_BYTES, BLOCK_DOCS, DENSE, BATCH = 16 << 20, 64, 16, 128
+#: Bytes of text that are cut into terms at once.
+AT_ONCE = 1 << 20
 QUERIES = 8192
 #: Distinct terms that a task counts before it reports.
 LOCAL_TERMS = 1 << 20
 
 
 def terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``_terms``, over about ``AT_ONCE`` bytes of text at a time."""
+    out, first, size = [], 0, 0
+    for k, t in enumerate(texts):
+        size += len(t)
+        if size >= AT_ONCE or k + 1 == len(texts):
+            doc, *rest = _terms(texts[first : k + 1])
+            out.append((doc + first, *rest))
+            first, size = k + 1, 0
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, none.astype(np.uint64), none, none)
+
+
+def _terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Document number, term and count for each term of each text, and text lengths in
     words. Words are runs of ASCII letters, digits and non-ASCII characters."""
     size = np.array([len(t) + 1 for t in texts])

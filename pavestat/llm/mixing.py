@@ -24,7 +24,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 4096
+SLICES = 1024
 #: The words of a text, as tokens where no other count is given.
 WORDS = "regexp_count(text, '[^ \\\\t-\\\\r]+')"
 Path = tuple

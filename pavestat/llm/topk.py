@@ -2,7 +2,7 @@
 in each shard, merged exactly under global statistics.
 
 Documents stay where they are read; each task indexes its own documents in shards of
-``SHARD_BYTES`` of text. Global counts (documents, words, documents per term) come from
+``SHARD_BYTES`` of text, one after another, and carries its best answers on. Global counts (documents, words, documents per term) come from
 a first pass, so that a score does not depend on the sharding. Impacts are whole
 numbers (``SCALE`` to one), so sums are exact in any order and ties are true ties.
 
@@ -37,7 +37,10 @@ from .license_scan import _PLAIN
 from .shingles import _words
 
 K1, B, SCALE = 1.2, 0.75, 1 << 10
-SHARD_BYTES, BLOCK_DOCS, DENSE, BATCH = 16 << 20, 64, 16, 128
+SHARD_BYTES, SHARD_DOCS, BLOCK_DOCS, DENSE = 16 << 20, 6144, 64, 16
+#: Queries at once in a shard, and postings of rare terms that they touch.
+BATCH, PAIRS = 128, 1 << 21
+_NONE = np.iinfo(np.int64).max
 #: Bytes of text that are cut into terms at once.
 AT_ONCE = 1 << 20
 QUERIES = 8192
@@ -125,30 +128,61 @@ def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)
 
 
-def search_shard(ids: np.ndarray, texts: list[bytes], queries: Queries, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query number, document id and whole-number score of the best ``k`` (more on ties
-    of block order never) in one shard, by score and id."""
+class Best:
+    """The best ``k`` answers of each query so far: whole-number scores and ids, by
+    falling score and rising id; score 0 is no answer."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k, self.score = k, np.zeros((queries, k))
+        self.id = np.full((queries, k), _NONE)
+
+    def merge(self, at: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        """For the queries ``at``, scores of the documents ``ids``."""
+        values = np.concatenate([self.score[at], score], axis=1)
+        names = np.concatenate([self.id[at], np.broadcast_to(ids, score.shape)], axis=1)
+        names = np.where(values > 0, names, _NONE)
+        top = np.lexsort((names, -values), axis=1)[:, : self.k]
+        found = np.take_along_axis(names, top, 1)
+        sorted_ = np.sort(found, axis=1)
+        twice = ((sorted_[:, 1:] == sorted_[:, :-1]) & (sorted_[:, 1:] != _NONE)).any(axis=1)
+        self.score[at], self.id[at] = np.take_along_axis(values, top, 1), found
+        for r in np.flatnonzero(twice).tolist():  # an id in several rows: its best counts
+            order = np.lexsort((names[r], -values[r]))
+            _, first = np.unique(names[r][order], return_index=True)
+            keep = order[np.sort(first)]
+            keep = keep[names[r][keep] != _NONE][: self.k]
+            self.score[at[r]], self.id[at[r]] = 0, _NONE
+            self.score[at[r], : len(keep)], self.id[at[r], : len(keep)] = values[r][keep], names[r][keep]
+
+
+def search_shard(ids: np.ndarray, texts: list[bytes], queries: Queries, best: Best) -> None:
+    """One shard's answers into ``best``, whose floors prune from the start."""
     doc, found, count, length = terms(texts)
-    at = np.searchsorted(queries.vocabulary, found)
-    at[at == len(queries.vocabulary)] = 0
-    known = queries.vocabulary[at] == found if len(queries.vocabulary) else np.zeros(len(found), bool)
+    n, blocks = len(ids), -(-len(ids) // BLOCK_DOCS)
+    if not len(queries.vocabulary) or not len(found):
+        return
+    at = np.minimum(np.searchsorted(queries.vocabulary, found), len(queries.vocabulary) - 1)
+    known = queries.vocabulary[at] == found
     doc, term, tf = doc[known], at[known], count[known]
     impact = np.rint(SCALE * queries.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / queries.mean)))
     order = np.argsort(term, kind="stable")
     doc, term, impact = doc[order], term[order], impact[order]
     begin = np.searchsorted(term, np.arange(len(queries.vocabulary) + 1))
     df = np.diff(begin)
-    n, blocks = len(ids), -(-len(ids) // BLOCK_DOCS)
-    frequent = np.flatnonzero(df * DENSE >= n) if n else np.zeros(0, np.int64)
+    frequent = np.flatnonzero(df * DENSE >= n)
     row_of = np.full(len(df), -1)
     row_of[frequent] = np.arange(len(frequent))
     dense = np.zeros((len(frequent), blocks * BLOCK_DOCS))
     pick = row_of[term] >= 0
     dense[row_of[term[pick]], doc[pick]] = impact[pick]
-    bound = dense.reshape(len(frequent), blocks, BLOCK_DOCS).max(axis=2) if blocks else np.zeros((len(frequent), 0))
-    out = []
-    for first in range(0, len(queries.ids), BATCH):
-        last = min(first + BATCH, len(queries.ids))
+    bound = dense.reshape(len(frequent), blocks, BLOCK_DOCS).max(axis=2)
+    place = np.append(ids, np.full(blocks * BLOCK_DOCS - n, _NONE))
+    # postings of rare terms that each query touches decide how many queries go at once
+    touched = np.append(0, np.cumsum(np.where(row_of[queries.term] < 0, df[queries.term], 0)))[queries.begin]
+    first = 0
+    while first < len(queries.ids):
+        last = int(np.searchsorted(touched, touched[first] + PAIRS, "right")) - 1
+        last = min(max(last, first + 1), first + BATCH, len(queries.ids))
         a, b = queries.begin[first], queries.begin[last]
         query, t, w = queries.query[a:b] - first, queries.term[a:b], queries.count[a:b].astype(np.float64)
         m, row = last - first, row_of[t]
@@ -161,26 +195,18 @@ def search_shard(ids: np.ndarray, texts: list[bytes], queries: Queries, k: int)
         cell = np.repeat(q, size) * (blocks * BLOCK_DOCS) + doc[p]
         score = np.bincount(cell, np.repeat(w, size) * impact[p], m * blocks * BLOCK_DOCS).reshape(m, blocks, BLOCK_DOCS)
         most = score.max(axis=2) + weight @ bound
-        best, who = np.zeros((m, k)), np.full((m, k), -1)
-        floor = np.zeros(m)
-        rank = np.argsort(-most.max(axis=0), kind="stable")
-        for block in rank.tolist():
+        floor = best.score[first:last, -1].copy()
+        for block in np.argsort(-most.max(axis=0), kind="stable").tolist():
             ask = np.flatnonzero((most[:, block] >= floor) & (most[:, block] > 0))
             if not len(ask):
                 continue
             cols = slice(block * BLOCK_DOCS, (block + 1) * BLOCK_DOCS)
             full = score[ask, block] + weight[ask] @ dense[:, cols]
-            values = np.concatenate([best[ask], full], axis=1)
-            places = np.concatenate([who[ask], np.broadcast_to(np.arange(cols.start, cols.stop), full.shape)], axis=1)
-            places = np.where(values > 0, places, -1)
-            key = np.where(places >= 0, ids[np.minimum(places, n - 1)], np.iinfo(np.int64).max)
-            top = np.lexsort((key, -values), axis=1)[:, :k]
-            best[ask], who[ask] = np.take_along_axis(values, top, 1), np.take_along_axis(places, top, 1)
-            floor[ask] = best[ask, -1]
-        hit = who >= 0
-        q, _ = np.nonzero(hit)
-        out.append((q + first, ids[who[hit]], best[hit]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            better = full.max(axis=1) >= floor[ask]
+            if better.any():
+                best.merge(first + ask[better], full[better], place[cols])
+                floor[ask] = best.score[first + ask, -1]
+        first = last
 
 
 def search(df: DataFrame, asks: Column, k: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -206,29 +232,29 @@ def search(df: DataFrame, asks: Column, k: int = 10, doc_id: str = "doc_id", tex
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own, ids, texts, size = shared.value, [], [], 0
-
-            def shard() -> pa.RecordBatch:
-                q, d, s = search_shard(np.array(ids, np.int64), texts, own, k)
-                ids.clear()
-                texts.clear()
-                return pa.RecordBatch.from_arrays([pa.array(own.ids[q]), pa.array(d), pa.array(s.astype(np.int64))], names=["query_id", "doc_id", "points"])
+            best = Best(len(own.ids), k)
 
             for batch in small_batches(batches):
                 for d, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                     ids.append(d)
                     texts.append(t)
                     size += len(t)
-                    if size >= SHARD_BYTES:
-                        yield shard()
+                    if size >= SHARD_BYTES or len(ids) >= SHARD_DOCS:
+                        search_shard(np.array(ids, np.int64), texts, own, best)
                         size = 0
+                        ids.clear()
+                        texts.clear()
             if ids:
-                yield shard()
+                search_shard(np.array(ids, np.int64), texts, own, best)
+            q, c = np.nonzero(best.score)
+            yield pa.RecordBatch.from_arrays([pa.array(own.ids[q]), pa.array(best.id[q, c]), pa.array(best.score[q, c].astype(np.int64))], names=["query_id", "doc_id", "points"])
 
-        hits = docs.where("doc_id is not null").mapInArrow(run, "query_id long, doc_id long, points long")
+        # few long tasks: each carries its floors on, and gives k answers a query
+        hits = docs.where("doc_id is not null").coalesce(2 * spark.sparkContext.defaultParallelism).mapInArrow(run, "query_id long, doc_id long, points long")
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         found = spark.createDataFrame([], "query_id long, doc_id long, points long")
-    # k hits from each shard at most for a query
+    # k answers from each task at most for a query
     once = found.groupBy("query_id", "doc_id").agg(F.max("points").alias("points"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("points"), "doc_id"))
     return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", (F.col("points") / SCALE).alias("score"))

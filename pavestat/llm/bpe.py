@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import claim
+
 #: White space as the Unicode property has it; ``\s`` of Python's engines has more.
 SPACE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: How byte-level BPE cuts a text before merging.
@@ -152,6 +154,7 @@ def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     at, schema = _replaced(df, text, [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe", tokenizer.cache_clear)
         bpe = tokenizer(path)
         for batch in small_batches(batches):
             ids = [bpe.encode(x or "") for x in batch.column(at).to_pylist()]
@@ -165,6 +168,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     at, schema = _replaced(df, ids, [T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe", tokenizer.cache_clear)
         bpe = tokenizer(path)
         for batch in small_batches(batches):
             texts = [None if x is None else bpe.decode(x) for x in batch.column(at).to_pylist()]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,3 +57,15 @@ def sized_broadcast(df: DataFrame, most_rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``most_rows`` rows; otherwise as
     it is, for a shuffled join. ``df`` should be cheap to count (written before)."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def claim(name: str, clear: Callable[[], None]) -> None:
+    """In a Python worker: the operator ``name`` begins a task. Caches that other
+    operators left in this worker are cleared, so that a job of many operators needs
+    the memory of one."""
+    for other in [x for x in _caches if x != name]:
+        _caches.pop(other)()
+    _caches[name] = clear

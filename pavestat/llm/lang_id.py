@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import small_batches
+from .common import claim
 from .shingles import mix
 
 TRAIN_ROWS = 8_192
@@ -37,7 +38,7 @@ BUCKETS, LONGEST, SMOOTHING, SWITCH = 1 << 17, 4, 0.1, 12.0
 #: in another script costs.
 SCRIPT_SHARE, FOREIGN = 0.001, 30.0
 #: Words kept per worker: a bound of memory only.
-KEPT = 600_000
+KEPT = 400_000
 CHUNK = 64
 WORD = regex.compile(r"\p{L}+")
 
@@ -220,6 +221,7 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shared, arrow = df.sparkSession.sparkContext.broadcast(model), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("lang_id", _held.clear)
         own = shared.value
         cache, names = _cache(own), own.languages
         for batch in small_batches(batches, 256):

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import small_batches
-from .common import sized_broadcast, written
+from .common import claim, sized_broadcast, written
 from .components import components
 from .shingles import mix, sets_of
 
@@ -58,6 +58,7 @@ def _frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     Each task reports what repeats within ``LOCAL`` occurrences; reports are summed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("ngram_join", lambda: None)
         held: list[np.ndarray] = []
         n = 0
 
@@ -104,6 +105,7 @@ def _profiles(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((hashes, place))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("ngram_join", lambda: None)
         frequent, order = shared.value
         row = TaskContext.get().partitionId() << 40
         for batch in small_batches(batches):

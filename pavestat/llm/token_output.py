@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import simple8b
 from .bpe import KEPT_CHARS, SPACE, small_batches
-from .common import new_path
+from .common import claim, new_path
 from .shingles import mix, words_at
 
 MAGIC = b"S8B1"
@@ -227,6 +227,7 @@ def write(df: DataFrame, path: str, vocabulary: str, end_id: int, partitions: in
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("token_output", word_ids.cache_clear)
         part, before, coder = TaskContext.get().partitionId(), 0, word_ids(vocabulary)
         docs: list[int | None] = []
         parts: list[bytes] = []

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -66,6 +69,11 @@ def claim(name: str, clear: Callable[[], None]) -> None:
     """In a Python worker: the operator ``name`` begins a task. Caches that other
     operators left in this worker are cleared, so that a job of many operators needs
     the memory of one."""
-    for other in [x for x in _caches if x != name]:
+    others = [x for x in _caches if x != name]
+    for other in others:
         _caches.pop(other)()
     _caches[name] = clear
+    if others:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # glibc only: give pages back
+            ctypes.CDLL(None).malloc_trim(0)

@@ -38,7 +38,7 @@ BUCKETS, LONGEST, SMOOTHING, SWITCH = 1 << 17, 4, 0.1, 12.0
 #: in another script costs.
 SCRIPT_SHARE, FOREIGN = 0.001, 30.0
 #: Words kept per worker: a bound of memory only.
-KEPT = 400_000
+KEPT = 250_000
 CHUNK = 64
 WORD = regex.compile(r"\p{L}+")
 

@@ -44,7 +44,7 @@ from .shingles import mix, sets_of
 #: Shingles that are ordered by frequency: a bound on what is collected and broadcast.
 FREQUENT = 1 << 19
 #: Shingle occurrences that one local count covers.
-LOCAL = 1 << 21
+LOCAL = 1 << 20
 #: Documents of one prefix shingle that are compared in one block.
 BLOCK_DOCS = 1024
 FRAGMENTS = 4
@@ -68,7 +68,7 @@ def _frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(value[keep].view(np.int64)), pa.array(count[keep])], names=["h", "c"])
 
-        for batch in batches:
+        for batch in small_batches(batches):
             for found in sets_of(batch.column(0), words):
                 held.append(found)
                 n += len(found)
@@ -277,6 +277,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int, num: int, den: int)
     wanted = docs.join(sized_broadcast(written(ids, "ids"), BROADCAST_IDS), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("ngram_join", lambda: None)
         for batch in small_batches(batches):
             ids, sizes, keys, parts, lists = [], [], [], [], []
             for doc, found in zip(batch.column(0).to_pylist(), sets_of(batch.column(1), words), strict=True):

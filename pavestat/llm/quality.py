@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import small_batches
+from .common import claim
 from .shingles import _SPACE, _words
 
 #: Labelled rows that a model is fitted on at most.
@@ -150,6 +151,7 @@ def _measured(df: DataFrame, text: str) -> DataFrame:
     schema = T.StructType([T.StructField("statistics", T.ArrayType(T.DoubleType())), *df.schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality", lambda: None)
         for batch in small_batches(batches):
             values = [statistics(x) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(values, pa.list_(pa.float64())), *batch.columns], names=["statistics", *batch.schema.names])
@@ -176,6 +178,7 @@ def score(df: DataFrame, model: Trees, text: str = "text") -> DataFrame:
     fields[at] = T.StructField("score", T.DoubleType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality", lambda: None)
         for batch in small_batches(batches):
             x = np.array([statistics(t) for t in batch.column(at).to_pylist()], dtype=np.float64).reshape(batch.num_rows, len(FEATURES))
             arrays, names = list(batch.columns), list(batch.schema.names)

@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,5 +76,6 @@ def claim(name: str, clear: Callable[[], None]) -> None:
     _caches[name] = clear
     if others:
         gc.collect()
+        pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):  # glibc only: give pages back
             ctypes.CDLL(None).malloc_trim(0)

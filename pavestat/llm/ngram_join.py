@@ -46,7 +46,9 @@ FREQUENT = 1 << 19
 #: Shingle occurrences that one local count covers.
 LOCAL = 1 << 20
 #: Documents of one prefix shingle that are compared in one block.
-BLOCK_DOCS = 1024
+BLOCK_DOCS = 512
+#: Pairs that are compared at once in a worker.
+PAIRS = 1 << 18
 FRAGMENTS = 4
 #: Ids broadcast at most (16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
@@ -190,11 +192,11 @@ def _compare(num: int, den: int, every: bool):
         for s in np.unique(size[size > 1]):
             begin = start[size == s]
             i, j = np.triu_indices(int(s), 1)
-            step = max(1, (1 << 20) // len(i))
+            step = max(1, PAIRS // len(i))
             for k in range(0, len(begin), step):
                 some = begin[k : k + step, None]
-                for c in range(0, len(i), 1 << 20):
-                    a, b = (some + i[c : c + (1 << 20)]).ravel(), (some + j[c : c + (1 << 20)]).ravel()
+                for c in range(0, len(i), PAIRS):
+                    a, b = (some + i[c : c + PAIRS]).ravel(), (some + j[c : c + PAIRS]).ravel()
                     n, m = col["n"][a], col["n"][b]
                     keep = (num * np.maximum(n, m) <= den * np.minimum(n, m)) & (col["doc_id"][a] != col["doc_id"][b])
                     keep &= (col["tree"][a] != col["tree"][b]) | (not every)
@@ -228,6 +230,20 @@ def _compare(num: int, den: int, every: bool):
 
     names = ["h", "block", "own", "doc_id", "n", "tree"]
 
+    def slices(col: dict[str, np.ndarray], sketches: list[bytes]) -> Iterator[pa.RecordBatch]:
+        """Whole groups, as many at once as have ``PAIRS`` pairs, or one."""
+        n = len(sketches)
+        start = np.flatnonzero(np.append(True, (np.diff(col["h"]) != 0) | (np.diff(col["block"]) != 0))) if n else np.zeros(0, np.int64)
+        size = np.diff(np.append(start, n))
+        pairs = np.append(0, np.cumsum(size * (size - 1) // 2))
+        k = 0
+        while k < len(start):
+            end = max(k + 1, int(np.searchsorted(pairs, pairs[k] + PAIRS, "right")) - 1)
+            a, b = start[k], start[end] if end < len(start) else n
+            if pairs[end] > pairs[k] and (out := pairs_of({x: v[a:b] for x, v in col.items()}, sketches[a:b])) is not None:
+                yield out
+            k = end
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: dict[str, np.ndarray] = {x: np.zeros(0, np.int64) for x in names}
         left: list[bytes] = []
@@ -238,11 +254,9 @@ def _compare(num: int, den: int, every: bool):
             sketches = left + batch.column("sketch").to_pylist()
             whole = np.flatnonzero((col["h"] != col["h"][-1]) | (col["block"] != col["block"][-1]))
             cut = int(whole[-1]) + 1 if len(whole) else 0
-            if cut and (out := pairs_of({x: v[:cut] for x, v in col.items()}, sketches[:cut])) is not None:
-                yield out
+            yield from slices({x: v[:cut] for x, v in col.items()}, sketches[:cut])
             rest, left = {x: v[cut:] for x, v in col.items()}, sketches[cut:]
-        if len(left) and (out := pairs_of(rest, left)) is not None:
-            yield out
+        yield from slices(rest, left)
 
     return run
 

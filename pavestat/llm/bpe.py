@@ -149,16 +149,20 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterato
             yield batch.slice(k, rows)
 
 
-def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """``text`` replaced by ``ids`` (binary) and ``n_tokens`` (long)."""
-    at, schema = _replaced(df, text, [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
+def encode(df: DataFrame, path: str, text: str = "text", decoded: str | None = None) -> DataFrame:
+    """``text`` replaced by ``ids`` (binary) and ``n_tokens`` (long), and, with a name for
+    ``decoded``, by what these ids decode to: in the same worker, as two chained Python
+    steps would keep twice as many workers."""
+    fields = [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())]
+    at, schema = _replaced(df, text, fields + [T.StructField(decoded, T.StringType())] * (decoded is not None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("bpe", tokenizer.cache_clear)
         bpe = tokenizer(path)
         for batch in small_batches(batches):
             ids = [bpe.encode(x or "") for x in batch.column(at).to_pylist()]
-            yield _with(batch, at, ids=pa.array(ids, pa.binary()), n_tokens=pa.array([len(x) // 4 for x in ids], pa.int64()))
+            more = {} if decoded is None else {decoded: pa.array([bpe.decode(x) for x in ids], pa.string())}
+            yield _with(batch, at, ids=pa.array(ids, pa.binary()), n_tokens=pa.array([len(x) // 4 for x in ids], pa.int64()), **more)
 
     return df.mapInArrow(run, schema)
 

@@ -13,9 +13,9 @@ small in four exact steps:
 3. Within the documents of one prefix shingle, sizes and odd sketches (a bit per hash
    residue, toggled by each shingle) bound the symmetric difference from below and
    discard pairs that cannot link.
-4. Of the pairs left, those that close a circle of clearly similar pairs are left out:
-   components need no more. The rest are counted. If a clearly similar pair turns out
-   not to link, its prefix shingle is done again with every pair between components.
+4. Of the pairs left, taken by falling similarity, those that close a circle are left
+   out: components need no more. The rest are counted. If one turns out not to link,
+   its prefix shingle is done again with every pair between different components.
 
 A prefix shingle with many documents is dealt as pairs of blocks, so no task holds an
 unbounded group. Shingles are 64-bit hashes of their words.
@@ -96,7 +96,7 @@ def _frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketch(found: np.ndarray) -> bytes:
-    bits = max(256, 1 << int(len(found) - 1).bit_length()) if len(found) else 256
+    bits = max(1024, 1 << int(len(found) - 1).bit_length()) if len(found) else 1024
     at = (found & _U(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
@@ -182,7 +182,7 @@ def _distance(sketches: list[bytes], a: np.ndarray, b: np.ndarray) -> tuple[np.n
 
 def _compare(num: int, den: int, every: bool):
     """Rows ``h, block, own, doc_id, n, tree, sketch``, sorted by ``h, block``, to pairs
-    ``a, b, h, clear`` that may link. ``every``: all between different trees."""
+    ``a, b, h`` that may link. ``every``: all between different trees."""
 
     def pairs_of(col: dict[str, np.ndarray], sketches: list[bytes]) -> pa.RecordBatch:
         change = np.flatnonzero((np.diff(col["h"]) != 0) | (np.diff(col["block"]) != 0)) + 1
@@ -208,25 +208,21 @@ def _compare(num: int, den: int, every: bool):
                     apart, bits = _distance(sketches, a, b)
                     most = (col["n"][a] + col["n"][b]) * (den - num) // (den + num)
                     near = apart <= most
-                    a, b, apart, bits, most = a[near], b[near], apart[near], bits[near], most[near]
+                    a, b, apart, bits = a[near], b[near], apart[near], bits[near]
                     guess = -bits / 2 * np.log1p(-np.minimum(2 * apart / bits, 1 - 1e-9))
-                    found.append((a, b, guess, guess <= 0.8 * most))
+                    found.append((a, b, guess))
         if not found:
             return None
-        a, b, guess, clear = (np.concatenate(x) for x in zip(*found, strict=True))
-        keep = np.ones(len(a), bool)
-        if not every:
-            forest = _Forest()
-            sure = np.flatnonzero(clear)
-            for k in sure[np.argsort(guess[sure], kind="stable")].tolist():
-                x, y = forest.root(int(a[k])), forest.root(int(b[k]))
-                keep[k] = x != y
-                forest[x] = y
-            for k in np.flatnonzero(~clear).tolist():
-                keep[k] = forest.root(int(a[k])) != forest.root(int(b[k]))
-        a, b, clear = a[keep], b[keep], clear[keep]
+        a, b, guess = (np.concatenate(x) for x in zip(*found, strict=True))
+        if not every:  # most similar first, what closes a circle is left out
+            keep, forest = np.ones(len(a), bool), _Forest()
+            for k in np.argsort(guess, kind="stable").tolist():
+                p, q = forest.root(int(a[k])), forest.root(int(b[k]))
+                keep[k] = p != q
+                forest[p] = q
+            a, b = a[keep], b[keep]
         x, y = col["doc_id"][a], col["doc_id"][b]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(col["h"][a]), pa.array(clear)], names=["a", "b", "h", "clear"])
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(col["h"][a])], names=["a", "b", "h"])
 
     names = ["h", "block", "own", "doc_id", "n", "tree"]
 
@@ -281,11 +277,11 @@ def _candidates(rows: DataFrame, sketches: DataFrame, num: int, den: int, every:
     pair = F.least("own", "other") * F.col("count") + F.greatest("own", "other")
     dealt = dealt.withColumn("block", F.when(F.col("own") == F.col("other"), -1 - F.col("own")).otherwise(pair).cast("int"))
     full = dealt.join(sketches, "row").select("h", "block", "own", "doc_id", "n", "tree", "sketch")
-    return full.repartition("h", "block").sortWithinPartitions("h", "block").mapInArrow(_compare(num, den, every), "a long, b long, h long, clear boolean")
+    return full.repartition("h", "block").sortWithinPartitions("h", "block").mapInArrow(_compare(num, den, every), "a long, b long, h long")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """``pairs(a, b, clear)`` with ``linked``: partial overlaps by fragment, summed. Rows
+    """``pairs(a, b)`` with ``linked``: partial overlaps by fragment, summed. Rows
     that repeat an id stand side by side by the hash of their set."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     wanted = docs.join(sized_broadcast(written(ids, "ids"), BROADCAST_IDS), "doc_id", "left_semi")
@@ -311,11 +307,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int, num: int, den: int)
 
     cut = written(wanted.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k long, g int, part array<long>"), "fragments")
     left, right = cut.toDF("a", "n_a", "k_a", "g", "part_a"), cut.toDF("b", "n_b", "k_b", "g", "part_b")
-    both = ["a", "b", "clear", "n_a", "n_b", "k_a", "k_b"]
+    both = ["a", "b", "n_a", "n_b", "k_a", "k_b"]
     partial = pairs.join(left, "a").join(right, ["b", "g"]).select(*both, "g", F.size(F.array_intersect("part_a", "part_b")).cast("long").alias("o"))
     summed = partial.groupBy(*both, "g").agg(F.max("o").alias("o")).groupBy(*both).agg(F.sum("o").alias("o"))
     linked = F.col("o") * den >= num * (F.col("n_a") + F.col("n_b") - F.col("o"))
-    return summed.groupBy("a", "b", "clear").agg(F.bool_or(linked).alias("linked"))
+    return summed.groupBy("a", "b").agg(F.bool_or(linked).alias("linked"))
 
 
 def join(df: DataFrame, words: int = 5, num: int = 8, den: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -339,7 +335,7 @@ def join(df: DataFrame, words: int = 5, num: int = 8, den: int = 10, doc_id: str
     rows = _near_in_size(prefix.join(shared, "h"), num, den)
     sketches = single.select("row", "doc_id", "n", F.lit(0).cast("long").alias("tree"), "sketch")
     found = written(_candidates(rows, sketches, num, den, every=False), "found")
-    pairs = written(found.groupBy("a", "b").agg(F.bool_or("clear").alias("clear")), "pairs")
+    pairs = written(found.select("a", "b").distinct(), "pairs")
     counted = written(_verified(docs, pairs, words, num, den), "counted")
 
     # rows of one id with different sets are one vertex
@@ -348,7 +344,7 @@ def join(df: DataFrame, words: int = 5, num: int = 8, den: int = 10, doc_id: str
     edges = counted.where("linked").select("a", "b").unionByName(same)
     labels = components(edges)
 
-    wrong = counted.where("clear and not linked").select("a", "b")
+    wrong = counted.where("not linked").select("a", "b")
     if not wrong.isEmpty():
         again = sized_broadcast(written(found.join(wrong, ["a", "b"]).select("h").distinct(), "again"), BROADCAST_IDS)
         rows = prefix.join(again, "h", "left_semi")
@@ -357,7 +353,7 @@ def join(df: DataFrame, words: int = 5, num: int = 8, den: int = 10, doc_id: str
         trees = sketches.join(labels, sketches.doc_id == labels.id, "left").select("row", "doc_id", "n", F.coalesce("component", "doc_id").alias("tree"), "sketch")
         more = _candidates(rows, trees, num, den, every=True)
         done = counted.select("a", "b")
-        more = written(more.groupBy("a", "b").agg(F.bool_or("clear").alias("clear")).join(done, ["a", "b"], "left_anti"), "pairs")
+        more = written(more.select("a", "b").distinct().join(done, ["a", "b"], "left_anti"), "pairs")
         edges = edges.unionByName(_verified(docs, more, words, num, den).where("linked").select("a", "b"))
         labels = components(edges)
 

@@ -70,10 +70,8 @@ def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary("byte_bpe_50k.json")
-    coded = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    coded = coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "ids")
-    return bpe.decode(coded, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.encode("text", "utf-8"), 256).alias("decoded_sha256"))
+    coded = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("byte_bpe_50k.json"), decoded="back")
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("back", "utf-8"), 256).alias("decoded_sha256"))
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,10 +56,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and the hash of the text that they decode to."""
-    path = vocabulary("byte_bpe_50k.json")
-    coded = bpe.encode(spread(docs.select(*COLUMNS)), path)
-    coded = coded.select("doc_id", "lang", "source", "n_tokens", F.col("ids").alias("token_ids"), "ids")
-    return bpe.decode(coded, path).withColumn("text", F.sha2(F.encode("text", "utf-8"), 256)).withColumnRenamed("text", "decoded_sha256")
+    coded = bpe.encode(spread(docs.select(*COLUMNS)), vocabulary("byte_bpe_50k.json"), decoded="back")
+    return coded.select("doc_id", "lang", "source", "n_tokens", F.col("ids").alias("token_ids"), F.sha2(F.encode("back", "utf-8"), 256).alias("decoded_sha256"))
 
 
 STAGES = [

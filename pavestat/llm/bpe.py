@@ -154,7 +154,9 @@ def encode(df: DataFrame, path: str, text: str = "text", decoded: str | None = N
     ``decoded``, by what these ids decode to: in the same worker, as two chained Python
     steps would keep twice as many workers."""
     fields = [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())]
-    at, schema = _replaced(df, text, fields + [T.StructField(decoded, T.StringType())] * (decoded is not None))
+    if decoded is not None:
+        fields.append(T.StructField(decoded, T.StringType()))
+    at, schema = _replaced(df, text, fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("bpe", tokenizer.cache_clear)

@@ -31,7 +31,7 @@ CUT = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
 #: Pieces kept per worker, and the longest piece that is kept: bounds of memory only.
-KEPT, KEPT_CHARS = 500_000, 48
+KEPT, KEPT_CHARS = 350_000, 48
 
 
 def byte_symbols() -> list[str]:

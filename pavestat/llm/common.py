@@ -75,7 +75,13 @@ def claim(name: str, clear: Callable[[], None]) -> None:
         _caches.pop(other)()
     _caches[name] = clear
     if others:
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # glibc only: give pages back
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
+
+
+def trim() -> None:
+    """Freed memory of this Python worker back to the system: a worker that waits for
+    its next task should not hold what the last one needed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import small_batches
-from .common import claim
+from .common import claim, trim
 from .shingles import mix
 
 TRAIN_ROWS = 8_192
@@ -245,5 +245,6 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 cut = [0, *(np.flatnonzero(np.diff(own_label)) + 1).tolist(), len(words)]
                 spans.append([{"first": a, "last": b - 1, "lang": names[own_label[a]]} for a, b in zip(cut, cut[1:], strict=False)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred), pa.array(score), pa.array(spans, arrow)], names=[*batch.schema.names, "lang_pred", "score", "spans"])
+        trim()
 
     return df.mapInArrow(run, schema)

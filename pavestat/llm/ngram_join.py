@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import small_batches
-from .common import claim, sized_broadcast, written
+from .common import claim, sized_broadcast, trim, written
 from .components import components
 from .shingles import mix, sets_of
 
@@ -79,6 +79,7 @@ def _frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
                     n = 0
         if held:
             yield report()
+        trim()
 
     summed = docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     counted = written(summed.withColumn("bin", F.floor(8 * F.log2("c")).cast("int")), "counts")
@@ -142,6 +143,7 @@ def _profiles(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 names=["row", "doc_id", "n", "k1", "k2", "sketch", "prefix"],
             )
             row += n_rows
+        trim()
 
     schema = "row long, doc_id long, n int, k1 long, k2 long, sketch binary, prefix array<long>"
     return written(docs.select("doc_id", "text").mapInArrow(run, schema), "profiles")
@@ -253,6 +255,8 @@ def _compare(num: int, den: int, every: bool):
             yield from slices({x: v[:cut] for x, v in col.items()}, sketches[:cut])
             rest, left = {x: v[cut:] for x, v in col.items()}, sketches[cut:]
         yield from slices(rest, left)
+        del rest, left
+        trim()
 
     return run
 
@@ -304,6 +308,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int, num: int, den: int)
             values = np.concatenate(lists) if lists else np.zeros(0, np.int64)
             arrays = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(parts, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "k", "g", "part"])
+        trim()
 
     cut = written(wanted.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k long, g int, part array<long>"), "fragments")
     left, right = cut.toDF("a", "n_a", "k_a", "g", "part_a"), cut.toDF("b", "n_b", "k_b", "g", "part_b")

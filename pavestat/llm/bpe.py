@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import claim
+from .common import arrow_map, claim, trim
 
 #: White space as the Unicode property has it; ``\s`` of Python's engines has more.
 SPACE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -165,8 +165,9 @@ def encode(df: DataFrame, path: str, text: str = "text", decoded: str | None = N
             ids = [bpe.encode(x or "") for x in batch.column(at).to_pylist()]
             more = {} if decoded is None else {decoded: pa.array([bpe.decode(x) for x in ids], pa.string())}
             yield _with(batch, at, ids=pa.array(ids, pa.binary()), n_tokens=pa.array([len(x) // 4 for x in ids], pa.int64()), **more)
+        trim()
 
-    return df.mapInArrow(run, schema)
+    return arrow_map(df, run, schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -179,5 +180,6 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
         for batch in small_batches(batches):
             texts = [None if x is None else bpe.decode(x) for x in batch.column(at).to_pylist()]
             yield _with(batch, at, text=pa.array(texts, pa.string()))
+        trim()
 
-    return df.mapInArrow(run, schema)
+    return arrow_map(df, run, schema)

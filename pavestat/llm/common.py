@@ -14,6 +14,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows and bytes of one Arrow batch between the JVM and Python. Long texts would else
+#: meet by the ten thousand in one batch, held by both sides at once.
+BATCH_ROWS, BATCH_BYTES = 512, "4m"
+#: Bytes of a row group of a table between steps: each writing task holds one.
+ROW_GROUP = 16 << 20
+
+
+def arrow_map(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` by bounded batches. The bounds are settings of the session and
+    stay set, as the plan reads them when it runs."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
@@ -37,7 +53,7 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: a cut lineage
     that survives lost executors, and a barrier that stops recomputation."""
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", codec).option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

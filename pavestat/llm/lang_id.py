@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import small_batches
-from .common import claim, trim
+from .common import arrow_map, claim, trim
 from .shingles import mix
 
 TRAIN_ROWS = 8_192
@@ -199,7 +199,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
                     at, n = np.unique(values, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang_] * len(at)), pa.array([kind] * len(at), pa.int32()), pa.array(at, pa.int64()), pa.array(n, pa.int64())], names=["l", "kind", "at", "n"])
 
-    found = sample.mapInArrow(run, "l string, kind int, at long, n long").groupBy("l", "kind", "at").agg(F.sum("n").alias("n")).toPandas()
+    found = arrow_map(sample, run, "l string, kind int, at long, n long").groupBy("l", "kind", "at").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(found["l"].unique().tolist())
     count, script = np.zeros((BUCKETS, len(languages))), np.zeros((len(SCRIPT_NAMES), len(languages)))
     for k, name in enumerate(languages):
@@ -247,4 +247,4 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred), pa.array(score), pa.array(spans, arrow)], names=[*batch.schema.names, "lang_pred", "score", "spans"])
         trim()
 
-    return df.mapInArrow(run, schema)
+    return arrow_map(df, run, schema)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import small_batches
-from .common import claim, sized_broadcast, trim, written
+from .common import arrow_map, claim, sized_broadcast, trim, written
 from .components import components
 from .shingles import mix, sets_of
 
@@ -81,7 +81,7 @@ def _frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
             yield report()
         trim()
 
-    summed = docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    summed = arrow_map(docs.select("text"), run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     counted = written(summed.withColumn("bin", F.floor(8 * F.log2("c")).cast("int")), "counts")
     least, n = 1 << 30, 0
     for bin_, rows in sorted(((r[0], r[1]) for r in counted.groupBy("bin").count().collect()), reverse=True):
@@ -146,7 +146,7 @@ def _profiles(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
         trim()
 
     schema = "row long, doc_id long, n int, k1 long, k2 long, sketch binary, prefix array<long>"
-    return written(docs.select("doc_id", "text").mapInArrow(run, schema), "profiles")
+    return written(arrow_map(docs.select("doc_id", "text"), run, schema), "profiles")
 
 
 class _Forest(dict):
@@ -281,7 +281,7 @@ def _candidates(rows: DataFrame, sketches: DataFrame, num: int, den: int, every:
     pair = F.least("own", "other") * F.col("count") + F.greatest("own", "other")
     dealt = dealt.withColumn("block", F.when(F.col("own") == F.col("other"), -1 - F.col("own")).otherwise(pair).cast("int"))
     full = dealt.join(sketches, "row").select("h", "block", "own", "doc_id", "n", "tree", "sketch")
-    return full.repartition("h", "block").sortWithinPartitions("h", "block").mapInArrow(_compare(num, den, every), "a long, b long, h long")
+    return arrow_map(full.repartition("h", "block").sortWithinPartitions("h", "block"), _compare(num, den, every), "a long, b long, h long")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -310,7 +310,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int, num: int, den: int)
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "k", "g", "part"])
         trim()
 
-    cut = written(wanted.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k long, g int, part array<long>"), "fragments")
+    cut = written(arrow_map(wanted.select("doc_id", "text"), run, "doc_id long, n long, k long, g int, part array<long>"), "fragments")
     left, right = cut.toDF("a", "n_a", "k_a", "g", "part_a"), cut.toDF("b", "n_b", "k_b", "g", "part_b")
     both = ["a", "b", "n_a", "n_b", "k_a", "k_b"]
     partial = pairs.join(left, "a").join(right, ["b", "g"]).select(*both, "g", F.size(F.array_intersect("part_a", "part_b")).cast("long").alias("o"))

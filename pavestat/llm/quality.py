@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import small_batches
-from .common import claim
+from .common import arrow_map, claim, trim
 from .shingles import _SPACE, _words
 
 #: Labelled rows that a model is fitted on at most.
@@ -156,7 +156,7 @@ def _measured(df: DataFrame, text: str) -> DataFrame:
             values = [statistics(x) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(values, pa.list_(pa.float64())), *batch.columns], names=["statistics", *batch.schema.names])
 
-    return df.mapInArrow(run, schema)
+    return arrow_map(df, run, schema)
 
 
 def train(documents: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> Trees:
@@ -184,5 +184,6 @@ def score(df: DataFrame, model: Trees, text: str = "text") -> DataFrame:
             arrays, names = list(batch.columns), list(batch.schema.names)
             arrays[at], names[at] = pa.array(model.score(x)), "score"
             yield pa.RecordBatch.from_arrays(arrays, names=names)
+        trim()
 
-    return df.mapInArrow(run, T.StructType(fields))
+    return arrow_map(df, run, T.StructType(fields))

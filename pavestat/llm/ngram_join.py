@@ -261,14 +261,18 @@ def _compare(num: int, den: int, every: bool):
     return run
 
 
-def _near_in_size(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """``rows(h, row, n, size)`` without documents that no other of the same shingle is
-    near to in size: of sizes in order, a neighbour's is the nearest. Groups that are
-    compared in several blocks stay as they are, so that no task gets all of one."""
-    small, order = rows.where(F.col("size") <= BLOCK_DOCS), Window.partitionBy("h").orderBy("n")
+def _met(prefix: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+    """``prefix(h, row, n)`` by the written ``sizes(h, size)`` to rows ``h, row, size``,
+    without documents that no other of the same shingle is near to in size: of sizes in
+    order, a neighbour's is the nearest. Shingles that are compared in several blocks are
+    told apart before any shuffle by shingle and stay whole, so that no task gets all of
+    a large group; there are at most rows / ``BLOCK_DOCS`` of them."""
+    large = sized_broadcast(sizes.where(F.col("size") > BLOCK_DOCS), BROADCAST_IDS)
+    small = prefix.join(large, "h", "left_anti").join(sizes.where(F.col("size") <= BLOCK_DOCS), "h")
+    order = Window.partitionBy("h").orderBy("n")
     small = small.withColumn("before", F.lag("n").over(order)).withColumn("after", F.lead("n").over(order))
     near = (F.col("n") * num <= F.col("before") * den) | (F.col("after") * num <= F.col("n") * den)
-    return small.where(near).select("h", "row", "size").unionByName(rows.where(F.col("size") > BLOCK_DOCS).select("h", "row", "size"))
+    return small.where(near).select("h", "row", "size").unionByName(prefix.join(large, "h").select("h", "row", "size"))
 
 
 def _candidates(rows: DataFrame, sketches: DataFrame, num: int, den: int, every: bool) -> DataFrame:
@@ -337,7 +341,7 @@ def join(df: DataFrame, words: int = 5, num: int = 8, den: int = 10, doc_id: str
     # two documents of sizes too far apart to link need not meet
     shared = prefix.groupBy("h").agg(F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"))
     shared = shared.where((F.col("size") > 1) & ((F.col("size") > 2) | (F.col("high") * num <= F.col("low") * den))).select("h", "size")
-    rows = _near_in_size(prefix.join(shared, "h"), num, den)
+    rows = _met(prefix, written(shared, "sizes"), num, den)
     sketches = single.select("row", "doc_id", "n", F.lit(0).cast("long").alias("tree"), "sketch")
     found = written(_candidates(rows, sketches, num, den, every=False), "found")
     pairs = written(found.select("a", "b").distinct(), "pairs")
@@ -353,7 +357,7 @@ def join(df: DataFrame, words: int = 5, num: int = 8, den: int = 10, doc_id: str
     if not wrong.isEmpty():
         again = sized_broadcast(written(found.join(wrong, ["a", "b"]).select("h").distinct(), "again"), BROADCAST_IDS)
         rows = prefix.join(again, "h", "left_semi")
-        rows = _near_in_size(rows.join(rows.groupBy("h").agg(F.count("*").alias("size")), "h"), num, den)
+        rows = _met(rows, written(rows.groupBy("h").agg(F.count("*").alias("size")).where("size > 1"), "sizes"), num, den)
         labels = written(labels, "labels")
         trees = sketches.join(labels, sketches.doc_id == labels.id, "left").select("row", "doc_id", "n", F.coalesce("component", "doc_id").alias("tree"), "sketch")
         more = _candidates(rows, trees, num, den, every=True)

@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .metric_queries import QUERIES
+from .model_queries import MODEL_QUERIES
+
+ALL = QUERIES | MODEL_QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, (f, _) in QUERIES.items()}
+    return {name: f for name, (f, _) in ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in QUERIES.items()}
+    return {name: sql for name, (_, sql) in ALL.items()}

@@ -39,6 +39,8 @@ BUCKETS, LONGEST, SMOOTHING, SWITCH = 1 << 17, 4, 0.1, 12.0
 SCRIPT_SHARE, FOREIGN = 0.001, 30.0
 #: Words kept per worker: a bound of memory only.
 KEPT = 250_000
+#: Words whose n-grams are held at once.
+AT_ONCE = 1 << 14
 CHUNK = 64
 WORD = regex.compile(r"\p{L}+")
 
@@ -119,8 +121,8 @@ class _Words(dict):
             first = len(self) - len(self.new)
             while len(self.table) < len(self):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            for k in range(0, len(self.new), 1 << 14):
-                some = self.new[k : k + (1 << 14)]
+            for k in range(0, len(self.new), AT_ONCE):
+                some = self.new[k : k + AT_ONCE]
                 self.table[first + k : first + k + len(some)] = self.model.scores(some)
             self.new = []
         return out
@@ -187,17 +189,21 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     sample = known.join(F.broadcast(ids), "k", "left_semi").select("l", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("lang_id", _held.clear)
         for batch in small_batches(batches):
             by: dict[str, list[str]] = {}
             for lang_, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 by.setdefault(lang_, []).extend(WORD.findall(t.lower()))
             for lang_, words in by.items():
-                if not words:
-                    continue
-                _, bucket, script = _grams(words)
-                for kind, values in ((0, bucket), (1, script)):
-                    at, n = np.unique(values, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang_] * len(at)), pa.array([kind] * len(at), pa.int32()), pa.array(at, pa.int64()), pa.array(n, pa.int64())], names=["l", "kind", "at", "n"])
+                counts = np.zeros(BUCKETS, np.int64), np.zeros(len(SCRIPT_NAMES), np.int64)
+                for k in range(0, len(words), AT_ONCE):
+                    for count, values in zip(counts, _grams(words[k : k + AT_ONCE])[1:], strict=True):
+                        count += np.bincount(values, minlength=len(count))
+                for kind, count in enumerate(counts):
+                    at = np.flatnonzero(count)
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([pa.array([lang_] * len(at)), pa.array([kind] * len(at), pa.int32()), pa.array(at, pa.int64()), pa.array(count[at])], names=["l", "kind", "at", "n"])
+        trim()
 
     found = arrow_map(sample, run, "l string, kind int, at long, n long").groupBy("l", "kind", "at").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(found["l"].unique().tolist())

@@ -105,3 +105,71 @@ def hash_share(seed: str, key: Column) -> Column:
 def grid(height: Column, step: int) -> Column:
     """Rows step, 2 step, ... below ``height``; empty for none (``sequence`` would count down)."""
     return F.when(height > step, F.sequence(F.lit(step), height - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+
+
+def reversals(k: Column, high: float, separation: float) -> Column:
+    """Sign changes along the array ``k``: a sample of at least ``high`` in size sets the
+    sign, if that of the last change differs and lies ``separation`` of the length back.
+    Null samples are passed over; a null array gives null, an empty one 0."""
+    apart = separation * (F.size(k) - 1)
+
+    def step(state: Column, sample: Column) -> Column:
+        sign, at = F.signum(sample["x"]).cast("int"), sample["i"]
+        new = F.struct(sign.alias("sign"), at.alias("at"), (state["n"] + (state["sign"] != 0).cast("int")).alias("n"))
+        strong = F.coalesce(F.abs(sample["x"]) >= high, F.lit(False))
+        changed = (state["sign"] == 0) | ((sign != state["sign"]) & (at - state["at"] >= apart))
+        return F.when(strong & changed, new).otherwise(state)
+
+    samples = F.transform(k, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    return F.aggregate(samples, F.struct(F.lit(0).alias("sign"), F.lit(0).alias("at"), F.lit(0).alias("n")), step, lambda s: s["n"])
+
+
+def _total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+
+
+def autocorrelation(p: Column, q: Column, lag: int) -> Column:
+    """Correlation of the array ``p`` with itself ``lag`` places on, each pair weighted by
+    the product of its ``q``, from 0 to 1; 0 if too short, without weight or constant.
+    One pass over the pairs sums what it takes."""
+    n = F.greatest(F.size(p) - lag, F.lit(0))
+    sides = F.zip_with(F.slice(p, 1, n), F.slice(p, lag + 1, n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    weights = F.zip_with(F.slice(q, 1, n), F.slice(q, lag + 1, n), lambda a, b: a * b)
+    pairs = F.zip_with(sides, weights, lambda v, w: F.struct(v["a"].alias("a"), v["b"].alias("b"), w.alias("w")))
+    sums = {"w": "", "a": "a", "b": "b", "ab": "ab", "aa": "aa", "bb": "bb"}
+
+    def add(state: Column, v: Column) -> Column:
+        out = []
+        for name, factors in sums.items():
+            term = v["w"]
+            for f in factors:
+                term = term * v[f]
+            out.append((state[name] + F.coalesce(term, F.lit(0.0))).alias(name))
+        return F.struct(*out)
+
+    def value(s: Column) -> Column:
+        def about(x: str, y: str) -> Column:
+            return s[x + y] - F.try_divide(s[x] * s[y], s["w"])
+
+        return F.try_divide(about("a", "b"), F.sqrt(F.greatest(about("a", "a") * about("b", "b"), F.lit(0.0))))
+
+    found = F.aggregate(pairs, F.struct(*[F.lit(0.0).alias(x) for x in sums]), add, value)
+    return F.when(p.isNull() | q.isNull(), None).when((n <= 2) | F.lit(lag < 2), 0.0).otherwise(clip(F.coalesce(found, F.lit(0.0)), 0.0, 1.0))
+
+
+def arc_length(x: Column, y: Column) -> Column:
+    """Length of the line through the points of two arrays; 0 for under two points."""
+    n = F.greatest(F.size(x) - 1, F.lit(0))
+    steps = [F.zip_with(F.slice(c, 2, n), F.slice(c, 1, n), lambda b, a: b - a) for c in (x, y)]
+    return _total(F.zip_with(*steps, F.hypot))
+
+
+def stop_reason(n: Column, least_count: Column, since_progress: Column, left: Column, per_tag: int, total: int, patience: int, cap: int) -> Column:
+    """Why sampling ends after ``n`` samples, the rarest tag seen ``least_count`` times;
+    null to go on."""
+    return (
+        F.when((n >= total) & (least_count >= per_tag), "coverage")
+        .when((n >= total) & (since_progress >= patience), "stalled")
+        .when(n >= cap, "cap")
+        .when(left <= 0, "pool_exhausted")
+    )

@@ -32,7 +32,12 @@ def recommendation(y: Column) -> Column:
 
 def complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows where all columns are finite numbers, as doubles."""
-    own = df.select(*[F.col(c).try_cast("double").alias(c) for c in columns])
+    return complete_with(df, columns)
+
+
+def complete_with(df: DataFrame, columns: Sequence[str], *more: Column) -> DataFrame:
+    """``complete`` with other columns kept beside."""
+    own = df.select(*[F.col(c).try_cast("double").alias(c) for c in columns], *more)
     for c in columns:
         own = own.where(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     return own
@@ -116,3 +121,36 @@ def auc(df: DataFrame, y: str, p: str, bins: int = 1024) -> DataFrame:
     inside = Window.partitionBy("bin").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     won = by.join(below, "bin").withColumn("less", F.col("below") + F.coalesce(F.sum("zero").over(inside), F.lit(0)))
     return won.agg(F.try_divide(F.sum(F.col("one") * (F.col("less") + F.col("zero") / 2)), F.sum("one").cast("double") * F.sum("zero")).alias("auc"))
+
+
+def cross_validate(df: DataFrame, y: str, xs: Sequence[str], fold: Column, family: str = "ols") -> DataFrame:
+    """Rows ``fold, n, rmse, mae`` of predictions by fits on the other folds. ``fold`` is
+    an expression of the row: of a group's key, and no group is cut. Least squares take the
+    sums of all folds in one pass, as a fold's fit needs the whole less its own; other
+    families are fitted fold by fold. There should be few folds: each is a number in the
+    plan. Rows of a null fold, or not complete in ``y`` and ``xs``, are left out."""
+    own = complete_with(df, [y, *xs], fold.cast("int").alias("fold")).where("fold is not null")
+    terms = [F.lit(1.0), *[F.col(x) for x in xs]]
+    columns = [*terms, F.col(y)]
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    coefs: dict[int, np.ndarray] = {}
+    if family == "ols":
+        sums = {}
+        for row in own.groupBy("fold").agg(*[F.sum(columns[i] * columns[j]) for i, j in pairs]).collect():  # a row per fold
+            m = sums[row[0]] = np.zeros((len(columns), len(columns)))
+            for (i, j), v in zip(pairs, row[1:], strict=True):
+                m[i, j] = m[j, i] = v
+        whole = sum(sums.values())
+        for k, m in sums.items():
+            rest = whole - m
+            coefs[k] = np.linalg.pinv(rest[:-1, :-1]) @ rest[:-1, -1]
+    else:
+        for (k,) in own.select("fold").distinct().collect():
+            coefs[k] = glm(own.where(F.col("fold") != k), y, xs, family).coef
+    guess = F.lit(None).cast("double")
+    for k, c in coefs.items():
+        eta = _dot(terms, c)
+        mean = eta if family == "ols" else 1 / (1 + F.exp(-eta)) if family == "binomial" else F.exp(eta)
+        guess = F.when(F.col("fold") == k, mean).otherwise(guess)
+    scored = own.withColumn("p", guess)
+    return scored.groupBy("fold").agg(F.count("*").alias("n"), *fit_statistics(F.col(y), F.col("p"))[:2])

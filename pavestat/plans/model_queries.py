@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import expr as E
 from ..operators import models
 from ..streaming.ingest import windowed_counts
 from .metric_queries import Query, r, table
@@ -110,3 +113,68 @@ def operating_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed_counts(table(spark, sf_dir, "events"), "ts", "event_type")
+
+
+LANES = "e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i, len(embedding) AS n FROM embeddings)"
+
+
+def lane_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lane is an embedding: its 64 values, one for each row of a grid."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+
+
+_CHANGED = "abs(x) >= 0.1 AND (sg = 0 OR (sign(x) <> sg AND e.i - was >= 0.05 * (n - 1)))"
+
+
+@query(f"""WITH RECURSIVE {LANES}, s AS (SELECT vec_id, i, CASE WHEN abs(x) >= 0.1 THEN sign(x)::INT ELSE 0 END AS sg, i AS was, 0 AS c FROM e WHERE i = 1
+ UNION ALL SELECT e.vec_id, e.i, CASE WHEN {_CHANGED} THEN sign(x)::INT ELSE sg END, CASE WHEN {_CHANGED} THEN e.i ELSE was END, c + CASE WHEN {_CHANGED} AND sg <> 0 THEN 1 ELSE 0 END
+ FROM s JOIN e ON e.vec_id = s.vec_id AND e.i = s.i + 1) SELECT vec_id, max(c)::BIGINT AS reversals FROM s GROUP BY 1""")
+def lane_reversals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lane_samples(spark, sf_dir).select("vec_id", E.reversals(F.col("x"), 0.1, 0.05).cast("long").alias("reversals"))
+
+
+@query(f"""WITH {LANES}, p AS (SELECT a.vec_id, a.x AS a, b.x AS b, abs(a.x) * abs(b.x) AS w FROM e a JOIN e b ON a.vec_id = b.vec_id AND b.i = a.i + 8),
+ m AS (SELECT vec_id, sum(w) AS w, sum(w * a) AS a, sum(w * b) AS b, sum(w * a * b) AS ab, sum(w * a * a) AS aa, sum(w * b * b) AS bb FROM p GROUP BY 1)
+ SELECT vec_id, round(greatest(0, least(1, (ab - a * b / w) / sqrt((aa - a * a / w) * (bb - b * b / w)))), 6) AS periodicity FROM m""")
+def lane_periodicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("x")
+    return lane_samples(spark, sf_dir).select("vec_id", r(E.autocorrelation(x, F.transform(x, F.abs), 8)).alias("periodicity"))
+
+
+@query(f"""WITH {LANES}, d AS (SELECT vec_id, x - lag(x) OVER (PARTITION BY vec_id ORDER BY i) AS d FROM e)
+ SELECT vec_id, round(sum(sqrt(d * d + 1)), 6) AS length FROM d WHERE d IS NOT NULL GROUP BY 1""")
+def lane_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = F.transform("x", lambda _, i: i.cast("double"))
+    return lane_samples(spark, sf_dir).select("vec_id", r(E.arc_length(F.col("x"), rows)).alias("length"))
+
+
+@query("""WITH d AS (SELECT l_extendedprice AS y, l_quantity AS x, (l_orderkey % 5)::INT AS f FROM lineitem),
+ c AS (SELECT g.f, regr_slope(y, x) AS s, regr_intercept(y, x) AS b FROM (SELECT DISTINCT f FROM d) g JOIN d ON d.f <> g.f GROUP BY g.f)
+ SELECT f AS fold, count(*) AS n, round(sqrt(avg((y - b - s * x) ** 2)), 3) AS rmse, round(avg(abs(y - b - s * x)), 3) AS mae FROM d JOIN c USING (f) GROUP BY 1""")
+def cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "lineitem")
+    found = models.cross_validate(d, "l_extendedprice", ["l_quantity"], F.col("l_orderkey") % 5)
+    return found.select("fold", "n", r(F.col("rmse"), 3).alias("rmse"), r(F.col("mae"), 3).alias("mae"))
+
+
+TAGS = ("click", "error", "purchase", "signup", "view")
+_OVER = "OVER (ORDER BY day)"
+
+
+@query(f"""WITH d AS (SELECT ts::DATE AS day, count(*) AS n, {", ".join(f"count(*) FILTER (event_type = '{t}') AS {t}" for t in TAGS)} FROM events GROUP BY 1),
+ s AS (SELECT day, sum(n) {_OVER} AS n, {", ".join(f"sum({t}) {_OVER} AS c_{t}, {t} > 0 AND sum({t}) {_OVER} - {t} < 150 AS g_{t}" for t in TAGS)} FROM d),
+ p AS (SELECT *, coalesce(max(CASE WHEN {" OR ".join(f"g_{t}" for t in TAGS)} THEN n END) {_OVER}, 0) AS was, max(n) OVER () - n AS rest FROM s)
+ SELECT day, n::BIGINT AS n, CASE WHEN n >= 500 AND least({", ".join(f"c_{t}" for t in TAGS)}) >= 150 THEN 'coverage' WHEN n >= 500 AND n - was >= 300 THEN 'stalled' WHEN n >= 5000 THEN 'cap'
+ WHEN rest <= 0 THEN 'pool_exhausted' END AS reason FROM p""")
+def sampling_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags seen by the end of each day and whether sampling would end there. Running
+    counts go over one row a day, summed before."""
+    days = table(spark, sf_dir, "events").groupBy(F.col("ts").cast("date").alias("day"))
+    d = days.agg(F.count("*").alias("n"), *[F.count_if(F.col("event_type") == t).alias(t) for t in TAGS])
+    over = Window.orderBy("day")
+    run = {t: F.sum(t).over(over) for t in TAGS}
+    gained = functools.reduce(lambda a, b: a | b, [(F.col(t) > 0) & (run[t] - F.col(t) < 150) for t in TAGS])
+    s = d.select("day", F.sum("n").over(over).alias("n"), F.least(*run.values()).alias("rarest"), gained.alias("gained"))
+    last = F.coalesce(F.max(F.when(F.col("gained"), F.col("n"))).over(over), F.lit(0))
+    s = s.select("day", "n", "rarest", last.alias("at"), (F.max("n").over(Window.partitionBy()) - F.col("n")).alias("rest"))
+    return s.select("day", "n", E.stop_reason(F.col("n"), F.col("rarest"), F.col("n") - F.col("at"), F.col("rest"), per_tag=150, total=500, patience=300, cap=5000).alias("reason"))

@@ -81,3 +81,35 @@ def test_models_equal_numpy(spark):
         got = models.glm(df, {"poisson": "n", "binomial": "one"}[name], ["a", "b"], name)
         assert np.allclose(x.T @ (target - mean(x @ got.coef)), 0, atol=1e-6)
     assert models.auc(df.limit(0), "one", "a").first().auc is None
+
+
+def test_array_expressions_on_edge_cases(spark):
+    from pyspark.sql import functions as F
+
+    from pavestat.functions import expr as E
+
+    df = spark.createDataFrame([(1, [0.0, 5.0, 0.1, -5.0, None, 5.0]), (2, []), (3, None), (4, [5.0, -5.0])], "id int, x array<double>")
+    x = F.col("x")
+    got = df.select("id", E.reversals(x, 1.0, 0.0).alias("r"), E.reversals(x, 1.0, 0.5).alias("far"), E.arc_length(x, F.transform(x, lambda _, i: i.cast("double"))).alias("l"), E.autocorrelation(x, x, 2).alias("c")).orderBy("id").collect()
+    assert [r["r"] for r in got] == [2, 0, None, 1] and [r["far"] for r in got][0] == 0
+    assert [r["l"] for r in got][1:3] == [0.0, None] and got[3]["l"] == pytest.approx((100 + 1) ** 0.5)
+    assert [r["c"] for r in got][1:] == [0.0, None, 0.0]
+    wave = spark.createDataFrame([([1.0, 0.0, -1.0, 0.0] * 8,)], "x array<double>").select(E.autocorrelation(x, F.transform(x, lambda _: F.lit(1.0)), 4).alias("same"), E.autocorrelation(x, F.transform(x, lambda _: F.lit(1.0)), 2).alias("against")).first()
+    assert wave["same"] == pytest.approx(1.0) and wave["against"] == 0.0
+
+
+def test_cross_validation_by_families(spark):
+    import numpy as np
+
+    from pyspark.sql import functions as F
+
+    from pavestat.operators import models
+
+    rng = np.random.default_rng(5)
+    rows = [(i, float(x), float(rng.poisson(np.exp(0.3 * x))), None if i % 17 == 0 else float(2 * x + 1)) for i, x in enumerate(rng.normal(size=300))]
+    df = spark.createDataFrame(rows, "id long, x double, y double, z double")
+    fold = F.col("id") % 3
+    exact = models.cross_validate(df, "z", ["x"], fold).orderBy("fold").collect()
+    assert sum(r["n"] for r in exact) == sum(r[3] is not None for r in rows) and all(r["rmse"] < 1e-8 for r in exact)
+    assert {r["n"] for r in models.cross_validate(df, "y", ["x"], fold, "poisson").collect()} == {100}
+    assert models.cross_validate(df.limit(0), "z", ["x"], fold).count() == 0

@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Default heights and widths of the datasets' images.
@@ -174,3 +174,48 @@ def frozen_config(spark: SparkSession, path: str) -> dict | None:
     if not isinstance(found, dict):
         raise ValueError(f"{path} holds no object")
     return found
+
+
+def resolve_images(names: DataFrame, images: DataFrame, masks: DataFrame, name: str = "file_name", order: tuple[str, ...] = ("val", "train", "test")) -> DataFrame:
+    """``names`` with the image, split and mask of the same stem. ``images`` and ``masks``
+    have ``path``, in a folder named by the split; of several images that of the first
+    split in ``order`` counts (then the least path), and only a mask of that split.
+    ``note`` tells what is missing. Repeated names each get their row."""
+
+    def listed(df: DataFrame, as_: str) -> DataFrame:
+        parts = F.split("path", "/")
+        found = df.select(F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", "").alias("stem"), F.try_element_at(parts, F.lit(-2)).alias("split"), F.col("path").alias(as_))
+        return found.where(F.col("split").isin(*order))
+
+    rank = F.array_position(F.lit(list(order)), F.col("split"))
+    first = listed(images, "image_path").groupBy("stem").agg(F.min_by(F.struct("split", "image_path"), F.struct(rank, "image_path")).alias("image")).select("stem", "image.*")
+    mask = listed(masks, "mask_path").groupBy("stem", "split").agg(F.min("mask_path").alias("mask_path"))
+    stem = F.regexp_replace(F.col(name), r"(?i)\.jpg$", "")
+    out = names.withColumn("stem", stem).join(first.join(mask, ["stem", "split"], "left"), "stem", "left").drop("stem")
+    note = F.when(F.col("image_path").isNull(), "image not found").when(F.col("mask_path").isNull(), "mask missing").otherwise("")
+    return out.withColumn("note", note)
+
+
+def strided(frames: DataFrame, segment: str, order: str, stride: int = 10) -> DataFrame:
+    """Each ``stride``-th frame of a segment by ``order``, from the first. A segment is one
+    clip."""
+    at = F.row_number().over(Window.partitionBy(segment).orderBy(order))
+    return frames.withColumn("__at", at).where((F.col("__at") - 1) % stride == 0).drop("__at")
+
+
+def tag_table(tags: DataFrame, dimensions: list[str]) -> DataFrame:
+    """``sample_id`` and tags by dimension to a wide table: a column of joined tags for
+    each dimension, and a 0/1 column for each tag, by dimension and name. The tags that
+    occur are collected: a vocabulary, not data. Repeated ids, or a tag with the name of
+    another column, raise ValueError."""
+    by = F.col("predicted_tags.by_dimension")
+    again = tags.groupBy("sample_id").count().where("count > 1").limit(1).collect()
+    if again:
+        raise ValueError(f"repeated sample {again[0][0]!r}")
+    column = {d: "tag_" + d.lower().replace(" & ", "_").replace(" ", "_").replace("/", "_") for d in dimensions}
+    wide = tags.select("sample_id", "dataset", *[F.array_join(F.coalesce(by[d], F.array()), "; ").alias(c) for d, c in column.items()], F.flatten(F.array(*[F.coalesce(by[d], F.array().cast("array<string>")) for d in dimensions])).alias("__all"))
+    pairs = tags.select(F.explode(by).alias("d", "ts")).select("d", F.explode("ts").alias("t")).where("t is not null").distinct().collect()
+    words = list(dict.fromkeys(t for d in dimensions for t in sorted(r["t"] for r in pairs if r["d"] == d)))
+    if clash := set(words) & set(wide.columns):
+        raise ValueError(f"tags named like columns: {sorted(clash)}")
+    return wide.select("*", *[F.array_contains("__all", t).cast("int").alias(t) for t in words]).drop("__all")

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import expr as E
+from ..operators import frames
+
 
 def flat(df: DataFrame, first: Sequence[str] = ()) -> DataFrame:
     """Scalars only, ``first`` in front, then by name; ``metadata`` becomes columns
@@ -29,3 +32,42 @@ def write_records(df: DataFrame, json_path: str, csv_path: str, first: Sequence[
 
 def write_ranking(df: DataFrame, path: str, by: Sequence[str] = ("dataset", "model")) -> None:
     df.write.mode("overwrite").partitionBy(*by).parquet(path)
+
+
+def lane_manifest(df: DataFrame, lanes: str = "lanes", mask: str = "mask") -> DataFrame:
+    """``df`` with ``lane_json`` (rows of the grid, x of each lane) and ``natural_gt``: from
+    ``lanes`` where they are, else from the PNG ``mask``. ``df`` has ``height`` and
+    ``width``; neither lanes nor mask gives nulls. ``mask`` is not kept."""
+    own = frames.mask_to_lanes(df.withColumnRenamed(mask, "__mask"), "__mask").drop("reason", "__mask")
+    own = frames.draw_lanes(own, lanes).drop("reason", "mask")
+    xs = F.when(F.size(lanes) > 0, F.col("grid_xs")).otherwise(F.col("mask_xs"))
+    kind = F.when(F.size(lanes) > 0, "lanes").when(F.col("mask_xs").isNotNull(), "mask")
+    own = own.withColumn("lane_json", F.when(xs.isNotNull(), F.struct(E.grid(F.col("height"), 10).alias("h_samples"), xs.alias("lanes"))))
+    return own.withColumn("natural_gt", kind).drop("grid_xs", "mask_xs")
+
+
+def prediction_manifest(df: DataFrame, lanes: str = "lanes", scores: str = "scores", mask: str = "mask") -> DataFrame:
+    """``lane_manifest`` with ``polylines``, each lane with its score in step: lanes of under
+    two points go with their scores, and without scores each has a null one."""
+    pairs = F.arrays_zip(F.col(lanes).alias("points"), F.coalesce(F.col(scores), F.array()).alias("score"))
+    pairs = F.filter(F.slice(pairs, 1, F.greatest(F.size(lanes), F.lit(0))), lambda v: F.size(v["points"]) >= 2)
+    own = df.withColumn("polylines", F.when(F.col(lanes).isNotNull(), F.transform(pairs, lambda v: F.struct(v["points"].alias("points"), v["score"].alias("score")))))
+    own = own.withColumn(lanes, F.transform("polylines", lambda v: v["points"]))
+    return lane_manifest(own, lanes, mask).drop(scores)
+
+
+def output_manifest(df: DataFrame, samples: DataFrame, key: str = "sample_id") -> DataFrame:
+    """``samples`` with ``metrics``: the records' scalars by first letter and number (``D``,
+    ``I``, ``R``), others under ``core``; null where a sample has no record. A key should
+    have one record."""
+    groups: dict[str, list[str]] = {"core": [], "D": [], "I": [], "R": []}
+    for f in df.schema:
+        if f.name != key and not isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType):
+            groups[f.name[0] if f.name[:1] in groups and f.name[1:2].isdigit() else "core"].append(f.name)
+    parts = [F.struct(*[F.col(f"`{c}`") for c in names]).alias(g) for g, names in groups.items() if names]
+    return samples.join(df.select(key, F.struct(*parts).alias("metrics")), key, "left")
+
+
+def write_manifest(df: DataFrame, path: str, most: int | None = None, order: str = "sample_id") -> None:
+    """A JSON line per sample; ``most`` keeps the first by ``order``."""
+    (df if most is None else df.orderBy(order).limit(most)).write.mode("overwrite").json(path)

@@ -129,3 +129,8 @@ def lane_matching(df: DataFrame, pred: str = "pred_lanes", gt: str = "gt_lanes",
         return dict(zip(("lane_tp", "lane_fp", "lane_fn"), raster.lane_matches(row[pred], row[gt], int(row[height]), int(row[width])), strict=True))
 
     return _mapped(df, "lane_tp long, lane_fp long, lane_fn long", kernel)
+
+
+def lane_width(df: DataFrame, lanes: str = "lanes", width: str = "width") -> DataFrame:
+    """``width_stability`` of neighbouring lanes; null without two that share enough rows."""
+    return _mapped(df, "width_stability double", lambda row: {"width_stability": raster.width_stability(row[lanes], int(row[width]))})

@@ -161,3 +161,10 @@ def test_lanes_on_rows(spark):
     assert [tuple(r) for r in frames.lane_matching(pairs).orderBy("id").select("lane_tp", "lane_fp", "lane_fn").collect()] == [(1, 0, 0), (0, 0, 0), (None, None, None)]
     line = spark.createDataFrame([([[10, 20]], [[10, 20]], [5, 10])], "pred_xs array<array<int>>, gt_xs array<array<int>>, rows array<int>")
     assert tuple(frames.line_accuracy(line).select("accuracy", "fp_share", "fn_share").first()) == (1.0, 0.0, 0.0)
+
+
+def test_lane_width_on_rows(spark):
+    side = lambda x: [[float(x), float(y)] for y in range(0, 200, 5)]
+    df = spark.createDataFrame([(1, [side(100), side(300)], 1000), (2, [side(100)], 1000), (3, None, 1000)], "id int, lanes array<array<array<double>>>, width int")
+    one, two, three = frames.lane_width(df).orderBy("id").collect()
+    assert one["width_stability"] == pytest.approx(1.0) and two["width_stability"] is None and two["reason"] is None and three["reason"].startswith("TypeError")

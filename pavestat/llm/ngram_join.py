@@ -13,9 +13,10 @@ small in four exact steps:
 3. Within the documents of one prefix shingle, sizes and odd sketches (a bit per hash
    residue, toggled by each shingle) bound the symmetric difference from below and
    discard pairs that cannot link.
-4. Of the pairs left, taken by falling similarity, those that close a circle are left
-   out: components need no more. The rest are counted. If one turns out not to link,
-   its prefix shingle is done again with every pair between different components.
+4. The pairs left are counted, every one, if the links are asked for. For components
+   alone, those that close a circle, taken by falling similarity, are left out first; if
+   a pair that was counted turns out not to link, its prefix shingle is done again with
+   every pair between different components.
 
 A prefix shingle with many documents is dealt as pairs of blocks, so no task holds an
 unbounded group. Shingles are 64-bit hashes of their words.
@@ -23,7 +24,8 @@ unbounded group. Shingles are 64-bit hashes of their words.
 Defined results: a null or wordless text has ``n_shingles`` 0 and links with nothing;
 a null id gets its count but a null component; rows that repeat an id are one vertex
 with the links of all its rows, and each row is returned; extra columns are not
-returned; an empty table gives an empty table.
+returned; an empty table gives an empty table. Links are counted between rows with an id,
+those of equal sets and of one id included.
 """
 
 from __future__ import annotations
@@ -182,9 +184,10 @@ def _distance(sketches: list[bytes], a: np.ndarray, b: np.ndarray) -> tuple[np.n
     return apart, bits
 
 
-def _compare(num: int, den: int, every: bool):
+def _compare(num: int, den: int, every: bool, own_ids: bool):
     """Rows ``h, block, own, doc_id, n, tree, sketch``, sorted by ``h, block``, to pairs
-    ``a, b, h`` that may link. ``every``: all between different trees."""
+    ``a, b, h`` that may link. ``every``: all between different trees. ``own_ids``: also
+    between rows of one id."""
 
     def pairs_of(col: dict[str, np.ndarray], sketches: list[bytes]) -> pa.RecordBatch:
         change = np.flatnonzero((np.diff(col["h"]) != 0) | (np.diff(col["block"]) != 0)) + 1
@@ -200,7 +203,8 @@ def _compare(num: int, den: int, every: bool):
                 for c in range(0, len(i), PAIRS):
                     a, b = (some + i[c : c + PAIRS]).ravel(), (some + j[c : c + PAIRS]).ravel()
                     n, m = col["n"][a], col["n"][b]
-                    keep = (num * np.maximum(n, m) <= den * np.minimum(n, m)) & (col["doc_id"][a] != col["doc_id"][b])
+                    keep = num * np.maximum(n, m) <= den * np.minimum(n, m)
+                    keep &= (col["doc_id"][a] != col["doc_id"][b]) | own_ids
                     keep &= (col["tree"][a] != col["tree"][b]) | (not every)
                     # in a pair of two blocks only what crosses; blocks are numbered i * count + j
                     keep &= (col["block"][a] < 0) | (col["own"][a] != col["own"][b])
@@ -275,7 +279,7 @@ def _met(prefix: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
     return small.where(near).select("h", "row", "size").unionByName(prefix.join(large, "h").select("h", "row", "size"))
 
 
-def _candidates(rows: DataFrame, sketches: DataFrame, num: int, den: int, every: bool) -> DataFrame:
+def _candidates(rows: DataFrame, sketches: DataFrame, num: int, den: int, every: bool, own_ids: bool = False) -> DataFrame:
     """``rows(h, row, size)`` of shared prefix shingles to pairs. Blocks of a group are
     paired: a group of c blocks gives each row c copies, spread over c (c + 1) / 2 tasks."""
     count = F.ceil(F.col("size") / BLOCK_DOCS).cast("int")
@@ -285,12 +289,13 @@ def _candidates(rows: DataFrame, sketches: DataFrame, num: int, den: int, every:
     pair = F.least("own", "other") * F.col("count") + F.greatest("own", "other")
     dealt = dealt.withColumn("block", F.when(F.col("own") == F.col("other"), -1 - F.col("own")).otherwise(pair).cast("int"))
     full = dealt.join(sketches, "row").select("h", "block", "own", "doc_id", "n", "tree", "sketch")
-    return arrow_map(full.repartition("h", "block").sortWithinPartitions("h", "block"), _compare(num, den, every), "a long, b long, h long")
+    return arrow_map(full.repartition("h", "block").sortWithinPartitions("h", "block"), _compare(num, den, every, own_ids), "a long, b long, h long")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, words: int, num: int, den: int, classes: DataFrame | None = None) -> DataFrame:
     """``pairs(a, b)`` with ``linked``: partial overlaps by fragment, summed. Rows
-    that repeat an id stand side by side by the hash of their set."""
+    that repeat an id stand side by side by the hash of their set. With ``classes``,
+    one row for each pair of them, ``row_a, row_b, size_a, size_b`` beside."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     wanted = docs.join(sized_broadcast(written(ids, "ids"), BROADCAST_IDS), "doc_id", "left_semi")
 
@@ -315,17 +320,25 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int, num: int, den: int)
         trim()
 
     cut = written(arrow_map(wanted.select("doc_id", "text"), run, "doc_id long, n long, k long, g int, part array<long>"), "fragments")
-    left, right = cut.toDF("a", "n_a", "k_a", "g", "part_a"), cut.toDF("b", "n_b", "k_b", "g", "part_b")
-    both = ["a", "b", "n_a", "n_b", "k_a", "k_b"]
+    own = ["n", "k"]
+    if classes is not None:
+        own += ["row", "size"]
+        cut = cut.join(classes.select(F.col("rep").alias("doc_id"), F.col("n").cast("long"), F.col("k1").alias("k"), F.col("rep_row").alias("row"), "size"), ["doc_id", "n", "k"])
+    left, right = (cut.select(F.col("doc_id").alias(x), "g", *(F.col(c).alias(f"{c}_{x}") for c in [*own, "part"])) for x in "ab")
+    both = ["a", "b", *(f"{c}_{x}" for c in own for x in "ab")]
     partial = pairs.join(left, "a").join(right, ["b", "g"]).select(*both, "g", F.size(F.array_intersect("part_a", "part_b")).cast("long").alias("o"))
     summed = partial.groupBy(*both, "g").agg(F.max("o").alias("o")).groupBy(*both).agg(F.sum("o").alias("o"))
     linked = F.col("o") * den >= num * (F.col("n_a") + F.col("n_b") - F.col("o"))
+    if classes is not None:  # two classes of one id meet in both orders
+        return summed.where((F.col("a") < F.col("b")) | (F.col("row_a") < F.col("row_b"))).select("a", "b", "row_a", "row_b", "size_a", "size_b", linked.alias("linked"))
     return summed.groupBy("a", "b").agg(F.bool_or(linked).alias("linked"))
 
 
-def join(df: DataFrame, words: int = 5, num: int = 8, den: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def join(df: DataFrame, words: int = 5, num: int = 8, den: int = 10, doc_id: str = "doc_id", text: str = "text", links: bool = False) -> DataFrame:
     """One row per row of ``df``: ``doc_id, n_shingles, component_id``. Two documents
-    link when ``den * intersection >= num * union``; a component's id is its least id."""
+    link when ``den * intersection >= num * union``; a component's id is its least id.
+    ``links``: every pair is counted, and ``class_id``, the least id of the documents with
+    the same set, and ``n_links``, the other rows that a row links with, are returned too."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     profiles = _profiles(docs, words, num, den)
     real = profiles.where("n > 0 and doc_id is not null")
@@ -342,10 +355,12 @@ def join(df: DataFrame, words: int = 5, num: int = 8, den: int = 10, doc_id: str
     shared = prefix.groupBy("h").agg(F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"))
     shared = shared.where((F.col("size") > 1) & ((F.col("size") > 2) | (F.col("high") * num <= F.col("low") * den))).select("h", "size")
     rows = _met(prefix, written(shared, "sizes"), num, den)
-    sketches = single.select("row", "doc_id", "n", F.lit(0).cast("long").alias("tree"), "sketch")
-    found = written(_candidates(rows, sketches, num, den, every=False), "found")
+    # for the links each row is a tree of its own
+    sketches = single.select("row", "doc_id", "n", (F.col("row") if links else F.lit(0).cast("long")).alias("tree"), "sketch")
+    found = _candidates(rows, sketches, num, den, every=links, own_ids=links)
+    found = found if links else written(found, "found")
     pairs = written(found.select("a", "b").distinct(), "pairs")
-    counted = written(_verified(docs, pairs, words, num, den), "counted")
+    counted = written(_verified(docs, pairs, words, num, den, classes if links else None), "counted")
 
     # rows of one id with different sets are one vertex
     repeated = real.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
@@ -354,7 +369,7 @@ def join(df: DataFrame, words: int = 5, num: int = 8, den: int = 10, doc_id: str
     labels = components(edges)
 
     wrong = counted.where("not linked").select("a", "b")
-    if not wrong.isEmpty():
+    if not links and not wrong.isEmpty():
         again = sized_broadcast(written(found.join(wrong, ["a", "b"]).select("h").distinct(), "again"), BROADCAST_IDS)
         rows = prefix.join(again, "h", "left_semi")
         rows = _met(rows, written(rows.groupBy("h").agg(F.count("*").alias("size")).where("size > 1"), "sizes"), num, den)
@@ -366,6 +381,15 @@ def join(df: DataFrame, words: int = 5, num: int = 8, den: int = 10, doc_id: str
         edges = edges.unionByName(_verified(docs, more, words, num, den).where("linked").select("a", "b"))
         labels = components(edges)
 
-    out = profiles.select("row", "doc_id", "n").join(member.select("row", "rep"), "row", "left")
+    out = profiles.select("row", "doc_id", "n").join(member.select("row", "rep", "rep_row"), "row", "left")
     out = out.withColumn("rep", F.coalesce("rep", "doc_id")).join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    columns = ["doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")]
+    if not links:
+        return out.select(*columns)
+    linked = counted.where("linked")
+    ends = [linked.select(F.col(f"row_{x}").alias("rep_row"), F.col(f"size_{y}").alias("others")) for x, y in ("ab", "ba")]
+    copies = classes.where("size > 1").select("rep_row", (F.col("size") - 1).alias("others"))
+    per_class = ends[0].unionByName(ends[1]).unionByName(copies).groupBy("rep_row").agg(F.sum("others").alias("n_links"))
+    out = out.withColumn("rep_row", F.coalesce("rep_row", "row")).join(per_class, "rep_row", "left")
+    n_links = F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0).cast("long")))
+    return out.select(*columns, F.col("rep").alias("class_id"), n_links.alias("n_links"))

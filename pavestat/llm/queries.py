@@ -27,7 +27,7 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, num=90, den=100)
+    return ngram_join.join(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, num=90, den=100, links=True)
 
 
 def branches() -> list:

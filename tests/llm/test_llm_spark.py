@@ -79,6 +79,36 @@ def test_ngram_join_equals_brute_force(spark, docs, none, monkeypatch, words, nu
     assert ngram_join.join(none, words, num, 10).count() == 0
 
 
+@pytest.mark.parametrize("ids", ["different", "repeated"])
+def test_ngram_join_counts_every_link(spark, none, monkeypatch, ids):
+    import random
+
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 8)  # so that blocks are paired
+    rng, rows = random.Random(11), [(r[0], r[1]) for r in ROWS]
+    for _ in range(2):
+        text = [f"w{rng.randrange(300)}" for _ in range(60)]
+        for _ in range(25):  # near copies, most of them linked with each other
+            own = list(text)
+            for _ in range(rng.choice([0, 1, 1, 2, 3])):
+                own[rng.randrange(len(own))] = f"w{rng.randrange(300)}"
+            rows.append(((100 + len(rows)) // (1 if ids == "different" else 3), " ".join(own)))
+    sets = [frozenset(s.tolist()) for s in sets_of(pa.array([r[1] for r in rows], pa.string()), 3)]
+    real = [k for k, s in enumerate(sets) if s and rows[k][0] is not None]
+    links, least = collections.Counter(), {}
+    for i in real:
+        least[sets[i]] = min(rows[i][0], least.get(sets[i], rows[i][0]))
+        for j in real:
+            both = len(sets[i] & sets[j])
+            links[i] += i != j and 10 * both >= 8 * (len(sets[i]) + len(sets[j]) - both)
+    want = collections.Counter((r[0], len(sets[k]), least.get(sets[k], r[0]) if k in real else r[0], None if r[0] is None else links[k]) for k, r in enumerate(rows))
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 8, 10, links=True)
+    found = got.collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.class_id, r.n_links) for r in found) == want
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute_components(rows, 3, 8, 10)
+    assert max(links.values()) > 10
+    assert ngram_join.join(none, 3, 8, 10, links=True).count() == 0
+
+
 def test_components_of_a_long_path_and_of_nothing(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(900, 901)], "a long, b long")
     got = dict(components(edges).collect())

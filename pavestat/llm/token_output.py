@@ -42,6 +42,8 @@ HEADER = struct.Struct("<4sIQIQ")
 SEGMENT_IDS = 1 << 18
 #: Slots of the word table and pieces kept per worker: bounds of memory only.
 SLOTS, KEPT_PIECES = 1 << 22, 500_000
+#: Bytes that are looked up at once: a word takes two, so that half the slots hold them.
+PART_BYTES = SLOTS
 #: Bytes between words for the table; other white space is left to ``CUT``.
 BREAK = np.zeros(256, bool)
 BREAK[[10, 32]] = True
@@ -135,15 +137,49 @@ class WordIds:
             rest = np.delete(rest, first)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of whole texts."""
-        normal = [self.normal(x) for x in texts]
-        raw = [b"" if x is None else x.encode() for x in normal]
+        """Little-endian 32-bit ids of whole texts. Normalised texts go to the table in
+        parts of ``PART_BYTES``, a longer text in several of its own, cut at breaks."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        part: list[tuple[int, bytes]] = []
+        room = PART_BYTES
+
+        def coded() -> None:
+            nonlocal room
+            for (k, _), ids in zip(part, self._encode([x for _, x in part]), strict=True):
+                out[k].append(ids)
+            part.clear()
+            room = PART_BYTES
+
+        for k, text in enumerate(texts):
+            normal = self.normal(text)
+            if normal is None:
+                out[k].append(np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+                continue
+            raw, at = normal.encode(), 0
+            while at < len(raw):
+                end = len(raw)
+                if end - at > PART_BYTES:  # at the last break, or the next one after a word as long
+                    end = 1 + max(raw.rfind(b" ", at, at + PART_BYTES), raw.rfind(b"\n", at, at + PART_BYTES))
+                    if not end:
+                        found = [x for x in (raw.find(b" ", at + PART_BYTES), raw.find(b"\n", at + PART_BYTES)) if x >= 0]
+                        end = 1 + min(found) if found else len(raw)
+                if part and end - at >= room:
+                    coded()
+                part.append((k, raw[at:end]))
+                room -= end - at + 1  # and the break after it
+                at = end
+        if part:
+            coded()
+        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
+
+    def _encode(self, raw: list[bytes]) -> list[bytes]:
+        """Ids of normalised texts of at most ``PART_BYTES`` together, or of one word."""
         length = np.array([len(x) + 1 for x in raw])
         data = np.frombuffer(b"\n".join(raw) + b"\n" + bytes(8), np.uint8)
         starts = np.cumsum(length) - length
         text = data[:-8]
         key, first, begins = words_at(text, starts, BREAK)
-        counts = np.zeros(len(texts), np.int64)
+        counts = np.zeros(len(raw), np.int64)
         flat = np.zeros(0, "<u4")
         if len(key):
             # ends: the next break; the text ends with one
@@ -155,8 +191,6 @@ class WordIds:
             check = (head & mask) ^ (long << np.uint64(40)) ^ mix(long)
             if self.words + len(key) > SLOTS // 2:
                 self.clear()
-            if len(key) > SLOTS // 2:
-                raise ValueError("more words at once than the table holds; encode fewer texts at a time")
             slot = self._slots(key, check)
             new = np.flatnonzero(self.size[slot] < 0)
             if len(new):
@@ -169,14 +203,8 @@ class WordIds:
             total = np.concatenate([[0], np.cumsum(size)])
             flat = self.pool[np.arange(total[-1]) + np.repeat(self.begin[slot] - total[:-1], size)]
             counts = total[first[1:]] - total[first[:-1]]
-        stored, at, out = flat.tobytes(), 0, []
-        for x, n, t in zip(normal, counts.tolist(), texts, strict=True):
-            if x is None:
-                out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
-            else:
-                out.append(stored[4 * at : 4 * (at + n)])
-                at += n
-        return out
+        stored, ends = flat.tobytes(), np.cumsum(counts).tolist()
+        return [stored[4 * (e - n) : 4 * e] for e, n in zip(ends, counts.tolist(), strict=True)]
 
 
 @lru_cache(maxsize=2)

@@ -60,6 +60,24 @@ def test_segment_detects_damage():
         token_output.unpack_segment(payload[:30] + b"x" + payload[31:])
 
 
+def test_token_ids_of_more_words_than_the_table_holds():
+    coder = token_output.word_ids(vocabulary("word_bpe_49k.json"))
+    n = token_output.SLOTS // 4 + 1000
+    one, two = coder.encode(["a b", "b"])
+    assert coder.encode(["x", "a b " * n, "", "b"]) == [coder.encode(["x"])[0], one * n, b"", two]
+    assert b"".join(coder.encode(["b"] * (2 * n))) == two * (2 * n)
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 30])
+def test_token_ids_by_parts_are_those_of_whole_texts(monkeypatch, size):
+    coder = token_output.word_ids(vocabulary("word_bpe_49k.json"))
+    rng = random.Random(size)
+    texts = ["", "a", " ", "\n", "x" * 90, *("".join(rng.choices("ab's é漢 \n\t1!", k=rng.randrange(80))) for _ in range(60)), coder.special[0] + " a"]
+    monkeypatch.setattr(token_output, "PART_BYTES", size)
+    want = [np.array(coder.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert coder.encode(texts) == want
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(st.sampled_from("aAbB \t\ncé"), max_size=30), max_size=6), st.integers(1, 5))
 def test_shingles_are_sets_of_word_runs(texts, k):

@@ -15,7 +15,19 @@ from pyspark.sql import functions as F
 #: Default heights and widths of the datasets' images.
 SIZES = {"tusimple": (720, 1280), "culane": (590, 1640), "curvelanes": (1440, 2560)}
 #: Scenario by the first keyword that a list file's stem contains.
-SCENARIOS = [("normal", "clear"), ("hlight", "dazzle")]
+SCENARIOS = [
+    ("normal", "clear"),
+    ("night", "night"),
+    ("hlight", "dazzle"),
+    ("shadow", "shadow"),
+    ("crowd", "crowded"),
+    ("noline", "no_marking"),
+    ("arrow", "arrow"),
+    ("curve", "curve"),
+    ("cross", "cross"),
+]
+#: Folders of CULane's masks, the preferred one first.
+SEG_FOLDERS = ("laneseg_label_w16", "laneseg_label_w16_test")
 
 
 def _sized(df: DataFrame, dataset: str) -> DataFrame:
@@ -60,11 +72,23 @@ def scenario(stem: Column) -> Column:
     return found
 
 
-def culane_list(spark: SparkSession, path: str) -> DataFrame:
-    """One frame per line of a list file: the first word, and the scenario by file name."""
+def culane_list(spark: SparkSession, path: str, root: str | None = None) -> DataFrame:
+    """One frame per line of a list file: the first word, and the scenario by file name.
+    With ``root``, the dataset's folder, also ``timeofday``, told for night, and
+    ``mask_path`` of the first of ``SEG_FOLDERS`` that has the frame's mask, or null."""
     lines = spark.read.text(path).select("value", F.regexp_extract("_metadata.file_path", r"([^/]+?)(\.[^./]*)?$", 1).alias("stem"))
     frame = F.regexp_replace(F.split(F.trim("value"), r"\s+")[0], "^/+", "")
-    return lines.where(F.trim("value") != "").select(frame.alias("sample_id"), scenario(F.col("stem")).alias("scenario"))
+    found = lines.where(F.trim("value") != "").select(frame.alias("sample_id"), scenario(F.col("stem")).alias("scenario"))
+    if root is None:
+        return found
+    found = found.withColumn("timeofday", F.when(F.col("scenario") == "night", "night"))
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.png").load(f"{root.rstrip('/')}/{{{','.join(SEG_FOLDERS)}}}")
+    except AnalysisException:  # neither folder is there
+        return found.withColumn("mask_path", F.lit(None).cast("string"))
+    part = lambda k: F.regexp_extract("path", rf"/({'|'.join(SEG_FOLDERS)})/(.*)$", k)
+    masks = files.groupBy(part(2).alias("name")).agg(F.min_by("path", F.array_position(F.array(*map(F.lit, SEG_FOLDERS)), part(1))).alias("mask_path"))
+    return found.withColumn("name", F.replace("sample_id", F.lit(".jpg"), F.lit(".png"))).join(masks, "name", "left").drop("name")
 
 
 def culane_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -88,8 +112,10 @@ def curvelanes(spark: SparkSession, path: str, pattern: str = "*.json") -> DataF
     return _sized(rows, "curvelanes")
 
 
-def image_pairs(spark: SparkSession, images: str, masks: str) -> DataFrame:
-    """Images with the mask of the same stem; contents are not read. Raises without a pair."""
+def image_pairs(spark: SparkSession, images: str, masks: str, attributes: str | None = None) -> DataFrame:
+    """Images with the mask of the same stem; contents are not read. Raises without a pair.
+    With ``attributes``, ``weather, scene, timeofday`` of the JSON of the same stem there,
+    null without such a file or if it is damaged."""
 
     def listed(path: str, name: str) -> DataFrame:
         found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
@@ -98,7 +124,11 @@ def image_pairs(spark: SparkSession, images: str, masks: str) -> DataFrame:
     pairs = listed(images, "image_path").join(listed(masks, "mask_path"), "sample_id")
     if pairs.isEmpty():
         raise ValueError(f"no image of {images} has a mask in {masks}")
-    return pairs
+    if attributes is None:
+        return pairs
+    told = [F.get_json_object("value", f"$.attributes.{x}").alias(x) for x in ("weather", "scene", "timeofday")]
+    found = _documents(spark, attributes, "*.json").select(F.regexp_extract("file", r"([^/]+)\.[^./]*$", 1).alias("sample_id"), *told)
+    return pairs.join(found, "sample_id", "left")
 
 
 def _samples(spark: SparkSession, path: str) -> DataFrame:

@@ -35,6 +35,27 @@ def test_dataset_readers(spark, tmp_path):
         readers.image_pairs(spark, str(tmp_path / "i"), str(tmp_path / "n"))
 
 
+def test_scenarios_masks_and_attributes(spark, tmp_path):
+    lists = {"test0_normal": "clear", "test1_crowd": "crowded", "test2_hlight": "dazzle", "test3_shadow": "shadow", "test4_noline": "no_marking", "test5_arrow": "arrow", "test6_curve": "curve", "test7_cross": "cross", "test8_night": "night", "val": None}
+    for stem in lists:
+        put(tmp_path / "list" / f"{stem}.txt", f"/d/{stem}.jpg\n")
+    root = tmp_path / "root"
+    args = (spark, str(tmp_path / "list"), str(root))
+    want = {f"d/{k}.jpg": (v, "night" if v == "night" else None) for k, v in lists.items()}
+    assert {r.sample_id: (r.scenario, r.timeofday) for r in readers.culane_list(*args).collect()} == want
+    for name in ("laneseg_label_w16_test/d/val", "laneseg_label_w16/d/val", "laneseg_label_w16_test/d/test8_night"):
+        put(root / f"{name}.png", "-")
+    rows = readers.culane_list(*args).collect()
+    assert {r.sample_id: (r.scenario, r.timeofday) for r in rows} == want and len(rows) == len(want)
+    masks = {r.sample_id: r.mask_path.split("/root/")[-1] for r in rows if r.mask_path}
+    assert masks == {"d/val.jpg": "laneseg_label_w16/d/val.png", "d/test8_night.jpg": "laneseg_label_w16_test/d/test8_night.png"}
+    for x in "xyz":
+        put(tmp_path / "i" / f"{x}.jpg", "-"), put(tmp_path / "m" / f"{x}.png", "-")
+    put(tmp_path / "a" / "x.json", '{"attributes": {"weather": "rainy", "scene": "tunnel", "timeofday": "night"}}'), put(tmp_path / "a" / "y.json", "{")
+    pairs = readers.image_pairs(spark, str(tmp_path / "i"), str(tmp_path / "m"), str(tmp_path / "a")).collect()
+    assert {r.sample_id: (r.weather, r.scene, r.timeofday) for r in pairs} == {"x": ("rainy", "tunnel", "night"), "y": (None,) * 3, "z": (None,) * 3}
+
+
 def test_manifests_records_and_runs(spark, tmp_path):
     samples = [{"sample_id": "a", "ground_truth": {"mask_path": "m/a.png", "meta": {"k": 1}}}, {"sample_id": "b", "ground_truth": {"mask_path": "/b.png", "k": 2}}]
     got = readers.manifest(spark, put(tmp_path / "g.json", json.dumps({"samples": samples})), ("k",)).orderBy("position").collect()

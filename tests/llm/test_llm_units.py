@@ -232,3 +232,12 @@ def test_top_k_in_a_shard_is_exact():
                 points[int(ids[i])] = mine
         want = sorted(((v, -i) for i, v in points.items()), reverse=True)[:7]
         assert got[k] == [(float(v), -i) for v, i in want]
+
+
+@pytest.mark.parametrize("name", ["GPL-2.0-or-later", "GPL-3.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later", "GPL-2.0-only", "GPL-3.0-only", "BSD-2-Clause", "BSD-3-Clause", "MIT", "ISC", "MPL-2.0", "Apache-2.0"])
+@pytest.mark.parametrize("before", [0, 37, 200])
+def test_licenses_are_told_from_their_rivals(name, before):
+    index = license_scan.Index(license_scan.TEMPLATES)
+    text = " ".join([*(f"w{k}" for k in range(before)), license_scan.TEMPLATES[name], *(f"v{k}" for k in range(90))])
+    found = {m[0].split("-notice")[0] for m in index.find(text)} - {"BSD"}
+    assert found == {name}

@@ -64,6 +64,12 @@ def spread(df: DataFrame, least: int = 2) -> DataFrame:
     return df.repartition(least * cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes that the plan of ``df`` is held to give, as Spark estimates them from its
+    files. For numbers of partitions only."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+
+
 def text_or_empty(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

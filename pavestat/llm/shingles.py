@@ -16,10 +16,11 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _FOLD = np.arange(256)
 _FOLD[65:91] += 32
-_rng = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)[_FOLD]
-_BASE = int(_rng.integers(1 << 62, 1 << 63)) | 1
-_POSITION = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) | _U(1)
+_FOLD = _FOLD.astype(np.uint8)
+#: Odd multipliers of the words of a shingle.
+_POSITION = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 64, dtype=np.uint64) | _U(1)
+#: The low bytes of a lane that a word still fills, by how many they are.
+_FILLED = np.array([*((1 << 8 * k) - 1 for k in range(8)), (1 << 64) - 1], np.uint64)
 #: Bytes of text hashed at once.
 _AT_ONCE = 1 << 20
 
@@ -31,36 +32,40 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class _Powers:
-    values = np.ones(1, np.uint64)
-
-    @classmethod
-    def upto(cls, n: int) -> np.ndarray:
-        while len(cls.values) < n:
-            k = len(cls.values)
-            cls.values = np.concatenate([cls.values, cls.values * _U(pow(_BASE, k, 1 << 64))])
-        return cls.values
+def lanes_of(data: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words that begin ``at`` as lanes of eight bytes, the last filled up with zeros;
+    each lane's place in its word; each word's first lane. ``data`` has eight bytes to spare."""
+    count = (length + 7) >> 3
+    first = np.cumsum(count) - count
+    place = np.arange(int(count.sum())) - np.repeat(first, count)
+    every = np.ndarray((max(len(data) - 7, 0),), "<u8", np.ascontiguousarray(data), 0, (1,))
+    left = np.repeat(length, count) - 8 * place
+    return every[np.repeat(at, count) + 8 * place] & _FILLED[np.minimum(left, 8)], place, first
 
 
 def words_at(data: np.ndarray, starts: np.ndarray, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash of each word of the documents that start at ``starts``; the index of each
     document's first word, with the number of words at the end; where words begin.
-    ``breaks`` tells the bytes between words."""
+    ``breaks`` tells the bytes between words. Each lane of eight bytes is mixed with its
+    place before the lanes are summed, so that no order or swap of letters cancels out."""
+    n = len(data)
     space = breaks[data]
     begins = ~space
     begins[1:] &= space[:-1]
-    inner = starts[starts < len(data)]
+    inner = starts[starts < n]
     begins[inner] = ~space[inner]
     at = np.flatnonzero(begins)
     first = np.append(np.searchsorted(at, starts), len(at))
     if not len(at):
         return np.zeros(0, np.uint64), first, at
-    value = np.where(breaks, _U(0), _BYTE)[data]
-    run = np.arange(len(data), dtype=np.int32)
-    run[: at[0]] = 0
-    run[at[0] :] -= np.repeat(at.astype(np.int32), np.diff(np.append(at, len(data))))
-    value *= _Powers.upto(int(run.max()) + 1)[run]
-    return mix(np.add.reduceat(value, at)), first, at
+    ends = ~space
+    ends[:-1] &= space[1:]
+    before = inner[inner > 0] - 1
+    ends[before] = ~space[before]
+    length = np.flatnonzero(ends) + 1 - at
+    lanes, place, lane = lanes_of(np.concatenate([_FOLD[data], np.zeros(8, np.uint8)]), at, length)
+    mixed = mix(mix(lanes) + (place + 1).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+    return mix(np.add.reduceat(mixed, lane) + length.astype(np.uint64)), first, at
 
 
 def _words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -12,7 +12,7 @@ Documents are whole within a segment; a segment closes once it holds ``SEGMENT_I
 
 Defined results: a null text is an empty document, which still gets its end id; a null
 ``doc_id`` sorts first and is read back as null; repeated ids are written side by side
-in the order of their texts; extra columns are not stored; an empty table reads back
+in the order of a hash of their texts, then of the texts; extra columns are not stored; an empty table reads back
 as an empty table.
 """
 
@@ -22,7 +22,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from unicodedata import is_normalized, normalize
+from unicodedata import category, is_normalized, normalize
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +33,15 @@ from pyspark.sql import functions as F
 
 from . import simple8b
 from .bpe import KEPT_CHARS, SPACE, small_batches
-from .common import claim, new_path
-from .shingles import mix, words_at
+from .common import arrow_map, claim, input_bytes, new_path
+from .shingles import lanes_of, words_at
 
 MAGIC = b"S8B1"
 #: magic, documents, ids, blocks, words
 HEADER = struct.Struct("<4sIQIQ")
 SEGMENT_IDS = 1 << 18
+#: Bytes of stored input for each task that encodes.
+TASK_BYTES = 64 << 20
 #: Slots of the word table and pieces kept per worker: bounds of memory only.
 SLOTS, KEPT_PIECES = 1 << 22, 500_000
 #: Bytes that are looked up at once: a word takes two, so that half the slots hold them.
@@ -56,9 +58,13 @@ class WordIds:
     coded one by one: NFC, lower case, ``CUT``, white space dropped. Only pieces not met
     before go to the library, already normalised and cut.
 
-    The table is of numpy arrays, with open addressing by a 64-bit hash of the word; a
-    slot also has the word's length and its first eight bytes, and holds only if all
-    three agree. No Python object is made of a word that is known.
+    The table is of numpy arrays, with open addressing by a 64-bit hash of the word. A
+    slot also has the word's length and bytes, in lanes of eight, and holds only if all of
+    them agree: a word whose hash is that of another goes to the library by itself. No
+    Python object is made of a word that is known.
+
+    Texts with a symbol that Python's Unicode tables do not know go to the library whole,
+    as its tables may be of another version.
     """
 
     def __init__(self, path: str) -> None:
@@ -72,19 +78,27 @@ class WordIds:
         self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.pieces: dict[str, bytes] = {}
+        self.assigned: set[str] = set()
         self.clear()
 
     def clear(self) -> None:
         self.words, self.filled = 0, 0
-        self.key, self.check = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64)
+        self.key, self.head = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64)
         self.begin, self.size = np.zeros(SLOTS, np.int32), np.full(SLOTS, -1, np.int32)
-        self.pool = np.zeros(1 << 16, "<u4")
+        # bytes of each word, and where the lanes after its first one are
+        self.length, self.rest = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int64)
+        self.pool, self.lanes, self.laned = np.zeros(1 << 16, "<u4"), np.zeros(1 << 16, np.uint64), 0
 
     def normal(self, text: str) -> str | None:
-        """None: the text holds a special token's string and goes to the library whole."""
+        """None: the text holds a special token's string, or a symbol of unknown kind, and
+        goes to the library whole."""
         if any(s in text for s in self.special):
             return None
         if not text.isascii():
+            new = set(text).difference(self.assigned)
+            if any(category(c) == "Cn" for c in new):
+                return None
+            self.assigned |= new
             if not is_normalized("NFC", text):
                 text = normalize("NFC", text)
             text = text.replace("Σ", "σ")  # by itself: lower() minds the word's end
@@ -105,21 +119,21 @@ class WordIds:
                 del self.pieces[p]
         return out
 
-    def _slots(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
-        """Each word's slot: its own, or the free one where it belongs."""
+    def _slots(self, key: np.ndarray, head: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Each word's slot: its own, or the free one where it belongs. Words agree here by
+        hash, first eight bytes and length."""
         slot = (key >> np.uint64(20)).astype(np.int64) & (SLOTS - 1)
         open_ = np.arange(len(key))
         while True:
             s = slot[open_]
-            other = (self.size[s] >= 0) & ((self.key[s] != key[open_]) | (self.check[s] != check[open_]))
+            other = (self.size[s] >= 0) & ((self.key[s] != key[open_]) | (self.head[s] != head[open_]) | (self.length[s] != length[open_]))
             open_ = open_[other]
             if not len(open_):
                 return slot
             slot[open_] = (slot[open_] + 1) & (SLOTS - 1)
 
-    def _learn(self, key: np.ndarray, check: np.ndarray, words: list[str]) -> None:
-        """Different words into the table, which has room for them."""
-        ids = self.code(words)
+    def _pooled(self, ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids into the pool: where they begin, and how many they are."""
         size = np.array([len(x) // 4 for x in ids], np.int32)
         flat = np.frombuffer(b"".join(ids), "<u4")
         while self.filled + len(flat) > len(self.pool):
@@ -127,13 +141,26 @@ class WordIds:
         self.pool[self.filled : self.filled + len(flat)] = flat
         begin = self.filled + np.cumsum(size) - size
         self.filled += len(flat)
+        return begin, size
+
+    def _learn(self, key: np.ndarray, head: np.ndarray, length: np.ndarray, lanes: np.ndarray, words: list[str]) -> None:
+        """Different words into the table, which has room for them. ``lanes`` has those
+        after the first of each word, one word after another."""
+        begin, size = self._pooled(self.code(words))
+        more = np.maximum((length + 7) // 8 - 1, 0)
+        while self.laned + len(lanes) > len(self.lanes):
+            self.lanes = np.concatenate([self.lanes, np.zeros_like(self.lanes)])
+        self.lanes[self.laned : self.laned + len(lanes)] = lanes
+        place = self.laned + np.cumsum(more) - more
+        self.laned += len(lanes)
         self.words += len(words)
         rest = np.arange(len(key))
         while len(rest):  # words that meet in one free slot: the first takes it
-            slot = self._slots(key[rest], check[rest])
+            slot = self._slots(key[rest], head[rest], length[rest])
             _, first = np.unique(slot, return_index=True)
             now, at = rest[first], slot[first]
-            self.key[at], self.check[at], self.begin[at], self.size[at] = key[now], check[now], begin[now], size[now]
+            self.key[at], self.head[at], self.length[at], self.rest[at] = key[now], head[now], length[now], place[now]
+            self.begin[at], self.size[at] = begin[now], size[now]
             rest = np.delete(rest, first)
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -185,23 +212,32 @@ class WordIds:
             # ends: the next break; the text ends with one
             breaks = np.flatnonzero(BREAK[text])
             ends = breaks[np.searchsorted(breaks, begins)]
-            head = np.lib.stride_tricks.as_strided(data, (len(text) + 1, 8), (1, 1))[begins].copy().view(np.uint64).ravel()
-            long = (ends - begins).astype(np.uint64)
-            mask = np.where(long >= 8, ~np.uint64(0), (np.uint64(1) << (np.minimum(long, np.uint64(7)) * np.uint64(8))) - np.uint64(1))
-            check = (head & mask) ^ (long << np.uint64(40)) ^ mix(long)
+            length = ends - begins
+            lanes, place, lane = lanes_of(data, begins, length)
+            head, later = lanes[lane], place > 0
             if self.words + len(key) > SLOTS // 2:
                 self.clear()
-            slot = self._slots(key, check)
+            slot = self._slots(key, head, length)
             new = np.flatnonzero(self.size[slot] < 0)
+            buffer = text.tobytes()
+
+            def spelled(some: np.ndarray) -> list[str]:
+                return [buffer[a:b].decode() for a, b in zip(begins[some].tolist(), ends[some].tolist(), strict=True)]
+
             if len(new):
-                _, one = np.unique(key[new] ^ mix(check[new]), return_index=True)
-                once = new[one]
-                buffer = text.tobytes()
-                self._learn(key[once], check[once], [buffer[a:b].decode() for a, b in zip(begins[once].tolist(), ends[once].tolist(), strict=True)])
-                slot[new] = self._slots(key[new], check[new])
-            size = self.size[slot].astype(np.int64)
+                _, one = np.unique(np.stack([key[new], head[new], length[new].astype(np.uint64)]), axis=1, return_index=True)
+                once = np.sort(new[one])
+                own = np.zeros(len(key), bool)
+                own[once] = True
+                self._learn(key[once], head[once], length[once], lanes[later & np.repeat(own, (length + 7) >> 3)], spelled(once))
+                slot[new] = self._slots(key[new], head[new], length[new])
+            begin, size = self.begin[slot].astype(np.int64), self.size[slot].astype(np.int64)
+            word = np.repeat(np.arange(len(key)), (length + 7) >> 3)[later]
+            differ = np.unique(word[self.lanes[self.rest[slot[word]] + place[later] - 1] != lanes[later]])
+            if len(differ):  # another word of the same hash is in the slot
+                begin[differ], size[differ] = self._pooled(self.code(spelled(differ)))
             total = np.concatenate([[0], np.cumsum(size)])
-            flat = self.pool[np.arange(total[-1]) + np.repeat(self.begin[slot] - total[:-1], size)]
+            flat = self.pool[np.arange(total[-1]) + np.repeat(begin - total[:-1], size)]
             counts = total[first[1:]] - total[first[:-1]]
         stored, ends = flat.tobytes(), np.cumsum(counts).tolist()
         return [stored[4 * (e - n) : 4 * e] for e, n in zip(ends, counts.tolist(), strict=True)]
@@ -249,9 +285,11 @@ def unpack_segment(payload: bytes) -> tuple[list[int | None], np.ndarray, np.nda
 
 def write(df: DataFrame, path: str, vocabulary: str, end_id: int, partitions: int | None = None, doc_id: str = "doc_id", text: str = "text") -> None:
     """Documents, range-partitioned and sorted by id, encoded and written to ``path``.
-    ``part`` is a segment's partition and ``before`` the ids of that partition before it."""
+    ``part`` is a segment's partition and ``before`` the ids of that partition before it.
+    Without ``partitions`` their number comes from the bytes that are read. An id that
+    many rows have is cut by a hash of their texts."""
     spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // TASK_BYTES))
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,9 +321,10 @@ def write(df: DataFrame, path: str, vocabulary: str, end_id: int, partitions: in
             yield segment()
 
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
     # Payloads are packed already; Parquet need not compress them again.
-    ordered.mapInArrow(run, "part int, before long, n_ids long, payload binary").write.option("compression", "none").parquet(path)
+    arrow_map(ordered, run, "part int, before long, n_ids long, payload binary").write.option("compression", "none").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -311,7 +350,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids"],
                 )
 
-    return stored.select("part", "before", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return arrow_map(stored.select("part", "before", "payload"), run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def round_trip(df: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:

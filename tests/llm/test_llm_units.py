@@ -78,6 +78,37 @@ def test_token_ids_by_parts_are_those_of_whole_texts(monkeypatch, size):
     assert coder.encode(texts) == want
 
 
+def _alike(n):
+    """Two words of ``n`` letters whose letters a polynomial in any odd base cannot tell apart."""
+    one = "a"
+    while len(one) < n:
+        one += one.translate(str.maketrans("ab", "ba"))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_of_mirrored_letters_differ(libraries, n):
+    a, b = _alike(n)
+    assert len(next(shingles.sets_of(pa.array([f"{a} x y {b} x y"]), 3))) == 4
+    text = f"{a} {b} {a}x {b[:-1]}"
+    got = token_output.word_ids(vocabulary("word_bpe_49k.json")).encode([text])[0]
+    assert np.frombuffer(got, "<u4").tolist() == libraries["word_bpe_49k.json"].encode(text, add_special_tokens=False).ids
+
+
+def test_words_of_one_hash_and_symbols_of_unknown_kind(libraries, monkeypatch):
+    real = token_output.words_at
+
+    def poor(data, starts, breaks):
+        key, first, at = real(data, starts, breaks)
+        return key & np.uint64(0x3F00000), first, at
+
+    monkeypatch.setattr(token_output, "words_at", poor)
+    own = token_output.WordIds(vocabulary("word_bpe_49k.json"))
+    texts = ["supercalifragilistic supercalifragilistie supercalifragilistia " + " ".join(f"longer word{k}of{k}" for k in range(200)), "a\u0558b \u1c89 x"]
+    for got, text in zip(own.encode(texts) * 2, texts * 2, strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == libraries["word_bpe_49k.json"].encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(st.sampled_from("aAbB \t\ncé"), max_size=30), max_size=6), st.integers(1, 5))
 def test_shingles_are_sets_of_word_runs(texts, k):

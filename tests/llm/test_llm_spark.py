@@ -74,7 +74,7 @@ def test_ngram_join_equals_brute_force(spark, docs, none, monkeypatch, words, nu
             for _ in range(rng.choice([0, 1, 1, 2, 3])):
                 own[rng.randrange(len(own))] = f"w{rng.randrange(300)}"
             rows.append((100 + len(rows), " ".join(own)))
-    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), words, num, 10)
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), words, num, 10).select("doc_id", "n_shingles", "component_id")
     assert collections.Counter(map(tuple, got.collect())) == brute_components(rows, words, num, 10)
     assert ngram_join.join(none, words, num, 10).count() == 0
 
@@ -101,12 +101,12 @@ def test_ngram_join_counts_every_link(spark, none, monkeypatch, ids):
             both = len(sets[i] & sets[j])
             links[i] += i != j and 10 * both >= 8 * (len(sets[i]) + len(sets[j]) - both)
     want = collections.Counter((r[0], len(sets[k]), least.get(sets[k], r[0]) if k in real else r[0], None if r[0] is None else links[k]) for k, r in enumerate(rows))
-    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 8, 10, links=True)
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 8, 10)
     found = got.collect()
     assert collections.Counter((r.doc_id, r.n_shingles, r.class_id, r.n_links) for r in found) == want
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute_components(rows, 3, 8, 10)
     assert max(links.values()) > 10
-    assert ngram_join.join(none, 3, 8, 10, links=True).count() == 0
+    assert ngram_join.join(none, 3, 8, 10).count() == 0
 
 
 def test_components_of_a_long_path_and_of_nothing(spark):

@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pavestat.llm import audio, bpe, lang_id, license_scan, mixing, quality, shingles, simple8b, token_output, topk, warc
+from pavestat.llm import audio, bpe, lang_id, license_scan, mixing, ngram_join, quality, shingles, simple8b, token_output, topk, warc
 from pavestat.llm.queries import vocabulary
 
 TEXTS = st.text(st.sampled_from("ab 'streVÀ\t\n\r\x0b\x1c\x1f\x85\xa0 　ééΣσİı漢字12٣!?…🙂‍﻿\x00"), max_size=40)
@@ -272,3 +272,32 @@ def test_licenses_are_told_from_their_rivals(name, before):
     text = " ".join([*(f"w{k}" for k in range(before)), license_scan.TEMPLATES[name], *(f"v{k}" for k in range(90))])
     found = {m[0].split("-notice")[0] for m in index.find(text)} - {"BSD"}
     assert found == {name}
+
+
+@pytest.mark.parametrize("listed", [1, 24])
+def test_partial_overlaps_are_summed_to_links(monkeypatch, listed):
+    monkeypatch.setattr(ngram_join, "LISTED", listed)
+    rng, rows, sets = random.Random(listed), [], {}
+    for group in range(12):
+        base = [rng.randrange(10**6) for _ in range(30)]
+        for k in range(rng.choice([1, 2, 3, 40])):
+            own = sorted({x if rng.random() > 0.04 else rng.randrange(10**6) for x in base})
+            row = 100 * group + k
+            sets[row] = set(own)
+            for fragment, low in enumerate((0, 500_000)):
+                part = np.array([x for x in own if low <= x < low + 500_000], np.uint64).tobytes()
+                rows.append((group, 7, fragment, 0 if group % 2 else 1 + k % 2, row, len(own), 1 + k % 3, 5000 - row, part))
+    rows.sort()
+    names = ["key", "block", "fragment", "side", "row", "n", "size", "doc_id", "part"]
+    whole = pa.Table.from_pydict({c: list(x) for c, x in zip(names, zip(*rows, strict=True), strict=True)})
+    partial = pa.Table.from_batches(ngram_join._partial(iter(whole.to_batches(max_chunksize=17))))
+    assert partial.num_rows == 24
+    found = pa.Table.from_batches(ngram_join._summed(8, 10)(iter(partial.sort_by([("key", "ascending"), ("block", "ascending")]).to_batches(max_chunksize=3)))).to_pylist()
+    about = {r[4]: r for r in rows}
+    want = {}
+    for x, y in itertools.permutations(sets, 2):
+        both, side = len(sets[x] & sets[y]), (about[x][3], about[y][3])
+        if x // 100 == y // 100 and (side[0] == 0 or side[0] != side[1]) and 10 * both >= 8 * len(sets[x] | sets[y]):
+            want[x] = want.get(x, 0) + about[y][6]
+    assert {r["row"]: r["others"] for r in found} == want and len(want) > 40
+    assert all(r["root"] <= r["doc_id"] == 5000 - r["row"] for r in found)

@@ -8,23 +8,32 @@ one more pass; each pass has its own seeded order.
 
 Only leaf sums (one row per leaf) reach the driver. Selection does not sort leaves: a
 pass is cut into ``SLICES`` by hash; slices below the budget are taken whole, slices
-above are left, and the one slice per leaf that the budget falls in is ordered.
+above are left, and the one slice per leaf that the budget falls in is ordered. What the
+rows are joined with is one row per leaf, broadcast only if there are few.
 
 Defined results: null branch values are a branch of their own; a null text has no
 tokens; a document is taken if the tokens up to and with it stay within the budget;
-ties in the order go by id, then text hash; a weight that is missing counts 1, children
-of weight 0 get what their siblings cannot take; rows that repeat are separate rows;
-other columns, also those with clashing names, are kept; an empty table stays empty.
+ties in the order go by id, then by a hash of the row; rows without an id are ordered by
+that hash; a weight that is missing counts 1, children of weight 0 get what their
+siblings cannot take; rows that repeat are separate rows; other columns are kept, but
+``mix_epoch`` and ``mix_tokens`` of the input are replaced; an empty table stays empty.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import sized_broadcast, written
+
+#: Slices of a pass, a power of two: by the first bits of keys of 60.
 SLICES = 1024
+SLICE_SHIFT = 60 - SLICES.bit_length() + 1
+#: Leaves whose rows are broadcast at most; more are joined by a shuffle.
+BROADCAST_LEAVES = 1 << 17
 #: The words of a text, as tokens where no other count is given.
 WORDS = "regexp_count(text, '[^ \\\\t-\\\\r]+')"
 Path = tuple
@@ -82,8 +91,10 @@ def budgets(leaves: Mapping[Path, int], weights: Mapping[Path, float], total: in
     return out
 
 
-def _key(seed: int, epoch: Column, doc_id: str) -> Column:
-    return F.xxhash64(F.lit(seed).cast("long"), epoch.cast("long"), F.col(doc_id))
+def _key(seed: int, epoch: Column, doc_id: Column, rest: Column) -> Column:
+    """60 bits of the md5 of seed, pass and id."""
+    own = F.coalesce(doc_id.cast("string"), F.concat(F.lit("~"), rest.cast("string")))
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), own)), 1, 15), 16, 10).cast("long")
 
 
 def mix(
@@ -99,34 +110,34 @@ def mix(
 ) -> DataFrame:
     """The chosen rows with ``mix_epoch`` (from 0) and ``mix_tokens`` at the end. The
     budget is ``total`` tokens, or ``share`` of the tokens that ``df`` has."""
-    names = [f"__branch_{k}" for k in range(len(branches))]
-    own = df.select("*", F.coalesce(F.expr(tokens).cast("long"), F.lit(0)).alias("__tokens"), *[(F.col(b) if isinstance(b, str) else b).cast("string").alias(n) for b, n in zip(branches, names, strict=True)])
+    df = df.drop("mix_epoch", "mix_tokens")
+    kept = df.columns
+    names = [f"__mix_branch_{k}" for k in range(len(branches))]
+    rest = F.xxhash64(*[c for c in kept if c != doc_id]) if len(kept) > 1 else F.lit(0).cast("long")
+    own = df.select("*", F.coalesce(F.expr(tokens).cast("long"), F.lit(0)).alias("__mix_n"), *[(F.col(b) if isinstance(b, str) else b).cast("string").alias(n) for b, n in zip(branches, names, strict=True)])
     # one small row per leaf; every leaf's rows are pre-aggregated where they are read
-    sums = {tuple(r[:-1]): r[-1] for r in own.groupBy(*names).agg(F.sum("__tokens")).collect()}
+    sums = {tuple(r[:-1]): r[-1] for r in own.groupBy(*names).agg(F.sum("__mix_n")).collect()}
     budget = total if total is not None else int(share * sum(sums.values()))
     plan = budgets(sums, weights, budget, epochs)
     rows = [(*path, n // sums[path] if sums[path] else 0, n % sums[path] if sums[path] else 0) for path, n in plan.items()]
-    schema = ", ".join([f"{n}_p string" for n in names] + ["__whole long", "__rest long"])
-    leaves = F.broadcast(df.sparkSession.createDataFrame(rows, schema))  # one row per leaf
-    same = F.lit(True)
-    for n in names:
-        same = same & F.col(n).eqNullSafe(F.col(f"{n}_p"))
-    planned = own.join(leaves, same).drop(*[f"{n}_p" for n in names])
-    kept = [c for c in planned.columns if not c.startswith("__")]
-
-    whole = planned.where("__whole > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__whole") - 1)))
-    part = planned.where("__rest > 0").withColumn("mix_epoch", F.col("__whole")).withColumn("__key", _key(seed, F.col("mix_epoch"), doc_id))
-    part = part.withColumn("__slice", F.pmod(F.shiftrightunsigned("__key", 32), F.lit(SLICES)))
-    sliced = part.groupBy(*names, "__slice").agg(F.sum("__tokens").alias("__n"), F.first("__rest").alias("__rest"))
-    running = sliced.withColumn("__upto", F.sum("__n").over(Window.partitionBy(*names).orderBy("__slice")))
-    # at most SLICES rows per leaf; what is whole, what is cut
-    taken = running.where(F.col("__upto") - F.col("__n") <= F.col("__rest")).select(*[F.col(n).alias(f"{n}_p") for n in names], F.col("__slice").alias("__slice_p"), (F.col("__upto") - F.col("__n")).alias("__before"), (F.col("__upto") <= F.col("__rest")).alias("__all"))
-    joined = part.join(F.broadcast(taken), same & (F.col("__slice") == F.col("__slice_p")))
-    order = Window.partitionBy(*names, "__slice").orderBy("__key", doc_id, F.xxhash64(*[c for c in df.columns if c != doc_id])).rowsBetween(Window.unboundedPreceding, 0)
-    cut = joined.where("not __all").withColumn("__upto", F.col("__before") + F.sum("__tokens").over(order)).where("__upto <= __rest")
-    out = [whole, joined.where("__all"), cut]
-    columns = [*kept, "mix_epoch", "__tokens"]
-    first, *others = [x.select(*columns) for x in out]
-    for x in others:
-        first = first.unionByName(x)
-    return first.withColumnRenamed("__tokens", "mix_tokens")
+    of_leaf = [f"{n}_p" for n in names]
+    schema = ", ".join([f"{n} string" for n in of_leaf] + ["__mix_whole long", "__mix_rest long"])
+    same = functools.reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(p)) for n, p in zip(names, of_leaf, strict=True)])
+    leaves = sized_broadcast(df.sparkSession.createDataFrame(rows, schema), BROADCAST_LEAVES)
+    planned = own.join(leaves, same).drop(*of_leaf)
+
+    whole = planned.where("__mix_whole > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__mix_whole") - 1)))
+    part = planned.where("__mix_rest > 0").withColumn("mix_epoch", F.col("__mix_whole"))
+    part = part.withColumn("__mix_key", _key(seed, F.col("mix_epoch"), F.col(doc_id), rest)).withColumn("__mix_slice", F.shiftright("__mix_key", SLICE_SHIFT))
+    sliced = part.groupBy(*names, "__mix_slice").agg(F.sum("__mix_n").alias("__mix_s"), F.first("__mix_rest").alias("__mix_rest"))
+    running = sliced.withColumn("__mix_upto", F.sum("__mix_s").over(Window.partitionBy(*names).orderBy("__mix_slice")))
+    # one row per leaf: the first slice that goes over the budget, and the tokens before it
+    over = F.min(F.struct(F.col("__mix_slice").alias("slice"), (F.col("__mix_upto") - F.col("__mix_s")).alias("before"))).alias("__mix_cut")
+    cuts = running.where(F.col("__mix_upto") > F.col("__mix_rest")).groupBy(*[F.col(n).alias(p) for n, p in zip(names, of_leaf, strict=True)]).agg(over)
+    joined = part.join(sized_broadcast(written(cuts, "cuts"), BROADCAST_LEAVES), same)
+    order = Window.partitionBy(*names).orderBy("__mix_key", doc_id, rest).rowsBetween(Window.unboundedPreceding, 0)
+    inside = joined.where(F.col("__mix_slice") == F.col("__mix_cut.slice"))
+    inside = inside.withColumn("__mix_upto", F.col("__mix_cut.before") + F.sum("__mix_n").over(order)).where("__mix_upto <= __mix_rest")
+    below = joined.where(F.col("__mix_slice") < F.col("__mix_cut.slice"))
+    columns = [*kept, "mix_epoch", F.col("__mix_n").alias("mix_tokens")]
+    return functools.reduce(DataFrame.unionByName, [x.select(*columns) for x in (whole, below, inside)])

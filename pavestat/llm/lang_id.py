@@ -2,7 +2,10 @@
 
 The script of a word narrows the languages it may be in; each word gets a log score per
 language from its character n-grams; Viterbi with a switching penalty labels the words,
-so a text falls into spans. A text's language is the one with most letters.
+so a text falls into spans. A text's language is the one with most letters. A span's
+scores, summed, give how probable its language is against the others; ``score`` is the
+share of the text's letters in the language, each counted by that probability, and
+``certainty`` the same over the languages of all spans.
 
 The model is fitted on a bounded sample of labelled rows (``TRAIN_ROWS``, the least by a
 hash of their ids). Viterbi runs over all texts of a batch side by side: texts are cut
@@ -10,8 +13,9 @@ into chunks, a chunk's best scores from each state to each are found, then chain
 
 Defined results: null texts and texts without a letter are ``und`` with score 0 and no
 spans; without labelled rows all are ``und``; a word in a script no language was seen
-in speaks for none; ties go to the language first in order; rows that repeat are
-labelled alike; extra columns are kept.
+in speaks for none and lowers the scores (a text of such words alone has the first
+language, with score 0); ties go to the language first in order; rows that repeat are
+labelled alike; extra columns are kept, those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -92,13 +96,14 @@ class Model:
     uses: np.ndarray
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
-    def scores(self, words: list[str]) -> np.ndarray:
+    def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log scores by language, the best 0, and whether a word's script is known."""
         owner, bucket, script = _grams(words)
         out = np.stack([np.bincount(owner, self.log[bucket, k], len(words)) for k in range(len(self.languages))], axis=1)
         uses = self.uses[script]
         out -= np.where(uses, 0.0, FOREIGN)
         out[~uses.any(axis=1)] = 0.0
-        return (out - out.max(axis=1, keepdims=True)).astype(np.float32)
+        return (out - out.max(axis=1, keepdims=True)).astype(np.float32), uses.any(axis=1)
 
 
 class _Words(dict):
@@ -107,6 +112,7 @@ class _Words(dict):
     def __init__(self, model: Model) -> None:
         super().__init__()
         self.model, self.new, self.table = model, [], np.zeros((1 << 12, len(model.languages)), np.float32)
+        self.known = np.zeros(1 << 12, bool)
 
     def __missing__(self, word: str) -> int:
         row = self[word] = len(self)
@@ -121,9 +127,11 @@ class _Words(dict):
             first = len(self) - len(self.new)
             while len(self.table) < len(self):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                self.known = np.concatenate([self.known, np.zeros_like(self.known)])
             for k in range(0, len(self.new), AT_ONCE):
                 some = self.new[k : k + AT_ONCE]
-                self.table[first + k : first + k + len(some)] = self.model.scores(some)
+                at = slice(first + k, first + k + len(some))
+                self.table[at], self.known[at] = self.model.scores(some)
             self.new = []
         return out
 
@@ -219,11 +227,17 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 SPANS = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType()), T.StructField("lang", T.StringType())]))
 
 
+RESULT = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("certainty", T.DoubleType()), T.StructField("spans", SPANS)]
+
+
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``df`` with ``lang_pred``, ``score`` (the language's share of letters) and
-    ``spans`` (first and last word, counted from 0, and language) at the end."""
+    """``df`` with ``lang_pred``, ``score``, ``certainty`` and ``spans`` (first and last
+    word, counted from 0, and language) at the end."""
+    if text in [f.name for f in RESULT]:
+        df, text = df.withColumnRenamed(text, "__text"), "__text"
+    df = df.drop(*[f.name for f in RESULT])
     at = df.columns.index(text)
-    schema = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", SPANS)])
+    schema = T.StructType([*df.schema.fields, *RESULT])
     shared, arrow = df.sparkSession.sparkContext.broadcast(model), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,25 +246,31 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         cache, names = _cache(own), own.languages
         for batch in small_batches(batches, 256):
             texts = [WORD.findall((t or "").lower()) if names else [] for t in batch.column(at).to_pylist()]
-            rows = cache.rows(texts)
-            lengths = np.array([len(r) for r in rows])
-            label = viterbi(cache.table[np.concatenate(rows)] if lengths.sum() else np.zeros((0, max(len(names), 1)), np.float32), lengths, SWITCH)
-            pred, score, spans, k = [], [], [], 0
-            for words in texts:
-                if not words:
-                    pred.append("und")
-                    score.append(0.0)
-                    spans.append([])
-                    continue
-                own_label = label[k : k + len(words)]
-                k += len(words)
-                letters = np.bincount(own_label, np.fromiter(map(len, words), np.float64, len(words)), len(names))
-                best = int(letters.argmax())
-                pred.append(names[best])
-                score.append(float(letters[best] / letters.sum()))
-                cut = [0, *(np.flatnonzero(np.diff(own_label)) + 1).tolist(), len(words)]
-                spans.append([{"first": a, "last": b - 1, "lang": names[own_label[a]]} for a, b in zip(cut, cut[1:], strict=False)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred), pa.array(score), pa.array(spans, arrow)], names=[*batch.schema.names, "lang_pred", "score", "spans"])
+            n, lengths = len(texts), np.array(list(map(len, texts)), np.int64)
+            rows = np.concatenate([np.zeros(0, np.int64), *cache.rows(texts)])
+            scores = cache.table[rows] if len(rows) else np.zeros((0, max(len(names), 1)), np.float32)
+            label = viterbi(scores, lengths, SWITCH)
+            letters = np.fromiter((len(w) for t in texts for w in t), np.float64, len(rows))
+            of = np.repeat(np.arange(n), lengths)
+            begin = np.flatnonzero(np.append(True, (np.diff(of) != 0) | (np.diff(label) != 0))) if len(rows) else np.zeros(0, np.int64)
+            size = np.diff(np.append(begin, len(rows)))
+            sums = np.add.reduceat(scores.astype(np.float64), begin) if len(begin) else np.zeros((0, scores.shape[1]))
+            sums = np.exp(sums - sums.max(axis=1, keepdims=True, initial=-np.inf))
+            sure = sums[np.arange(len(begin)), label[begin]] / sums.sum(axis=1)
+            weight = letters * cache.known[rows] * np.repeat(sure, size)
+            by = np.bincount(of * scores.shape[1] + label, letters, n * scores.shape[1]).reshape(n, -1)
+            best = by.argmax(axis=1)
+            whole = np.maximum(letters_of := np.bincount(of, letters, n), 1)
+            told = np.bincount(of, weight * (label == best[of]), n) / whole
+            clear = np.bincount(of, weight, n) / whole
+            first = np.cumsum(lengths) - lengths
+            spans: list[list[dict]] = [[] for _ in texts]
+            for t, a, k, z in zip(of[begin].tolist(), (begin - first[of[begin]]).tolist(), size.tolist(), label[begin].tolist(), strict=True):
+                spans[t].append({"first": a, "last": a + k - 1, "lang": names[z]})
+            pred = [names[b] if any_ else "und" for b, any_ in zip(best.tolist(), (letters_of > 0).tolist(), strict=True)]
+            found = [pa.array(pred, pa.string()), pa.array(np.minimum(told, 1.0)), pa.array(np.minimum(clear, 1.0)), pa.array(spans, arrow)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=[*batch.schema.names, *[f.name for f in RESULT]])
         trim()
 
-    return arrow_map(df, run, schema)
+    out = arrow_map(df, run, schema)
+    return out.drop("__text") if text == "__text" else out

@@ -3,7 +3,14 @@ one frame per record.
 
 ``write`` packs pages into archives, marks repeated payloads as revisits and stores the
 archives as rows of Spark part files in the shared folder; ``read`` decodes them and
-checks every header and length. ``pack`` and ``unpack`` work on one archive's bytes.
+checks every header and length. ``pack`` and ``unpack`` work on one archive's bytes;
+``read_files`` reads archives of any writer from files of any store that Spark reads.
+
+``unpack`` takes records of every type: those without an HTTP block give the block as it
+is. The digests of payload and block are checked where they are given as SHA-1. Frames
+need no content size; skippable frames after the leading one are passed over. An archive
+of under eight records, or of records too alike to train on, is written without a
+dictionary.
 
 Defined results: a null html is the empty payload, a null url leaves its header out;
 of rows with equal payloads all those with the least id are responses, so rows that
@@ -26,10 +33,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import small_batches
-from .common import new_path, sized_broadcast
+from .common import arrow_map, new_path, sized_broadcast
 
 #: Fixed values of the formats.
-DICTIONARY_FRAME = 0x184D2A5D
+SKIPPABLE, DICTIONARY_FRAME = 0x184D2A50, 0x184D2A5D
 FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payload bytes that close an archive; records and bytes its dictionary is trained on.
@@ -86,9 +93,15 @@ def pack(records: list[bytes]) -> bytes:
 
 
 def frames(data: memoryview) -> Iterator[memoryview]:
-    """The Zstandard frames one after another, by their block headers."""
+    """The Zstandard frames one after another, by their block headers; skippable ones are
+    passed over."""
     at = 0
     while at < len(data):
+        if len(data) - at >= 8 and SKIPPABLE <= struct.unpack_from("<I", data, at)[0] < SKIPPABLE + 16:
+            at += 8 + struct.unpack_from("<I", data, at + 4)[0]
+            if at > len(data):
+                raise ValueError("skippable frame cut short")
+            continue
         if data[at : at + 4] != FRAME_MAGIC:
             raise ValueError("no Zstandard frame where one should begin")
         end = at + zstandard.frame_header_size(data[at : at + 18])
@@ -108,38 +121,62 @@ def frames(data: memoryview) -> Iterator[memoryview]:
         at = end
 
 
+def _check(name: str, stated: str | None, body: bytes) -> None:
+    """A digest that is given as SHA-1, in base32 or hexadecimal, must be that of ``body``."""
+    kind, _, value = (stated or "").partition(":")
+    if kind.strip().lower() in ("sha1", "sha-1"):
+        raw = hashlib.sha1(body).digest()
+        if value.strip().upper() not in (base64.b32encode(raw).decode(), raw.hex().upper()):
+            raise ValueError(f"{name} differs from its digest")
+
+
 def unpack(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and HTTP payload of each record, checked."""
+    """Headers (names in lower case) and payload of each record, checked. The payload of an
+    HTTP record is what follows the HTTP header; of another it is the whole block."""
     data, trained = memoryview(archive), None
     if len(data) >= 8 and (sized := struct.unpack_from("<II", data))[0] == DICTIONARY_FRAME:
         raw = bytes(data[8 : 8 + sized[1]])
         if len(raw) != sized[1]:
             raise ValueError("dictionary cut short")
         if raw[:4] == FRAME_MAGIC:
-            raw = zstandard.ZstdDecompressor().decompress(raw)
+            raw = zstandard.ZstdDecompressor().decompressobj().decompress(raw)
         trained, data = zstandard.ZstdCompressionDict(raw), data[8 + sized[1] :]
     decoder = zstandard.ZstdDecompressor(dict_data=trained)
     for frame in frames(data):
-        whole = decoder.decompress(frame)
+        whole = decoder.decompressobj().decompress(frame)
         head, found, rest = whole.partition(b"\r\n\r\n")
-        lines = head.decode().split("\r\n")
+        lines = head.decode("utf-8", "replace").split("\r\n")
         if not found or lines[0] not in ("WARC/1.0", "WARC/1.1"):
             raise ValueError("not a WARC record")
-        fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        fields: dict[str, str] = {}
+        last = ""
+        for line in lines[1:]:
+            if line[:1] in (" ", "\t") and last:  # a folded header goes on
+                fields[last] += " " + line.strip()
+                continue
+            name, _, value = line.partition(":")
+            last = name.strip().lower()
+            fields[last] = value.strip()
         missing = {"warc-type", "warc-record-id", "warc-date", "content-length"} - fields.keys()
         if missing:
             raise ValueError(f"record without {sorted(missing)}")
         length = int(fields["content-length"])
         if len(rest) != length + 4 or rest[length:] != b"\r\n\r\n":
             raise ValueError("record length differs from its header")
-        http, found, payload = rest[:length].partition(b"\r\n\r\n")
-        if not found or not http.startswith(b"HTTP/1."):
-            raise ValueError("record without an HTTP header")
-        if fields["warc-type"] == "response":
-            if f"sha1:{digest(payload)}" != fields["warc-payload-digest"] or len(payload) != int(fields["x-payload-length"]):
-                raise ValueError("payload differs from its digest or length")
-        elif fields["warc-type"] != "revisit" or payload or "warc-refers-to" not in fields:
-            raise ValueError("malformed revisit")
+        block, kind = rest[:length], fields["warc-type"]
+        _check("block", fields.get("warc-block-digest"), block)
+        http, found, payload = block.partition(b"\r\n\r\n")
+        if not (http.startswith(b"HTTP/") or (kind == "request" and found)):
+            payload = block
+        elif not found:
+            raise ValueError("HTTP header without an end")
+        if kind == "revisit":
+            if "warc-refers-to" not in fields and "warc-refers-to-target-uri" not in fields and "warc-payload-digest" not in fields:
+                raise ValueError("revisit that refers to nothing")
+        else:
+            _check("payload", fields.get("warc-payload-digest"), payload)
+            if "x-payload-length" in fields and len(payload) != int(fields["x-payload-length"]):
+                raise ValueError("payload differs from its length")
         yield fields, payload
 
 
@@ -175,7 +212,7 @@ def write(df: DataFrame, path: str, least_bytes: int = 0) -> None:
         if held:
             yield archive()
 
-    marked(df, least_bytes).mapInArrow(run, "name string, data binary").write.option("compression", "none").parquet(path)
+    arrow_map(marked(df, least_bytes), run, "name string, data binary").write.option("compression", "none").parquet(path)
 
 
 def _id(uri: str) -> int | None:
@@ -200,7 +237,37 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     stored = spark.read.schema("name string, data binary").parquet(path)
-    return stored.select("data").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, html string")
+    return arrow_map(stored.select("data"), run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, html string")
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """A row per record of the ``.warc.zst`` files of ``path``: ``file, record_type,
+    record_id, date, target_uri, payload_digest, payload``. A file is one task's."""
+    names = ["record_type", "record_id", "date", "target_uri", "payload_digest"]
+    headers = ["warc-type", "warc-record-id", "warc-date", "warc-target-uri", "warc-payload-digest"]
+    schema = pa.schema([("file", pa.string()), *((n, pa.string()) for n in names), ("payload", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 1):
+            rows, size = [], 0
+            for file, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for f, payload in unpack(data):
+                    rows.append((file, *(f.get(h) for h in headers), payload))
+                    size += len(payload)
+                    if size >= ARCHIVE_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                        rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.warc.zst").load(path)
+    return arrow_map(files.select(F.col("path").alias("file"), "content"), run, f"file string, {', '.join(f'{n} string' for n in names)}, payload binary")
+
+
+def unmatched(records: DataFrame) -> DataFrame:
+    """Revisits of ``read`` whose response is not there with the same digest and length."""
+    there = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes")
+    return records.where("record_type = 'revisit'").join(there, ["refers_to", "payload_digest", "payload_bytes"], "left_anti")
 
 
 def round_trip(df: DataFrame, least_bytes: int = 0) -> DataFrame:

@@ -6,8 +6,13 @@ lower case. For a template of n words, windows of 3 n / 2 words every n / 2 word
 every passage of n words whole, so a full copy has a Jaccard similarity of about 2/3
 with some window, and at 4/5 containment about 1/2. With ``BANDS`` bands of ``ROWS``
 values a similarity of 1/2 collides in some band with probability
-1 - (1 - 1/4)^32 = 0.9999. Windows without any shingle of a template cannot contain
-it; they are passed over before hashing.
+1 - (1 - 1/4)^32 = 0.9999. Windows with too few shingles of templates to hold one are
+passed over before hashing. What is retrieved is verified on the window and half a
+template to both sides, so that a passage with words put into it is found wherever the
+windows fall; the span that is returned runs from its first to its last shingle.
+
+``texts()`` are the whole texts of the long licences, one file each beside this module;
+``TEMPLATES`` are short licences, file headers and notices.
 
 Templates of different licences that share most of their shingles are rivals: a hit counts
 only if its passage has no more of what only a rival has.
@@ -20,6 +25,7 @@ without a match give none; extra columns are not returned.
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import small_batches
+from .common import arrow_map
 from .shingles import _POSITION, _words, mix
 
 WORDS, BANDS, ROWS, CONTAINMENT = 3, 32, 2, 0.8
@@ -56,6 +63,12 @@ TEMPLATES = {
     "GPL-3.0-only": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation.",
 }
 
+
+def texts() -> dict[str, str]:
+    """The whole texts of licences, by name."""
+    return {p.stem + "-text": p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
+
+
 _PLAIN = np.ones(256, bool)
 _PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _U = np.uint64
@@ -100,12 +113,13 @@ class Index:
             self.sizes.append(n)
             for b in bands(own).tolist():
                 self.by_band.setdefault(b, set()).add(k)
+        self.least = {n: min(len(x) for x, m in zip(self.sets, self.sizes, strict=True) if m == n) for n in set(self.sizes)}
         self.table = np.zeros(1 << 16, bool)
         self.table[(np.concatenate(self.sets) & _U(0xFFFF)).astype(np.int64)] = True
         self.all = np.unique(np.concatenate(self.sets))
         # other licences that share at least half the shingles of the smaller template,
         # with the shingles that only this one and only the other has
-        licence = [name.split("-notice")[0] for name in self.names]
+        licence = [name.split("-notice")[0].removesuffix("-text") for name in self.names]
         self.rivals: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in self.sets]
         for k, own in enumerate(self.sets):
             for r, other in enumerate(self.sets):
@@ -139,30 +153,45 @@ class Index:
         best: dict[int, tuple[float, int, int]] = {}
         if not len(maybe):
             return []
+        hits = np.zeros(len(found) + 1, np.int64)
+        hits[maybe + 1] = 1
+        hits = np.cumsum(hits)
         for size in sorted(set(self.sizes)):
             step, width = max(1, size // 2), size + max(1, size // 2)
             last = max(0, -(-(n - width) // step))
             # windows that hold the shingle at word w begin between w + WORDS - width and w
             low = np.clip(-((width - WORDS - maybe) // step), 0, last)
             high = np.clip(maybe // step, 0, last)
-            for window in sorted({w for a, b in zip(low.tolist(), high.tolist(), strict=True) for w in range(a, b + 1)}):
-                a = window * step
-                b = min(n, a + width)
-                own = np.unique(found[a : max(a + 1, b - WORDS + 1)])
+            marks = np.zeros(last + 2, np.int64)
+            np.add.at(marks, low, 1)
+            np.add.at(marks, high + 1, -1)
+            windows = np.flatnonzero(np.cumsum(marks)[:-1] > 0)
+            begin = windows * step
+            end = np.maximum(begin + 1, np.minimum(n, begin + width) - WORDS + 1)
+            # half of the least containment at most is outside a window that a passage lies across
+            enough = hits[np.minimum(end, len(found))] - hits[begin] >= CONTAINMENT / 2 * self.least[size]
+            for a, z in zip(begin[enough].tolist(), end[enough].tolist(), strict=True):
+                own = np.unique(found[a:z])
                 if not len(own):
                     continue
                 for k in set().union(*(self.by_band.get(x, ()) for x in bands(own).tolist())):
                     if self.sizes[k] != size:
                         continue
-                    share = np.isin(self.sets[k], own).sum() / len(self.sets[k])
-                    if share >= CONTAINMENT and share > best.get(k, (0.0,))[0] and not self._beaten(k, found, a, b):
-                        best[k] = (float(share), a, b - 1)
+                    around = max(0, a - step)
+                    at = np.flatnonzero(np.isin(found[around : z + step], self.sets[k])) + around
+                    share = len(np.unique(found[at])) / len(self.sets[k])
+                    if share < CONTAINMENT:
+                        continue
+                    first, stop = int(at[0]), min(n, int(at[-1]) + WORDS)
+                    if share > best.get(k, (0.0,))[0] and not self._beaten(k, found, first, stop):
+                        best[k] = (float(share), first, stop - 1)
         return [(self.names[k], *best[k]) for k in sorted(best)]
 
 
-def scan(df: DataFrame, templates: Mapping[str, str] = TEMPLATES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, license, containment, first_word, last_word`` for each match."""
-    index = Index(templates)
+def scan(df: DataFrame, templates: Mapping[str, str] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, license, containment, first_word, last_word`` for each match. Without
+    ``templates`` all of ``TEMPLATES`` and ``texts()``."""
+    index = Index(TEMPLATES | texts() if templates is None else templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -172,4 +201,4 @@ def scan(df: DataFrame, templates: Mapping[str, str] = TEMPLATES, doc_id: str =
                 yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(name), pa.array(share), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["doc_id", "license", "containment", "first_word", "last_word"])
 
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, license string, containment double, first_word int, last_word int")
+    return arrow_map(rows, run, "doc_id long, license string, containment double, first_word int, last_word int")

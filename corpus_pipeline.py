@@ -12,9 +12,9 @@ from pavestat.llm.common import fold_of, sized_broadcast, spread, written
 from pavestat.llm.queries import WEIGHTS, branches, vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document goes if its score is under this; if its language cannot be told, or is told
-#: by less than this share of its letters.
-QUALITY, CONFIDENCE = 0.3, 0.5
+#: A document goes if its score is under this; if its languages cannot be told, or are told
+#: with less than this certainty, over its letters. Documents of several languages stay.
+QUALITY, CERTAINTY = 0.3, 0.5
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,23 +30,21 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents whose language is told, with that language."""
     model = lang_id.train(docs.where(fold_of("doc_id", 4) != 2))
     found = lang_id.identify(spread(docs.select(*COLUMNS)), model)
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= CONFIDENCE))
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("certainty") >= CERTAINTY))
     return kept.select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the least id; of rows
-    that repeat an id one; texts without words link with nothing, and they and rows
-    without an id stay."""
-    groups = written(ngram_join.join(docs.select("doc_id", "text"), words=5, num=8, den=10), "groups")
-    gone = groups.where("component_id < doc_id").select("doc_id").distinct()
-    left = docs.select(*COLUMNS).join(sized_broadcast(gone, ngram_join.BROADCAST_IDS), "doc_id", "left_anti")
-    again = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if again.isEmpty():
-        return left.select(*COLUMNS)
-    again = sized_broadcast(written(again, "repeated"), ngram_join.BROADCAST_IDS)
-    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(again, "doc_id", "left_anti").select(*COLUMNS).unionByName(once.select(*COLUMNS))
+    """One document of each group of near duplicates: that with the least id, then the least
+    hash of its text; those without an id come last. Rows are told apart by themselves, so
+    that unlike texts under one id both stay; texts without words link with nothing and stay."""
+    rows = written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("__row")), "rows")
+    groups = ngram_join.join(rows, words=5, num=8, den=10, doc_id="__row").where("n_links > 0").select(F.col("doc_id").alias("__row"), "component_id")
+    linked = written(rows.select("__row", "doc_id", F.xxhash64("text").alias("h")).join(groups, "__row"), "linked")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "h", "__row")
+    first = linked.groupBy("component_id").agg(F.min_by("__row", order).alias("__row")).select("__row")
+    gone = written(linked.select("__row").join(first, "__row", "left_anti"), "gone")
+    return rows.join(sized_broadcast(gone, ngram_join.BROADCAST_IDS), "__row", "left_anti").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

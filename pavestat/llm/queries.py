@@ -32,8 +32,8 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def branches() -> list:
     """Domain (text is alphabetical, numbered sources are dealt to three), language, source."""
-    number = F.coalesce(F.try_to_number(F.regexp_extract("source", "([0-9]+)$", 1), F.lit("99999")).cast("int"), F.lit(0))
-    domain = F.element_at(F.array(F.lit("web"), F.lit("books"), F.lit("code")), F.pmod(number, F.lit(3)) + 1)
+    number = F.coalesce(F.regexp_extract("source", "([0-9]+)$", 1).try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
+    domain = F.element_at(F.array(F.lit("web"), F.lit("books"), F.lit("code")), F.pmod(number, F.lit(3)).cast("int") + 1)
     return [domain, "lang", "source"]
 
 
@@ -94,7 +94,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+#: Words of whole texts, A to Z folded; the set of shingles of three; links by brute force
+#: over all pairs that share a shingle; classes of equal sets; components by reach.
+OP2_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+ ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) END AS s FROM w),
+ n AS (SELECT doc_id, len(s) AS n, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY s) END AS class_id FROM s),
+ x AS (SELECT s.doc_id, n.n, unnest(s.s) AS g FROM s JOIN n ON s.doc_id = n.doc_id),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id AND 90 * greatest(a.n, b.n) <= 100 * least(a.n, b.n)
+ GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+ r(id, other) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.id, p.b FROM r JOIN p ON r.other = p.a),
+ c AS (SELECT id, min(other) AS component_id FROM r GROUP BY id), l AS (SELECT a, count(*) AS links FROM p GROUP BY a)
+ SELECT n.doc_id AS doc_id, n.n::BIGINT AS n_shingles, component_id, class_id, coalesce(links, 0)::BIGINT AS n_links FROM n JOIN c ON n.doc_id = c.id LEFT JOIN l ON n.doc_id = l.a"""
+
+#: Base32 from the hexadecimal SHA-1: five of its digits are four of base32.
+OP4_SQL = """WITH h AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+ SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+ array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(sha, (5 * (k // 4) + 1)::INT, 5))::INT >> (15 - 5 * (k % 4))::INT) & 31) + 1)::INT, 1)), '') AS payload_digest,
+ CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM h"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """Bounded to what SQL can say of whole tables in fair time; the others have
-    brute-force tests."""
-    return {}
+    """What SQL can say of whole tables; the others have brute-force tests."""
+    return {"op2_ngram_join": OP2_SQL, "op4_warc": OP4_SQL}

@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import sys
 import zlib
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
@@ -116,20 +118,42 @@ def test_components_of_a_long_path_and_of_nothing(spark):
     assert components(edges.limit(0)).count() == 0
 
 
-def test_mixing_takes_prefixes_of_seeded_passes(spark, none):
-    rows = [(k, ("a", "b")[k % 4 == 0], f"s{k % 3}" if k % 5 else None, "w " * (k % 7)) for k in range(400)] + [(1, "b", "s1", None)] * 3
-    df = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")
-    out = mixing.mix(df, ["lang", "source"], {("a",): 1.0, ("b",): 3.0}, share=0.9, epochs=2, seed=3).collect()
-    sums = collections.Counter()
-    for _, lang, source, text in rows:
-        sums[lang, source] += len((text or "").split())
-    plan = mixing.budgets(dict(sums), {("a",): 1.0, ("b",): 3.0}, int(0.9 * sum(sums.values())), 2)
-    taken, longest = collections.Counter(), 6
-    for r in out:
-        assert r.mix_tokens == len((r.text or "").split())
-        taken[r.lang, r.source] += r.mix_tokens
-    assert all(plan[k] - longest <= taken[k] <= plan[k] for k in plan)
-    assert out and mixing.mix(none, ["score"], {}).count() == 0
+def brute_mix(rows, weights, share, epochs, seed):
+    """The rows that mixing should take, by sorting each leaf whole."""
+    leaves = collections.defaultdict(list)
+    for r in rows:
+        leaves[r[1], r[2]].append((r[0], len((r[3] or "").split())))
+    sums = {k: sum(n for _, n in v) for k, v in leaves.items()}
+    plan = mixing.budgets(sums, weights, int(share * sum(sums.values())), epochs)
+    out = collections.Counter()
+    for leaf, own in leaves.items():
+        left, epoch = plan[leaf], 0
+        while sums[leaf] and left >= sums[leaf]:
+            out.update((d, epoch, n) for d, n in own)
+            left, epoch = left - sums[leaf], epoch + 1
+        for d, n in sorted(own, key=lambda x: int(hashlib.md5(f"{seed}:{epoch}:{x[0]}".encode()).hexdigest()[:15], 16)):
+            if n > left or not left:
+                break
+            out[d, epoch, n] += 1
+            left -= n
+        else:
+            continue
+    return out
+
+
+def test_mixing_takes_prefixes_of_seeded_passes(spark, none, monkeypatch):
+    rows = [(k, ("a", "b")[k % 4 == 0], f"s{k % 3}" if k % 5 else None, "w " * (1 + k % 7)) for k in range(900)]
+    weights = {("a",): 1.0, ("b",): 3.0}
+    df = spark.createDataFrame([(*r, "x", 7) for r in rows], "doc_id long, lang string, source string, text string, mix_epoch string, __whole int")
+    want = brute_mix(rows, weights, 0.9, 2, 3)
+    for most in (mixing.BROADCAST_LEAVES, 1):  # more leaves than that: joined by a shuffle
+        monkeypatch.setattr(mixing, "BROADCAST_LEAVES", most)
+        out = mixing.mix(df, ["lang", "source"], weights, share=0.9, epochs=2, seed=3)
+        assert out.columns == ["doc_id", "lang", "source", "text", "__whole", "mix_epoch", "mix_tokens"]
+        assert collections.Counter((r.doc_id, r.mix_epoch, r.mix_tokens) for r in out.collect()) == want
+    again = spark.createDataFrame([*rows, *[(1, "b", "s1", None)] * 3, *[(None, "b", "s1", "w w")] * 3], "doc_id long, lang string, source string, text string")
+    taken = mixing.mix(again, ["lang", "source"], weights, share=0.9, epochs=2, seed=3).agg(F.sum("mix_tokens")).first()[0]
+    assert sum(n * k for (_, _, n), k in want.items()) - 20 < taken and mixing.mix(none, ["score"], {}).count() == 0
 
 
 def test_warc_marks_copies(spark):
@@ -144,6 +168,26 @@ def test_warc_marks_copies(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_files_of_a_folder_and_revisits_without_a_response(spark, tmp_path):
+    (tmp_path / "a.warc.zst").write_bytes(warc.pack([warc.record(1, "http://u", b"<p>", None), warc.record(2, None, b"<p>", 1)]))
+    got = warc.read_files(spark, str(tmp_path)).orderBy("record_id").collect()
+    assert [(r.record_type, r.target_uri, bytes(r.payload)) for r in got] == [("response", "http://u", b"<p>"), ("revisit", None, b"")]
+    rows = [(1, 3, "X", "response", None), (2, 3, "X", "revisit", 1), (4, 3, "Y", "revisit", 1)]
+    records = spark.createDataFrame(rows, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    assert [r.page_id for r in warc.unmatched(records).collect()] == [4]
+
+
+@pytest.mark.parametrize("name", ["op2_ngram_join", "op4_warc"])
+def test_query_equals_its_sql(spark, name):
+    sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+    from oracle import compare, connect
+
+    from pavestat.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    compare(queries.queries()[name](spark, sf), connect(sf), queries.oracle_sql()[name])
+
+
 def test_scores_keep_rows_and_clashing_columns(spark, docs, none):
     labels = spark.createDataFrame([(3, 1), (9, 0), (2, None), (None, 1)], "doc_id long, quality int")
     model = quality.train(docs, labels)
@@ -168,6 +212,10 @@ def test_languages_and_their_spans(spark, docs):
     got = {r.doc_id: r for r in lang_id.identify(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
     assert [(s.lang, s.first, s.last) for s in got[1].spans] == [("en", 0, 20), ("de", 21, 34)] and got[1].lang_pred == "en"
     assert [got[k].lang_pred for k in (2, 3, 4)] == ["und", "und", "de"] and got[2].score == 0
+    assert got[5].score == got[5].certainty == 0 and got[1].certainty > 0.99 > got[1].score > 0.5
+    clash = lang_id.identify(spark.createDataFrame([("haus", "x", 3)], "text string, lang_pred string, spans long"), model)
+    assert clash.columns == ["text", "lang_pred", "score", "certainty", "spans"] and clash.first().lang_pred == "de"
+    assert lang_id.identify(spark.createDataFrame([("haus",)], "score string"), model, "score").first().lang_pred == "de"
     assert lang_id.identify(docs.select("doc_id", "text"), lang_id.train(spark.createDataFrame([], "doc_id long, text string, lang string"))).select("lang_pred").distinct().collect()[0][0] == "und"
 
 
@@ -179,6 +227,27 @@ def test_search_and_license_scan_edge_cases(docs, none, spark):
     assert [(r.doc_id, r.license) for r in license_scan.scan(rows).collect()] == [(1, "MIT-notice")]
 
 
+def test_duplicates_stage_equals_brute_force(spark):
+    import corpus_pipeline as p
+
+    base = [" ".join(f"w{k}x{i}" for i in range(40)) for k in range(6)]
+    near = [b.rsplit(" ", 1)[0] + " other" for b in base]
+    rows = [(k, b) for k, b in enumerate(base)] + [(10 + k, b) for k, b in enumerate(near[:3])] + [(1, base[5]), (2, "two unlike texts under one id"), (2, base[2]), (None, base[4]), (None, "alone without an id"), (7, None), (7, ""), (7, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = collections.Counter((r.doc_id, r.text) for r in p.duplicates_stage(spark, docs, "").collect())
+    sets = [set(s.tolist()) for s in sets_of(pa.array([t for _, t in rows], pa.string()), 5)]
+    up = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 10 * len(a & sets[j]) >= 8 * len(a | sets[j]):
+                up = [up[j] if u == up[i] else u for u in up]
+    least = {}
+    for (d, t), u in zip(rows, up, strict=True):
+        least[u] = min(least.get(u, (True, 0)), (d is None, d or 0))
+    assert sum(got.values()) == len(set(up)) and got[7, ""] == 2 and got[2, "two unlike texts under one id"] == 1
+    assert sorted((d is None, d or 0) for (d, _), n in got.items() for _ in range(n)) == sorted(least.values())
+
+
 def test_pipeline_stages_keep_columns_and_take_effect(spark):
     import corpus_pipeline as p
 

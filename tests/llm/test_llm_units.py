@@ -138,6 +138,26 @@ def test_warc_archive_round_trip_and_checks():
     assert list(warc.unpack(warc.pack([]))) == []
 
 
+def _foreign(kind, block, *headers):
+    head = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:1>", "WARC-Date: 2020-01-01T00:00:00Z", f"Content-Length: {len(block)}", *headers]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_warc_archives_of_other_writers():
+    page, zstd = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n<p>", warc.zstandard
+    digest, bad = f"WARC-Payload-Digest: sha1:{warc.digest(b'<p>')}", f"WARC-Block-Digest: sha1:{'A' * 32}"
+    records = [_foreign("warcinfo", b"software: x\r\n"), _foreign("request", b"GET / HTTP/1.1\r\n\r\n"), _foreign("response", page), _foreign("response", page, digest, "X-Long: a", " b"), _foreign("metadata", b""), _foreign("resource", b"<p>", digest.replace(warc.digest(b"<p>"), __import__("hashlib").sha1(b"<p>").hexdigest()))]
+    streamed = zstd.ZstdCompressor(write_content_size=False)
+    skipped = (0x184D2A50).to_bytes(4, "little") + (3).to_bytes(4, "little") + b"xyz"
+    archive = skipped.join(streamed.stream_reader(r).read() for r in records)
+    got = list(warc.unpack(archive))
+    assert [(f["warc-type"], p) for f, p in got] == [("warcinfo", b"software: x\r\n"), ("request", b""), ("response", b"<p>"), ("response", b"<p>"), ("metadata", b""), ("resource", b"<p>")]
+    assert got[3][0]["x-long"] == "a b"
+    for damaged in (_foreign("response", page, bad), _foreign("response", page.replace(b"<p>", b"<q>"), digest), _foreign("revisit", page)):
+        with pytest.raises(ValueError):
+            list(warc.unpack(zstd.compress(damaged)))
+
+
 def test_audio_store_is_lossless_and_tensors_have_a_fixed_shape():
     for payload in (b"", b"x", bytes(64), bytes(range(256)) * 300):
         own = audio.padded(payload)
@@ -179,7 +199,8 @@ def test_scripts_narrow_candidates():
     log = np.zeros((lang_id.BUCKETS, 2), np.float32)
     uses = np.zeros((len(lang_id.SCRIPT_NAMES), 2), bool)
     uses[lang_id.SCRIPT_NAMES.index("latin"), 0] = uses[lang_id.SCRIPT_NAMES.index("greek"), 1] = True
-    scores = lang_id.Model(["en", "el"], log, uses).scores(["word", "λόγος", "слово"])
+    scores, known = lang_id.Model(["en", "el"], log, uses).scores(["word", "λόγος", "слово"])
+    assert known.tolist() == [True, True, False]
     assert scores.argmax(axis=1)[:2].tolist() == [0, 1] and scores[2].tolist() == [0, 0]
 
 
@@ -227,6 +248,11 @@ def test_license_templates_are_found_in_long_texts():
     index = license_scan.Index(license_scan.TEMPLATES)
     rng = random.Random(1)
     filler = [f"w{k}" for k in range(500)]
+    for name, text in license_scan.texts().items():
+        words = text.split()
+        for before, cut in ((0, 0), (333, len(words) // 3)):  # whole, and with other words put in
+            whole = [rng.choice(filler) for _ in range(before)] + words[:cut] + [rng.choice(filler) for _ in range(before // 8)] + words[cut:]
+            assert name in [m[0] for m in license_scan.Index(license_scan.TEMPLATES | license_scan.texts()).find(" ".join(whole))], name
     for name, text in license_scan.TEMPLATES.items():
         for before, after in itertools.product((0, 1, 2, 3, 57), (0, 4, 90)):
             words = [rng.choice(filler) for _ in range(before)] + [text] + [rng.choice(filler) for _ in range(after)]
@@ -234,6 +260,22 @@ def test_license_templates_are_found_in_long_texts():
     assert index.find(None) == index.find("") == index.find(" ".join(filler)) == []
 
 
+def test_license_bands_against_exact_containment():
+    """Of mutated templates that the span around some window contains at 0.8, the share found."""
+    index = license_scan.Index(license_scan.TEMPLATES)
+    rng, found, there = random.Random(5), 0, 0
+    for name, text in license_scan.TEMPLATES.items():
+        k = index.names.index(name)
+        for rate in (0.0, 0.02, 0.04, 0.06):
+            words = [w if rng.random() >= rate else f"z{rng.randrange(99)}" for w in text.split()]
+            whole = " ".join([*(f"w{j}" for j in range(rng.randrange(60))), *words, *(f"v{j}" for j in range(40))])
+            here, _ = license_scan.shingles(whole)
+            if np.isin(index.sets[k], here).mean() >= license_scan.CONTAINMENT:
+                there += 1
+                found += any(m[0].split("-notice")[0] == name.split("-notice")[0] for m in index.find(whole))
+    assert there > 60 and found / there >= 0.9
+
+
 def test_top_k_in_a_shard_is_exact():
     rng = random.Random(4)
     texts = [" ".join(rng.choices("abcdefghij" * 3 + "klmnopqrstuvwxyz", k=rng.randint(0, 40))).encode() for _ in range(500)]

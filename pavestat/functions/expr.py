@@ -173,3 +173,100 @@ def stop_reason(n: Column, least_count: Column, since_progress: Column, left: Co
         .when(n >= cap, "cap")
         .when(left <= 0, "pool_exhausted")
     )
+
+
+#: Conditions that name a context, and what a marking's tag says of its wear.
+CONTEXTS = ("curve", "cross", "crowded", "no_marking", "shadow", "dazzle")
+WORN = ("faded", "worn", "not visible", "missing", "low contrast")
+
+
+def either(*columns: Column) -> Column:
+    """The first text that is there and not empty."""
+    return F.coalesce(*[F.when(c != "", c) for c in columns])
+
+
+def context(condition: Column, scene: Column, lanes: Column) -> Column:
+    """A telling condition itself; else road kind by scene and number of lanes; else the
+    condition, which may be null."""
+    town, n = scene.isin("urban", "city street"), F.coalesce(lanes, F.lit(0))
+    return (
+        F.when(condition.isin(*CONTEXTS), condition)
+        .when((scene == "highway") & (n <= 2), "rural_highway")
+        .when(town & n.between(2, 3), "urban_street")
+        .when(town & (n > 3), "urban_intersection")
+        .otherwise(condition)
+    )
+
+
+def traffic(told: Column, dark: Column) -> Column:
+    """What is told; else by the share of dark pixels; unknown without either."""
+    return F.coalesce(told, F.when(dark > 0.30, "high").when(dark > 0.15, "medium").when(dark.isNotNull(), "low"), F.lit("unknown"))
+
+
+def has_tags(c: Column, wanted: Sequence[str], every: bool = False) -> Column:
+    """Whether a tag list has any, or every one, of ``wanted``; nothing wanted is had by all."""
+    if not wanted:
+        return F.lit(True)
+    want = F.array(*map(F.lit, wanted))
+    return F.size(F.array_except(want, tags(c))) == 0 if every else F.arrays_overlap(want, tags(c))
+
+
+def wear_bucket(tag: Column) -> Column:
+    t = F.lower(tag)
+    worn = F.lit(False)
+    for word in WORN:
+        worn = worn | F.contains(t, F.lit(word))
+    return F.when(worn, "worn/faded").when(F.contains(t, F.lit("clearly visible")), "clearly_visible").otherwise("other")
+
+
+def stratum(metadata: Column, dimension: str) -> Column:
+    """The value of a dimension in a map of metadata; ``time``, ``context`` and ``traffic`` go
+    by other names there."""
+    if dimension == "context":
+        return either(metadata["condition"], metadata["scene"])
+    return metadata[{"time": "timeofday", "traffic": "traffic_proxy"}.get(dimension, dimension)]
+
+
+def unconflicted(seen: Column) -> Column:
+    """Visibility tags, and those that are dropped: "clearly visible" beside any tag of
+    occlusion or wear. A struct of ``kept`` and ``dropped``."""
+    own = tags(seen)
+    among = lambda names: lambda t: F.lower(F.trim(t)).isin(*names)
+    clash = F.exists(own, among((*OCCLUDED, *DEGRADED))) & F.exists(own, among(CLEAR))
+    dropped = F.when(clash, F.filter(own, among(CLEAR))).otherwise(F.array().cast("array<string>"))
+    return F.struct(F.array_except(own, dropped).alias("kept"), dropped.alias("dropped"))
+
+
+def stem(path: Column) -> Column:
+    """The file's name without folders and its last extension."""
+    return F.regexp_replace(F.element_at(F.split(path, "[/\\\\]"), -1), r"(?<=.)\.[^.]*$", "")
+
+
+def safe_name(name: Column) -> Column:
+    return F.translate(name, "/\\", "__")
+
+
+def normal_tag(tag: Column) -> Column:
+    """Lower case, one space between words and around slashes."""
+    return F.lower(F.regexp_replace(F.regexp_replace(F.trim(tag), r"\s*/\s*", " / "), r"\s+", " "))
+
+
+def dimension_column(name: Column) -> Column:
+    return F.concat(F.lit("tag_"), F.replace(F.replace(F.replace(F.lower(name), F.lit(" & "), F.lit("_")), F.lit(" "), F.lit("_")), F.lit("/"), F.lit("_")))
+
+
+def saturation(x: Column, scale: float) -> Column:
+    return 1 - F.exp(-x / scale)
+
+
+def root_mean_square(*terms: Column) -> Column:
+    """Of the terms that are there; null without any."""
+    squares = [finite(t) * finite(t) for t in terms]
+    n = sum((F.when(s.isNotNull(), 1).otherwise(0) for s in squares), F.lit(0))
+    return F.sqrt(F.try_divide(sum((F.coalesce(s, F.lit(0.0)) for s in squares), F.lit(0.0)), n))
+
+
+def softmax(scores: Column) -> Column:
+    """Of an array; shifted by its maximum."""
+    raised = F.transform(scores, lambda s: F.exp(s - F.array_max(scores)))
+    return F.transform(raised, lambda s: F.try_divide(s, _total(raised)))

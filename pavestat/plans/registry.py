@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .metric_queries import QUERIES
 from .model_queries import MODEL_QUERIES
+from .readiness_queries import READINESS_QUERIES
 
-ALL = QUERIES | MODEL_QUERIES
+ALL = QUERIES | MODEL_QUERIES | READINESS_QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

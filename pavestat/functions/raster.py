@@ -88,19 +88,23 @@ def read_png(data: bytes) -> np.ndarray:
     return pixels[:, :, 0] if c < 3 else pixels[:, :, :3]
 
 
-def rasterise(lanes: Sequence[np.ndarray], height: int, width: int, thickness: int = 16) -> np.ndarray:
+def rasterise(lanes: Sequence[np.ndarray], height: int, width: int, thickness: int = 16, moved: bool = True) -> np.ndarray:
     """Lanes as a 0/1 mask: pixels no farther than half the thickness from a segment.
-    Points over one image size outside go; others are moved to the border and cut to
-    whole pixels."""
+    Points are cut to whole pixels. With ``moved`` those over one image size outside go and
+    others are moved to the border first; without, lines run out of the image as they are."""
     mask = np.zeros((height, width), np.uint8)
     half = max(thickness, 1) / 2
     for lane in lanes:
         p = np.asarray(lane, np.float64).reshape(-1, 2)
-        p = p[(np.abs(p[:, 0] - width / 2) < 1.5 * width) & (np.abs(p[:, 1] - height / 2) < 1.5 * height)]
-        p = np.trunc(np.clip(p, 0, [width - 1, height - 1]))
+        if moved:
+            p = p[(np.abs(p[:, 0] - width / 2) < 1.5 * width) & (np.abs(p[:, 1] - height / 2) < 1.5 * height)]
+            p = np.clip(p, 0, [width - 1, height - 1])
+        p = np.trunc(p)
         for a, b in zip(p[:-1], p[1:], strict=True):
             x0, y0 = np.maximum(np.floor(np.minimum(a, b) - half), 0).astype(int)
             x1, y1 = np.ceil(np.maximum(a, b) + half).astype(int) + 1
+            if x1 <= 0 or y1 <= 0 or x0 >= width or y0 >= height:
+                continue
             y, x = np.mgrid[y0 : min(y1, height), x0 : min(x1, width)]
             d = b - a
             t = np.clip(((x - a[0]) * d[0] + (y - a[1]) * d[1]) / max(d @ d, TINY), 0, 1)
@@ -270,7 +274,7 @@ def assign(gain: np.ndarray) -> list[tuple[int, int]]:
 def lane_matches(pred: Sequence[np.ndarray], gt: Sequence[np.ndarray], height: int, width: int, thickness: int = LANE_WIDTH, least: float = LANE_IOU) -> tuple[int, int, int]:
     """True positives, false positives, false negatives of drawn lanes, paired for the
     greatest sum of IoU."""
-    p, g = ([rasterise([x], height, width, thickness) for x in lanes] for lanes in (pred, gt))
+    p, g = ([rasterise([x], height, width, thickness, moved=False) for x in lanes] for lanes in (pred, gt))
     iou = np.array([[(t := overlap(a, b))[0] / max(sum(t), 1) for b in g] for a in p]).reshape(len(p), len(g))
     hit = sum(iou[i, j] >= least for i, j in assign(iou)) if iou.size else 0
     return int(hit), len(p) - int(hit), len(g) - int(hit)

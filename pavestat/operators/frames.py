@@ -6,13 +6,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions import raster
+from ..functions import expr as E
+from ..functions import markings, raster
+from . import localization, readiness
 
 #: Rows of images that a worker is sent at once.
 IMAGES = 16
@@ -38,6 +41,7 @@ def _mapped(df: DataFrame, schema: str, kernel: Callable[[dict], dict]) -> DataF
                 more = [pa.array([x.get(f.name) for x in found], f.type) for f in types]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *types.names])
 
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(IMAGES))
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *new]))
 
@@ -134,3 +138,132 @@ def lane_matching(df: DataFrame, pred: str = "pred_lanes", gt: str = "gt_lanes",
 def lane_width(df: DataFrame, lanes: str = "lanes", width: str = "width") -> DataFrame:
     """``width_stability`` of neighbouring lanes; null without two that share enough rows."""
     return _mapped(df, "width_stability double", lambda row: {"width_stability": raster.width_stability(row[lanes], int(row[width]))})
+
+
+def _lanes(value) -> list[np.ndarray]:
+    """Lanes of two points or more, from pairs or from structs of x and y."""
+    out = []
+    for lane in value or []:
+        points = [(p["x"], p["y"]) if isinstance(p, dict) else tuple(p[:2]) for p in lane or [] if p is not None]
+        points = [(float(x), float(y)) for x, y in points if x is not None and y is not None]
+        if len(points) >= 2:
+            out.append(np.array(points))
+    return out
+
+
+def grid_lanes(told) -> list[np.ndarray]:
+    """Lanes of ``h_samples`` and the x of each lane there; x under 0 is no point."""
+    if not told:
+        return []
+    rows = told["h_samples"] or []
+    return _lanes([[(x, y) for x, y in zip(xs or [], rows, strict=False) if x is not None and x >= 0] for xs in told["lanes"] or []])
+
+
+def _points(found: np.ndarray) -> list[dict]:
+    return [{"x": float(x), "y": float(y)} for x, y in found]
+
+
+def detection_records(df: DataFrame, pred: str = "pred", gt: str = "gt", pred_lanes: str | None = None, gt_json: str | None = None, prob: str | None = None, visibility: str | None = None, delta: float | None = None, widened: bool = True) -> DataFrame:
+    """``df`` with the ``D1_`` to ``D7_`` columns of one prediction each. Lanes count by the
+    lanes that are given, else by parts of the mask, and ``D2_pred_count_source`` tells which;
+    the reference by ``gt_json``, else by its mask. D3, D4 and D6 compare the prediction
+    widened to the reference's stroke. ``prob`` is float32 of the mask's pixels. With ``delta``
+    also the localisation columns, by lanes or by the skeletons of the masks. A null mask is
+    an empty one of the other's size; masks of other sizes are fitted."""
+
+    def kernel(row: dict) -> dict:
+        p, g = _mask(row[pred]), _mask(row[gt])
+        if p is None and g is None:
+            raise ValueError("neither mask is there")
+        shape = (p if p is not None else g).shape
+        raw, ref = markings.resized(p, shape), markings.resized(g, shape)
+        own, told = _lanes(row[pred_lanes]) if pred_lanes else [], grid_lanes(row[gt_json]) if gt_json else []
+        fitted, own_stroke, ref_stroke, was = markings.standardised(raw, ref) if widened else (raw, None, None, False)
+        out = {"D1_pred_pixel_count": int(raw.sum()), "pred_lane_count": len(own), "D2_gt_lane_count": len(told) or raster.component_count(ref), "D2_pred_lane_count": len(own) or raster.component_count(raw)}
+        out |= {"D2_pred_count_source": "native_polyline" if own else "connected_components", "pred_stroke_px": own_stroke, "gt_stroke_px": ref_stroke, "stroke_standardized": was}
+        near = raster.near_rows(shape[0])
+        out |= dict(zip(("D3_tp", "D3_fp", "D3_fn"), raster.overlap(fitted, ref), strict=True))
+        out |= dict(zip(("near_tp", "near_fp", "near_fn"), raster.overlap(fitted[near], ref[near]), strict=True))
+        chance = None if not prob or row[prob] is None else np.frombuffer(row[prob], "<f4").reshape(shape)
+        out |= {"D7_confidence_mean": markings.confidence(chance, raw), "height": shape[0], "width": shape[1]}
+        if delta is not None:
+            (a, a_from), (b, b_from) = markings.centre_points(raw, own), markings.centre_points(ref, told)
+            out |= {"pred_points": _points(a), "gt_points": _points(b), "D3p_pred_source": a_from, "D3p_gt_source": b_from}
+        return out
+
+    kind = "D1_pred_pixel_count long, pred_lane_count int, D2_gt_lane_count int, D2_pred_lane_count int, D2_pred_count_source string, pred_stroke_px double, gt_stroke_px double, stroke_standardized boolean, D3_tp long, D3_fp long, D3_fn long, near_tp long, near_fp long, near_fn long, D7_confidence_mean double, height int, width int"
+    point = "array<struct<x: double, y: double>>"
+    kind += f", pred_points {point}, gt_points {point}, D3p_pred_source string, D3p_gt_source string" if delta is not None else ""
+    kept = [c for c in df.columns if c not in ("height", "width")]
+    out = _mapped(df.select(*kept), kind, kernel)
+    tp, fp, fn = F.col("D3_tp"), F.col("D3_fp"), F.col("D3_fn")
+    some, near = tp + fn > 0, F.col("near_tp") + F.col("near_fn") > 0
+    a, b = F.col("D2_pred_lane_count"), F.col("D2_gt_lane_count")
+    precision, recall = F.try_divide(tp, tp + fp), F.try_divide(tp, tp + fn)
+    out = out.withColumns({
+        "D1_detection": ((F.col("D1_pred_pixel_count") > 0) | (F.col("pred_lane_count") > 0)).cast("int"),
+        "D2_count_match": F.when(b > 0, F.try_divide(F.least(a, b), F.greatest(a, b))),
+        "D3_iou": F.when(some, F.try_divide(tp, tp + fp + fn)), "D3_precision": F.when(some, precision), "D3_recall": F.when(some, recall), "D3_f1": F.when(some, F.try_divide(2 * tp, 2 * tp + fp + fn)),
+        "D4_near_iou": F.when(near, F.try_divide(F.col("near_tp"), F.col("near_tp") + F.col("near_fp") + F.col("near_fn"))),
+        "D6_gt_pixels": tp + fn, "D6_fn_pixels": fn, "D6_image_missed_ratio": F.try_divide(fn, tp + fn), "D_gt_eligible": some.cast("int"),
+        "D5_visibility_group": E.visibility_group(F.col(visibility) if visibility else F.lit(None).cast("string")),
+    })
+    if delta is not None:
+        out = localization.localise(out, "pred_points", "gt_points", "width", "height", delta).drop("pred_points", "gt_points")
+    return out.drop("pred_lane_count", "near_tp", "near_fp", "near_fn")
+
+
+def marking_records(df: DataFrame, image: str = "image", gt: str = "gt", lanes: str | None = None, gt_json: str | None = None, told: str | None = None) -> DataFrame:
+    """``df`` with the ``I1_`` to ``I6_`` columns of an image and its reference: wear along the
+    lanes, contrast, sharpness, lane width, legacy thickness, legacy bend, markings and their
+    pattern. A null mask is empty, a mask of another size is fitted."""
+
+    def kernel(row: dict) -> dict:
+        picture = raster.read_png(row[image])
+        shape = picture.shape[:2]
+        mask, own = markings.resized(_mask(row[gt]), shape), _lanes(row[lanes]) if lanes else []
+        guide, source = markings.guidance(shape, own, grid_lanes(row[gt_json]) if gt_json else [], mask)
+        worn, thick = markings.wear(picture, guide), markings.thickness(mask)
+        n, raw, topology = markings.topology(mask, own)
+        width = raster.width_stability(guide, shape[1]) if guide else None
+        return {
+            "I1_pattern_continuity": worn["I1"], "I1_condition": worn["condition"], "I1_worn_fraction": worn["worn_fraction"], "I1_faded_fraction": worn["faded_fraction"], "I1_valid_lane_count": worn["valid_lane_count"],
+            "I1_lane_count": worn["lane_count"], "I1_geometry_detail_source": source, "I1_unavailable_reason": worn["unavailable_reason"], "I2_local_contrast": raster.contrast(picture, mask), "I3_boundary_sharpness": raster.sharpness(picture, mask),
+            "I4_lane_width_stability": width, "I4_legacy_thickness_stability": thick["score"], "I4_legacy_mean_thickness_px": thick["mean"], "I4_legacy_thickness_cv": thick["cv"], "I4_legacy_num_segments": thick["parts"],
+            "I5_legacy_quadratic_proxy": markings.quadratic_bend(mask, own), "I6_marking_instance_count": n, "I6_raw_component_count": raw, "I6_topology_complexity": topology,
+            "marking_pattern": markings.pattern(mask, own, row[told] if told else None)["pattern"], "gt_nonzero": int(mask.sum()),
+        }
+
+    kind = "I1_pattern_continuity double, I1_condition string, I1_worn_fraction double, I1_faded_fraction double, I1_valid_lane_count int, I1_lane_count int, I1_geometry_detail_source string, I1_unavailable_reason string, I2_local_contrast double, I3_boundary_sharpness double, I4_lane_width_stability double, I4_legacy_thickness_stability double, I4_legacy_mean_thickness_px double, I4_legacy_thickness_cv double, I4_legacy_num_segments int, I5_legacy_quadratic_proxy double, I6_marking_instance_count int, I6_raw_component_count int, I6_topology_complexity double, marking_pattern string, gt_nonzero long"
+    return _mapped(df, kind, kernel)
+
+
+def metric_records(df: DataFrame, image: str = "image", pred: str = "pred", gt: str = "gt", lanes: str | None = None, pred_lanes: str | None = None, gt_json: str | None = None, prob: str | None = None, visibility: str | None = None, delta: float | None = None, keep: tuple[str, ...] = ("sample_id", "dataset", "model_name")) -> DataFrame:
+    """The record of each image: what ``marking_records`` and ``detection_records`` tell, both
+    scores and the class. Images and masks are not kept; of other columns those in ``keep``."""
+    one = marking_records(df, image, gt, lanes, gt_json).withColumnRenamed("reason", "marking_reason").drop(image)
+    two = detection_records(one, pred, gt, pred_lanes, gt_json, prob, visibility, delta).withColumnRenamed("reason", "detection_reason")
+    drop = {pred, gt, lanes, pred_lanes, gt_json, prob} - set(keep)
+    own = two.drop(*[c for c in drop if c]).withColumn("pred_nonzero", F.col("D1_pred_pixel_count"))
+    return readiness.scored(own.select(*[c for c in keep if c in own.columns], *[c for c in own.columns if c not in keep and c not in df.columns]))
+
+
+def missed_masks(df: DataFrame, pred: str = "pred", gt: str = "gt", height: int | None = None, width: int | None = None) -> DataFrame:
+    """``df`` with PNG masks of the reference, the prediction and what it misses, for review."""
+
+    def kernel(row: dict) -> dict:
+        g, p = _mask(row[gt]), _mask(row[pred])
+        shape = (height, width) if height and width else (g if g is not None else p).shape
+        return dict(zip(("gt_panel", "pred_panel", "missed_panel"), (raster.write_png(m.astype(np.uint8) * 255) for m in markings.missed(g, p, shape)), strict=True))
+
+    return _mapped(df, "gt_panel binary, pred_panel binary, missed_panel binary", kernel)
+
+
+def darkness(df: DataFrame, image: str = "image") -> DataFrame:
+    """``df`` with the share of pixels whose brightest channel is under 100; null without an image."""
+
+    def kernel(row: dict) -> dict:
+        picture = raster.read_png(row[image])
+        return {"dark_share": float(((picture.max(axis=2) if picture.ndim == 3 else picture) < 100).mean())}
+
+    return _mapped(df, "dark_share double", kernel)

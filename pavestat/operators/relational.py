@@ -104,16 +104,17 @@ def runs(df: DataFrame, group: Sequence[str], order: Sequence[str], state: str)
 
 
 def degradation(df: DataFrame, condition: str, scores: Sequence[str], least: int, prefer: Sequence[str]) -> DataFrame:
-    """Per condition the means of ``scores`` and the mean drop against a baseline: the
+    """Per condition the means of ``scores`` and the sum of the drops against a baseline: the
     first preferred condition that is there, else the largest group (ties by name). A
-    missing score counts as no drop; groups under ``least`` rows are out."""
+    missing score counts as no drop; groups under ``least`` rows are out, and under two groups
+    there is no row."""
     names = [f"mean_{s}" for s in scores]
     means = df.where(F.col(condition).isNotNull()).groupBy(condition).agg(F.count("*").alias("n"), *[F.avg(finite(F.col(s))).alias(m) for s, m in zip(scores, names, strict=True)]).where(F.col("n") >= least)
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, prefer)), F.col(condition)), F.lit(0))
     rank = F.when(rank > 0, rank).otherwise(len(prefer) + 1)
-    base = means.agg(F.min_by(F.struct(F.col(condition).alias("baseline"), *[F.col(m).alias("__" + m) for m in names]), F.struct(rank, -F.col("n"), condition)).alias("b")).select("b.*")  # one row
-    drop = sum((F.coalesce(F.col("__" + m) - F.col(m), F.lit(0.0)) for m in names), F.lit(0.0)) / len(names)
-    return means.crossJoin(F.broadcast(base)).select(condition, "n", "baseline", *names, drop.alias("drop"))
+    base = means.agg(F.min_by(F.struct(F.col(condition).alias("baseline"), *[F.col(m).alias("__" + m) for m in names]), F.struct(rank, -F.col("n"), condition)).alias("b"), F.count("*").alias("__groups")).select("b.*", "__groups")  # one row
+    drop = sum((F.coalesce(F.col("__" + m) - F.col(m), F.lit(0.0)) for m in names), F.lit(0.0))
+    return means.crossJoin(F.broadcast(base)).where("__groups >= 2").select(condition, "n", "baseline", *names, drop.alias("drop"))
 
 
 def unpivot_flags(df: DataFrame, keys: Sequence[str], rules: dict[str, tuple[str, float]]) -> DataFrame:

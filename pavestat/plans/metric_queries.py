@@ -92,7 +92,7 @@ def model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(REC + """, m AS (SELECT flag, count(*) AS n, avg(f1) AS a, avg(near) AS b FROM rec WHERE flag IS NOT NULL GROUP BY flag HAVING count(*) >= 3),
  b AS (SELECT * FROM m ORDER BY CASE flag WHEN 'N' THEN 1 WHEN 'R' THEN 2 ELSE 3 END, n DESC, flag LIMIT 1)
  SELECT m.flag AS flag, m.n AS n, b.flag AS baseline, round(m.a, 6) AS mean_f1, round(m.b, 6) AS mean_near,
- round((coalesce(b.a - m.a, 0) + coalesce(b.b - m.b, 0)) / 2, 6) AS "drop" FROM m, b""")
+ round(coalesce(b.a - m.a, 0) + coalesce(b.b - m.b, 0), 6) AS "drop" FROM m, b WHERE (SELECT count(*) FROM m) >= 2""")
 def condition_degradation(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = R.degradation(records(spark, sf_dir), "flag", ["f1", "near"], 3, ["N", "R"])
     return d.select("flag", "n", "baseline", r(F.col("mean_f1")).alias("mean_f1"), r(F.col("mean_near")).alias("mean_near"), r(F.col("drop")).alias("drop"))
@@ -298,9 +298,9 @@ def weighted_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.step_quantile(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_discount", "l_linenumber", 0.75).withColumnRenamed("l_returnflag", "flag")
 
 
-@query("""WITH v AS (SELECT vec_id, label, embedding AS e FROM embeddings WHERE vec_id < 400)
+@query("""WITH v AS (SELECT vec_id, label, embedding AS e FROM embeddings)
  SELECT g.vec_id AS gt_id, max(len(list_filter(list_zip(g.e, p.e), lambda z: abs(z[1] - z[2]) < 0.05)) / 64) AS best
- FROM v g JOIN v p ON g.label = p.label AND g.vec_id % 2 = 1 AND p.vec_id % 2 = 0 GROUP BY 1""".replace(" WHERE vec_id < 400", ""))
+ FROM v g JOIN v p ON g.label = p.label AND g.vec_id % 2 = 1 AND p.vec_id % 2 = 0 GROUP BY 1""")
 def best_lane_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
     g = v.where("vec_id % 2 = 1").select(F.col("vec_id").alias("gt_id"), "label", F.col("embedding").alias("ge"))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import functools
+import math
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
-from ..operators import models
+from ..operators import localization, models
 from ..streaming.ingest import windowed_counts
 from .metric_queries import Query, r, table
 
@@ -24,16 +25,45 @@ def query(sql: str):
 
 
 def _case(c: str) -> str:
-    return f"""CASE WHEN min({c}) < max({c}) AND count(*) FILTER ({c} NOT IN (0, 1)) = 0 THEN 'binomial' WHEN min({c}) >= 0 AND max({c}) <= 1 THEN 'fractional'
+    return f"""CASE WHEN count(DISTINCT {c}) = 2 THEN 'binomial' WHEN min({c}) >= 0 AND max({c}) <= 1 THEN 'fractional'
  WHEN min({c}) >= 0 AND count(*) FILTER ({c} <> floor({c})) = 0 THEN CASE WHEN var_samp({c}) > 1.25 * avg({c}) THEN 'negative_binomial' ELSE 'poisson' END ELSE 'ols' END"""
 
 
 @query(f"""SELECT {_case("l_discount")} AS discount, {_case("l_linenumber")} AS line, {_case("l_quantity")} AS quantity, {_case("l_extendedprice")} AS price,
- {_case("CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END")} AS returned FROM lineitem""")
+ {_case("CASE WHEN l_returnflag = 'R' THEN 7 ELSE 3 END")} AS returned, 'binomial' AS status FROM lineitem""")
 def model_recommendation(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "lineitem")
-    columns = {"discount": F.col("l_discount"), "line": F.col("l_linenumber"), "quantity": F.col("l_quantity"), "price": F.col("l_extendedprice"), "returned": F.when(F.col("l_returnflag") == "R", 1).otherwise(0)}
-    return d.agg(*[models.recommendation(c).alias(n) for n, c in columns.items()])
+    columns = {"discount": F.col("l_discount"), "line": F.col("l_linenumber"), "quantity": F.col("l_quantity"), "price": F.col("l_extendedprice"), "returned": F.when(F.col("l_returnflag") == "R", 7).otherwise(3), "status": F.col("l_linestatus")}
+    return models.recommend(d, columns)
+
+
+@query("""WITH d AS (SELECT l_linenumber AS y, l_quantity AS x1, l_discount AS x2 FROM lineitem), s AS (SELECT covar_pop(x1, y) AS a, covar_pop(x2, y) AS b, var_pop(x1) AS p, var_pop(x2) AS q, covar_pop(x1, x2) AS r, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, var_pop(y) AS v, count(*) AS n FROM d),
+ c AS (SELECT *, (a * q - b * r) / (p * q - r * r) AS c1, (b * p - a * r) / (p * q - r * r) AS c2 FROM s), e AS (SELECT *, v - c1 * a - c2 * b AS mse FROM c)
+ SELECT n AS observations, round(ln(2 * pi() * mse), 6) AS log_mse, round((n * (ln(2 * pi() * mse) + 1) + 6) / n, 6) AS aic_per_row, round(1 - mse / v, 6) AS r2, round(c1, 6) AS c1, round(c2, 6) AS c2 FROM e""")
+def fit_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("double").alias("y"), F.col("l_quantity").alias("x1"), F.col("l_discount").alias("x2"))
+    fit = models.ols(d, "y", ["x1", "x2"])
+    q = models.quality(d, fit, "y")
+    n = q["observations"]
+    row = (n, round(math.log(2 * math.pi * q["RMSE"] ** 2), 6), round(q["AIC"] / n, 6), round(q["R_squared"], 6), round(float(fit.coef[1]), 6), round(float(fit.coef[2]), 6))
+    return spark.createDataFrame([row], "observations long, log_mse double, aic_per_row double, r2 double, c1 double, c2 double")
+
+
+@query("""SELECT event_id, (k = 1)::INT AS flag, round(value * k, 6) AS product, round((value + k) / 2, 6) AS mean, round(value - k, 6) AS difference, CASE WHEN k <> 0 THEN round(value / k, 6) END AS ratio, (value >= 50)::INT AS high, (value >= 50 AND k >= 50)::INT AS both_
+ FROM (SELECT event_id, value, json_extract_string(props, '$.k')::INT AS k FROM events)""")
+def derived_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "events").select("event_id", "value", F.get_json_object("props", "$.k").alias("k"))
+    specs = [("flag", "or", ["k"]), ("product", "product", ["value", "k"]), ("mean", "mean", ["value", "k"]), ("difference", "difference", ["value", "k"]), ("ratio", "ratio", ["value", "k"]), ("high", "threshold", ["value"]), ("large", "threshold", ["k"]), ("both_", "and", ["high", "large"])]
+    made, errors = models.derive(d, [{"name": n, "operation": o, "columns": c, "value": 50} for n, o, c in specs])
+    assert not errors
+    return made.select("event_id", "flag", *[r(F.col(c)).alias(c) for c in ("product", "mean", "difference", "ratio")], "high", "both_")
+
+
+@query("""WITH d AS (SELECT l_quantity / 51 AS y, l_discount AS x FROM lineitem WHERE l_returnflag = 'N'), s AS (SELECT regr_slope(y, x) AS slope, regr_r2(y, x) AS r2, count(*) AS n FROM d) SELECT n, round(slope, 6) AS slope, round(r2, 8) AS r2 FROM s""")
+def adjusted_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") / 51).alias("D3_f1"), F.col("l_discount").alias("I5"), F.lit("a").alias("dataset"), F.lit("b").alias("model_name"), F.col("l_returnflag").alias("space"))
+    found = models.adjusted_regression(d.where("space = 'N'"), x="I5", others=(), space="space")
+    return spark.createDataFrame([(found["n"], round(found["coefficients"]["I5"], 6), round(found["r_squared"], 8))], "n long, slope double, r2 double")
 
 
 @query("""SELECT 'const' AS term, round(regr_intercept(l_extendedprice, l_quantity), 4) AS coef FROM lineitem
@@ -68,13 +98,8 @@ def area_under_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
  k AS (SELECT g, x, v - (first(v ORDER BY x) OVER (PARTITION BY g) + u * (last(v ORDER BY x) OVER (PARTITION BY g) - first(v ORDER BY x) OVER (PARTITION BY g))) AS gap FROM n)
  SELECT g, x AS knee FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY round(gap, 9) DESC, x) AS k FROM k) WHERE k = 1""")
 def knee_of_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The point furthest above the chord of a curve scaled to 0 to 1; the first on ties."""
     c = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("g"), F.col("l_linenumber").alias("x")).agg(F.sum("l_discount").alias("y"))
-    ends = c.groupBy("g").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min_by("y", "x").alias("first"), F.max_by("y", "x").alias("last"))
-    v = lambda y: F.try_divide(y - F.col("y0"), F.col("y1") - F.col("y0"))
-    u = F.try_divide((F.col("x") - F.col("x0")).cast("double"), F.col("x1") - F.col("x0"))
-    above = F.round(v(F.col("y")) - (v(F.col("first")) + u * (v(F.col("last")) - v(F.col("first")))), 9)
-    return c.join(ends, "g").groupBy("g").agg(F.max_by("x", F.struct(above, -F.col("x"))).alias("knee"))
+    return localization.knee(c, ["g"], "x", "y").select("g", F.col("knee").cast("int").alias("knee"))
 
 
 @query("""WITH p AS (SELECT row_number() OVER () AS id, l_orderkey AS k, l_linenumber AS n, l_quantity AS x, l_discount * 100 AS y FROM lineitem),
@@ -104,10 +129,8 @@ def closing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT g, x AS threshold, round(f, 6) AS best FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY round(f, 9) DESC, x) AS k
  FROM (SELECT l_returnflag AS g, l_quantity AS x, avg(l_discount) AS f FROM lineitem GROUP BY 1, 2)) WHERE k = 1""")
 def operating_point(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The threshold of the best mean; the first on ties."""
     c = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("g"), F.col("l_quantity").alias("x")).agg(F.avg("l_discount").alias("f"))
-    best = c.groupBy("g").agg(F.max_by(F.struct("x", "f"), F.struct(F.round("f", 9), -F.col("x"))).alias("b"))
-    return best.select("g", F.col("b.x").alias("threshold"), r(F.col("b.f")).alias("best"))
+    return localization.operating_point(c, ["g"], "x", "f").select("g", "threshold", r(F.col("score")).alias("best"))
 
 
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .metric_queries import QUERIES
 from .model_queries import MODEL_QUERIES
 from .readiness_queries import READINESS_QUERIES
+from .storage_queries import STORAGE_QUERIES
 
-ALL = QUERIES | MODEL_QUERIES | READINESS_QUERIES
+ALL = QUERIES | MODEL_QUERIES | READINESS_QUERIES | STORAGE_QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,11 +7,17 @@ dropped. Small documents are read whole, one row per file; nothing is parsed on
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import expr as E
+from ..functions import raster
+
 #: Default heights and widths of the datasets' images.
 SIZES = {"tusimple": (720, 1280), "culane": (590, 1640), "curvelanes": (1440, 2560)}
 #: Scenario by the first keyword that a list file's stem contains.
@@ -58,10 +64,10 @@ def _documents(spark: SparkSession, path: str, pattern: str) -> DataFrame:
 
 def tusimple(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines; lines that are no such record are skipped, points left of the image are
-    no points."""
-    rows = spark.read.schema("raw_file string, lanes array<array<int>>, h_samples array<int>").option("mode", "DROPMALFORMED").json(path)
+    no points. Values of x may be whole or not. An id has ``_`` for ``/``."""
+    rows = spark.read.schema("raw_file string, lanes array<array<double>>, h_samples array<double>").option("mode", "DROPMALFORMED").json(path)
     seen = F.transform("lanes", lambda xs: F.filter(F.zip_with(xs, "h_samples", _point), lambda p: (p.x >= 0) & p.y.isNotNull()))
-    rows = rows.where("raw_file is not null").select(F.col("raw_file").alias("sample_id"), _lanes(seen).alias("lanes"))
+    rows = rows.where("raw_file is not null").select(F.replace("raw_file", F.lit("/"), F.lit("_")).alias("sample_id"), "raw_file", _lanes(seen).alias("lanes"))
     return _sized(rows, "tusimple")
 
 
@@ -104,12 +110,17 @@ def culane_lines(spark: SparkSession, path: str) -> DataFrame:
     return _sized(rows, "culane")
 
 
+def curvelane_text(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with the ``lanes`` of a label's text."""
+    kind = "struct<Lines: array<array<struct<x: string, y: string>>>>"
+    lanes = F.transform(F.from_json(text, kind)["Lines"], lambda lane: F.filter(F.transform(lane, lambda p: _point(_number(p.x), _number(p.y))), lambda p: p.x.isNotNull() & p.y.isNotNull()))
+    return df.withColumn("lanes", F.coalesce(_lanes(lanes), F.array().cast("array<array<struct<x: double, y: double>>>")))
+
+
 def curvelanes(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
     """``Lines``: lanes of points whose values are strings; what is no number is dropped."""
-    kind = "struct<Lines: array<array<struct<x: string, y: string>>>>"
-    lanes = F.transform(F.from_json("value", kind)["Lines"], lambda lane: F.filter(F.transform(lane, lambda p: _point(_number(p.x), _number(p.y))), lambda p: p.x.isNotNull() & p.y.isNotNull()))
-    rows = _documents(spark, path, pattern).select(F.col("file").alias("sample_id"), F.coalesce(_lanes(lanes), F.array().cast("array<array<struct<x: double, y: double>>>")).alias("lanes"))
-    return _sized(rows, "curvelanes")
+    rows = curvelane_text(_documents(spark, path, pattern), "value")
+    return _sized(rows.select(F.col("file").alias("sample_id"), "lanes"), "curvelanes")
 
 
 def image_pairs(spark: SparkSession, images: str, masks: str, attributes: str | None = None) -> DataFrame:
@@ -249,3 +260,123 @@ def tag_table(tags: DataFrame, dimensions: list[str]) -> DataFrame:
     if clash := set(words) & set(wide.columns):
         raise ValueError(f"tags named like columns: {sorted(clash)}")
     return wide.select("*", *[F.array_contains("__all", t).cast("int").alias(t) for t in words]).drop("__all")
+
+
+#: Readers by the name of their dataset.
+DATASETS: dict[str, Callable[..., DataFrame]] = {"tusimple": tusimple, "culane": culane_lines, "curvelanes": curvelanes, "bdd100k_lane": image_pairs}
+
+
+def dataset(spark: SparkSession, name: str, *paths: str, **options) -> DataFrame:
+    """The samples of a dataset by its name; KeyError, with the names there are, for another."""
+    if name not in DATASETS:
+        raise KeyError(f"no dataset {name!r}; there are {sorted(DATASETS)}")
+    return DATASETS[name](spark, *paths, **options)
+
+
+def inspect(df: DataFrame, n: int = 5, order: str = "sample_id") -> tuple[int, DataFrame]:
+    """The number of samples, and the first ones with their size and number of lanes."""
+    lanes = F.size("lanes") if "lanes" in df.columns else F.lit(None).cast("int")
+    shown = df.orderBy(order).limit(n).select(order, *[c for c in ("width", "height") if c in df.columns], lanes.alias("n_lanes"))
+    return df.count(), shown
+
+
+def per_image_results(spark: SparkSession, folders: Sequence[str], suffixes: Sequence[str] = ("_per_image", "_per_image_metrics")) -> DataFrame:
+    """Rows of all ``<folder>/per_image/*.csv`` with ``model`` and ``dataset`` by their columns,
+    else by the file's name (the first word is the model); of a model and dataset that several
+    folders have, the rows of the last folder. Folders that are not there are passed over."""
+    found = None
+    for rank, folder in enumerate(folders):
+        try:
+            rows = spark.read.option("header", True).option("pathGlobFilter", f"*{{{','.join(suffixes)}}}.csv").csv(f"{folder.rstrip('/')}/per_image")
+        except AnalysisException:
+            continue
+        if not rows.columns:
+            continue
+        name = F.regexp_replace(F.element_at(F.split("_metadata.file_path", "/"), -1), rf"({'|'.join(sorted(suffixes, key=len, reverse=True))})\.csv$", "")
+        parts = {"model": F.substring_index(name, "_", 1), "dataset": F.regexp_replace(name, "^[^_]*_?", "")}
+        rows = rows.withColumns({c: F.coalesce(F.col(c), f) if c in rows.columns else f for c, f in parts.items()}).withColumn("__rank", F.lit(rank))
+        found = rows if found is None else found.unionByName(rows, allowMissingColumns=True)
+    if found is None:
+        raise ValueError(f"no results of images in {list(folders)}")
+    # a row per model and dataset: small, Catalyst broadcasts it
+    last = found.groupBy("model", "dataset").agg(F.max("__rank").alias("__last"))
+    return found.join(last, ["model", "dataset"]).where("__rank = __last").drop("__rank", "__last")
+
+
+def first_readable(spark: SparkSession, path: str) -> DataFrame:
+    """Records of ``path.json``, or, if that is not there, of ``path.csv``."""
+    try:
+        return spark.read.option("multiLine", True).json(f"{path}.json")
+    except AnalysisException:
+        return records(spark, f"{path}.csv")
+
+
+def moved(path: Column, roots: Mapping[str, str]) -> Column:
+    """A path of another machine under this one's root: the first root that it begins with."""
+    out = path
+    for old, new in reversed(list(roots.items())):
+        out = F.when(F.startswith(path, F.lit(old)), F.concat(F.lit(new), F.substring(path, len(old) + 1, 1 << 30))).otherwise(out)
+    return out
+
+
+def drawn_samples(spark: SparkSession, n: int = 50, height: int = 720, width: int = 1280, seed: int = 0) -> DataFrame:
+    """Synthetic frames for a trial run, each by a seed of its own: a road with three bent
+    lanes, its mask, and a prediction with a band missing (each third), shifted (each fifth)
+    and with stray pixels. Images and masks are PNG."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for i in rows["id"].tolist():
+                rng, y = np.random.default_rng([seed, i]), np.arange(height * 7 // 24, height * 65 // 72)
+                image = np.full((height, width, 3), 58, np.uint8)
+                image[: height // 4] = 190
+                gt = np.zeros((height, width), bool)
+                for start in (0.28, 0.41, 0.54):
+                    x = (start * width + 0.00055 * (y - 0.6 * height) ** 2 + rng.normal(0, 1, len(y))).astype(int)
+                    for d in range(-5, 6):
+                        gt[y, np.clip(x + d, 0, width - 1)] = True
+                image[gt] = 225
+                pred = gt.copy()
+                if i % 3 == 0:
+                    pred[height * 26 // 72 : height * 33 // 72] = False
+                pred = np.roll(pred, 3, axis=1) if i % 5 == 0 else pred
+                pred |= rng.random(gt.shape) < 0.001
+                row = {"sample_id": f"dry_{i:04d}", "image": raster.write_png(image), "gt": raster.write_png(gt * np.uint8(255)), "pred": raster.write_png(pred * np.uint8(255)), "weather": ("rainy", "clear")[i % 2 == 0], "timeofday": "daytime", "condition": ("wet", "clear")[i % 2 == 0], "height": height, "width": width}
+                yield pd.DataFrame([row])
+
+    return spark.range(n).repartition(max(1, min(n, spark.sparkContext.defaultParallelism))).mapInPandas(run, "sample_id string, image binary, gt binary, pred binary, weather string, timeofday string, condition string, height int, width int")
+
+
+def json_object(text: Column) -> Column:
+    """The first object in a model's answer, fences or words around it, as text; null without
+    a whole one. Braces are counted along the text."""
+    start = F.instr(text, "{")
+    cut = F.substring(text, start, F.length(text))
+    chars = F.split(cut, "")
+    state = F.aggregate(
+        chars,
+        F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end")),
+        lambda s, c: F.struct(
+            (s["depth"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)).alias("depth"),
+            (s["at"] + 1).alias("at"),
+            F.when((s["end"] == 0) & (c == "}") & (s["depth"] == 1), s["at"] + 1).otherwise(s["end"]).alias("end"),
+        ),
+    )
+    found = F.substring(cut, 1, state["end"])
+    whole = (start > 0) & (state["end"] > 0)
+    return F.when(whole & F.try_parse_json(found).isNotNull(), found)
+
+
+def answered_tags(text: Column, dimension: str, known: Sequence[str]) -> Column:
+    """Tags of a dimension in a model's answer: ``tags``, those that are known, in their own
+    spelling, once each; ``unmatched``; and ``why``. An answer is a list, a word, or an object
+    with ``tags`` and ``why``."""
+    body = json_object(text)
+    own = F.get_json_object(body, f"$['{dimension}']")
+    listed = F.coalesce(F.get_json_object(own, "$.tags"), F.when(~F.startswith(F.ltrim(own), F.lit("{")), own))
+    words = F.when(F.startswith(F.ltrim(listed), F.lit("[")), F.from_json(listed, "array<string>")).otherwise(F.array(listed))
+    words = F.filter(F.coalesce(words, F.array().cast("array<string>")), lambda w: w.isNotNull() & (F.trim(w) != ""))
+    spelled = F.create_map(*[x for k in known for x in (E.normal_tag(F.lit(k)), F.lit(k))])
+    hits = F.transform(words, lambda w: F.struct(F.try_element_at(spelled, E.normal_tag(w)).alias("known"), w.alias("said")))
+    tags = F.array_distinct(F.transform(F.filter(hits, lambda h: h["known"].isNotNull()), lambda h: h["known"]))
+    return F.struct(tags.alias("tags"), F.transform(F.filter(hits, lambda h: h["known"].isNull()), lambda h: h["said"]).alias("unmatched"), F.get_json_object(own, "$.why").alias("why"))

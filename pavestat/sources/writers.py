@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import expr as E
-from ..operators import frames
+from ..operators import frames, relational
 
 
 def flat(df: DataFrame, first: Sequence[str] = ()) -> DataFrame:
@@ -71,3 +71,23 @@ def output_manifest(df: DataFrame, samples: DataFrame, key: str = "sample_id") -
 def write_manifest(df: DataFrame, path: str, most: int | None = None, order: str = "sample_id") -> None:
     """A JSON line per sample; ``most`` keeps the first by ``order``."""
     (df if most is None else df.orderBy(order).limit(most)).write.mode("overwrite").json(path)
+
+
+def model_table(rows: DataFrame, primary: str = "lane_f1") -> str:
+    """Markdown of results by model and dataset, and of each model's means and consistency.
+    Summed up in Spark; a row per run is formatted here."""
+    metrics = ["lane_iou", "lane_f1", "lane_precision", "lane_recall"]
+    say = lambda v: f"{v:.4f}" if isinstance(v, int | float) else "-"
+    runs = rows.select("model", "dataset", "split", "num_images", *metrics).orderBy("model", "dataset").collect()
+    means = rows.groupBy("model").agg(*[E.mean(F.col(m)).alias(m) for m in metrics], E.consistency(F.col(primary)).alias("consistency")).orderBy("model").collect()
+    out = ["## Results", "", "| Model | Dataset | Split | Images | IoU | F1 | Precision | Recall |", "|---|---|---|--:|--:|--:|--:|--:|"]
+    out += [f"| {r.model} | {r.dataset} | {r.split} | {r.num_images} | " + " | ".join(say(r[m]) for m in metrics) + " |" for r in runs]
+    out += ["", "## Models", "", "| Model | IoU | F1 | Precision | Recall | Consistency |", "|---|--:|--:|--:|--:|--:|"]
+    return "\n".join([*out, *["| " + " | ".join([r.model, *[say(r[m]) for m in metrics], say(r.consistency)]) + " |" for r in means]])
+
+
+def write_ranked(df: DataFrame, path: str, metrics: Sequence[str], order: Sequence[str], by: Sequence[str] = ("dataset", "model"), k: int = 50) -> None:
+    """The best and worst ``k`` rows of each group by each metric, and how many rows count."""
+    for metric in metrics:
+        relational.top_and_bottom(df, by, metric, k, order).write.mode("overwrite").partitionBy(*by, "side").parquet(f"{path}/{metric}")
+    df.groupBy(*by).agg(F.count("*").alias("rows"), *[F.count(E.finite(F.col(m))).alias(m) for m in metrics]).write.mode("overwrite").parquet(f"{path}/counts")

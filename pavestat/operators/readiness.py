@@ -114,15 +114,15 @@ def average_ranks(df: DataFrame, group: Sequence[str], value: str, as_: str, bin
     counts run inside ``bins`` of a group's range and over the bins: no task orders a group."""
     by = df.groupBy(*group, value).agg(F.count("*").alias("__n"))
     ends = by.groupBy(*group).agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
-    by = _same(by, ends, group).withColumn("__bin", F.coalesce(F.floor(F.try_divide(F.col(value) - F.col("__low"), F.col("__high") - F.col("__low")) * bins), F.lit(0)))
+    by = same_keys(by, ends, group).withColumn("__bin", F.coalesce(F.floor(F.try_divide(F.col(value) - F.col("__low"), F.col("__high") - F.col("__low")) * bins), F.lit(0)))
     before = Window.partitionBy(*group).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     below = by.groupBy(*group, "__bin").agg(F.sum("__n").alias("__s")).select(*group, "__bin", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__below"))
     inside = Window.partitionBy(*group, "__bin").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = _same(by, below, [*group, "__bin"]).select(*group, value, (F.col("__below") + F.coalesce(F.sum("__n").over(inside), F.lit(0)) + (F.col("__n") + 1) / 2).alias(as_))
-    return _same(df, ranked, [*group, value])
+    ranked = same_keys(by, below, [*group, "__bin"]).select(*group, value, (F.col("__below") + F.coalesce(F.sum("__n").over(inside), F.lit(0)) + (F.col("__n") + 1) / 2).alias(as_))
+    return same_keys(df, ranked, [*group, value])
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Joined where the keys are equal or both null; without keys each with each (one row)."""
     if not keys:
         return left.crossJoin(right)

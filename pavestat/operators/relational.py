@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import finite, pearson
+from .readiness import average_ranks, same_keys
 
 
 def pick(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -63,34 +64,70 @@ def top_and_bottom(df: DataFrame, group: Sequence[str], metric: str, k: int, tie
 
 def spearman(df: DataFrame, group: Sequence[str], x: str, y: str, least: int = 10) -> DataFrame:
     """Rank correlation per group with average ranks; null under ``least`` pairs."""
-    df = df.select(*group, finite(F.col(x)).alias("__x"), finite(F.col(y)).alias("__y")).where("__x is not null and __y is not null")
-    for c in ("__x", "__y"):
-        rank = F.rank().over(Window.partitionBy(*group).orderBy(c)) + (F.count("*").over(Window.partitionBy(*group, c)) - 1) / 2
-        df = df.withColumn(c + "r", rank)
-    return df.groupBy(*group).agg(F.count("*").alias("n"), F.when(F.count("*") >= least, pearson(F.col("__xr"), F.col("__yr"))).alias("rho"))
+    pairs = df.select(*group, finite(F.col(x)).alias("__x"), finite(F.col(y)).alias("__y")).where("__x is not null and __y is not null")
+    ranked = average_ranks(average_ranks(pairs, group, "__x", "__xr"), group, "__y", "__yr")
+    return ranked.groupBy(*group).agg(F.count("*").alias("n"), F.when(F.count("*") >= least, pearson(F.col("__xr"), F.col("__yr"))).alias("rho"))
+
+
+#: Bins of the range of a column that an order statistic is looked for in.
+BINS = 4096
+
+
+def _bin(value: Column, low: Column, high: Column) -> Column:
+    return F.coalesce(F.least(F.floor(F.try_divide(value - low, high - low) * BINS), F.lit(BINS - 1)), F.lit(0)).cast("int")
+
+
+def place(df: DataFrame, value: str, ties: Sequence[str], k: int) -> DataFrame:
+    """One row, ``at``: the struct of ``value`` and ``ties`` at the place ``k`` from 0 in their
+    order. Only the bin of the value's range that holds the place is ordered; a number per bin
+    goes to the driver."""
+    low, high = df.agg(F.min(value), F.max(value)).first()
+    own = df.withColumn("__bin", _bin(F.col(value), F.lit(low), F.lit(high)))
+    before, here = 0, 0
+    for here, n in own.groupBy("__bin").count().orderBy("__bin").collect():
+        if before + n > k:
+            break
+        before += n
+    return own.where(F.col("__bin") == here).select(F.struct(value, *ties).alias("at")).orderBy("at").offset(k - before).limit(1)
+
+
+def percentiles(df: DataFrame, group: Sequence[str], value: Column, qs: Sequence[float]) -> DataFrame:
+    """Per group exact percentiles ``q0, q1, ...`` of the finite values, between values where
+    they fall so. Counts by bin of a group's range tell which bins hold them; only those are
+    ordered, so no task holds a group's values."""
+    own = df.select(*group, finite(value).alias("__v")).where("__v is not null")
+    ends = own.groupBy(*group).agg(F.min("__v").alias("__low"), F.max("__v").alias("__high"), F.count("*").alias("__n"))
+    binned = same_keys(own, ends, group).withColumn("__bin", _bin(F.col("__v"), F.col("__low"), F.col("__high")))
+    counts = binned.groupBy(*group, "__bin").agg(F.count("*").alias("__c"), F.first("__n").alias("__n"))
+    over = Window.partitionBy(*group).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("__before", F.coalesce(F.sum("__c").over(over), F.lit(0)))
+    at = lambda q: (F.col("__n") - 1) * F.lit(float(q))
+    asked = F.array(*[F.struct(F.lit(k).alias("q"), rank.cast("long").alias("rank"), share.alias("share")) for k, q in enumerate(qs) for rank, share in ((F.floor(at(q)), 1 - (at(q) - F.floor(at(q)))), (F.floor(at(q)) + 1, at(q) - F.floor(at(q))))])
+    inside = lambda z: (z["rank"] >= F.col("__before")) & (z["rank"] < F.col("__before") + F.col("__c")) & (z["share"] > 0)
+    needed = counts.withColumn("__asked", F.filter(asked, inside)).where(F.size("__asked") > 0).select(*group, "__bin", "__before", "__asked")
+    held = same_keys(binned.select(*group, "__bin", "__v"), needed, [*group, "__bin"])
+    rank = F.row_number().over(Window.partitionBy(*group, "__bin").orderBy("__v")) - 1 + F.col("__before")
+    hits = held.withColumn("__rank", rank).select(*group, "__v", F.filter("__asked", lambda z: z["rank"] == F.col("__rank")).alias("__asked")).select(*group, "__v", F.inline("__asked"))
+    return hits.groupBy(*group).agg(*[F.sum(F.when(F.col("q") == k, F.col("__v") * F.col("share"))).alias(f"q{k}") for k in range(len(qs))])
 
 
 def tertile_effect(df: DataFrame, x: str, y: str, ties: Sequence[str], least: int = 10) -> DataFrame:
     """Mean of ``y`` in the lowest third by ``x`` less that in the highest; a third is
-    max(1, n // 3) rows. Ranks come from range-partitioned counts, not one sorted task:
-    with ``n`` known, both cuts are two bounds of (x, ties)."""
+    max(1, n // 3) rows. Both cuts are bounds of (x, ties), each looked for in one bin of x."""
     df = df.select(finite(F.col(x)).alias("__x"), finite(F.col(y)).alias("__y"), *ties).where("__x is not null and __y is not null")
-    order = F.struct("__x", *ties)
     n = df.count()
     third = max(1, n // 3)
-    low = df.select(order.alias("o")).orderBy("o").offset(third - 1).limit(1)
-    high = df.select(order.alias("o")).orderBy(F.desc("o")).offset(third - 1).limit(1)
     if n < least:
         return df.agg(F.lit(n).cast("long").alias("n"), F.lit(None).cast("double").alias("effect"))
-    bounds = low.select(F.col("o").alias("lo")).crossJoin(high.select(F.col("o").alias("hi")))  # one row
-    joined = df.withColumn("o", order).crossJoin(F.broadcast(bounds))
+    low, high = (place(df, "__x", ties, k).select(F.col("at").alias(name)) for k, name in ((third - 1, "lo"), (n - third, "hi")))
+    joined = df.withColumn("o", F.struct("__x", *ties)).crossJoin(F.broadcast(low.crossJoin(high)))  # one row
     return joined.agg(F.count("*").alias("n"), (F.avg(F.when(F.col("o") <= F.col("lo"), F.col("__y"))) - F.avg(F.when(F.col("o") >= F.col("hi"), F.col("__y")))).alias("effect"))
 
 
 def median_split(df: DataFrame, x: str, y: str) -> DataFrame:
     """Means of ``y`` at or under the median of ``x`` and above it."""
     df = df.select(finite(F.col(x)).alias("__x"), finite(F.col(y)).alias("__y")).where("__x is not null and __y is not null")
-    middle = df.agg(F.percentile("__x", F.lit(0.5)).alias("median"))  # one row
+    middle = percentiles(df, [], F.col("__x"), [0.5]).select(F.col("q0").alias("median"))  # one row
     low = F.col("__x") <= F.col("median")
     return df.crossJoin(F.broadcast(middle)).agg(F.first("median").alias("median"), F.avg(F.when(low, F.col("__y"))).alias("low_mean"), F.avg(F.when(~low, F.col("__y"))).alias("high_mean"))
 
@@ -137,15 +174,21 @@ def stratified_targets(df: DataFrame, stratum: Sequence[str], share: float, leas
 
 
 def stratified_sample(df: DataFrame, stratum: Sequence[str], key: str, share: float, least: int, seed: str) -> DataFrame:
-    """The rows with the least seeded hashes in each stratum, as many as its target."""
-    order = F.sha2(F.concat(F.lit(seed + ":"), F.col(key).cast("string")), 256)
-    w = Window.partitionBy(*stratum).orderBy(order, key)
-    same = [F.col(f"a.{s}").eqNullSafe(F.col(f"b.{s}")) for s in stratum]
-    placed = df.withColumn("__place", F.row_number().over(w)).alias("a")
-    on = same[0]
-    for c in same[1:]:
-        on = on & c
-    return placed.join(F.broadcast(stratified_targets(df, stratum, share, least)).alias("b"), on).where("__place <= target").select("a.*").drop("__place")
+    """The rows with the least seeded hashes in each stratum, as many as its target. Hashes are
+    counted by their first digits; what lies under the cut is taken as it is, and only rows of
+    the one bin that the cut falls in are ordered."""
+    h = F.sha2(F.concat(F.lit(seed + ":"), F.col(key).cast("string")), 256)
+    own = df.withColumn("__h", h).withColumn("__bin", F.conv(F.substring("__h", 1, 3), 16, 10).cast("int"))
+    counts = own.groupBy(*stratum, "__bin").agg(F.count("*").alias("__c"))
+    over = Window.partitionBy(*stratum).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("__before", F.coalesce(F.sum("__c").over(over), F.lit(0)))
+    targets = stratified_targets(df, stratum, share, least).select(*stratum, "target")
+    cut = same_keys(counts, targets, stratum).where((F.col("__before") < F.col("target"))).groupBy(*stratum).agg(F.max(F.struct("__bin", "__before", "target")).alias("__cut"))
+    near = same_keys(own, cut, stratum).where(F.col("__bin") <= F.col("__cut.__bin"))
+    below = near.where(F.col("__bin") < F.col("__cut.__bin"))
+    place_ = F.row_number().over(Window.partitionBy(*stratum).orderBy("__h", key))
+    inside = near.where(F.col("__bin") == F.col("__cut.__bin")).withColumn("__place", place_).where(F.col("__place") + F.col("__cut.__before") <= F.col("__cut.target"))
+    return below.select(*df.columns).unionByName(inside.select(*df.columns))
 
 
 def step_quantile(df: DataFrame, group: Sequence[str], value: str, weight: str, q: float) -> DataFrame:

@@ -72,12 +72,14 @@ def renormalised_score(spark: SparkSession, sf_dir: str) -> DataFrame:
  round(avg(f1), 6) AS mean_f1, round(stddev_pop(f1), 6) AS sd_f1, round(quantile_cont(f1, 0.5), 6) AS median_f1,
  round(sum(fn) FILTER (WHERE f1 IS NOT NULL) / nullif(sum(gt) FILTER (WHERE f1 IS NOT NULL), 0), 6) AS pooled, bool_or(f1 > 0.09) AS any_high FROM rec GROUP BY flag, status""")
 def detection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f1 = F.col("f1")
-    return records(spark, sf_dir).groupBy("flag", "status").agg(
+    f1, d = F.col("f1"), records(spark, sf_dir)
+    middle = R.percentiles(d, ["flag", "status"], f1, [0.5]).withColumn("median_f1", r(F.col("q0"))).drop("q0")
+    sums = d.groupBy("flag", "status").agg(
         F.count("*").alias("images"), F.count(f1).alias("eligible"), r(F.avg(F.when(f1 > 0.05, 1.0).otherwise(0.0))).alias("rate"), r(E.mean(f1)).alias("mean_f1"),
-        r(F.stddev_pop(f1)).alias("sd_f1"), r(F.percentile(f1, F.lit(0.5))).alias("median_f1"), r(E.pooled(F.col("fn"), F.col("gt"), f1.isNotNull())).alias("pooled"),
+        r(F.stddev_pop(f1)).alias("sd_f1"), r(E.pooled(F.col("fn"), F.col("gt"), f1.isNotNull())).alias("pooled"),
         F.bool_or(f1 > 0.09).alias("any_high"),
     )
+    return sums.join(middle, ["flag", "status"], "left")
 
 
 @query("""WITH g AS (SELECT c_mktsegment AS model, n_name AS dataset, avg(c_acctbal) AS m FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)
@@ -113,8 +115,8 @@ def support_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, round(quantile_cont(value, 0.95), 6) AS p95 FROM events WHERE isfinite(value) GROUP BY event_type")
 def pooled_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "events").select("event_type", E.finite(F.col("value")).alias("v"))
-    return d.groupBy("event_type").agg(r(F.percentile("v", F.lit(0.95))).alias("p95"))
+    d = R.percentiles(table(spark, sf_dir, "events"), ["event_type"], F.col("value"), [0.95])
+    return d.select("event_type", r(F.col("q0")).alias("p95"))
 
 
 @query("""WITH c AS (SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS tp, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS fp,
@@ -321,9 +323,10 @@ def adjacent_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
  round(quantile_cont(o_totalprice, 0.5), 6) AS q2, round(quantile_cont(o_totalprice, 0.75), 6) AS q3, max(o_totalprice) AS most, round(stddev_samp(o_totalprice), 4) AS sd FROM orders GROUP BY 1""")
 def predictor_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("o_totalprice")
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    d = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("p")).agg(F.count("*").alias("n"), F.countDistinct("o_orderstatus").alias("levels"), F.min(x).alias("least"), q.alias("q"), F.max(x).alias("most"), r(F.stddev_samp(x), 4).alias("sd"))
-    return d.select("p", "n", "levels", "least", *[r(F.col("q")[k]).alias(f"q{k + 1}") for k in range(3)], "most", "sd")
+    o = table(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "p")
+    d = o.groupBy("p").agg(F.count("*").alias("n"), F.countDistinct("o_orderstatus").alias("levels"), F.min(x).alias("least"), F.max(x).alias("most"), r(F.stddev_samp(x), 4).alias("sd"))
+    d = d.join(R.percentiles(o, ["p"], x, [0.25, 0.5, 0.75]), "p")
+    return d.select("p", "n", "levels", "least", *[r(F.col(f"q{k}")).alias(f"q{k + 1}") for k in range(3)], "most", "sd")
 
 
 @query("""SELECT event_id, CASE WHEN k IS NULL THEN NULL WHEN k >= 50 THEN 1.0 ELSE 0.0 END AS outcome, CASE WHEN k <> 0 THEN round(value / k, 6) END AS ratio_var, ((coalesce(k, 0) >= 50) AND value > 50)::INT AS both_high

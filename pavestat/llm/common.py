@@ -65,9 +65,11 @@ def spread(df: DataFrame, least: int = 2) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Bytes that the plan of ``df`` is held to give, as Spark estimates them from its
-    files. For numbers of partitions only."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    """Bytes of the tables that ``df`` reads, as Spark knows them from their files; what it does
+    not know counts nothing. For numbers of partitions only."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    return sum(s for s in sizes if s < 1 << 60)
 
 
 def text_or_empty(column: str | Column = "text") -> Column:

@@ -1,24 +1,26 @@
 """Exact top-k search by BM25: an inverted index with block maxima, pruned dynamically
 in each shard, merged exactly under global statistics.
 
-Documents stay where they are read; each task indexes its own documents in shards of
-``SHARD_BYTES`` of text, one after another, and carries its best answers on. Global counts (documents, words, documents per term) come from
-a first pass, so that a score does not depend on the sharding. Impacts are whole
-numbers (``SCALE`` to one), so sums are exact in any order and ties are true ties.
-
-In a shard, documents form blocks of ``BLOCK_DOCS``. For a query, a block's bound is
-the sum over its terms of the block's largest impact. Blocks are taken by falling
-bound; a block whose bound is under the query's k-th best score so far is skipped, as
-block-max WAND skips it. Queries run in batches: postings of rare terms are added as
-they are, so their part of the bound is exact; frequent terms, those in one of
-``DENSE`` documents of the shard or more, have dense rows and dense maxima.
-
-Queries are a stated set, gathered in groups of ``QUERIES`` at most and broadcast.
+The index is written once, a row per shard of ``SHARD_BYTES`` of text: its terms in order,
+where the postings of each begin, their documents and counts, ids and lengths. Queries are
+gathered in groups of bounded number and bytes; each group is sent to the shards, and every
+task carries its best answers on from shard to shard. Global counts (documents, words,
+documents per term) come from the shards, so that a score does not depend on the sharding.
+Impacts are whole numbers (``SCALE`` to one, 1 at least), so sums are exact in any order and
+ties are true ties.
+
+In a shard, documents form blocks of ``BLOCK_DOCS``. For a query, a block's bound is the sum
+over its terms of the block's largest impact. Blocks are taken by falling bound; a block whose
+bound is under the query's k-th best score so far is skipped, as block-max WAND skips it. The
+cursors of WAND are not moved one by one: the bounds of all blocks and a batch of queries are
+one product of matrices, as queries are whole documents of thousands of terms. Postings of
+rare terms are added as they are, so their part of the bound is exact; frequent terms, those
+in one of ``DENSE`` documents of the shard or more, have dense rows and dense maxima.
 
 Defined results: null and empty texts match nothing and find nothing; a query finds
 documents that share a term, itself included; equal scores are ranked by id; of rows
 that repeat a query's id the least text asks, and rows that repeat a document's id are
-one answer, with the best score; rows with a null id are not indexed, though they count
+one answer, with the best score; rows with a null id are not answers, though they count
 in the statistics; extra columns are not returned.
 """
 
@@ -32,20 +34,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import small_batches
-from .common import text_or_empty, written
+from .common import arrow_map, claim, input_bytes, text_or_empty, trim, written
 from .license_scan import _PLAIN
 from .shingles import _words
 
-K1, B, SCALE = 1.2, 0.75, 1 << 10
+K1, B, SCALE = 1.2, 0.75, 1 << 20
 SHARD_BYTES, SHARD_DOCS, BLOCK_DOCS, DENSE = 16 << 20, 6144, 64, 16
 #: Queries at once in a shard, and postings of rare terms that they touch.
 BATCH, PAIRS = 128, 1 << 21
 _NONE = np.iinfo(np.int64).max
 #: Bytes of text that are cut into terms at once.
 AT_ONCE = 1 << 20
-QUERIES = 8192
-#: Distinct terms that a task counts before it reports.
-LOCAL_TERMS = 1 << 20
+#: Queries of a group, and bytes of their texts: a bound on what is broadcast.
+QUERIES, QUERY_BYTES = 8192, 6 << 20
+#: Bytes of stored input for a task that searches.
+TASK_BYTES = 512 << 20
 
 
 def terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -76,31 +79,70 @@ def _terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return doc[new], words[new], np.diff(np.append(new, len(doc))), length
 
 
-def _counts(docs: DataFrame) -> DataFrame:
-    """Term and documents that have it; the term 0 counts documents, -1 words."""
+#: A shard: ids, which of them are null, lengths; terms, where their postings begin; documents
+#: and counts of the postings. All little-endian.
+SHARD = "ids binary, known binary, lengths binary, terms binary, begins binary, docs binary, counts binary"
+
+
+class Shard:
+    """The arrays of a row of the index."""
+
+    def __init__(self, row: dict[str, bytes]) -> None:
+        kinds = {"ids": "<i8", "known": "u1", "lengths": "<u4", "terms": "<u8", "begins": "<u4", "docs": "<u2", "counts": "<u4"}
+        for name, kind in kinds.items():
+            setattr(self, name, np.frombuffer(row[name], kind))
+
+    @classmethod
+    def pack(cls, ids: list[int | None], texts: list[bytes]) -> dict[str, bytes]:
+        doc, found, count, length = terms(texts)
+        order = np.argsort(found, kind="stable")
+        found, doc, count = found[order], doc[order], count[order]
+        new = np.flatnonzero(np.append(True, found[1:] != found[:-1])) if len(found) else np.zeros(0, np.int64)
+        return {
+            "ids": np.array([d or 0 for d in ids], "<i8").tobytes(), "known": np.array([d is not None for d in ids], "u1").tobytes(), "lengths": length.astype("<u4").tobytes(),
+            "terms": found[new].astype("<u8").tobytes(), "begins": np.append(new, len(found)).astype("<u4").tobytes(), "docs": doc.astype("<u2").tobytes(), "counts": count.astype("<u4").tobytes(),
+        }
+
+
+def index(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text)`` as a written index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], np.zeros(2, np.int64)
+        claim("topk", lambda: None)
+        ids, texts, size = [], [], 0
 
-        def report() -> pa.RecordBatch:
-            value, count = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(count)], names=["term", "n"])
+        def shard() -> pa.RecordBatch:
+            row = Shard.pack(ids, texts)
+            ids.clear()
+            texts.clear()
+            return pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in row.values()], names=list(row))
 
-        size = 0
         for batch in small_batches(batches):
-            _, found, _, length = terms([x or b"" for x in batch.column(0).cast(pa.binary()).to_pylist()])
-            n += (len(length), length.sum())
-            held.append(found)
-            size += len(found)
-            if size >= 4 * LOCAL_TERMS:
-                yield report()
-                size = 0
-        if held:
-            yield report()
-        yield pa.RecordBatch.from_arrays([pa.array([0, -1]), pa.array(n)], names=["term", "n"])
+            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                ids.append(d)
+                texts.append(t or b"")
+                size += len(texts[-1])
+                if size >= SHARD_BYTES or len(ids) >= SHARD_DOCS:
+                    yield shard()
+                    size = 0
+        if ids:
+            yield shard()
+        trim()
+
+    return written(arrow_map(docs.select("doc_id", "text"), run, SHARD), "index")
+
+
+def _counts(shards: DataFrame) -> DataFrame:
+    """Term and documents that have it; the term 0 counts documents, -1 words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 1):
+            for row in batch.to_pylist():
+                length, begins = np.frombuffer(row["lengths"], "<u4"), np.frombuffer(row["begins"], "<u4").astype(np.int64)
+                value = np.concatenate([np.array([0, -1]), np.frombuffer(row["terms"], "<i8")])
+                yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(np.concatenate([[len(length), length.sum(dtype=np.int64)], np.diff(begins)]))], names=["term", "n"])
 
-    return docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return arrow_map(shards.select("lengths", "begins", "terms"), run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 class Queries:
@@ -155,16 +197,20 @@ class Best:
             self.score[at[r], : len(keep)], self.id[at[r], : len(keep)] = values[r][keep], names[r][keep]
 
 
-def search_shard(ids: np.ndarray, texts: list[bytes], queries: Queries, best: Best) -> None:
+def search_shard(shard: Shard, queries: Queries, best: Best) -> None:
     """One shard's answers into ``best``, whose floors prune from the start."""
-    doc, found, count, length = terms(texts)
+    ids, length = shard.ids, shard.lengths.astype(np.float64)
     n, blocks = len(ids), -(-len(ids) // BLOCK_DOCS)
-    if not len(queries.vocabulary) or not len(found):
+    if not len(queries.vocabulary) or not len(shard.terms):
         return
-    at = np.minimum(np.searchsorted(queries.vocabulary, found), len(queries.vocabulary) - 1)
-    known = queries.vocabulary[at] == found
-    doc, term, tf = doc[known], at[known], count[known]
-    impact = np.rint(SCALE * queries.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / queries.mean)))
+    at = np.minimum(np.searchsorted(queries.vocabulary, shard.terms), len(queries.vocabulary) - 1)
+    own = np.flatnonzero(queries.vocabulary[at] == shard.terms)
+    first, last = (shard.begins[own + k].astype(np.int64) for k in (0, 1))
+    p = _ranges(first, last)
+    doc, term, tf = shard.docs[p].astype(np.int64), np.repeat(at[own], last - first), shard.counts[p].astype(np.float64)
+    impact = np.maximum(np.rint(SCALE * (queries.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / queries.mean)))), 1)
+    answers = shard.known[doc] != 0
+    doc, term, impact = doc[answers], term[answers], impact[answers]
     order = np.argsort(term, kind="stable")
     doc, term, impact = doc[order], term[order], impact[order]
     begin = np.searchsorted(term, np.arange(len(queries.vocabulary) + 1))
@@ -216,13 +262,16 @@ def search(df: DataFrame, asks: Column, k: int = 10, doc_id: str = "doc_id", tex
     asked = df.where(asks).select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text")).where("doc_id is not null")
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
     asked = written(asked.groupBy("doc_id").agg(F.min("text").alias("text")), "queries")
-    total = asked.count()
-    groups = -(-total // QUERIES)
-    counts = written(_counts(docs), "terms")
+    total, size = asked.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    groups = max(-(-total // QUERIES), -(-(size or 0) // QUERY_BYTES))
+    shards = index(docs)
+    counts = written(_counts(shards), "terms")
     special = dict(counts.where("term in (0, -1)").groupBy("term").agg(F.sum("n")).collect())
+    # few long tasks: each carries its floors on, and gives k answers a query
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-input_bytes(docs) // TASK_BYTES))
     found = None
     for g in range(groups):
-        # one group of queries, bounded in number, at a time
+        # one group of queries, bounded in number and bytes, at a time
         rows = asked.where(F.pmod(F.xxhash64("doc_id"), F.lit(groups)) == g).orderBy("doc_id").collect()
         queries = Queries([r[0] for r in rows], [r[1] for r in rows])
         wanted = spark.createDataFrame(pa.table({"term": queries.vocabulary.view(np.int64)}))
@@ -231,26 +280,19 @@ def search(df: DataFrame, asks: Column, k: int = 10, doc_id: str = "doc_id", tex
         shared = spark.sparkContext.broadcast(queries)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own, ids, texts, size = shared.value, [], [], 0
+            claim("topk", lambda: None)
+            own = shared.value
             best = Best(len(own.ids), k)
-
-            for batch in small_batches(batches):
-                for d, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                    ids.append(d)
-                    texts.append(t)
-                    size += len(t)
-                    if size >= SHARD_BYTES or len(ids) >= SHARD_DOCS:
-                        search_shard(np.array(ids, np.int64), texts, own, best)
-                        size = 0
-                        ids.clear()
-                        texts.clear()
-            if ids:
-                search_shard(np.array(ids, np.int64), texts, own, best)
+            for batch in small_batches(batches, 1):
+                for row in batch.to_pylist():
+                    search_shard(Shard(row), own, best)
             q, c = np.nonzero(best.score)
             yield pa.RecordBatch.from_arrays([pa.array(own.ids[q]), pa.array(best.id[q, c]), pa.array(best.score[q, c].astype(np.int64))], names=["query_id", "doc_id", "points"])
+            trim()
 
-        # few long tasks: each carries its floors on, and gives k answers a query
-        hits = docs.where("doc_id is not null").coalesce(2 * spark.sparkContext.defaultParallelism).mapInArrow(run, "query_id long, doc_id long, points long")
+        hits = arrow_map(shards.coalesce(tasks), run, "query_id long, doc_id long, points long")
+        hits = written(hits, "hits")  # a group is done when its broadcast may go
+        shared.unpersist()
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         found = spark.createDataFrame([], "query_id long, doc_id long, points long")

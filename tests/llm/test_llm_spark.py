@@ -177,7 +177,7 @@ def test_warc_files_of_a_folder_and_revisits_without_a_response(spark, tmp_path)
     assert [r.page_id for r in warc.unmatched(records).collect()] == [4]
 
 
-@pytest.mark.parametrize("name", ["op2_ngram_join", "op4_warc"])
+@pytest.mark.parametrize("name", ["op2_ngram_join", "op4_warc", "op8_topk"])
 def test_query_equals_its_sql(spark, name):
     sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
     from oracle import compare, connect
@@ -219,10 +219,13 @@ def test_languages_and_their_spans(spark, docs):
     assert lang_id.identify(docs.select("doc_id", "text"), lang_id.train(spark.createDataFrame([], "doc_id long, text string, lang string"))).select("lang_pred").distinct().collect()[0][0] == "und"
 
 
-def test_search_and_license_scan_edge_cases(docs, none, spark):
+def test_search_and_license_scan_edge_cases(docs, none, spark, monkeypatch):
     got = topk.search(docs, F.col("doc_id") % 3 == 0, 2).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r["rank"], r.doc_id) for r in got] == [(3, 1, 3), (3, 2, 7), (9, 1, 9)]
     assert topk.search(none, F.col("doc_id") == 0).count() == 0
+    whole = topk.search(docs, F.col("doc_id").isNotNull(), 3).collect()
+    monkeypatch.setattr(topk, "QUERY_BYTES", 4000)  # several groups
+    assert sorted(topk.search(docs, F.col("doc_id").isNotNull(), 3).collect()) == sorted(whole) and whole
     rows = spark.createDataFrame([(1, "x " * 50 + "Released under the MIT License. " + "y " * 50), (2, None), (3, "")], "doc_id long, text string")
     assert [(r.doc_id, r.license) for r in license_scan.scan(rows).collect()] == [(1, "MIT-notice")]
 

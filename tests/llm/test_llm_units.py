@@ -288,8 +288,8 @@ def test_top_k_in_a_shard_is_exact():
     own.weigh(term[keep], n[keep], 500, int(length.sum()))
     best = topk.Best(len(asked), 7)
     for k in range(0, 500, 170):  # shards, and rows that repeat an id
-        topk.search_shard(ids[k : k + 170], texts[k : k + 170], own, best)
-        topk.search_shard(ids[k : k + 90], texts[k : k + 90], own, best)
+        for end in (k + 170, k + 90):
+            topk.search_shard(topk.Shard(topk.Shard.pack(ids[k:end].tolist(), texts[k:end])), own, best)
     got = {k: [(float(y), int(x)) for x, y in zip(best.id[k], best.score[k], strict=True) if y] for k in range(len(asked))}
     for k, text in enumerate(asked):
         points = {}
@@ -300,7 +300,7 @@ def test_top_k_in_a_shard_is_exact():
                 if f:
                     df = int(n[np.searchsorted(term, topk.terms([w])[1][0])])
                     idf = np.log1p((500 - df + 0.5) / (df + 0.5))
-                    mine += np.rint(topk.SCALE * idf * f * (topk.K1 + 1) / (f + topk.K1 * (1 - topk.B + topk.B * len(words) / own.mean)))
+                    mine += max(np.rint(topk.SCALE * (idf * f * (topk.K1 + 1) / (f + topk.K1 * (1 - topk.B + topk.B * len(words) / own.mean)))), 1)
             if mine:
                 points[int(ids[i])] = mine
         want = sorted(((v, -i) for i, v in points.items()), reverse=True)[:7]

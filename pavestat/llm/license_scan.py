@@ -113,7 +113,7 @@ class Index:
             self.sizes.append(n)
             for b in bands(own).tolist():
                 self.by_band.setdefault(b, set()).add(k)
-        self.least = {n: min(len(x) for x, m in zip(self.sets, self.sizes, strict=True) if m == n) for n in set(self.sizes)}
+        self.least = {n: min(len(x) for x, m in zip(self.sets, self.sizes, strict=True) if m == n) for n in sorted(set(self.sizes))}
         self.table = np.zeros(1 << 16, bool)
         self.table[(np.concatenate(self.sets) & _U(0xFFFF)).astype(np.int64)] = True
         self.all = np.unique(np.concatenate(self.sets))
@@ -149,14 +149,17 @@ class Index:
         """Name, containment, first and last word of the best window of each template."""
         found, n = shingles(text)
         maybe = np.flatnonzero(self.table[(found & _U(0xFFFF)).astype(np.int64)])
-        maybe = maybe[np.isin(found[maybe], self.all)]
+        at = np.minimum(np.searchsorted(self.all, found[maybe]), len(self.all) - 1)
+        maybe = maybe[self.all[at] == found[maybe]]
         best: dict[int, tuple[float, int, int]] = {}
         if not len(maybe):
             return []
         hits = np.zeros(len(found) + 1, np.int64)
         hits[maybe + 1] = 1
         hits = np.cumsum(hits)
-        for size in sorted(set(self.sizes)):
+        for size, least in self.least.items():
+            if len(maybe) < CONTAINMENT / 2 * least:  # too few in the whole text
+                continue
             step, width = max(1, size // 2), size + max(1, size // 2)
             last = max(0, -(-(n - width) // step))
             # windows that hold the shingle at word w begin between w + WORDS - width and w
@@ -169,7 +172,7 @@ class Index:
             begin = windows * step
             end = np.maximum(begin + 1, np.minimum(n, begin + width) - WORDS + 1)
             # half of the least containment at most is outside a window that a passage lies across
-            enough = hits[np.minimum(end, len(found))] - hits[begin] >= CONTAINMENT / 2 * self.least[size]
+            enough = hits[np.minimum(end, len(found))] - hits[begin] >= CONTAINMENT / 2 * least
             for a, z in zip(begin[enough].tolist(), end[enough].tolist(), strict=True):
                 own = np.unique(found[a:z])
                 if not len(own):

@@ -7,7 +7,8 @@ and rows of a batch side by side. Statistics cover whole texts.
 Defined results: null and empty texts have the statistics of the empty text and get a
 score like any other; without labelled rows, or with one label only, every score is the
 (smoothed) share of label 1; null labels are left out; rows that repeat are scored
-alike; extra columns are kept by ``score`` and ignored by ``train``.
+alike; extra columns are kept by ``score`` and ignored by ``train``. An id and a label
+that repeat count once in training, by the least statistics of their texts.
 """
 
 from __future__ import annotations
@@ -161,12 +162,12 @@ def _measured(df: DataFrame, text: str) -> DataFrame:
 
 def train(documents: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> Trees:
     """A model from ``documents(doc_id, text)`` and ``labels(doc_id, label)``."""
-    known = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label")).where("label is not null and id is not null")
+    known = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label")).where("label is not null and id is not null").distinct()
     # bounded by ``rows``, so it may be broadcast
     sample = F.broadcast(known.orderBy(F.xxhash64("id"), "id", "label").limit(rows))
     chosen = documents.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("id"))
-    found = _measured(chosen.select("doc_id", "label", "text"), "text").select("doc_id", "label", "statistics").toPandas()
-    found = found.assign(key=found["statistics"].map(tuple)).sort_values(["doc_id", "label", "key"])
+    measured = _measured(chosen.select("doc_id", "label", "text"), "text")
+    found = measured.groupBy("doc_id", "label").agg(F.min("statistics").alias("statistics")).toPandas().sort_values(["doc_id", "label"])
     x = np.array(found["statistics"].tolist(), dtype=np.float64).reshape(len(found), len(FEATURES))
     return fit(x, found["label"].to_numpy(np.float64))
 

@@ -28,11 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bpe import small_batches
+from .common import arrow_map, claim, trim
 
 UNIT = 64
 #: Sampling rates stored and analysed.
 RATE_IN, RATE = 16_000, 8_000
 WINDOW, HOP, MELS, FRAMES = 256, 128, 24, 32
+#: Frames whose spectra are held at once.
+PIECE = 4096
 #: Segment thresholds in dB above the mean frame energy: begin, and go on.
 BEGIN_DB, KEEP_DB = 1.0, -1.0
 TAPS = 8  # zero crossings on each side of the resampling filter
@@ -110,12 +113,19 @@ _HANN = np.hanning(WINDOW + 1)[:-1].astype(np.float32)
 
 
 def log_mel(x: np.ndarray, rate: int) -> tuple[np.ndarray, np.ndarray]:
-    """Log-mel values (frames, MELS) and frame energies in dB; the end is zero-padded."""
+    """Log-mel values (frames, MELS) and frame energies in dB; the end is zero-padded.
+    Spectra are taken ``PIECE`` frames at a time: of long media only what is returned grows."""
     frames = max(1, -(-(len(x) - WINDOW) // HOP) + 1)
-    x = np.concatenate([x, np.zeros((frames - 1) * HOP + WINDOW - len(x), np.float32)]) if len(x) < (frames - 1) * HOP + WINDOW else x
-    cut = np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::HOP][:frames] * _HANN
-    power = np.abs(np.fft.rfft(cut, axis=1)).astype(np.float32) ** 2
-    return np.log(power @ _mel(rate) + np.float32(1e-6)), 10 * np.log10(np.square(cut, dtype=np.float64).mean(axis=1) + 1e-10)
+    mel, energy = np.empty((frames, MELS), np.float32), np.empty(frames)
+    for first in range(0, frames, PIECE):
+        some = min(PIECE, frames - first)
+        piece = x[first * HOP : (first + some - 1) * HOP + WINDOW]
+        piece = np.append(piece, np.zeros((some - 1) * HOP + WINDOW - len(piece), np.float32))
+        cut = np.lib.stride_tricks.sliding_window_view(piece, WINDOW)[::HOP] * _HANN
+        power = np.abs(np.fft.rfft(cut, axis=1)).astype(np.float32) ** 2
+        mel[first : first + some] = np.log(power @ _mel(rate) + np.float32(1e-6))
+        energy[first : first + some] = 10 * np.log10(np.square(cut, dtype=np.float64).mean(axis=1) + 1e-10)
+    return mel, energy
 
 
 def segments(energy: np.ndarray) -> list[tuple[int, int]]:
@@ -148,12 +158,15 @@ def tensors(stored: bytes) -> pa.Table:
 
 
 def store(df: DataFrame, text: str = "text") -> DataFrame:
-    """``text`` replaced by ``n_bytes`` (its UTF-8 length) and ``media``."""
+    """``text`` replaced by ``n_bytes`` (its UTF-8 length) and ``media``; columns of
+    these names give way."""
+    df = df.drop(*({"n_bytes", "media"} - {text}))
     at = df.columns.index(text)
     fields = list(df.schema.fields)
     fields[at : at + 1] = [T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("audio", lambda: None)
         for batch in small_batches(batches):
             raw = [x or b"" for x in batch.column(at).cast(pa.binary()).to_pylist()]
             arrays, names = list(batch.columns), list(batch.schema.names)
@@ -161,7 +174,7 @@ def store(df: DataFrame, text: str = "text") -> DataFrame:
             names[at : at + 1] = ["n_bytes", "media"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return df.mapInArrow(run, T.StructType(fields))
+    return arrow_map(df, run, T.StructType(fields))
 
 
 _SEGMENTS = pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())]))
@@ -169,12 +182,14 @@ _SEGMENTS = pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())])
 
 def features(df: DataFrame, media: str = "media") -> DataFrame:
     """``df`` with ``payload`` (the samples), ``tensors``, ``frames`` and ``segments``
-    (time spans in seconds) at the end."""
-    at = df.columns.index(media)
+    (time spans in seconds) at the end; columns of these names give way."""
     span = T.ArrayType(T.StructType([T.StructField("start", T.DoubleType()), T.StructField("end", T.DoubleType())]))
     more = [T.StructField("payload", T.BinaryType()), T.StructField("tensors", T.BinaryType()), T.StructField("frames", T.IntegerType()), T.StructField("segments", span)]
+    kept = [f for f in df.schema.fields if f.name not in {m.name for m in more}]
+    at = [f.name for f in kept].index(media)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("audio", lambda: None)
         for batch in small_batches(batches, 128):
             payloads, stored, frames, spans = [], [], [], []
             for wav in batch.column(at).to_pylist():
@@ -189,5 +204,6 @@ def features(df: DataFrame, media: str = "media") -> DataFrame:
                 [*batch.columns, pa.array(payloads, pa.binary()), pa.array(stored, pa.binary()), pa.array(frames, pa.int32()), pa.array(spans, _SEGMENTS)],
                 names=[*batch.schema.names, "payload", "tensors", "frames", "segments"],
             )
+        trim()
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *more]))
+    return arrow_map(df.drop(*(f.name for f in more)), run, T.StructType([*kept, *more]))

@@ -194,6 +194,9 @@ def test_scores_keep_rows_and_clashing_columns(spark, docs, none):
     got = quality.score(docs.select("doc_id", "text", F.col("score").alias("lang")), model).collect()
     assert len(got) == len(ROWS) and all(0 <= r.score <= 1 for r in got)
     assert quality.score(none.select("doc_id", "text"), quality.train(none, labels)).count() == 0
+    # an id that repeats counts once a label, whatever the number and order of its rows
+    more = docs.union(spark.createDataFrame([(9, "other text", None, None)] * 50, DOCS))
+    assert quality.train(docs.union(docs), labels.union(labels)).base == model.base == quality.train(more, labels).base
 
 
 def test_bpe_and_audio_round_trips(docs):
@@ -205,6 +208,31 @@ def test_bpe_and_audio_round_trips(docs):
     assert sorted(hashlib.sha256(r.payload).hexdigest() for r in rows) == sorted(hashlib.sha256(audio.padded((t or "").encode())).hexdigest() for _, t, *_ in ROWS)
 
 
+def test_audio_of_edge_cases_and_clashing_columns(spark, docs, none):
+    clash = spark.createDataFrame([(1, "abc", 5, "m", "p", 1), (2, None, None, None, None, None)], "doc_id long, text string, n_bytes long, media string, payload string, frames long")
+    got = audio.features(audio.store(clash).withColumn("payload", F.lit("old"))).orderBy("doc_id")
+    assert got.columns == ["doc_id", "n_bytes", "media", "payload", "tensors", "frames", "segments"]
+    assert [(r.n_bytes, bytes(r.payload), r.frames) for r in got.collect()] == [(3, b"abc" + bytes(61), 1), (0, bytes(64), 1)]
+    assert audio.features(audio.store(none.select("doc_id", "text"))).count() == 0
+    twice = audio.features(audio.store(docs.select("text").where("text like 'the%'"))).distinct().count()
+    assert twice == 1  # equal texts, equal values
+
+
+def test_audio_query_rows_equal_brute_force(spark):
+    from pavestat.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    rows = queries.op6_audio(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        raw = (texts[r.doc_id] or "").encode()
+        own = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        assert (r.n_bytes, r.payload_bytes, r.media_bytes) == (len(raw), len(own), len(own) + 44)
+        assert r.payload_sha256 == hashlib.sha256(own).hexdigest() and r.tail_crc32 == zlib.crc32(own[-64:])
+        assert r.media_sha256 == hashlib.sha256(audio.to_wav(own)).hexdigest()
+
+
 def test_languages_and_their_spans(spark, docs):
     rows = [(k, " ".join(["the house and the tree with water"] * 5), "en") for k in range(30)] + [(100 + k, " ".join(["das haus und der baum mit wasser"] * 5), "de") for k in range(30)]
     model = lang_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))

@@ -179,6 +179,16 @@ def test_audio_store_is_lossless_and_tensors_have_a_fixed_shape():
     assert audio.segments(np.full(5, -100.0)) == []
 
 
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 384, 385, 128 * 40 + 7, 128 * 41 + 128])
+def test_spectra_by_pieces_are_those_of_the_whole(monkeypatch, n):
+    x = np.random.default_rng(n).normal(size=n).astype(np.float32)
+    whole = audio.log_mel(x, 8000)
+    monkeypatch.setattr(audio, "PIECE", 7)
+    for a, b in zip(whole, audio.log_mel(x, 8000), strict=True):
+        assert a.shape == b.shape and np.allclose(a, b, atol=1e-5)
+    assert len(whole[0]) == max(1, -(-(n - 256) // 128) + 1)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 150), min_size=1, max_size=4), st.integers(2, 3), st.integers(0, 10**6), st.floats(0, 3))
 def test_viterbi_is_the_textbook_one(lengths, states, seed, penalty):

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import expr as E
-from ..functions import markings, raster
+from ..functions import markings, profiles, raster
 from . import localization, readiness
 
 #: Rows of images that a worker is sent at once.
@@ -267,3 +267,43 @@ def darkness(df: DataFrame, image: str = "image") -> DataFrame:
         return {"dark_share": float(((picture.max(axis=2) if picture.ndim == 3 else picture) < 100).mean())}
 
     return _mapped(df, "dark_share double", kernel)
+
+
+def smoothed_lines(df: DataFrame, along: str, across: str, floor: float) -> DataFrame:
+    """``df`` with ``smooth_along`` and ``smooth_across``: a line's samples in order, one a
+    place, without spikes and smoothed; ``spikes`` counts those replaced."""
+
+    def kernel(row: dict) -> dict:
+        t, y, spikes = profiles.smoothed_curve(np.array(row[along], float), np.array(row[across], float), floor)
+        return {"smooth_along": t.tolist(), "smooth_across": y.tolist(), "spikes": int(spikes.sum())}
+
+    return _mapped(df, "smooth_along array<double>, smooth_across array<double>, spikes int", kernel)
+
+
+def width_courses(df: DataFrame, along: str, widths: str, weights: str | None = None, full: float = profiles.FULL_RESIDUAL) -> DataFrame:
+    """``df`` with the course of a lane's width (``course``: constant, linear_taper,
+    piecewise_transition, unknown), the score of each course, the ``margin`` to the next best,
+    the place of the ``bend`` and the expected widths. Without ``weights`` samples weigh alike."""
+
+    def kernel(row: dict) -> dict:
+        y = np.array(row[widths], float)
+        found = profiles.width_course(np.array(row[along], float), y, np.ones(len(y)) if weights is None else np.array(row[weights], float), full)
+        scores = {f"bic_{short}": found["bic"].get(name) for short, name in (("constant", "constant"), ("linear", "linear_taper"), ("bent", "piecewise_transition"))}
+        return {k: found[k] for k in ("course", "margin", "bend")} | scores | {"expected": None if found["expected"] is None else found["expected"].tolist()}
+
+    return _mapped(df, "course string, margin double, bend double, bic_constant double, bic_linear double, bic_bent double, expected array<double>", kernel)
+
+
+def paint_patterns(df: DataFrame, evidence: str, weight: str, along: str, told: str | None = None) -> DataFrame:
+    """``df`` with the pattern of a marking by evidence of paint along it: ``pattern``, where
+    it is from, ``confidence``, the cut of evidence, runs of paint and gaps, the fitted period
+    and the ``expected`` template. ``told`` names a column of trusted patterns."""
+    kinds = {"pattern": "string", "source": "string", "seen_pattern": "string", "conflict": "boolean", "readable": "int", "runs": "int", "gaps": "int", "expected": "array<double>"}
+    numbers = ["confidence", "cut", "evidence_mean", "peak", "on_share", "dashed_score", "gain", "period", "duty", "phase", "periodicity", "cycles", "mean_run", "median_run", "run_cv", "mean_gap", "median_gap", "gap_cv"]
+
+    def kernel(row: dict) -> dict:
+        found = profiles.paint_pattern(row[evidence], row[weight], row[along], row[told] if told else None)
+        expected = found["expected"]
+        return found | {"evidence_mean": found["evidence"], "expected": None if expected is None else expected.tolist()}
+
+    return _mapped(df, ", ".join(f"{k} {v}" for k, v in (kinds | dict.fromkeys(numbers, "double")).items()), kernel)

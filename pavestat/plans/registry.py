@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .metric_queries import QUERIES
 from .model_queries import MODEL_QUERIES
+from .profile_queries import PROFILE_QUERIES
 from .readiness_queries import READINESS_QUERIES
 from .storage_queries import STORAGE_QUERIES
 
-ALL = QUERIES | MODEL_QUERIES | READINESS_QUERIES | STORAGE_QUERIES
+ALL = QUERIES | MODEL_QUERIES | READINESS_QUERIES | STORAGE_QUERIES | PROFILE_QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

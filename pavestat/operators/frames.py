@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import expr as E
-from ..functions import markings, profiles, raster
+from ..functions import alignment, markings, profiles, raster
 from . import localization, readiness
 
 #: Rows of images that a worker is sent at once.
@@ -307,3 +307,36 @@ def paint_patterns(df: DataFrame, evidence: str, weight: str, along: str, told:
         return found | {"evidence_mean": found["evidence"], "expected": None if expected is None else expected.tolist()}
 
     return _mapped(df, ", ".join(f"{k} {v}" for k, v in (kinds | dict.fromkeys(numbers, "double")).items()), kernel)
+
+
+def curvature_courses(df: DataFrame, along: str, curvature: str, weight: str, tau: float, reach: int = 1) -> DataFrame:
+    """``df`` with the diagnostics of a line's curvature, the kind of its course and the score
+    of each kind; nulls where too few samples can be relied on."""
+
+    def kernel(row: dict) -> dict:
+        found = alignment.diagnostics(*(np.array(row[c], float) for c in (along, curvature, weight)), tau, reach)
+        if found is None:
+            return {"kind": "unknown"}
+        told = alignment.course(found, tau)
+        scores = {f"bic_{short}": told["bic"].get(name) for short, name in (("straight", "straight"), ("constant", "constant_curve"), ("linear", "transition_curve"), ("bent", "piecewise"))}
+        return found | {k: told[k] for k in ("kind", "parts", "margin", "bend", "sure")} | scores
+
+    numbers = [*alignment.PARTS, "p95_gradient", "heading_change", "curvature_rms", "curvature_std", "support", "margin", "bend", "sure", "bic_straight", "bic_constant", "bic_linear", "bic_bent"]
+    return _mapped(df, "kind string, parts int, reversal_count int, " + ", ".join(f"{c} double" for c in numbers), kernel)
+
+
+def alignments(df: DataFrame, lanes: str, height: str, width: str, space: str = "image_proxy", scale: str | None = None, objects: str | None = None) -> DataFrame:
+    """``df`` with how its lanes bend: the image's complexity with its confidence, and a record
+    of each lane. ``scale`` names a column of pixels a unit (else the image's diagonal),
+    ``objects`` one of PNG masks of what hides the road."""
+
+    def kernel(row: dict) -> dict:
+        own = None if row[lanes] is None else [[(p["x"], p["y"]) if isinstance(p, dict) else p for p in x] for x in row[lanes]]
+        found = alignment.image(own, (row[height], row[width]), space, row[scale] if scale else None, _mask(row[objects]) if objects else None)
+        return found | {"lanes_told": found["lanes"]}
+
+    words = {"kind": "string", "parts": "int", "reversal_count": "int", "reason": "string"}
+    names = ["score", "confidence", "kind", "parts", "reversal_count", *alignment.PARTS, "p95_gradient", "heading_change", "curvature_rms", "curvature_std", "support", "tortuosity", "reason"]
+    one = ", ".join(f"{x}: {words.get(x, 'double')}" for x in names)
+    whole = "alignment_complexity double, complexity_confidence double, median_lane_complexity double, max_lane_complexity double, valid_lane_count int, unknown_lane_count int, unavailable_reason string"
+    return _mapped(df, f"{whole}, lanes_told array<struct<{one}>>", kernel)

@@ -91,3 +91,48 @@ def lane_paint_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.transform("x", lambda x, i: i * F.lit(1.5))
     d = frames.paint_patterns(lane_samples(spark, sf_dir).select("vec_id", p.alias("p"), q.alias("q"), s.alias("s")), "p", "q", "s")
     return d.select("vec_id", "runs", "gaps", *[r(F.col(c)).alias(c) for c in ("cut", "mean_run", "median_run", "gap_cv", "evidence_mean", "on_share", "dashed_score")])
+
+
+#: Weighted least squares by residuals, as above; reversals sample by sample.
+@query("""WITH RECURSIVE a AS (SELECT vec_id, i, x AS k, least(1::DOUBLE, 6 * abs(y)) AS w FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(list_reverse(embedding))::DOUBLE AS y, generate_subscripts(embedding, 1) AS i FROM embeddings)),
+ v AS (SELECT vec_id, i - 1 AS s, k, w, row_number() OVER (PARTITION BY vec_id ORDER BY i) AS j FROM a WHERE w >= 0.08),
+ b AS (SELECT vec_id, count(*) AS n, min(s) AS s0, max(s) AS s1, sum(w) AS sw, max(w) AS mw, greatest(sum(w) / max(w), 2) AS ne FROM v GROUP BY 1 HAVING count(*) >= 8),
+ d AS (SELECT x.vec_id, abs(z.k - y.k) / (z.s - y.s) AS g, x.w FROM v x JOIN v y ON x.vec_id = y.vec_id AND y.j = x.j - 5 JOIN v z ON x.vec_id = z.vec_id AND z.j = x.j + 5),
+ gv AS (SELECT vec_id, sum(g * w) / sum(w) AS variation FROM d GROUP BY 1),
+ q AS (SELECT vec_id, abs(k) AS k, sum(w) OVER (PARTITION BY vec_id ORDER BY abs(k), s) AS reach, sum(w) OVER (PARTITION BY vec_id) AS total FROM v), p AS (SELECT vec_id, min(k) AS p95 FROM q WHERE reach >= 0.95 * total GROUP BY 1),
+ hd AS (SELECT vec_id, sum(t) AS heading FROM (SELECT vec_id, (abs(k) + abs(lag(k) OVER o)) / 2 * (s - lag(s) OVER o) AS t FROM v WINDOW o AS (PARTITION BY vec_id ORDER BY s)) GROUP BY 1),
+ strong AS (SELECT v.vec_id, s, sign(k)::INT AS sg, 0.08 * (s1 - s0) AS apart, row_number() OVER (PARTITION BY v.vec_id ORDER BY s) AS j FROM v JOIN b ON v.vec_id = b.vec_id WHERE abs(k) >= 0.45::DOUBLE * 0.2::DOUBLE),
+ rv AS (SELECT vec_id, j, sg, s AS was, 0 AS c FROM strong WHERE j = 1 UNION ALL SELECT t.vec_id, t.j, CASE WHEN t.sg <> rv.sg AND t.s - was >= apart THEN t.sg ELSE rv.sg END, CASE WHEN t.sg <> rv.sg AND t.s - was >= apart THEN t.s ELSE was END, c + (t.sg <> rv.sg AND t.s - was >= apart)::INT FROM rv JOIN strong t ON t.vec_id = rv.vec_id AND t.j = rv.j + 1),
+ rc AS (SELECT vec_id, max(c) AS turns FROM rv GROUP BY 1),
+ e AS (SELECT v.*, (s - s0) / (s1 - s0) AS t, ne, sw, n FROM v JOIN b USING (vec_id)),
+ m AS (SELECT vec_id, sum(w * t) / sum(w) AS tm, sum(w * k) / sum(w) AS km, sum(w * t * k) / sum(w) AS tk, sum(w * t * t) / sum(w) AS tt FROM e GROUP BY 1),
+ l AS (SELECT e.*, km, tm, tt, k - km - (tk - tm * km) / (tt - tm * tm) * (t - tm) AS kr FROM e JOIN m USING (vec_id)),
+ hm AS (SELECT vec_id, c, any_value(n) AS n, count(*) FILTER (t <= c) AS left_n, sum(w * greatest(t - c, 0)) / sum(w) AS hm, sum(w * t * greatest(t - c, 0)) / sum(w) AS th FROM l, (SELECT 0.22::DOUBLE + x * 0.056::DOUBLE AS c FROM range(11) y(x)) GROUP BY 1, 2),
+ hr AS (SELECT l.vec_id, c, w, kr, greatest(t - c, 0) - hm - (th - tm * hm) / (tt - tm * tm) * (t - tm) AS hr FROM l JOIN hm USING (vec_id) WHERE least(left_n, l.n - left_n) >= greatest(4, floor(0.18 * l.n))),
+ pb AS (SELECT vec_id, c, sum(w * kr * kr) - sum(w * kr * hr) ** 2 / sum(w * hr * hr) AS sse FROM hr GROUP BY 1, 2), pm AS (SELECT vec_id, min(sse) AS sse FROM pb GROUP BY 1),
+ o AS (SELECT vec_id, sum(w * abs(k)) / sum(w) AS bendiness, sqrt(sum(w * k * k) / sum(w)) AS rms, sqrt(sum(w * (k - km) ** 2) / sum(w)) AS std, min(ne) AS ne, min(sw) AS sw, sum(w * k * k) AS s0, sum(w * (k - km) ** 2) AS s1, sum(w * kr * kr) AS s2 FROM l GROUP BY 1)
+ SELECT o.vec_id, round(bendiness, 6) AS bendiness, round(p95, 6) AS p95_curvature, round(variation, 6) AS curvature_variation, round(heading, 6) AS heading_change, round(rms, 6) AS curvature_rms, round(std, 6) AS curvature_std, coalesce(turns, 0)::INT AS reversal_count,
+ round(ne * ln(s0 / sw), 5) AS bic_straight, round(ne * ln(s1 / sw) + ln(ne), 5) AS bic_constant, round(ne * ln(s2 / sw) + 2 * ln(ne), 5) AS bic_linear, round(ne * ln(pm.sse / sw) + 4 * ln(ne), 5) AS bic_bent
+ FROM o JOIN p USING (vec_id) JOIN hd USING (vec_id) JOIN gv USING (vec_id) LEFT JOIN rc USING (vec_id) LEFT JOIN pm USING (vec_id)""")
+def lane_curvature_courses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values as curvature, the reversed ones as weights: diagnostics and the scores of kinds."""
+    rows = F.sequence(F.lit(0), F.lit(63)).cast("array<double>")
+    weight = F.transform(F.reverse("x"), lambda y: F.least(F.lit(1.0), 6 * F.abs(y)))
+    d = frames.curvature_courses(lane_samples(spark, sf_dir).select("vec_id", rows.alias("s"), F.col("x").alias("k"), weight.alias("w")), "s", "k", "w", 0.2, 5)
+    sums = [r(F.col(c)).alias(c) for c in ("bendiness", "p95_curvature", "curvature_variation", "heading_change", "curvature_rms", "curvature_std")]
+    return d.where("bendiness is not null").select("vec_id", *sums, "reversal_count", *[r(F.col(f"bic_{c}"), 5).alias(f"bic_{c}") for c in ("straight", "constant", "linear", "bent")])
+
+
+@query("""SELECT vec_id, 1 AS valid_lane_count, 1 AS unknown_lane_count, 0.1 * (2 + vec_id % 5) AS bendiness, 0.0::DOUBLE AS curvature_std, 'constant_curve' AS kind FROM embeddings""")
+def lane_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An arc of known radius and a lane of two points in each image: the curvature of an arc
+    is one over its radius, in parts of the scale."""
+    scale = 100.0
+    radius = scale / (0.1 * (2 + F.col("vec_id") % 5))
+    turn = F.transform(F.sequence(F.lit(0), F.lit(80)), lambda i: i * F.lit(2.0) / radius)
+    arc = F.transform(turn, lambda a: F.array(radius * F.cos(a), radius * F.sin(a) + 500))
+    short = F.slice(arc, 1, 2)
+    d = lane_samples(spark, sf_dir).select("vec_id", F.array(arc, short).alias("lanes"), F.lit(600).alias("height"), F.lit(800).alias("width"), F.lit(scale).alias("scale"))
+    got = frames.alignments(d, "lanes", "height", "width", "lane_width_normalized", "scale")
+    one = F.col("lanes_told")[0]
+    return got.select("vec_id", "valid_lane_count", "unknown_lane_count", F.round(one["bendiness"], 3).alias("bendiness"), F.round(F.abs(one["curvature_std"]), 3).alias("curvature_std"), one["kind"].alias("kind"))

@@ -45,8 +45,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_made: dict[str, list[str]] = {}
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables between steps that this application wrote, and tells how many. Call
+    it once the results that read them are written or collected: a DataFrame that still reads
+    them fails afterwards."""
+    gone = 0
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        own = spark._jvm.org.apache.hadoop.fs.Path(path)
+        gone += own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
+    return gone
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:

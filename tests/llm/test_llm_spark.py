@@ -111,6 +111,18 @@ def test_ngram_join_counts_every_link(spark, none, monkeypatch, ids):
     assert ngram_join.join(none, 3, 8, 10).count() == 0
 
 
+def test_tables_between_steps_are_released(spark, docs):
+    from pavestat.llm import common
+
+    common.release(spark)
+    kept = spark.conf.get("spark.checkpoint.dir", None)
+    assert ngram_join.join(docs.select("doc_id", "text"), words=3, num=90, den=100).count() == len(ROWS)
+    paths = list(common._made[spark.sparkContext.applicationId])
+    assert all(Path(x.removeprefix("file://")).exists() for x in paths) and paths
+    assert common.release(spark) == len(paths) and not any(Path(x.removeprefix("file://")).exists() for x in paths)
+    assert common.release(spark) == 0 and (kept is None or spark.conf.get("spark.checkpoint.dir") == kept)
+
+
 def test_components_of_a_long_path_and_of_nothing(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(900, 901)], "a long, b long")
     got = dict(components(edges).collect())

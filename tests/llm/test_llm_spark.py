@@ -270,6 +270,17 @@ def test_search_and_license_scan_edge_cases(docs, none, spark, monkeypatch):
     assert [(r.doc_id, r.license) for r in license_scan.scan(rows).collect()] == [(1, "MIT-notice")]
 
 
+def test_equal_queries_are_searched_once(spark, monkeypatch):
+    texts = ["one two three four", "two three four five", "six"]
+    rows = spark.createDataFrame([(k, texts[k % 3]) for k in range(90)], "doc_id long, text string")
+    monkeypatch.setattr(topk, "QUERY_BYTES", 100)
+    passes, written = [], topk.written
+    monkeypatch.setattr(topk, "written", lambda df, name, *a: passes.append(name) or written(df, name, *a))
+    got = topk.search(rows, F.lit(True), 2).collect()
+    assert passes.count("hits") == 1  # the index is read once for 39 bytes of unlike texts
+    assert sorted((r.query_id, r["rank"], r.doc_id) for r in got) == [(k, j, k % 3 + 3 * (j - 1)) for k in range(90) for j in (1, 2)]
+
+
 def test_duplicates_stage_equals_brute_force(spark):
     import corpus_pipeline as p
 

@@ -1,6 +1,7 @@
 """Kernels against brute force, without Spark."""
 
 import itertools
+import pickle
 import random
 import re
 
@@ -317,6 +318,36 @@ def test_top_k_in_a_shard_is_exact():
         assert got[k] == [(float(v), -i) for v, i in want]
 
 
+@pytest.mark.parametrize("posting", [0, 30, 1 << 40])
+def test_top_k_by_parts_is_exact_whatever_goes_into_the_product(monkeypatch, posting):
+    for name, value in (("POSTING", posting), ("PART_DOCS", 20), ("BATCH", 16), ("PAIRS", 50)):
+        monkeypatch.setattr(topk, name, value)
+    rng = random.Random(posting)
+    tongues = [[f"{c}{k}" for k in range(60)] for c in "abc"]
+    texts = [" ".join(rng.choices(tongues[k % 3], [1 / (1 + j) for j in range(60)], k=rng.choice([3, 30, 300]))).encode() for k in range(400)]
+    shard = topk.Shard(topk.Shard.pack(list(range(400)), texts))
+    # a part holds texts of one tongue
+    assert len(shard.parts) > 4
+    for a, b in zip(shard.parts[:-1].tolist(), shard.parts[1:].tolist(), strict=True):
+        assert len({int(i) % 3 for i in shard.ids[a:b]}) == 1
+    own = pickle.loads(pickle.dumps(topk.Queries(list(range(50)), [t.decode() for t in texts[:50]])))
+    doc, found, tf, length = topk.terms(texts)
+    own.weigh(*np.unique(found[np.isin(found, own.vocabulary)], return_counts=True), 400, int(length.sum()))
+    best = topk.Best(50, 5)
+    topk.search_shard(shard, own, best)
+    at = np.searchsorted(own.vocabulary, found)
+    known = np.isin(found, own.vocabulary)
+    whole = np.zeros((400, len(own.vocabulary)))
+    impact = np.rint(topk.SCALE * own.idf[at[known]] * tf[known] * (topk.K1 + 1) / (tf[known] + topk.K1 * (1 - topk.B + topk.B * length[doc[known]] / own.mean)))
+    whole[doc[known], at[known]] = np.maximum(impact, 1)
+    times = np.zeros((50, len(own.vocabulary)))
+    times[doc[known & (doc < 50)], at[known & (doc < 50)]] = tf[known & (doc < 50)]
+    points = times @ whole.T
+    for k in range(50):
+        want = np.lexsort((np.arange(400), -points[k]))[:5]
+        assert best.id[k].tolist() == want.tolist() and np.abs(best.score[k] - points[k][want]).max() <= times[k].sum()
+
+
 @pytest.mark.parametrize("name", ["GPL-2.0-or-later", "GPL-3.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later", "GPL-2.0-only", "GPL-3.0-only", "BSD-2-Clause", "BSD-3-Clause", "MIT", "ISC", "MPL-2.0", "Apache-2.0"])
 @pytest.mark.parametrize("before", [0, 37, 200])
 def test_licenses_are_told_from_their_rivals(name, before):

@@ -42,7 +42,7 @@ from .shingles import _words
 K1, B, SCALE = 1.2, 0.75, 1 << 20
 SHARD_BYTES, SHARD_DOCS = 32 << 20, 12288
 #: Queries of a batch; postings summed at once; cells of a part's rows for the product.
-BATCH, PAIRS, CELLS = 256, 1 << 16, 16 << 20
+BATCH, PAIRS, CELLS = 256, 1 << 16, 4 << 20
 #: A posting costs as much as so many cells of the product; a row for it is kept for terms in
 #: one of ``DENSE`` documents of the part or more.
 POSTING, DENSE = 200, 256
@@ -318,10 +318,20 @@ def search_shard(shard: Shard, queries: Queries, best: Best) -> None:
     keep = np.argsort(part, kind="stable")  # within a part postings stay by term
     cut = np.searchsorted(part[keep], np.arange(len(shard.parts)))
     keep, cut = (keep, cut) if shard.known.all() else (keep[(known := shard.known[doc[keep]] != 0)], np.append(0, np.cumsum(known))[cut])
-    doc, term, tf = doc[keep].astype(np.int64), term[keep], shard.counts[p[keep]].astype(np.float64)
-    norm = K1 * (1 - B + B * shard.lengths.astype(np.float64) / queries.mean)
-    impact = np.maximum(np.rint(SCALE * (queries.idf[term] * tf * (K1 + 1) / (tf + norm[doc]))), 1)
-    impact = impact.astype(np.float64)  # unpickled arrays have a type object of their own, with which np.add.at is 20 times slower
+    p, term = p[keep], term[keep]
+    del keep, part, doc, own, at, first, last
+    doc, impact = shard.docs[p].astype(np.int64), shard.counts[p].astype(np.float64)
+    del p
+    # in place, as these are the largest arrays of a task. Unpickled arrays have a type object of
+    # their own, with which np.add.at is 20 times slower: ``impact`` must not begin as one
+    norm = (K1 * (1 - B + B * shard.lengths.astype(np.float64) / queries.mean))[doc]
+    norm += impact
+    impact *= queries.idf[term]
+    impact *= K1 + 1
+    impact /= norm
+    del norm
+    impact *= SCALE
+    np.maximum(np.rint(impact, out=impact), 1, out=impact)
     # long documents first: they raise the floors
     for k in sorted(range(len(shard.parts) - 1), key=lambda k: -int(shard.lengths[shard.parts[k + 1] - 1])):
         a, b = int(shard.parts[k]), int(shard.parts[k + 1])
@@ -390,8 +400,9 @@ def _search_part(ids: np.ndarray, doc: np.ndarray, term: np.ndarray, impact: np.
             low[crowded] = np.maximum(low[crowded], kth.astype(np.float64) * (1 - err) ** 2)
             found[crowded] = score[crowded] >= low[crowded, None].astype(np.float32)
         r, c = np.divmod(np.flatnonzero(found), n)
-        for k in range(0, len(r), 4096):
-            i, j = r[k : k + 4096], c[k : k + 4096]
+        step = max(4 * PAIRS // max(len(block), 1), 64)
+        for k in range(0, len(r), step):
+            i, j = r[k : k + step], c[k : k + step]
             exact = rest[i, j] + np.einsum("ij,ji->i", weight[i].astype(np.float64), block[:, j].astype(np.float64))
             keep = exact >= floor[i]
             if keep.any():

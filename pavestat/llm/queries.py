@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, lang_id, license_scan, mixing, ngram_join, quality, token_output, topk, warc
+from . import audio, bpe, lang_id, license_scan, mixing, ngram_join, quality, token_output, topk, warc, whitening
 from .common import fold_of, spread, written
 
 
@@ -89,8 +89,19 @@ def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(rows)
+    if model is None:
+        return spark.createDataFrame([], "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double")
+    error = whitening.identity_error(rows, model)
+    found = whitening.whiten(rows, model).select("vec_id", "deviation", F.posexplode("whitened").alias("place", "whitened"))
+    share = F.element_at(F.lit(model.explained), F.col("place") + 1) if model.explained else F.lit(None).cast("double")
+    return found.select("vec_id", (F.col("place") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened", share.alias("explained"), F.lit(error).alias("identity_error"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_output, op2_ngram_join, op3_mixing, op4_warc, op5_quality, op6_audio, op7_bpe, op8_topk, op9_license_scan, op10_lang_id]
+    found = [op1_token_output, op2_ngram_join, op3_mixing, op4_warc, op5_quality, op6_audio, op7_bpe, op8_topk, op9_license_scan, op10_lang_id, op11_whitening]
     return {f.__name__: f for f in found}
 
 

@@ -3,7 +3,9 @@
 Each round maps every edge set to one with the same components and fewer hops, in a
 number of rounds that grows with the logarithm of the longest path. Rounds end at
 tables in the shared folder; a minimum by key is pre-aggregated before each shuffle,
-so a hot vertex is no hot task in the aggregation, and joins may be split by AQE.
+so a hot vertex is no hot task in the aggregation. Vertices of many edges (``HUB``) are
+joined by broadcast, apart from the others: their number is at most the edges' by ``HUB``,
+and it is checked.
 """
 
 from __future__ import annotations
@@ -11,9 +13,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import sized_broadcast, written
 
 MOST_ROUNDS = 60
+#: Edges from which a vertex is a hub, and hubs that are broadcast at most (16 bytes each).
+HUB, MOST_HUBS = 256, 1 << 20
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -23,8 +27,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    joined = both.join(least, "a")
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    hubs = sized_broadcast(written(least.where(F.col("n") > HUB).select("a", "m"), "hubs"), MOST_HUBS)
+    others = both.join(hubs, "a", "left_anti").join(least.where(F.col("n") <= HUB).select("a", "m"), "a")
+    joined = both.join(hubs, "a").unionByName(others)
     if large:
         return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
     moved = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))

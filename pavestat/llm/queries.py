@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, lang_id, license_scan, mixing, ngram_join, quality, token_output, topk, warc, whitening
+from . import audio, bpe, lang_id, license_scan, mixing, ngram_join, quality, simhash, token_output, topk, warc, whitening
 from .common import fold_of, spread, written
 
 
@@ -100,8 +100,12 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", (F.col("place") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened", share.alias("explained"), F.lit(error).alias("identity_error"))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, distance=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_output, op2_ngram_join, op3_mixing, op4_warc, op5_quality, op6_audio, op7_bpe, op8_topk, op9_license_scan, op10_lang_id, op11_whitening]
+    found = [op1_token_output, op2_ngram_join, op3_mixing, op4_warc, op5_quality, op6_audio, op7_bpe, op8_topk, op9_license_scan, op10_lang_id, op11_whitening, op12_simhash]
     return {f.__name__: f for f in found}
 
 

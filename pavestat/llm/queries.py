@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, lang_id, license_scan, mixing, ngram_join, quality, simhash, token_output, topk, warc, whitening
+from . import audio, bpe, conversations, lang_id, license_scan, mixing, ngram_join, quality, simhash, token_output, topk, warc, whitening
 from .common import fold_of, spread, written
 
 
@@ -104,8 +104,13 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, distance=4)
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversations.repair(conversations.damaged(rows), F.col("present"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_output, op2_ngram_join, op3_mixing, op4_warc, op5_quality, op6_audio, op7_bpe, op8_topk, op9_license_scan, op10_lang_id, op11_whitening, op12_simhash]
+    found = [op1_token_output, op2_ngram_join, op3_mixing, op4_warc, op5_quality, op6_audio, op7_bpe, op8_topk, op9_license_scan, op10_lang_id, op11_whitening, op12_simhash, op13_conversation_repair]
     return {f.__name__: f for f in found}
 
 
@@ -138,6 +143,46 @@ OP8_SQL = f"""WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(te
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY points DESC, doc_id) AS rank FROM s) SELECT query_id, rank::INT AS rank, doc_id, points / {topk.SCALE} AS score FROM r WHERE rank <= 10"""
 
 
+def _edited(state: str, cost: str | int, letters: str) -> str:
+    """A state of the SQL below, twelve digits of cost and then the audit, after more edits."""
+    return f"(lpad((substr({state}, 1, 12)::BIGINT + {cost})::VARCHAR, 12, '0') || substr({state}, 13) || '{letters}')"
+
+
+def _op13_sql() -> str:
+    """All ways through the lattice, a row at a time: no order of search, no heuristic. States are
+    strings that compare by cost, then audit; null where there is no way. The check sum is
+    worked out bit by bit."""
+    crc = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"
+    write = lambda state, initial: f"CASE WHEN must THEN NULL WHEN initial = '{initial}' THEN {_edited(state, 'torn', 'K')} ELSE {_edited(state, '(torn + 1)', 'R')} END"
+    stepped = ", ".join([
+        f"{_edited('c0', 2, 'D')} AS t0",
+        f"least({_edited('c1', 2, 'D')}, CASE WHEN NOT must AND initial = 's' THEN {_edited('c0', 'torn', 'K')} END) AS t1",
+        f"least({_edited('c2', 2, 'D')}, {write('c0', 'u')}, {write('c1', 'u')}, {write('c3', 'u')}) AS t2",
+        f"least({_edited('c3', 2, 'D')}, {write('c2', 'a')}) AS t3",
+    ])
+    closed = f"t0, t1, least(t2, {_edited('t0', 5, 'I')}, {_edited('t1', 5, 'I')}, {_edited('t3', 5, 'I')}), least(t3, {_edited('t2', 5, 'I')}, {_edited('t0', 10, 'II')}, {_edited('t1', 10, 'II')})"
+    return rf"""WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc} % 20 AS k FROM conversations),
+ g AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+  unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k),
+ n AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM g),
+ f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+  WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE 'o' END AS fault FROM n),
+ r AS (SELECT *, fault IN ('b', 'd') AS must, CASE fault WHEN 't' THEN 5 ELSE 0 END AS torn, substr(role, 1, 1) AS initial, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM f),
+ s AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+  count(*) FILTER (i > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, list(role ORDER BY i) AS roles, list(text ORDER BY i) AS texts FROM r GROUP BY conv_id),
+ p(conv_id, i, c0, c1, c2, c3) AS (SELECT DISTINCT conv_id, 0::BIGINT, '000000000000', NULL::VARCHAR, '000000000005I', '000000000010II' FROM conversations
+  UNION ALL SELECT conv_id, i, {closed} FROM (SELECT p.conv_id, r.i, {stepped} FROM p JOIN r ON p.conv_id IS NOT DISTINCT FROM r.conv_id AND r.i = p.i + 1)),
+ e AS (SELECT p.conv_id, s.* EXCLUDE (conv_id), least(c0, c3) AS way FROM p LEFT JOIN s ON p.conv_id IS NOT DISTINCT FROM s.conv_id WHERE p.i = coalesce(s.n, 0)),
+ a AS (SELECT *, substr(way, 13) AS audit, length(replace(substr(way, 13), 'D', '')) AS m FROM e),
+ o AS (SELECT *, list_transform(list_filter(range(1, length(audit) + 1), lambda x: substr(audit, x, 1) <> 'D'), lambda x: {{'letter': substr(audit, x, 1), 'row': length(replace(substr(audit, 1, x), 'I', '')), 'place': length(replace(substr(audit, 1, x), 'D', ''))}}) AS edits FROM a)
+ SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+ substr(way, 1, 12)::BIGINT AS cost, audit, sha256(coalesce(array_to_string(list_transform(edits, lambda x: CASE WHEN x.letter = 'K' THEN roles[x.row] WHEN (x.place - m % 2) % 2 = 1 THEN 'user' ELSE 'assistant' END
+ || ':' || CASE WHEN x.letter = 'I' THEN '' ELSE texts[x.row] END), chr(10)), '')) AS repaired_sha256 FROM o"""
+
+
+OP13_SQL = _op13_sql()
+
+
 def oracle_sql() -> dict[str, str]:
     """What SQL can say of whole tables; the others have brute-force tests."""
-    return {"op2_ngram_join": OP2_SQL, "op4_warc": OP4_SQL, "op8_topk": OP8_SQL}
+    return {"op2_ngram_join": OP2_SQL, "op4_warc": OP4_SQL, "op8_topk": OP8_SQL, "op13_conversation_repair": OP13_SQL}

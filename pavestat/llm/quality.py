@@ -147,7 +147,8 @@ def fit(x: np.ndarray, y: np.ndarray) -> Trees:
 
 
 def _measured(df: DataFrame, text: str) -> DataFrame:
-    """``df`` with the column ``statistics`` in front."""
+    """``df`` with the column ``statistics`` in front; one of this name gives way."""
+    df = df.drop(*({"statistics"} - {text}))
     at = df.columns.index(text)
     schema = T.StructType([T.StructField("statistics", T.ArrayType(T.DoubleType())), *df.schema.fields])
 
@@ -173,7 +174,9 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", rows:
 
 
 def score(df: DataFrame, model: Trees, text: str = "text") -> DataFrame:
-    """``text`` replaced by ``score`` (double, 0 to 1), other columns as they are."""
+    """``text`` replaced by ``score`` (double, 0 to 1), other columns as they are, but one
+    named ``score``, which gives way."""
+    df = df.drop(*({"score"} - {text}))
     at = df.columns.index(text)
     fields = list(df.schema.fields)
     fields[at] = T.StructField("score", T.DoubleType())

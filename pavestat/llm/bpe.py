@@ -130,17 +130,19 @@ def tokenizer(path: str) -> ByteBpe:
 
 
 def _with(batch: pa.RecordBatch, at: int, **columns: pa.Array) -> pa.RecordBatch:
-    """``batch`` with column ``at`` replaced by ``columns``; others by position, so
-    that clashing names do no harm."""
+    """``batch`` with column ``at`` replaced by ``columns``."""
     arrays, names = list(batch.columns), list(batch.schema.names)
     arrays[at : at + 1], names[at : at + 1] = columns.values(), columns.keys()
     return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
-def _replaced(df: DataFrame, column: str, fields: list[T.StructField]) -> tuple[int, T.StructType]:
+def _replaced(df: DataFrame, column: str, fields: list[T.StructField]) -> tuple[DataFrame, int, T.StructType]:
+    """``df`` without columns that are named like ``fields``, the place of ``column`` in it, and
+    its schema with ``fields`` there."""
+    df = df.drop(*({f.name for f in fields} - {column}))
     at = df.columns.index(column)
     kept = list(df.schema.fields)
-    return at, T.StructType(kept[:at] + fields + kept[at + 1 :])
+    return df, at, T.StructType(kept[:at] + fields + kept[at + 1 :])
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -152,11 +154,11 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterato
 def encode(df: DataFrame, path: str, text: str = "text", decoded: str | None = None) -> DataFrame:
     """``text`` replaced by ``ids`` (binary) and ``n_tokens`` (long), and, with a name for
     ``decoded``, by what these ids decode to: in the same worker, as two chained Python
-    steps would keep twice as many workers."""
+    steps would keep twice as many workers. Other columns of these names give way."""
     fields = [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())]
     if decoded is not None:
         fields.append(T.StructField(decoded, T.StringType()))
-    at, schema = _replaced(df, text, fields)
+    df, at, schema = _replaced(df, text, fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("bpe", tokenizer.cache_clear)
@@ -171,8 +173,9 @@ def encode(df: DataFrame, path: str, text: str = "text", decoded: str | None = N
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
-    """``ids`` replaced by the decoded ``text``; null ids decode to a null text."""
-    at, schema = _replaced(df, ids, [T.StructField("text", T.StringType())])
+    """``ids`` replaced by the decoded ``text``; null ids decode to a null text. Another
+    column ``text`` gives way."""
+    df, at, schema = _replaced(df, ids, [T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("bpe", tokenizer.cache_clear)

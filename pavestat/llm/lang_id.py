@@ -170,15 +170,15 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
     order = [np.flatnonzero(inside == k) for k in range(int(chunks.max()))]
     for a, b in zip(order, order[1:], strict=False):
         enter[b] = (enter[b - 1][:, :, None] + move[b - 1]).max(axis=1)
-    back = np.empty((CHUNK, total, states), np.int8)
+    back = np.empty((CHUNK, total, states), np.int32)
     value = enter
     for t in range(CHUNK):
         top = value.max(axis=1, keepdims=True) - penalty
         stay = value >= top
         back[t] = np.where(stay, np.arange(states), value.argmax(axis=1)[:, None])
         value = grid[:, t] + np.maximum(value, top)
-    label = np.empty((CHUNK, total, states), np.int8)  # by the state a chunk ends in
-    state = np.repeat(np.arange(states, dtype=np.int8)[None], total, axis=0)
+    label = np.empty((CHUNK, total, states), np.int32)  # by the state a chunk ends in
+    state = np.repeat(np.arange(states, dtype=np.int32)[None], total, axis=0)
     for t in range(CHUNK - 1, -1, -1):
         label[t] = state
         state = np.take_along_axis(back[t], state.astype(np.int64), axis=1)
@@ -190,10 +190,11 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
 
 
 def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = TRAIN_ROWS) -> Model:
-    """A model from rows with text and language. Counts go to the driver summed, at
-    most ``BUCKETS`` (and the scripts) for each language."""
+    """A model from rows with text and language: those of ``rows`` ids, chosen by hash; rows
+    without an id do not teach. Counts go to the driver summed, at most ``BUCKETS`` (and
+    the scripts) for each language."""
     known = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
-    ids = known.select("k").orderBy(F.xxhash64("k"), "k").limit(rows).distinct()
+    ids = known.select("k").where("k is not null").distinct().orderBy(F.xxhash64("k"), "k").limit(rows)
     sample = known.join(F.broadcast(ids), "k", "left_semi").select("l", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,8 +12,8 @@ above are left, and the one slice per leaf that the budget falls in is ordered.
 rows are joined with is one row per leaf, broadcast only if there are few.
 
 Defined results: null branch values are a branch of their own; a null text has no
-tokens; a document is taken if the tokens up to and with it stay within the budget;
-ties in the order go by id, then by a hash of the row; rows without an id are ordered by
+tokens; a document is taken if the tokens up to and with it stay within the budget, so
+all of a leaf without tokens are taken once; ties in the order go by id, then by a hash of the row; rows without an id are ordered by
 that hash; a weight that is missing counts 1, children of weight 0 get what their
 siblings cannot take; rows that repeat are separate rows; other columns are kept, but
 ``mix_epoch`` and ``mix_tokens`` of the input are replaced; an empty table stays empty.
@@ -112,32 +112,37 @@ def mix(
     budget is ``total`` tokens, or ``share`` of the tokens that ``df`` has."""
     df = df.drop("mix_epoch", "mix_tokens")
     kept = df.columns
-    names = [f"__mix_branch_{k}" for k in range(len(branches))]
+    names = [f"branch_{k}" for k in range(len(branches))]
     rest = F.xxhash64(*[c for c in kept if c != doc_id]) if len(kept) > 1 else F.lit(0).cast("long")
-    own = df.select("*", F.coalesce(F.expr(tokens).cast("long"), F.lit(0)).alias("__mix_n"), *[(F.col(b) if isinstance(b, str) else b).cast("string").alias(n) for b, n in zip(branches, names, strict=True)])
+    # the input's columns go into one, so that none of them meets a name of this module
+    own = df.select(
+        F.struct(*kept).alias("row"), F.col(doc_id).alias("id"), rest.alias("other"), F.coalesce(F.expr(tokens).cast("long"), F.lit(0)).alias("n"),
+        *[(F.col(b) if isinstance(b, str) else b).cast("string").alias(n) for b, n in zip(branches, names, strict=True)],
+    )
     # one small row per leaf; every leaf's rows are pre-aggregated where they are read
-    sums = {tuple(r[:-1]): r[-1] for r in own.groupBy(*names).agg(F.sum("__mix_n")).collect()}
+    sums = {tuple(r[:-1]): r[-1] for r in own.groupBy(*names).agg(F.sum("n")).collect()}
     budget = total if total is not None else int(share * sum(sums.values()))
     plan = budgets(sums, weights, budget, epochs)
-    rows = [(*path, n // sums[path] if sums[path] else 0, n % sums[path] if sums[path] else 0) for path, n in plan.items()]
+    # a leaf without tokens is within any budget: one pass
+    rows = [(*path, *(divmod(n, sums[path]) if sums[path] else (1, 0))) for path, n in plan.items()]
     of_leaf = [f"{n}_p" for n in names]
-    schema = ", ".join([f"{n} string" for n in of_leaf] + ["__mix_whole long", "__mix_rest long"])
+    schema = ", ".join([f"{n} string" for n in of_leaf] + ["whole long", "left long"])
     same = functools.reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(p)) for n, p in zip(names, of_leaf, strict=True)])
     leaves = sized_broadcast(df.sparkSession.createDataFrame(rows, schema), BROADCAST_LEAVES)
     planned = own.join(leaves, same).drop(*of_leaf)
 
-    whole = planned.where("__mix_whole > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__mix_whole") - 1)))
-    part = planned.where("__mix_rest > 0").withColumn("mix_epoch", F.col("__mix_whole"))
-    part = part.withColumn("__mix_key", _key(seed, F.col("mix_epoch"), F.col(doc_id), rest)).withColumn("__mix_slice", F.shiftright("__mix_key", SLICE_SHIFT))
-    sliced = part.groupBy(*names, "__mix_slice").agg(F.sum("__mix_n").alias("__mix_s"), F.first("__mix_rest").alias("__mix_rest"))
-    running = sliced.withColumn("__mix_upto", F.sum("__mix_s").over(Window.partitionBy(*names).orderBy("__mix_slice")))
+    whole = planned.where("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)))
+    part = planned.where("left > 0").withColumn("epoch", F.col("whole"))
+    part = part.withColumn("key", _key(seed, F.col("epoch"), F.col("id"), F.col("other"))).withColumn("slice", F.shiftright("key", SLICE_SHIFT))
+    sliced = part.groupBy(*names, "slice").agg(F.sum("n").alias("s"), F.first("left").alias("left"))
+    running = sliced.withColumn("upto", F.sum("s").over(Window.partitionBy(*names).orderBy("slice")))
     # one row per leaf: the first slice that goes over the budget, and the tokens before it
-    over = F.min(F.struct(F.col("__mix_slice").alias("slice"), (F.col("__mix_upto") - F.col("__mix_s")).alias("before"))).alias("__mix_cut")
-    cuts = running.where(F.col("__mix_upto") > F.col("__mix_rest")).groupBy(*[F.col(n).alias(p) for n, p in zip(names, of_leaf, strict=True)]).agg(over)
+    over = F.min(F.struct("slice", (F.col("upto") - F.col("s")).alias("before"))).alias("cut")
+    cuts = running.where(F.col("upto") > F.col("left")).groupBy(*[F.col(n).alias(p) for n, p in zip(names, of_leaf, strict=True)]).agg(over)
     joined = part.join(sized_broadcast(written(cuts, "cuts"), BROADCAST_LEAVES), same)
-    order = Window.partitionBy(*names).orderBy("__mix_key", doc_id, rest).rowsBetween(Window.unboundedPreceding, 0)
-    inside = joined.where(F.col("__mix_slice") == F.col("__mix_cut.slice"))
-    inside = inside.withColumn("__mix_upto", F.col("__mix_cut.before") + F.sum("__mix_n").over(order)).where("__mix_upto <= __mix_rest")
-    below = joined.where(F.col("__mix_slice") < F.col("__mix_cut.slice"))
-    columns = [*kept, "mix_epoch", F.col("__mix_n").alias("mix_tokens")]
+    order = Window.partitionBy(*names).orderBy("key", "id", "other").rowsBetween(Window.unboundedPreceding, 0)
+    inside = joined.where(F.col("slice") == F.col("cut.slice"))
+    inside = inside.withColumn("upto", F.col("cut.before") + F.sum("n").over(order)).where("upto <= left")
+    below = joined.where(F.col("slice") < F.col("cut.slice"))
+    columns = [*[F.col("row").getField(c).alias(c) for c in kept], F.col("epoch").alias("mix_epoch"), F.col("n").alias("mix_tokens")]
     return functools.reduce(DataFrame.unionByName, [x.select(*columns) for x in (whole, below, inside)])

@@ -64,6 +64,15 @@ TEMPLATES = {
 }
 
 
+#: Attributes of public licences of one family, whose notices differ by them alone: rivals.
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+_GNU = {"GPL-2.0": ("General", "2"), "GPL-3.0": ("General", "3"), "LGPL-2.1": ("Lesser General", "2.1"), "LGPL-3.0": ("Lesser General", "3"), "AGPL-3.0": ("Affero General", "3")}
+_NOTICES = {f"CC-{code}-4.0-notice-long": f"This work is licensed under a Creative Commons {name} 4.0 International License." for code, name in _CC.items()}
+_NOTICES |= {f"CC-{code}-4.0-notice-short": f"Licensed under CC {code} 4.0." for code in _CC}
+_NOTICES |= {f"{code}-notice": f"This work is licensed under the GNU {name} Public License, version {version}." for code, (name, version) in _GNU.items()}
+TEMPLATES |= {name: text for name, text in _NOTICES.items() if text not in TEMPLATES.values()}
+
+
 def texts() -> dict[str, str]:
     """The whole texts of licences, by name."""
     return {p.stem + "-text": p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
@@ -132,7 +141,7 @@ class Index:
         for r, own, other in self.rivals[k]:
             if not len(own) and not len(other):
                 continue
-            more = max(0, self.sizes[r] - self.sizes[k])
+            more = max(0, self.sizes[r] - self.sizes[k]) + WORDS  # a rival may differ in its first or last word
             here = found[max(0, a - more) : max(a + 1, b + more - WORDS + 1)]
             theirs = np.isin(other, here).mean() if len(other) else None
             mine = np.isin(own, here).mean() if len(own) else 1 - theirs

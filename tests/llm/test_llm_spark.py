@@ -211,6 +211,39 @@ def test_scores_keep_rows_and_clashing_columns(spark, docs, none):
     assert quality.train(docs.union(docs), labels.union(labels)).base == model.base == quality.train(more, labels).base
 
 
+def test_scores_and_codes_with_columns_of_their_own_names(spark):
+    path = vocabulary("byte_bpe_50k.json")
+    clash = spark.createDataFrame([(1, "abc", 0.5, "s", b"i", 3, "b"), (2, None, None, None, None, None, None)], "doc_id long, text string, score double, statistics string, ids binary, n_tokens int, back string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    scored = quality.score(clash, quality.train(clash, labels))
+    assert scored.columns == ["doc_id", "score", "statistics", "ids", "n_tokens", "back"] and scored.count() == 2
+    coded = bpe.encode(clash, path, decoded="back")
+    assert coded.columns == ["doc_id", "ids", "n_tokens", "back", "score", "statistics"]
+    assert [r.back for r in coded.orderBy("doc_id").collect()] == ["abc", ""]
+    told = bpe.decode(coded.withColumn("text", F.lit("old")), path)
+    assert told.columns == ["doc_id", "text", "n_tokens", "back", "score", "statistics"]
+    assert [r.text for r in told.orderBy("doc_id").collect()] == ["abc", ""]
+
+
+def test_mixing_of_leaves_without_tokens_and_any_names(spark):
+    schema = "doc_id long, lang string, n long, row string, __mix_n int, branch_0 string, text string"
+    rows = [(k, "en", 1, "r", 2, "b", "w w") for k in range(20)] + [(100, "fr", 1, "r", 2, "b", None), (101, "fr", None, None, None, None, ""), (None, "fr", 1, "r", 2, "b", " ")]
+    out = mixing.mix(spark.createDataFrame(rows, schema), ["lang"], {}, share=0.5)
+    assert out.columns == [*(c.split()[0] for c in schema.split(", ")), "mix_epoch", "mix_tokens"]
+    got = out.collect()
+    assert sum(r.mix_tokens for r in got) == 20 and sorted(str(r.doc_id) for r in got if r.lang == "fr") == ["100", "101", "None"]
+
+
+@pytest.mark.parametrize("languages", [127, 128, 129, 300])
+def test_viterbi_labels_many_languages(languages):
+    import numpy as np
+
+    want = np.array([languages - 1] * 70 + [0] * 5 + [languages // 2] * 70)
+    scores = np.full((len(want), languages), -9.0, np.float32)
+    scores[np.arange(len(want)), want] = 0
+    assert lang_id.viterbi(scores, np.array([75, 70]), 12.0).tolist() == want.tolist()
+
+
 def test_bpe_and_audio_round_trips(docs):
     path = vocabulary("byte_bpe_50k.json")
     got = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path), path).collect()

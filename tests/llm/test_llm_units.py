@@ -357,6 +357,13 @@ def test_licenses_are_told_from_their_rivals(name, before):
     assert found == {name}
 
 
+@pytest.mark.parametrize("name", sorted(license_scan._NOTICES))
+def test_notices_of_one_family_are_told_apart(name):
+    index = license_scan.Index(license_scan.TEMPLATES | license_scan.texts())
+    text = " ".join([*(f"w{k}" for k in range(37)), license_scan._NOTICES[name], *(f"v{k}" for k in range(90))])
+    assert {m[0].split("-notice")[0] for m in index.find(text)} == {name.split("-notice")[0]}
+
+
 @pytest.mark.parametrize("listed", [1, 24])
 def test_partial_overlaps_are_summed_to_links(monkeypatch, listed):
     monkeypatch.setattr(ngram_join, "LISTED", listed)

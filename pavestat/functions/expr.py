@@ -69,6 +69,15 @@ def pearson(x: Column, y: Column) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
+def weighted_pearson(x: Column, y: Column, n: Column) -> Column:
+    """Of pairs that stand there ``n`` times each; for ranks, whose spread is of the size of
+    their mean, as sums lose digits otherwise. Null where a side does not vary."""
+    n = n.cast("double")
+    spread = lambda a, b: F.sum(n * a * b) - F.sum(n * a) * F.try_divide(F.sum(n * b), F.sum(n))
+    varies = lambda a: F.when(spread(a, a) > 1e-12 * F.sum(n * a * a), spread(a, a))
+    return F.try_divide(spread(x, y), F.sqrt(varies(x)) * F.sqrt(varies(y)))
+
+
 def tags(c: Column) -> Column:
     """A tag list with null as the empty one and no null elements."""
     return F.coalesce(F.array_compact(c), F.array().cast("array<string>"))

@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import numbered
 from .relational import pick, unique
 
 
@@ -130,22 +131,6 @@ def positional(samples: DataFrame, records: DataFrame, order: Sequence[str], rec
     return a.join(b.drop(*clash), "position", "left")
 
 
-def numbered(df: DataFrame, order: Sequence[str], buckets: int = 32) -> DataFrame:
-    """``df`` with ``position`` from 0 by ``order``, which tells all rows apart. Rows are cut
-    into ``buckets`` by sampled bounds of the first column; a count per bucket says where its
-    numbers begin."""
-    first = order[0]
-    quantiles = df.stat.approxQuantile(first, [k / buckets for k in range(1, buckets)], 0.01) if dict(df.dtypes)[first] in ("int", "bigint", "double", "float") else []
-    bounds = sorted(set(quantiles))
-    bucket = sum(((F.col(first) > b).cast("int") for b in bounds), F.lit(0))
-    own = df.withColumn("__bucket", F.coalesce(bucket, F.lit(-1)))
-    starts = own.groupBy("__bucket").agg(F.count("*").alias("__c"))
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
-    starts = starts.select("__bucket", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__start"))
-    at = F.row_number().over(Window.partitionBy("__bucket").orderBy(*order))
-    return own.join(F.broadcast(starts), "__bucket").withColumn("position", F.col("__start") + at - 1).drop("__bucket", "__start")
-
-
 def by_directory(df: DataFrame, rank: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Of results of one key in several folders those of the last folder, all its rows."""
     top = F.max(rank).over(Window.partitionBy(*keys))

@@ -126,13 +126,14 @@ def operating_point(curve: DataFrame, group: Sequence[str], threshold: str, scor
 def select_delta(df: DataFrame, key: Sequence[str], forward: str, backward: str, grid: Sequence[float], percentile: float = 0.9) -> DataFrame:
     """One row: the knee of the mean F1 over ``grid``, the percentile of the pooled finite
     distances, and the chosen tolerance with its rule."""
-    from .relational import percentiles, support_curve
+    from .order import percentiles
+    from .relational import support_curve
 
     curve = support_curve(df, key, forward, backward, grid)
     bend = knee(curve, [], "delta", "mean_f1")
     pooled = df.select(F.explode(forward).alias("d")).where(E.finite(F.col("d")).isNotNull())
     share = percentiles(pooled, [], F.col("d"), [percentile]).select(F.col("q0").alias("delta_percentile"))  # one row
-    both = bend.crossJoin(share)
+    both = bend.crossJoin(F.broadcast(share))
     rule = F.when(F.col("knee").isNotNull(), "f1_knee").when(F.col("delta_percentile").isNotNull(), "gt_error_percentile").otherwise("undefined_insufficient_data")
     return both.select(F.col("knee").alias("delta_knee"), "delta_percentile", F.coalesce("knee", "delta_percentile").alias("delta_selected"), rule.alias("selection_rule"))
 

@@ -10,11 +10,12 @@ import math
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import expr as E
+from .order import percentiles, ranked_pairs, same_keys
 
 #: Weights of the scores and the names that a measure had before.
 R1_TERMS = [("I1_pattern_continuity", "I1", 0.35), ("I2_local_contrast", "I2", 0.35), ("I3_boundary_sharpness", "I3", 0.20)]
@@ -109,31 +110,6 @@ def degradation(df: DataFrame, condition: str, least: int = 10, baseline: str |
     return out.select(F.lit(condition).alias("condition_key"), "condition", "baseline", "n", drops[0].alias("readability_drop"), drops[1].alias("detection_drop"), (drops[0] + drops[1]).alias("degradation"))
 
 
-def average_ranks(df: DataFrame, group: Sequence[str], value: str, as_: str, bins: int = 1024) -> DataFrame:
-    """``df`` with the average rank of ``value`` in its group. Equal values are counted first;
-    counts run inside ``bins`` of a group's range and over the bins: no task orders a group."""
-    by = df.groupBy(*group, value).agg(F.count("*").alias("__n"))
-    ends = by.groupBy(*group).agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
-    by = same_keys(by, ends, group).withColumn("__bin", F.coalesce(F.floor(F.try_divide(F.col(value) - F.col("__low"), F.col("__high") - F.col("__low")) * bins), F.lit(0)))
-    before = Window.partitionBy(*group).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    below = by.groupBy(*group, "__bin").agg(F.sum("__n").alias("__s")).select(*group, "__bin", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__below"))
-    inside = Window.partitionBy(*group, "__bin").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = same_keys(by, below, [*group, "__bin"]).select(*group, value, (F.col("__below") + F.coalesce(F.sum("__n").over(inside), F.lit(0)) + (F.col("__n") + 1) / 2).alias(as_))
-    return same_keys(df, ranked, [*group, value])
-
-
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Joined where the keys are equal or both null; without keys each with each (one row)."""
-    if not keys:
-        return left.crossJoin(right)
-    renamed = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
-    on = None
-    for k in keys:
-        same = F.col(k).eqNullSafe(F.col(f"__right_{k}"))
-        on = same if on is None else on & same
-    return left.join(renamed, on).drop(*[f"__right_{k}" for k in keys])
-
-
 def _tail(r: float, n: int) -> float | None:
     """Two-sided probability of a correlation of ``n`` pairs under none: the incomplete beta
     function of (n - 2) / 2 and 1 / 2 at 1 - r * r, by its continued fraction."""
@@ -171,11 +147,10 @@ def association(df: DataFrame, x: Column, y: Column, group: Sequence[str] = (),
     """Per group ``n, pearson, spearman, reason`` of the pairs where both are finite, and with
     ``p_values`` their probabilities. Under ``least`` pairs, or without spread, both are null."""
     pairs = df.select(*group, E.finite(x).alias("__x"), E.finite(y).alias("__y")).where("__x is not null and __y is not null")
-    ranked = average_ranks(average_ranks(pairs, group, "__x", "__rx"), group, "__y", "__ry")
-    found = ranked.groupBy(*group).agg(
-        F.count("*").alias("n"), E.pearson(F.col("__x"), F.col("__y")).alias("p"), E.pearson(F.col("__rx"), F.col("__ry")).alias("s"),
-        ((F.stddev_pop("__x") <= SPREAD) | (F.stddev_pop("__y") <= SPREAD)).alias("flat"),
-    )
+    flat = (F.stddev_pop("__x") <= SPREAD) | (F.stddev_pop("__y") <= SPREAD)
+    raw = pairs.groupBy(*group).agg(F.count("*").alias("n"), E.pearson(F.col("__x"), F.col("__y")).alias("p"), flat.alias("flat"))
+    ranked = ranked_pairs(pairs, group, "__x", "__y").groupBy(*group).agg(E.weighted_pearson(F.col("__rx"), F.col("__ry"), F.col("__n")).alias("s"))
+    found = same_keys(raw, ranked, group)
     reason = F.when(F.col("n") < least, f"insufficient_samples_n_lt_{least}").when(F.col("flat"), "zero_variance")
     told = found.select(*group, "n", F.when(reason.isNull(), F.col("p")).alias("pearson"), F.when(reason.isNull(), F.col("s")).alias("spearman"), reason.alias("reason"))
     if p_values:
@@ -244,7 +219,7 @@ def summary(df: DataFrame, least: int = 10, group: Sequence[str] = ()) -> DataFr
     means = means.withColumn("layer_r1", r1(own)).withColumn("layer_r2", r2(own)).withColumn("layer_r4", r4(F.col("layer_r1"), F.col("layer_r2")))
     if group:
         return means.withColumn("skipped", F.col("num_records") < least)
-    told = associations(df, least).where(F.col("name").isin("C1", "C2", "C3"))
+    told = associations(df, least, {c: LINKS[c] for c in ("C1", "C2", "C3")})
     c = told.agg(*[F.max(F.when(F.col("name") == n, F.col("spearman"))).alias(n) for n in ("C1", "C2", "C3")])  # one row
     out = means.crossJoin(F.broadcast(c))
     out = out.crossJoin(F.broadcast(_geometry_effect(df, least)))
@@ -274,10 +249,18 @@ def _geometry_effect(df: DataFrame, least: int, x: str = "I5_geometry_complexity
     if not {x, y} <= set(df.columns):
         return df.sparkSession.createDataFrame([(None,)], "C4 double")
     pairs = df.select(E.finite(F.col(x)).alias("x"), E.finite(F.col(y)).alias("y")).where("x is not null and y is not null")
-    middle = pairs.agg(F.percentile("x", F.lit(0.5)).alias("m"), F.count("*").alias("n"), F.stddev_pop("x").alias("sd"))  # one row
-    low = F.col("x") <= F.col("m")
+    middle = percentiles(pairs, [], F.col("x"), [0.5])  # one row
+    low = F.col("x") <= F.col("q0")
     effect = F.avg(F.when(low, F.col("y"))) - F.avg(F.when(~low, F.col("y")))
-    return pairs.crossJoin(F.broadcast(middle)).agg(F.when((F.first("n") >= least) & (F.first("sd") > SPREAD), effect).alias("C4"))
+    return pairs.crossJoin(F.broadcast(middle)).agg(F.when((F.count("*") >= least) & (F.stddev_pop("x") > SPREAD), effect).alias("C4"))
+
+
+def wear_summary(rows: DataFrame, tag: str, score: str) -> DataFrame:
+    """Per bucket of wear: scored rows, mean, median, least and greatest score, to four places."""
+    own = rows.select(E.wear_bucket(F.col(tag)).alias("bucket"), E.finite(F.col(score)).alias("v")).where("v is not null")
+    found = own.groupBy("bucket").agg(F.count("*").alias("n"), *[F.bround(f("v"), 4).alias(n) for n, f in (("mean", F.avg), ("least", F.min), ("most", F.max))])
+    middle = percentiles(own, ["bucket"], F.col("v"), [0.5]).select("bucket", F.bround("q0", 4).alias("median"))
+    return same_keys(found, middle, ["bucket"]).select("bucket", "n", "mean", "median", "least", "most")
 
 
 def bootstrap_difference(low: Sequence[float], high: Sequence[float], draws: int = 1000, seed: int = 13) -> tuple[float, float]:

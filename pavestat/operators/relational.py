@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import finite, pearson
-from .readiness import average_ranks, same_keys
+from ..functions.expr import finite, weighted_pearson
+from .order import percentiles, place, ranked_pairs, same_keys
 
 
 def pick(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -65,63 +65,35 @@ def top_and_bottom(df: DataFrame, group: Sequence[str], metric: str, k: int, tie
 def spearman(df: DataFrame, group: Sequence[str], x: str, y: str, least: int = 10) -> DataFrame:
     """Rank correlation per group with average ranks; null under ``least`` pairs."""
     pairs = df.select(*group, finite(F.col(x)).alias("__x"), finite(F.col(y)).alias("__y")).where("__x is not null and __y is not null")
-    ranked = average_ranks(average_ranks(pairs, group, "__x", "__xr"), group, "__y", "__yr")
-    return ranked.groupBy(*group).agg(F.count("*").alias("n"), F.when(F.count("*") >= least, pearson(F.col("__xr"), F.col("__yr"))).alias("rho"))
+    ranked = ranked_pairs(pairs, group, "__x", "__y")
+    n = F.sum("__n")
+    return ranked.groupBy(*group).agg(n.alias("n"), F.when(n >= least, weighted_pearson(F.col("__rx"), F.col("__ry"), F.col("__n"))).alias("rho"))
 
 
-#: Bins of the range of a column that an order statistic is looked for in.
-BINS = 4096
-
-
-def _bin(value: Column, low: Column, high: Column) -> Column:
-    return F.coalesce(F.least(F.floor(F.try_divide(value - low, high - low) * BINS), F.lit(BINS - 1)), F.lit(0)).cast("int")
-
-
-def place(df: DataFrame, value: str, ties: Sequence[str], k: int) -> DataFrame:
-    """One row, ``at``: the struct of ``value`` and ``ties`` at the place ``k`` from 0 in their
-    order. Only the bin of the value's range that holds the place is ordered; a number per bin
-    goes to the driver."""
-    low, high = df.agg(F.min(value), F.max(value)).first()
-    own = df.withColumn("__bin", _bin(F.col(value), F.lit(low), F.lit(high)))
-    before, here = 0, 0
-    for here, n in own.groupBy("__bin").count().orderBy("__bin").collect():
-        if before + n > k:
-            break
-        before += n
-    return own.where(F.col("__bin") == here).select(F.struct(value, *ties).alias("at")).orderBy("at").offset(k - before).limit(1)
+def third_bounds(df: DataFrame, x: str, ties: Sequence[str]) -> tuple[int, Row, Row]:
+    """The number of rows, and the last row by (x, ties) of the lowest third and the first of the
+    highest; a third is max(1, n // 3) rows."""
+    n = df.count()
+    third = max(1, n // 3)
+    low, high = (place(df, [x, *ties], k) for k in (third - 1, n - third))
+    return n, low, high
 
 
-def percentiles(df: DataFrame, group: Sequence[str], value: Column, qs: Sequence[float]) -> DataFrame:
-    """Per group exact percentiles ``q0, q1, ...`` of the finite values, between values where
-    they fall so. Counts by bin of a group's range tell which bins hold them; only those are
-    ordered, so no task holds a group's values."""
-    own = df.select(*group, finite(value).alias("__v")).where("__v is not null")
-    ends = own.groupBy(*group).agg(F.min("__v").alias("__low"), F.max("__v").alias("__high"), F.count("*").alias("__n"))
-    binned = same_keys(own, ends, group).withColumn("__bin", _bin(F.col("__v"), F.col("__low"), F.col("__high")))
-    counts = binned.groupBy(*group, "__bin").agg(F.count("*").alias("__c"), F.first("__n").alias("__n"))
-    over = Window.partitionBy(*group).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("__before", F.coalesce(F.sum("__c").over(over), F.lit(0)))
-    at = lambda q: (F.col("__n") - 1) * F.lit(float(q))
-    asked = F.array(*[F.struct(F.lit(k).alias("q"), rank.cast("long").alias("rank"), share.alias("share")) for k, q in enumerate(qs) for rank, share in ((F.floor(at(q)), 1 - (at(q) - F.floor(at(q)))), (F.floor(at(q)) + 1, at(q) - F.floor(at(q))))])
-    inside = lambda z: (z["rank"] >= F.col("__before")) & (z["rank"] < F.col("__before") + F.col("__c")) & (z["share"] > 0)
-    needed = counts.withColumn("__asked", F.filter(asked, inside)).where(F.size("__asked") > 0).select(*group, "__bin", "__before", "__asked")
-    held = same_keys(binned.select(*group, "__bin", "__v"), needed, [*group, "__bin"])
-    rank = F.row_number().over(Window.partitionBy(*group, "__bin").orderBy("__v")) - 1 + F.col("__before")
-    hits = held.withColumn("__rank", rank).select(*group, "__v", F.filter("__asked", lambda z: z["rank"] == F.col("__rank")).alias("__asked")).select(*group, "__v", F.inline("__asked"))
-    return hits.groupBy(*group).agg(*[F.sum(F.when(F.col("q") == k, F.col("__v") * F.col("share"))).alias(f"q{k}") for k in range(len(qs))])
+def _as_struct(row: Row, names: Sequence[str]) -> Column:
+    return F.struct(*[F.lit(v).alias(n) for v, n in zip(row, names, strict=True)])
 
 
 def tertile_effect(df: DataFrame, x: str, y: str, ties: Sequence[str], least: int = 10) -> DataFrame:
-    """Mean of ``y`` in the lowest third by ``x`` less that in the highest; a third is
-    max(1, n // 3) rows. Both cuts are bounds of (x, ties), each looked for in one bin of x."""
+    """Mean of ``y`` in the lowest third by ``x`` less that in the highest. ``ties`` are numbers
+    that tell rows of one x apart."""
     df = df.select(finite(F.col(x)).alias("__x"), finite(F.col(y)).alias("__y"), *ties).where("__x is not null and __y is not null")
     n = df.count()
-    third = max(1, n // 3)
     if n < least:
         return df.agg(F.lit(n).cast("long").alias("n"), F.lit(None).cast("double").alias("effect"))
-    low, high = (place(df, "__x", ties, k).select(F.col("at").alias(name)) for k, name in ((third - 1, "lo"), (n - third, "hi")))
-    joined = df.withColumn("o", F.struct("__x", *ties)).crossJoin(F.broadcast(low.crossJoin(high)))  # one row
-    return joined.agg(F.count("*").alias("n"), (F.avg(F.when(F.col("o") <= F.col("lo"), F.col("__y"))) - F.avg(F.when(F.col("o") >= F.col("hi"), F.col("__y")))).alias("effect"))
+    _, low, high = third_bounds(df, "__x", ties)
+    names = ["__x", *ties]
+    own = F.struct(*names)
+    return df.agg(F.count("*").alias("n"), (F.avg(F.when(own <= _as_struct(low, names), F.col("__y"))) - F.avg(F.when(own >= _as_struct(high, names), F.col("__y")))).alias("effect"))
 
 
 def median_split(df: DataFrame, x: str, y: str) -> DataFrame:

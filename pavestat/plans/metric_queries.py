@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
+from ..operators import order as O
 from ..operators import relational as R
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,7 +74,7 @@ def renormalised_score(spark: SparkSession, sf_dir: str) -> DataFrame:
  round(sum(fn) FILTER (WHERE f1 IS NOT NULL) / nullif(sum(gt) FILTER (WHERE f1 IS NOT NULL), 0), 6) AS pooled, bool_or(f1 > 0.09) AS any_high FROM rec GROUP BY flag, status""")
 def detection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     f1, d = F.col("f1"), records(spark, sf_dir)
-    middle = R.percentiles(d, ["flag", "status"], f1, [0.5]).withColumn("median_f1", r(F.col("q0"))).drop("q0")
+    middle = O.percentiles(d, ["flag", "status"], f1, [0.5]).withColumn("median_f1", r(F.col("q0"))).drop("q0")
     sums = d.groupBy("flag", "status").agg(
         F.count("*").alias("images"), F.count(f1).alias("eligible"), r(F.avg(F.when(f1 > 0.05, 1.0).otherwise(0.0))).alias("rate"), r(E.mean(f1)).alias("mean_f1"),
         r(F.stddev_pop(f1)).alias("sd_f1"), r(E.pooled(F.col("fn"), F.col("gt"), f1.isNotNull())).alias("pooled"),
@@ -115,7 +116,7 @@ def support_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, round(quantile_cont(value, 0.95), 6) AS p95 FROM events WHERE isfinite(value) GROUP BY event_type")
 def pooled_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = R.percentiles(table(spark, sf_dir, "events"), ["event_type"], F.col("value"), [0.95])
+    d = O.percentiles(table(spark, sf_dir, "events"), ["event_type"], F.col("value"), [0.95])
     return d.select("event_type", r(F.col("q0")).alias("p95"))
 
 
@@ -327,7 +328,7 @@ def predictor_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("o_totalprice")
     o = table(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "p")
     d = o.groupBy("p").agg(F.count("*").alias("n"), F.countDistinct("o_orderstatus").alias("levels"), F.min(x).alias("least"), F.max(x).alias("most"), r(F.stddev_samp(x), 4).alias("sd"))
-    d = d.join(R.percentiles(o, ["p"], x, [0.25, 0.5, 0.75]), "p")
+    d = d.join(O.percentiles(o, ["p"], x, [0.25, 0.5, 0.75]), "p")
     return d.select("p", "n", "levels", "least", *[r(F.col(f"q{k}")).alias(f"q{k + 1}") for k in range(3)], "most", "sd")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as E
 from ..operators import joins as J
 from ..operators import localization as L
+from ..operators import order as O
 from ..operators import readiness as D
 from .metric_queries import Query, r, table
 
@@ -297,14 +298,7 @@ def tag_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wear_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = F.replace(F.replace(F.lower("p_type"), F.lit("brass"), F.lit("Clearly Visible")), F.lit("steel"), F.lit("Low Contrast"))
     rows = table(spark, sf_dir, "part").select(named.alias("tag"), F.when(F.col("p_size") != 7, F.col("p_retailprice")).alias("I1"))
-    return wear_summary(rows, "tag", "I1")
-
-
-def wear_summary(rows: DataFrame, tag: str, score: str) -> DataFrame:
-    """Per bucket of wear: scored rows, mean, median, least and greatest score, to four places."""
-    v = F.col(score)
-    found = rows.where(E.finite(v).isNotNull()).groupBy(E.wear_bucket(F.col(tag)).alias("bucket"))
-    return found.agg(F.count("*").alias("n"), *[F.bround(x, 4).alias(n) for n, x in (("mean", F.avg(v)), ("median", F.percentile(v, F.lit(0.5))), ("least", F.min(v)), ("most", F.max(v)))])
+    return D.wear_summary(rows, "tag", "I1")
 
 
 @query("""WITH t AS (SELECT user_id, list_sort(list(DISTINCT CASE event_type WHEN 'click' THEN 'Clearly Visible' WHEN 'error' THEN 'occluded' ELSE event_type END)) AS a FROM events GROUP BY 1)
@@ -333,8 +327,8 @@ def figure_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means by model and dataset, the mean of those by model, and the quartiles of all images."""
     d = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("model"), F.col("l_linestatus").alias("dataset"), "l_discount", "l_quantity")
     means = d.groupBy("model", "dataset").agg(F.avg("l_discount").alias("m")).groupBy("model").agg(F.count("*").alias("datasets"), r(F.avg("m"), 8).alias("mean_of_means"))
-    boxes = d.groupBy("model").agg(F.percentile("l_quantity", F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q"))
-    return means.join(boxes, "model").select("model", "datasets", "mean_of_means", *[F.col("q")[k].alias(f"q{k + 1}") for k in range(3)])
+    boxes = O.percentiles(d, ["model"], F.col("l_quantity"), [0.25, 0.5, 0.75])
+    return means.join(boxes, "model").select("model", "datasets", "mean_of_means", *[F.col(f"q{k}").alias(f"q{k + 1}") for k in range(3)])
 
 
 @query("SELECT count(*) AS samples, count(*) FILTER (quality IS NOT NULL) AS found, count(*) FILTER (quality IS NULL) AS missing, array_to_string(list_sort(list(DISTINCT source)), ',') AS datasets FROM documents LEFT JOIN labels USING (doc_id)")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
-from ..operators import localization, models
+from ..operators import localization, models, sampling
 from ..streaming.ingest import windowed_counts
 from .metric_queries import Query, r, table
 
@@ -201,3 +201,25 @@ def sampling_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = F.coalesce(F.max(F.when(F.col("gained"), F.col("n"))).over(over), F.lit(0))
     s = s.select("day", "n", "rarest", last.alias("at"), (F.max("n").over(Window.partitionBy()) - F.col("n")).alias("rest"))
     return s.select("day", "n", E.stop_reason(F.col("n"), F.col("rarest"), F.col("n") - F.col("at"), F.col("rest"), per_tag=150, total=500, patience=300, cap=5000).alias("reason"))
+
+
+#: The tags of an event: its user, its kind of value and whether it is a rare one.
+WANTED = [*(f"u{k}" for k in range(7)), *(f"k{k}" for k in range(5)), "rare"]
+
+
+@query(f"""WITH p AS (SELECT event_type AS dataset, event_id AS key, event_id % 17 <> 0 AS readable, list_distinct(['u' || (user_id % 7), 'k' || (json_extract_string(props, '$.k')::INT // 20), CASE WHEN value >= 80 THEN 'rare' ELSE 'common' END]) AS tags,
+ row_number() OVER (PARTITION BY event_type ORDER BY md5('7:' || event_id), event_id) - 1 AS position FROM events),
+ c AS (SELECT *, position // 50 AS chunk, count(*) FILTER (readable) OVER (PARTITION BY dataset ORDER BY position) AS n FROM p),
+ u AS (SELECT *, row_number() OVER (PARTITION BY dataset, tag ORDER BY position) AS k FROM (SELECT dataset, chunk, position, n, unnest(tags) AS tag FROM c WHERE readable) WHERE tag IN ({", ".join(f"'{t}'" for t in WANTED)})),
+ h AS (SELECT dataset, chunk, count(*) AS hits, max(n) AS best FROM u WHERE k = 20 GROUP BY 1, 2), e AS (SELECT dataset, chunk, max(n) AS n FROM c GROUP BY 1, 2),
+ s AS (SELECT e.*, sum(coalesce(hits, 0)) OVER w AS met, coalesce(max(best) OVER w, 0) AS progress, max(chunk) OVER (PARTITION BY dataset) AS last FROM e LEFT JOIN h USING (dataset, chunk) WINDOW w AS (PARTITION BY dataset ORDER BY chunk)),
+ r AS (SELECT *, CASE WHEN n >= 100 AND met = {len(WANTED)} THEN 'coverage' WHEN n >= 100 AND n - progress >= 150 THEN 'stalled' WHEN n >= 500 THEN 'cap' WHEN chunk = last THEN 'pool_exhausted' END AS reason FROM s),
+ f AS (SELECT dataset, min(chunk) AS stop, arg_min(reason, chunk) AS reason FROM r WHERE reason IS NOT NULL GROUP BY 1)
+ SELECT c.dataset, c.key, c.chunk::BIGINT AS chunk, reason FROM c JOIN f ON c.dataset = f.dataset AND c.chunk <= f.stop WHERE readable""")
+def coverage_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as images of five datasets, drawn by chunks until their tags are covered."""
+    k = F.floor(F.get_json_object("props", "$.k").cast("int") / 20)
+    tags = F.array(F.concat(F.lit("u"), F.col("user_id") % 7), F.concat(F.lit("k"), k), F.when(F.col("value") >= 80, "rare").otherwise("common"))
+    d = table(spark, sf_dir, "events").select("event_id", "event_type", tags.alias("tags"))
+    found = sampling.coverage_sample(d, "event_type", "event_id", "tags", F.col("event_id") % 17 != 0, WANTED, seed=7, per_tag=20, total=100, patience=150, cap=500)
+    return found.where("readable").drop("readable")

@@ -144,14 +144,15 @@ def ranking_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{path}/price").groupBy("side").agg(F.count("*").alias("n"), F.round(F.sum("price"), 2).alias("total"))
 
 
-@query("SELECT user_id, count(*) AS n, max(event_id) AS last FROM events GROUP BY 1")
+@query("SELECT user_id + 1000 * (event_id % 3) AS user_id, count(*) AS n, max(event_id) AS last FROM events GROUP BY 1")
 def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as JSON lines through the stream, twice: what is there is not added again."""
+    """Events as JSON lines through the stream in three batches. The second brings those of the
+    first again, the third those of both, with other users: what stands there stays."""
     d = table(spark, sf_dir, "events").select("event_id", "user_id")
-    source, sink = scratch(spark, "lines"), scratch(spark, "sink")
-    d.write.json(source)
-    for run in (1, 2):
-        ingest(spark, source, "event_id long, user_id long", sink, scratch(spark, f"progress{run}"), key="event_id").awaitTermination()
+    source, sink, progress = (scratch(spark, name) for name in ("lines", "sink", "progress"))
+    for batch in range(3):
+        d.where(F.col("event_id") % 3 <= batch).select("event_id", (F.col("user_id") + 1000 * batch).alias("user_id")).write.mode("append").json(source)
+        ingest(spark, source, "event_id long, user_id long", sink, progress, key="event_id").awaitTermination()
     return spark.read.parquet(sink).groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
+from .folds import balanced, grouped
 
 STEPS, CLOSE = 25, 1e-10
 
@@ -375,7 +376,8 @@ def adjusted_regression(df: DataFrame, least: int = 10, y: str = "D3_f1", x: str
 def explore(df: DataFrame, y: str, xs: Sequence[str], categorical: Sequence[str] = (), treatment: str = "numeric", value: object = None, family: str | None = None, group: str | None = None, derived: Sequence[Mapping] = (), standardise: bool = False, folds: int = 5) -> dict:
     """From a table to a model: derived columns, the outcome, the family that it suggests if
     none is given, the design, the fit with a robust covariance, its figures, inflation and
-    cross-validation by a hash of the row or of its group. Tables are DataFrames."""
+    cross-validation by folds of whole groups, or by balanced ones (of each class if the outcome
+    has two). Tables are DataFrames."""
     own, errors = derive(df, derived)
     own = own.withColumn("__y", outcome(F.col(y), treatment, value))
     family = family or recommend(own, {"__y": F.col("__y")}).first()[0]
@@ -384,10 +386,10 @@ def explore(df: DataFrame, y: str, xs: Sequence[str], categorical: Sequence[str]
     d = design(own, "__y", xs, categorical, group, standardise)
     validate(d.df, "__y", family)
     fit = robust(d.df, ols(d.df, "__y", d.xs) if family == "ols" else glm(d.df, "__y", d.xs, family), "__y", "__group" if group else None)
-    fold = F.pmod(F.xxhash64("__group") if group else F.xxhash64(*d.df.columns), F.lit(folds))
+    dealt = grouped(d.df, folds, "__group") if group else balanced(d.df, folds, d.df.columns, "__y" if family == "binomial" else None)
     return {
         "family": family, "notes": d.notes, "errors": errors, "fit": fit, "coefficients": coefficient_table(d.df, fit), "statistics": quality(d.df, fit, "__y"),
-        "inflation": vif(d.df, d.xs), "cross_validation": cross_validate(d.df, "__y", d.xs, fold, family), "design": d.df,
+        "inflation": vif(d.df, d.xs), "cross_validation": cross_validate(dealt, "__y", d.xs, F.col("fold"), family), "design": d.df,
     }
 
 

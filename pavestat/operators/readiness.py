@@ -9,13 +9,14 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import expr as E
-from .order import percentiles, ranked_pairs, same_keys
+from .order import numbered, percentiles, ranked_pairs, same_keys
 
 #: Weights of the scores and the names that a measure had before.
 R1_TERMS = [("I1_pattern_continuity", "I1", 0.35), ("I2_local_contrast", "I2", 0.35), ("I3_boundary_sharpness", "I3", 0.20)]
@@ -263,10 +264,73 @@ def wear_summary(rows: DataFrame, tag: str, score: str) -> DataFrame:
     return same_keys(found, middle, ["bucket"]).select("bucket", "n", "mean", "median", "least", "most")
 
 
-def bootstrap_difference(low: Sequence[float], high: Sequence[float], draws: int = 1000, seed: int = 13) -> tuple[float, float]:
-    """The 95 % interval of a difference of means, each side drawn again with replacement."""
-    import numpy as np
-
-    a, b, rng = np.asarray(low, np.float64), np.asarray(high, np.float64), np.random.default_rng(seed)
-    found = [rng.choice(a, len(a)).mean() - rng.choice(b, len(b)).mean() for _ in range(draws)]
-    return tuple(map(float, np.percentile(found, [2.5, 97.5])))
+#: Draws of a bootstrap, and (group, side) sums that one task holds before it hands them on.
+DRAWS, HELD = 1000, 256
+
+
+def _drawn(df: DataFrame, group: Sequence[str], draws: int, seed: int) -> DataFrame:
+    """``df(group, side, y, n)``, a row for each value of a side, to ``(group, side, draw, s, w)``:
+    the sum and number of the values in each of ``draws``. A value that stands there n times is
+    drawn Poisson(n) times, by a seed of its own: the draws do not depend on how rows lie, and
+    sums of tasks add up."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+
+        def told() -> pd.DataFrame:
+            keys, values = list(sums), np.concatenate(list(sums.values()), axis=1)
+            at = np.repeat(np.arange(len(keys)), draws)
+            out = pd.DataFrame({c: pd.Series([k[i] for k in keys], dtype=object).iloc[at].to_numpy() for i, c in enumerate([*group, "side"])})
+            sums.clear()
+            return out.assign(draw=np.tile(np.arange(draws), len(keys)), s=values[0], w=values[1])
+
+        for rows in batches:
+            for *key, y, n, h in rows.itertuples(index=False):
+                times = np.random.default_rng([seed, h & 0xFFFFFFFF, h >> 32 & 0xFFFFFFFF]).poisson(n, draws)
+                own = sums.setdefault(tuple(None if pd.isna(k) else k for k in key), np.zeros((2, draws)))
+                own += np.stack([times * y, times])
+                if len(sums) >= HELD:
+                    yield told()
+        if sums:
+            yield told()
+
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    schema = ", ".join([*[f"`{g}` {types[g]}" for g in group], "side string, draw int, s double, w double"])
+    seeded = df.select(*group, "side", "y", "n", F.xxhash64(*group, "side", "y").alias("h"))
+    return seeded.mapInPandas(run, schema).groupBy(*group, "side", "draw").agg(F.sum("s").alias("s"), F.sum("w").alias("w"))
+
+
+def tertile_effects(df: DataFrame, group: Sequence[str], x: str, y: str, ties: Sequence[str], least: int = 10, draws: int = DRAWS, seed: int = 13) -> DataFrame:
+    """Per group: ``n, n_bottom, n_top, bottom_mean, top_mean, effect, ci_low, ci_high, reason``: the
+    mean of ``y`` in the lowest third by (x, ties) less that in the highest, and its 95 %
+    interval when each third is drawn anew. A third is max(1, n // 3) rows; ``ties`` (of any
+    type) tell rows of one x apart. Rows without finite x and y are out; under ``least`` rows,
+    or without spread of x, there is a reason and no effect. A Poisson draw that takes nothing of
+    a third is left out of the interval. Rows of one value travel as one, and only a sum per
+    draw, third and group meets."""
+    pairs = df.select(*group, E.finite(F.col(x)).alias("__x"), E.finite(F.col(y)).alias("__y"), *[F.col(t).alias(f"__t{k}") for k, t in enumerate(ties)]).where("__x is not null and __y is not null")
+    sizes = pairs.groupBy(*group).agg(F.count("*").alias("n"), F.stddev_pop("__x").alias("sd"))
+    reason = F.when(F.col("n") < least, f"insufficient_samples_n_lt_{least}").when(F.col("sd") <= SPREAD, "zero_variance")
+    sizes = sizes.withColumn("reason", reason)
+    order = [*group, "__x", *[f"__t{k}" for k in range(len(ties))]]
+    placed = same_keys(numbered(pairs, order, group), sizes.where("reason is null"), group)
+    third = F.greatest(F.lit(1).cast("long"), F.expr("n div 3"))
+    side = F.when(F.col("position") < third, "bottom").when(F.col("position") >= F.col("n") - third, "top")
+    # a third of one row each at most overlaps with n = 1, which is under any least
+    by = placed.select(*group, side.alias("side"), F.col("__y").alias("y")).where("side is not null").groupBy(*group, "side", "y").agg(F.count("*").alias("n"))
+    of = lambda s, v: F.sum(F.when(F.col("side") == s, v))
+    n, total = F.col("n"), F.col("n") * F.col("y")
+    means = by.groupBy(*group).agg(of("bottom", n).alias("n_bottom"), of("top", n).alias("n_top"), (of("bottom", total) / of("bottom", n)).alias("bottom_mean"), (of("top", total) / of("top", n)).alias("top_mean"))
+    mean = lambda s: F.try_divide(of(s, F.col("s")), of(s, F.col("w")))
+    differences = _drawn(by, group, draws, seed).groupBy(*group, "draw").agg((mean("bottom") - mean("top")).alias("d"))
+    ends = differences.groupBy(*group).agg(F.percentile("d", F.array(F.lit(0.025), F.lit(0.975))).alias("ci"))  # of ``draws`` values
+    told = same_keys(means, ends, group)
+    out = _left(sizes.select(*group, "n", "reason"), told, group)
+    return out.select(*group, "n", "n_bottom", "n_top", "bottom_mean", "top_mean", (F.col("bottom_mean") - F.col("top_mean")).alias("effect"), F.col("ci")[0].alias("ci_low"), F.col("ci")[1].alias("ci_high"), "reason")
+
+
+def _left(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """All of ``left``, with what ``right`` has for its keys; null keys are equal."""
+    named = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in keys] or F.lit(True)  # without keys one row each
+    return left.join(F.broadcast(named) if not keys else named, on, "left").drop(*[f"__right_{k}" for k in keys])

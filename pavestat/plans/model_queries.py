@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
-from ..operators import localization, models, sampling
+from ..operators import folds, localization, models, readiness, sampling
 from ..streaming.ingest import windowed_counts
 from .metric_queries import Query, r, table
 
@@ -223,3 +223,31 @@ def coverage_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "events").select("event_id", "event_type", tags.alias("tags"))
     found = sampling.coverage_sample(d, "event_type", "event_id", "tags", F.col("event_id") % 17 != 0, WANTED, seed=7, per_tag=20, total=100, patience=150, cap=500)
     return found.where("readable").drop("readable")
+
+
+@query("SELECT o_orderkey, o_orderstatus AS status, ((row_number() OVER (ORDER BY o_orderstatus, md5('42|' || o_orderkey), o_orderkey) - 1) % 5)::INT AS fold FROM orders")
+def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    return folds.balanced(d, 5, ["o_orderkey"], "status")
+
+
+@query("""WITH RECURSIVE g AS (SELECT n, row_number() OVER (ORDER BY n DESC, k) AS i FROM (SELECT l_suppkey AS k, count(*) AS n FROM lineitem GROUP BY 1)),
+ p(i, load, held) AS (SELECT 0::BIGINT, [0::BIGINT, 0, 0, 0, 0], [0::BIGINT, 0, 0, 0, 0] UNION ALL
+ SELECT g.i, list_transform(load, lambda x, j: x + CASE WHEN j = list_position(load, list_min(load)) THEN n ELSE 0 END), list_transform(held, lambda x, j: x + CASE WHEN j = list_position(load, list_min(load)) THEN 1 ELSE 0 END) FROM p JOIN g ON g.i = p.i + 1),
+ e AS (SELECT load, held FROM p ORDER BY i DESC LIMIT 1) SELECT (k - 1)::INT AS fold, load[k]::BIGINT AS n, held[k]::BIGINT AS suppliers FROM e, range(1, 6) AS r(k)""")
+def group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and suppliers of each fold when no supplier is cut."""
+    d = folds.grouped(table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey"), 5, "l_suppkey")
+    by = d.groupBy("fold", "l_suppkey").agg(F.count("*").alias("n"))
+    return by.groupBy("fold").agg(F.sum("n").alias("n"), F.count("*").alias("suppliers"))
+
+
+@query("""WITH o AS (SELECT o_orderstatus AS status, o_custkey::DOUBLE AS y, row_number() OVER w AS k, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_totalprice, o_orderkey))
+ SELECT status, count(*) AS n, greatest(1, count(*) // 3)::BIGINT AS n_bottom, round(avg(y) FILTER (k <= greatest(1, n // 3)), 6) AS bottom_mean, round(avg(y) FILTER (k > n - greatest(1, n // 3)), 6) AS top_mean,
+ round(avg(y) FILTER (k <= greatest(1, n // 3)) - avg(y) FILTER (k > n - greatest(1, n // 3)), 6) AS effect, true AS inside FROM o GROUP BY 1""")
+def tertile_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Effects by status; whether each is inside its interval."""
+    d = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status"), "o_totalprice", "o_custkey", "o_orderkey")
+    found = readiness.tertile_effects(d, ["status"], "o_totalprice", "o_custkey", ["o_orderkey"])
+    inside = (F.col("ci_low") < F.col("effect")) & (F.col("effect") < F.col("ci_high"))
+    return found.select("status", "n", "n_bottom", *[r(F.col(c)).alias(c) for c in ("bottom_mean", "top_mean", "effect")], inside.alias("inside"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import raster
 from ..operators import frames
-from ..sources import readers, writers
+from ..sources import file_sink, readers, writers
 from ..sources.scratch import scratch
 from ..streaming.ingest import ingest
 from .metric_queries import Query, r, table
@@ -168,16 +168,31 @@ def tag_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {V} s AS (SELECT vec_id, x[1:3] AS a, x[4:4] AS b FROM v) SELECT vec_id, 1::BIGINT AS n_lanes, round(list_sum(a), 5) AS sum_x, CASE WHEN vec_id % 3 = 0 THEN NULL ELSE 0.5 END AS score, 'polyline' AS geometry_source FROM s""")
 def prediction_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A manifest of predicted lanes in both spellings of a point; a lane of one point goes
-    with its score."""
+    """One manifest of all predicted lanes in both spellings of a point, read by parts; a lane of
+    one point goes with its score."""
     v = _vectors(spark, sf_dir)
     point = F.transform(F.slice("x", 1, 3), lambda x: F.array(x, F.lit(1.0)))
     short = F.transform(F.slice("x", 4, 1), lambda x: F.array(x, F.lit(1.0)))
     score = F.when(F.col("vec_id") % 3 == 0, F.array(F.lit(None).cast("double"), F.lit(None).cast("double"))).otherwise(F.array(F.lit(0.5), F.lit(0.7)))
-    sample = F.struct(F.col("vec_id").cast("string").alias("sample_id"), F.struct(F.array(point, short).alias("polylines"), score.alias("scores")).alias("prediction"))
+    samples = v.select(F.col("vec_id").cast("string").alias("sample_id"), F.struct(F.array(point, short).alias("polylines"), score.alias("scores")).alias("prediction"))
     path = scratch(spark, "predictions")
-    whole = v.withColumn("part", F.col("vec_id") % 16).groupBy("part").agg(F.to_json(F.struct(F.collect_list(sample).alias("samples"))).alias("value"))
-    whole.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    writers.write_ground_truth(samples, path, "vectors")
     got = readers.predictions(spark, path)
     total = F.aggregate(F.flatten("lanes"), F.lit(0.0), lambda s, p: s + p["x"])
     return got.select(F.col("sample_id").cast("long").alias("vec_id"), F.size("lanes").cast("long").alias("n_lanes"), r(total, 5).alias("sum_x"), F.get("scores", F.lit(0)).alias("score"), "geometry_source")
+
+
+@query("""SELECT vec_id, (row_number() OVER (ORDER BY vec_id::VARCHAR) - 1)::INT AS position, vec_id || '.png' AS file, sha256('mask of ' || vec_id) AS digest, label FROM embeddings WHERE vec_id % 4 > 0
+ UNION ALL SELECT vec_id, (row_number() OVER (ORDER BY vec_id::VARCHAR) - 1)::INT + (SELECT count(*) FROM embeddings WHERE vec_id % 4 > 0), NULL, NULL, label FROM embeddings WHERE vec_id % 4 = 0""")
+def mask_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masks as files beside a manifest that points to them, read back through it; every
+    fourth sample has none and stands at the end."""
+    d = table(spark, sf_dir, "embeddings").select("vec_id", F.col("vec_id").cast("string").alias("sample_id"), "label", F.when(F.col("vec_id") % 4 > 0, F.encode(F.concat(F.lit("mask of "), F.col("vec_id")), "utf-8")).alias("mask"))
+    paths = file_sink.write_masks(d, scratch(spark, "masks"))
+    out = scratch(spark, "manifest")
+    samples = d.drop("mask").join(paths, "sample_id", "left").select("sample_id", F.struct("mask_path").alias("ground_truth"), F.struct("label").alias("meta"), F.col("mask_path").isNull().alias("without"))
+    writers.write_ground_truth(samples, out, "vectors", order=["without", "sample_id"])
+    got = readers.manifest(spark, out)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths.select("mask_path").first()[0].rsplit("/", 2)[0]).select("path", "content")
+    back = got.join(files, F.col("mask_path") == F.col("path"), "left")
+    return back.select(F.col("sample_id").cast("long").alias("vec_id"), "position", F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("digest"), F.get_json_object("meta", "$.label").cast("int").alias("label"))

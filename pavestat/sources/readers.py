@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as E
 from ..functions import raster
+from .json_array import elements
 
 #: Default heights and widths of the datasets' images.
 SIZES = {"tusimple": (720, 1280), "culane": (590, 1640), "curvelanes": (1440, 2560)}
@@ -143,15 +144,14 @@ def image_pairs(spark: SparkSession, images: str, masks: str, attributes: str |
 
 
 def _samples(spark: SparkSession, path: str) -> DataFrame:
-    """The samples of manifests (an object with ``samples``, or a list) as JSON text."""
-    whole = spark.read.option("wholetext", True).text(path)
-    listed = F.when(F.startswith(F.ltrim("value"), F.lit("[")), F.from_json("value", "array<string>")).otherwise(F.from_json("value", "struct<samples: array<string>>")["samples"])
-    return whole.select(F.regexp_replace("_metadata.file_path", "[^/]*$", "").alias("base"), F.posexplode(listed).alias("position", "sample"))
+    """The samples of manifests (an object with ``samples``, or a list) as JSON text, each
+    manifest by as many tasks as it has byte ranges."""
+    return elements(spark, path).select(F.regexp_replace("file", "[^/]*$", "").alias("base"), "position", F.col("element").alias("sample"))
 
 
 def _path(name: str) -> Column:
     found = F.get_json_object("sample", name)
-    return F.when(F.startswith(found, F.lit("/")), found).otherwise(F.concat("base", found))
+    return F.when(found.rlike(r"^([A-Za-z][A-Za-z0-9+.-]*:)?/"), found).otherwise(F.concat("base", found))
 
 
 def manifest(spark: SparkSession, path: str, lifted: tuple[str, ...] = ()) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import expr as E
 from ..operators import frames, relational
+from ..operators.order import numbered
 
 
 def flat(df: DataFrame, first: Sequence[str] = ()) -> DataFrame:
@@ -73,6 +74,20 @@ def write_manifest(df: DataFrame, path: str, most: int | None = None, order: str
     (df if most is None else df.orderBy(order).limit(most)).write.mode("overwrite").json(path)
 
 
+def write_ground_truth(df: DataFrame, path: str, dataset: str, order: Sequence[str] = ("sample_id",), most: int | None = None, step: int = 10) -> None:
+    """One JSON document below ``path``: ``metadata`` and ``samples``, in order, of the first
+    ``most``. ``df`` has a sample's fields as columns. Positions and JSON are made by many tasks;
+    as the format is one document, one task writes it, a line at a time."""
+    kept = numbered(df.select(*df.columns), list(order))
+    kept = kept if most is None else kept.where(F.col("position") < most)
+    line = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    lines = kept.select((F.col("position") + 1).alias("at"), F.concat(F.when(F.col("position") > 0, ",").otherwise(""), line).alias("value"))
+    about = F.to_json(F.struct(F.lit(dataset).alias("dataset"), F.count("*").alias("num_samples"), F.lit(step).alias("h_sample_step")))
+    head = kept.agg(F.concat(F.lit('{"metadata": '), about, F.lit(', "samples": [')).alias("value")).select(F.lit(0).cast("long").alias("at"), "value")
+    foot = df.sparkSession.createDataFrame([((1 << 62), "]}")], "at long, value string")
+    head.unionByName(lines).unionByName(foot).repartition(1).sortWithinPartitions("at").select("value").write.mode("overwrite").text(path)
+
+
 def model_table(rows: DataFrame, primary: str = "lane_f1") -> str:
     """Markdown of results by model and dataset, and of each model's means and consistency.
     Summed up in Spark; a row per run is formatted here."""

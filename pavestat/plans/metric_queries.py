@@ -9,12 +9,15 @@ rounded on both sides, since sums of doubles depend on their order.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
+from ..functions import taxonomy as T
+from ..operators import lanes
 from ..operators import order as O
 from ..operators import relational as R
 
@@ -350,3 +353,45 @@ def sample_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(REC + """SELECT flag, status, count(*) AS n, round(avg(near), 6) AS mean_near FROM rec GROUP BY ROLLUP(flag, status)""")
 def rollup_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark, sf_dir).rollup("flag", "status").agg(F.count("*").alias("n"), r(F.avg("near")).alias("mean_near"))
+
+
+_LANES = "SELECT l_orderkey AS image, CASE WHEN l_linenumber <> 3 THEN l_discount * 10 END AS s, l_tax * 10 AS c, l_quantity AS u FROM lineitem"
+
+
+@query(f"""WITH a AS ({_LANES}), m AS (SELECT image, 2 * median(greatest(u, 1e-9)) AS cap FROM a WHERE s IS NOT NULL GROUP BY 1),
+ w AS (SELECT a.*, greatest(c, 0.15) * sqrt(least(greatest(u, 1e-9), greatest(cap, 1e-9))) AS w FROM a JOIN m USING (image) WHERE s IS NOT NULL),
+ f AS (SELECT image, sum(w * s) / sum(w) AS ac, sum(w * c) / sum(w) AS cc, median(s) AS med, max(s) AS top, count(*) AS n FROM w GROUP BY 1), i AS (SELECT image, count(*) FILTER (s IS NULL) AS unknown FROM a GROUP BY 1)
+ SELECT image, round(ac, 6) AS alignment_complexity, round(coalesce(cc, 0), 6) AS complexity_confidence, round(med, 6) AS median, top AS max, coalesce(n, 0) AS valid_count, unknown AS unknown_count,
+ CASE WHEN n IS NULL THEN 'no_valid_lane_geometry_complexity' END AS unavailable_reason FROM i LEFT JOIN f USING (image)""")
+def image_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an order as lanes of an image; those of number 3 have no score."""
+    d = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image"), F.when(F.col("l_linenumber") != 3, F.col("l_discount") * 10).alias("s"), (F.col("l_tax") * 10).alias("c"), F.col("l_quantity").alias("u"))
+    found = lanes.complexity(d, ["image"], "s", "c", "u")
+    return found.withColumns({c: r(F.col(c)) for c in ("alignment_complexity", "complexity_confidence", "median")})
+
+
+@query("""WITH a AS (SELECT l_returnflag AS flag, l_extendedprice AS v, l_quantity AS w FROM lineitem WHERE l_linenumber > 1), c AS (SELECT *, sum(w) OVER (PARTITION BY flag ORDER BY v, w ROWS UNBOUNDED PRECEDING) - w / 2 AS mid, sum(w) OVER (PARTITION BY flag) AS total FROM a),
+ n AS (SELECT *, lead(v) OVER o AS nv, lead(mid) OVER o AS nm, row_number() OVER o AS k FROM c WINDOW o AS (PARTITION BY flag ORDER BY mid)), q AS (SELECT unnest([0.0, 0.25, 0.95]) AS q),
+ f AS (SELECT flag, q, max(CASE WHEN k = 1 AND q * total <= mid THEN v WHEN nv IS NULL AND q * total >= mid THEN v WHEN mid <= q * total AND nm > q * total THEN v + (q * total - mid) / (nm - mid) * (nv - v) END) AS x FROM n, q GROUP BY 1, 2)
+ SELECT flag, q::DOUBLE AS q, round(x, 4) AS quantile FROM f""")
+def midpoint_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "lineitem").where("l_linenumber > 1").select(F.col("l_returnflag").alias("flag"), "l_extendedprice", "l_quantity")
+    return functools.reduce(DataFrame.unionByName, [lanes.midpoint_quantile(d, ["flag"], "l_extendedprice", "l_quantity", q).select("flag", F.lit(q).alias("q"), r(F.col("quantile"), 4).alias("quantile")) for q in (0.0, 0.25, 0.95)])
+
+
+_WORDS = "[" + ", ".join(f"'{t}'" for t in T.every()) + "]"
+
+
+@query(f"""WITH e AS (SELECT event_id, {_WORDS} AS words, CASE WHEN event_id % 11 = 0 THEN NULL ELSE [{_WORDS}[(user_id % 43 + 1)::INT], {_WORDS}[(event_id % 43 + 1)::INT], CASE WHEN event_id % 5 = 0 THEN 'Moonlight' ELSE 'Rain' END] END AS l FROM events)
+ SELECT event_id, array_to_string(list_filter(range(1, 11), lambda k: list_contains(coalesce(l, []), words[33 + k])), ',') AS weather, coalesce(list_min(list_filter(range(1, 7), lambda k: list_contains(coalesce(l, []), words[27 + k]))), 0)::INT AS visibility,
+ len(list_filter(words, lambda t: list_contains(coalesce(l, []), t)))::INT AS ones, array_to_string(list_filter(words, lambda t: list_contains(coalesce(l, []), t)), '; ') AS back, CASE WHEN list_contains(coalesce(l, []), 'Moonlight') THEN 'Moonlight' ELSE '' END AS unknown FROM e""")
+def tag_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tags of an event and one that is sometimes none, as codes and back."""
+    words = F.array(*map(F.lit, T.every()))
+    label = F.array(F.get(words, (F.col("user_id") % 43).cast("int")), F.get(words, (F.col("event_id") % 43).cast("int")), F.when(F.col("event_id") % 5 == 0, "Moonlight").otherwise("Rain"))
+    d = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 11 != 0, label).alias("l"))
+    d = d.withColumn("e", T.encoded(F.col("l")))
+    return d.select(
+        "event_id", F.array_join(F.col("e.codes.lighting_weather").cast("array<string>"), ",").alias("weather"), F.col("e.primary.visibility").alias("visibility"),
+        F.aggregate("e.multi_hot", F.lit(0), lambda a, x: a + x).alias("ones"), F.array_join(T.decoded(F.col("e.multi_hot")), "; ").alias("back"), F.array_join(T.unknown(F.col("l")), "; ").alias("unknown"),
+    )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import raster
 from ..operators import frames
-from ..sources import file_sink, readers, writers
+from ..sources import file_sink, readers, sheets, writers
 from ..sources.scratch import scratch
 from ..streaming.ingest import ingest
 from .metric_queries import Query, r, table
@@ -196,3 +196,23 @@ def mask_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths.select("mask_path").first()[0].rsplit("/", 2)[0]).select("path", "content")
     back = got.join(files, F.col("mask_path") == F.col("path"), "left")
     return back.select(F.col("sample_id").cast("long").alias("vec_id"), "position", F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("digest"), F.get_json_object("meta", "$.label").cast("int").alias("label"))
+
+
+@query("""WITH p AS (SELECT *, list_filter(['Solid Line', 'Rain', 'Snow'], lambda x: (x = 'Solid Line' AND p_size % 2 = 0) OR (x = 'Rain' AND p_size % 3 = 0) OR (x = 'Snow' AND p_size > 40)) AS l FROM part)
+ SELECT p_partkey, array_to_string(l, '; ') AS labels, p_name || '.jpg' AS file, CASE WHEN p_size % 5 > 0 THEN p_brand END AS summary, (SELECT count(*) FROM part WHERE p_size % 3 = 0) AS rainy FROM p""")
+def tag_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as images of a tag sheet: written as CSV with its two headings and a row of totals,
+    read back as labels; ``rainy`` is what the totals say of a tag if the rows agree."""
+    d = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
+    dims = ["Scenario", "Context", "Surface", "Marking", "Visibility", "Weather"]
+    head = ["#", "File Name", *dims, "Solid Line", "Rain", "Snow"]
+    flags = [F.col("p_size") % 2 == 0, F.col("p_size") % 3 == 0, F.col("p_size") > 40]
+    row = F.concat_ws(",", F.col("p_partkey"), F.concat("p_name", F.lit(".jpg")), *[F.lit("")] * 3, F.when(F.col("p_size") % 5 > 0, F.col("p_brand")).otherwise(""), *[F.lit("")] * 2, *[F.when(f, "1").otherwise(F.when(F.col("p_partkey") % 2 == 0, "0").otherwise("")) for f in flags])
+    sums = d.agg(*[F.count_if(f).alias(f"n{k}") for k, f in enumerate(flags)]).select(F.concat(F.lit(",TOTAL (count),,,,,,,"), F.concat_ws(",", "n0", "n1", "n2")).alias("value"))
+    first = spark.createDataFrame([(0, ",,Group,,,,,,Tags,,"), (1, ",".join(head))], "at int, value string")
+    lines = first.unionByName(d.select(F.lit(2).alias("at"), row.alias("value"))).unionByName(sums.select(F.lit(3).alias("at"), "value"))
+    path = scratch(spark, "sheet")
+    lines.repartition(1).sortWithinPartitions("at").select("value").write.text(path)
+    checked = sheets.totals(spark, path).where("tag = 'Rain' and stated = counted").select(F.col("stated").alias("rainy"))
+    found = sheets.sheet(spark, path).crossJoin(F.broadcast(checked))  # one row
+    return found.select(F.col("row_index").alias("p_partkey"), F.array_join("labels", "; ").alias("labels"), F.col("file_name").alias("file"), F.col("summary")["Marking"].alias("summary"), "rainy")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import raster
 from ..operators import frames
-from ..sources import file_sink, readers, sheets, writers
+from ..sources import file_sink, readers, resolvers, sheets, writers
 from ..sources.scratch import scratch
 from ..streaming.ingest import ingest
 from .metric_queries import Query, r, table
@@ -216,3 +216,48 @@ def tag_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     checked = sheets.totals(spark, path).where("tag = 'Rain' and stated = counted").select(F.col("stated").alias("rainy"))
     found = sheets.sheet(spark, path).crossJoin(F.broadcast(checked))  # one row
     return found.select(F.col("row_index").alias("p_partkey"), F.array_join("labels", "; ").alias("labels"), F.col("file_name").alias("file"), F.col("summary")["Marking"].alias("summary"), "rainy")
+
+
+#: Files that a page stands for: images and masks of two splits, frames and masks of clips of 25 pages.
+_FILES = """SELECT '/d/bdd100k/images/' || s || '/' || (page_id // 2) || '.jpg' AS path FROM pages, (VALUES ('train'), ('val')) v(s) WHERE s = 'val' OR page_id % 2 = 0
+ UNION ALL SELECT '/d/bdd100k/ll_seg_annotations/val/' || (page_id // 2) || '.png' FROM pages WHERE page_id % 3 = 0
+ UNION ALL SELECT '/d/culane/driver_' || (page_id // 25 % 3) || '/c' || (page_id // 25) || '.MP4/' || lpad((page_id % 25)::VARCHAR, 5, '0') || '.jpg' FROM pages
+ UNION ALL SELECT '/d/culane/laneseg_label_w16_test/driver_' || (page_id // 25 % 3) || '/c' || (page_id // 25) || '.MP4/' || lpad((page_id % 25)::VARCHAR, 5, '0') || '.png' FROM pages WHERE page_id // 25 % 3 = 1 AND page_id % 4 < 3"""
+
+
+def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "pages").select("page_id")
+    half, clip = F.expr("page_id div 2"), F.expr("page_id div 25")
+    at = F.concat(F.lit("driver_"), clip % 3, F.lit("/c"), clip, F.lit(".MP4/"), F.lpad((F.col("page_id") % 25).cast("string"), 5, "0"))
+    paths = F.array(
+        F.concat(F.lit("/d/bdd100k/images/val/"), half, F.lit(".jpg")), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("/d/bdd100k/images/train/"), half, F.lit(".jpg"))),
+        F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("/d/bdd100k/ll_seg_annotations/val/"), half, F.lit(".png"))), F.concat(F.lit("/d/culane/"), at, F.lit(".jpg")),
+        F.when((clip % 3 == 1) & (F.col("page_id") % 4 < 3), F.concat(F.lit("/d/culane/laneseg_label_w16_test/"), at, F.lit(".png"))),
+    )
+    return d.select(F.explode(F.array_compact(paths)).alias("path"))
+
+
+@query(f"""WITH f AS (SELECT DISTINCT path FROM ({_FILES})), n AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'bdd100k' WHEN 1 THEN 'culane' ELSE 'tusimple' END AS dataset, CASE WHEN page_id % 3 = 1 THEN 'C' || (page_id // 20) || '.mp4' ELSE page_id::VARCHAR || CASE WHEN page_id % 2 = 0 THEN '.jpg' ELSE '' END END AS name FROM pages),
+ i AS (SELECT regexp_extract(path, 'images/(.*)/(.*)[.]jpg', 2) AS key, min(CASE WHEN path LIKE '%/val/%' THEN 1 ELSE 2 END || path) AS best, count(*) AS n FROM f WHERE path LIKE '/d/bdd100k/images%' GROUP BY 1),
+ m AS (SELECT regexp_extract(path, 'val/(.*)[.]png', 1) AS key, path AS mask FROM f WHERE path LIKE '%ll_seg%'),
+ c AS (SELECT regexp_extract(path, '/(c[0-9]+)[.]MP4', 1) AS seg, count(*) FILTER (path LIKE '%jpg') AS frames, min(path) FILTER (path LIKE '%jpg') AS first, min(regexp_replace(path, '/[^/]*$', '')) FILTER (path LIKE '%png') AS dir FROM f WHERE path LIKE '/d/culane%' GROUP BY 1)
+ SELECT page_id, dataset, CASE dataset WHEN 'bdd100k' THEN substr(best, 2) WHEN 'culane' THEN first END AS image_path, CASE WHEN dataset = 'bdd100k' THEN mask WHEN dataset = 'culane' THEN dir END AS truth_path, CASE WHEN dataset = 'culane' THEN frames END AS num_frames,
+ dataset = 'bdd100k' AND coalesce(i.n, 0) > 1 AS ambiguous, CASE dataset WHEN 'tusimple' THEN 'bare numeric id without a path: unresolved' WHEN 'culane' THEN CASE WHEN first IS NULL THEN 'segment not found under any driver' ELSE 'a segment, not a single frame' END
+ ELSE CASE WHEN best IS NULL THEN 'image not found' WHEN mask IS NULL THEN 'truth missing' ELSE '' END END AS note
+ FROM n LEFT JOIN i ON dataset = 'bdd100k' AND i.key = replace(name, '.jpg', '') LEFT JOIN m ON dataset = 'bdd100k' AND m.key = replace(name, '.jpg', '') LEFT JOIN c ON dataset = 'culane' AND c.seg = lower(replace(name, '.mp4', ''))""")
+def resolved_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of three datasets found in one listing of files."""
+    n = table(spark, sf_dir, "pages").select("page_id")
+    kind = F.col("page_id") % 3
+    name = F.when(kind == 1, F.concat(F.lit("C"), F.expr("page_id div 20"), F.lit(".mp4"))).otherwise(F.concat(F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, ".jpg").otherwise("")))
+    n = n.select("page_id", F.when(kind == 0, "bdd100k").when(kind == 1, "culane").otherwise("tusimple").alias("dataset"), name.alias("file_name"))
+    return resolvers.resolve(n, _listing(spark, sf_dir)).select("page_id", "dataset", "image_path", "truth_path", "num_frames", "ambiguous", "note")
+
+
+@query(f"""WITH f AS (SELECT DISTINCT path FROM ({_FILES})), b AS (SELECT path, regexp_extract(path, 'val/(.*)[.]', 1) AS k FROM f WHERE path LIKE '/d/bdd100k/%/val/%'),
+ c AS (SELECT path, regexp_extract(path, '(driver.*)[.]', 1) AS k FROM f WHERE path LIKE '/d/culane/%'), g AS (SELECT path, k, row_number() OVER (PARTITION BY regexp_extract(k, '(.*)/', 1) ORDER BY k) - 1 AS nth FROM c WHERE path LIKE '%jpg')
+ SELECT 'bdd100k_val_' || i.k AS sample_id, i.path AS image_path, t.path AS truth_path FROM b i JOIN b t ON i.k = t.k AND i.path LIKE '%jpg' AND t.path LIKE '%png'
+ UNION ALL SELECT 'culane_' || replace(g.k, '/', '_'), g.path, t.path FROM g JOIN c t ON g.k = t.k AND t.path LIKE '%png' WHERE nth % 10 = 0""")
+def sampling_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images with truth in the splits that samples are drawn from."""
+    return resolvers.pool(_listing(spark, sf_dir)).select("sample_id", "image_path", "truth_path")

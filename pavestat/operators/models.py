@@ -33,26 +33,28 @@ def recommend(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
     """One row: for each column the model that its values suggest. Two different values of any
     kind are binary, before all else; then shares of 0 to 1, whole numbers from 0 on, numbers.
     Text of other than two values, or no values, gives null."""
-    own = df.select(*[c.alias(n) for n, c in columns.items()])
-    ends = own.agg(*[f(F.col(n)).alias(f"__{k}_{n}") for n in columns for k, f in (("low", F.min), ("high", F.max))])  # one row
-
-    def told(n: str) -> Column:
-        raw, low, high = F.col(n), F.first(f"__low_{n}"), F.first(f"__high_{n}")
-        inner = F.count_if((raw != F.col(f"__low_{n}")) & (raw != F.col(f"__high_{n}")))
-        y = raw.try_cast("double")
-        text = F.count(raw) > F.count(y)
-        whole = F.count_if(F.abs(y - F.round(y)) > 1e-8 + 1e-5 * F.abs(F.round(y))) == 0
-        many = F.coalesce((F.avg(y) > 0) & (F.var_samp(y) > 1.25 * F.avg(y)), F.lit(False))
-        counts = F.when(many, "negative_binomial").otherwise("poisson")
-        return (
-            F.when((low < high) & (inner == 0), "binomial")
-            .when(text | (F.count(raw) == 0), None)
-            .when((F.min(y) >= 0) & (F.max(y) <= 1), "fractional")
-            .when(whole & (F.min(y) >= 0), counts)
-            .otherwise("ols")
-        )
-
-    return own.crossJoin(F.broadcast(ends)).agg(*[told(n).alias(n) for n in columns])
+    own = df.select(*[c.alias(f"c{k}") for k, c in enumerate(columns.values())])
+    ends = own.agg(*[f(F.col(f"c{k}")).alias(f"{e}{k}") for k in range(len(columns)) for e, f in (("low", F.min), ("high", F.max))])  # one row
+    cells = []
+    for k, name in enumerate(columns):
+        raw, low, high = F.col(f"c{k}"), F.col(f"low{k}"), F.col(f"high{k}")
+        cells.append(F.struct(F.lit(name).alias("name"), raw.isNotNull().alias("there"), ((raw != low) & (raw != high)).alias("inner"), (low < high).alias("wide"), raw.try_cast("double").alias("y")))
+    # values of all columns one below another: one small aggregate for all of them
+    y = F.col("y")
+    found = own.crossJoin(F.broadcast(ends)).select(F.inline(F.array(*cells))).groupBy("name").agg(
+        F.max("wide").alias("wide"), F.count_if("inner").alias("inner"), F.count_if("there").alias("there"), F.count(y).alias("numbers"), F.min(y).alias("low"), F.max(y).alias("high"),
+        F.count_if(F.abs(y - F.round(y)) > 1e-8 + 1e-5 * F.abs(F.round(y))).alias("broken"), F.avg(y).alias("mean"), F.var_samp(y).alias("spread"),
+    )
+    many = F.coalesce((F.col("mean") > 0) & (F.col("spread") > 1.25 * F.col("mean")), F.lit(False))
+    told = (
+        F.when(F.col("wide") & (F.col("inner") == 0), "binomial")
+        .when((F.col("there") > F.col("numbers")) | (F.col("there") == 0), None)
+        .when((F.col("low") >= 0) & (F.col("high") <= 1), "fractional")
+        .when((F.col("broken") == 0) & (F.col("low") >= 0), F.when(many, "negative_binomial").otherwise("poisson"))
+        .otherwise("ols")
+    )
+    named = found.select("name", told.alias("told"))
+    return named.agg(*[F.max(F.when(F.col("name") == n, F.col("told"))).alias(n) for n in columns])
 
 
 TRUE = ("1", "true", "yes", "y", "t")

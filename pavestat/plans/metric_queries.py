@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as E
 from ..functions import taxonomy as T
+from ..operators import evaluation as V
 from ..operators import lanes
 from ..operators import order as O
 from ..operators import relational as R
@@ -76,14 +77,8 @@ def renormalised_score(spark: SparkSession, sf_dir: str) -> DataFrame:
  round(avg(f1), 6) AS mean_f1, round(stddev_pop(f1), 6) AS sd_f1, round(quantile_cont(f1, 0.5), 6) AS median_f1,
  round(sum(fn) FILTER (WHERE f1 IS NOT NULL) / nullif(sum(gt) FILTER (WHERE f1 IS NOT NULL), 0), 6) AS pooled, bool_or(f1 > 0.09) AS any_high FROM rec GROUP BY flag, status""")
 def detection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f1, d = F.col("f1"), records(spark, sf_dir)
-    middle = O.percentiles(d, ["flag", "status"], f1, [0.5]).withColumn("median_f1", r(F.col("q0"))).drop("q0")
-    sums = d.groupBy("flag", "status").agg(
-        F.count("*").alias("images"), F.count(f1).alias("eligible"), r(F.avg(F.when(f1 > 0.05, 1.0).otherwise(0.0))).alias("rate"), r(E.mean(f1)).alias("mean_f1"),
-        r(F.stddev_pop(f1)).alias("sd_f1"), r(E.pooled(F.col("fn"), F.col("gt"), f1.isNotNull())).alias("pooled"),
-        F.bool_or(f1 > 0.09).alias("any_high"),
-    )
-    return sums.join(middle, ["flag", "status"], "left")
+    d = V.detection(records(spark, sf_dir), ["flag", "status"], F.col("f1"), F.col("fn"), F.col("gt"), 0.05, 0.09)
+    return d.select("flag", "status", "images", "eligible", *[r(F.col(c)).alias(n) for c, n in (("rate", "rate"), ("mean", "mean_f1"), ("spread", "sd_f1"), ("median", "median_f1"), ("pooled", "pooled"))], "any_high")
 
 
 @query("""WITH g AS (SELECT c_mktsegment AS model, n_name AS dataset, avg(c_acctbal) AS m FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)
@@ -125,17 +120,11 @@ def pooled_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH c AS (SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS tp, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS fp,
  count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS fn, count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS tn FROM labels)
- SELECT tp, fp, fn, tn, round(tp / (tp + fp + 1e-12), 6) AS precision, round(tp / (tp + fn + 1e-12), 6) AS recall, round(tp / (tp + fp + fn + 1e-12), 6) AS iou,
+ SELECT tp, fp, fn, tn, round((tp / (tp + fp + fn + 1e-12) + tn / (tn + fp + fn + 1e-12)) / 2, 6) AS miou, round(tp / (tp + fp + 1e-12), 6) AS precision, round(tp / (tp + fn + 1e-12), 6) AS recall, round(tp / (tp + fp + fn + 1e-12), 6) AS iou,
  round(2 * tp / (2 * tp + fp + fn + 1e-12), 6) AS f1, round((tp + tn) / (tp + fp + fn + tn + 1e-12), 6) AS accuracy FROM c""")
 def confusion_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, t = F.col("quality") == 1, F.col("toxic") == 1
-    c = table(spark, sf_dir, "labels").agg(F.count_if(q & t).alias("tp"), F.count_if(~q & t).alias("fp"), F.count_if(q & ~t).alias("fn"), F.count_if(~q & ~t).alias("tn"))
-    tp, fp, fn, tn = (F.col(x).cast("double") for x in ("tp", "fp", "fn", "tn"))
-    e = 1e-12
-    return c.select(
-        "tp", "fp", "fn", "tn", r(tp / (tp + fp + e)).alias("precision"), r(tp / (tp + fn + e)).alias("recall"), r(tp / (tp + fp + fn + e)).alias("iou"),
-        r(2 * tp / (2 * tp + fp + fn + e)).alias("f1"), r((tp + tn) / (tp + fp + fn + tn + e)).alias("accuracy"),
-    )
+    c = V.confusion(table(spark, sf_dir, "labels"), F.col("quality") == 1, F.col("toxic") == 1)
+    return c.select("tp", "fp", "fn", "tn", *[r(F.col(x)).alias(x) for x in ("precision", "recall", "iou", "miou", "f1", "accuracy")])
 
 
 def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -308,13 +297,10 @@ def weighted_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT g.vec_id AS gt_id, max(len(list_filter(list_zip(g.e, p.e), lambda z: abs(z[1] - z[2]) < 0.05)) / 64) AS best
  FROM v g JOIN v p ON g.image = p.image AND g.vec_id % 2 = 1 AND p.vec_id % 2 = 0 GROUP BY 1""")
 def best_lane_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each lane of the reference against the predicted ones of its image, of which there are
-    a few: pairs grow with the lanes, not with their square."""
+    """Each lane of the reference against the predicted ones of its image."""
     v = table(spark, sf_dir, "embeddings").withColumn("image", F.floor(F.col("vec_id") / 8))
-    g = v.where("vec_id % 2 = 1").select(F.col("vec_id").alias("gt_id"), "image", F.col("embedding").alias("ge"))
-    p = v.where("vec_id % 2 = 0").select("image", F.col("embedding").alias("pe"))
-    near = F.size(F.filter(F.zip_with("ge", "pe", lambda x, y: F.abs(x - y)), lambda d: d < F.lit(0.05).cast("float")))
-    return g.join(p, "image").groupBy("gt_id").agg(F.max(near / 64).alias("best"))
+    d = V.best_match(v.where("vec_id % 2 = 1").withColumnRenamed("vec_id", "gt_id"), v.where("vec_id % 2 = 0"), "image", "gt_id", "embedding", 0.05)
+    return d.where("best is not null")
 
 
 @query("""WITH o AS (SELECT user_id, event_id, value, lead(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events)
@@ -325,14 +311,11 @@ def adjacent_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("user_id").agg(F.count("nxt").alias("pairs"), r(F.avg(F.col("nxt") - F.col("value"))).alias("mean_step"))
 
 
-@query("""SELECT o_orderpriority AS p, count(*) AS n, count(DISTINCT o_orderstatus) AS levels, min(o_totalprice) AS least, round(quantile_cont(o_totalprice, 0.25), 6) AS q1,
+@query("""SELECT o_orderpriority AS p, count(*) AS n, 'numeric' AS kind, 0.0::DOUBLE AS missing, count(DISTINCT o_orderstatus) AS levels, min(o_totalprice) AS least, round(quantile_cont(o_totalprice, 0.25), 6) AS q1,
  round(quantile_cont(o_totalprice, 0.5), 6) AS q2, round(quantile_cont(o_totalprice, 0.75), 6) AS q3, max(o_totalprice) AS most, round(stddev_samp(o_totalprice), 4) AS sd FROM orders GROUP BY 1""")
 def predictor_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.col("o_totalprice")
-    o = table(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "p")
-    d = o.groupBy("p").agg(F.count("*").alias("n"), F.countDistinct("o_orderstatus").alias("levels"), F.min(x).alias("least"), F.max(x).alias("most"), r(F.stddev_samp(x), 4).alias("sd"))
-    d = d.join(O.percentiles(o, ["p"], x, [0.25, 0.5, 0.75]), "p")
-    return d.select("p", "n", "levels", "least", *[r(F.col(f"q{k}")).alias(f"q{k + 1}") for k in range(3)], "most", "sd")
+    d = V.profile(table(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "p"), ["p"], "o_totalprice", "o_orderstatus")
+    return d.select("p", "n", "kind", r(F.col("missing")).alias("missing"), "levels", "least", *[r(F.col(f"q{k}")).alias(f"q{k + 1}") for k in range(3)], "most", r(F.col("spread"), 4).alias("sd"))
 
 
 @query("""SELECT event_id, CASE WHEN k IS NULL THEN NULL WHEN k >= 50 THEN 1.0 ELSE 0.0 END AS outcome, CASE WHEN k <> 0 THEN round(value / k, 6) END AS ratio_var, ((coalesce(k, 0) >= 50) AND value > 50)::INT AS both_high

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
-from ..operators import folds, localization, models, readiness, sampling
+from ..operators import evaluation, folds, localization, models, readiness, sampling
 from ..streaming.ingest import windowed_counts
 from .metric_queries import Query, r, table
 
@@ -121,9 +121,8 @@ def nearest_points(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT k, n, on_, min(wide) OVER (PARTITION BY k ORDER BY n ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS closed FROM d""")
 def closing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dilation, then erosion, of a sequence of states; beyond the ends nothing counts."""
-    w = Window.partitionBy("k").orderBy("n").rowsBetween(-1, 1)
     s = table(spark, sf_dir, "events").select(F.col("user_id").alias("k"), F.col("event_id").alias("n"), (F.col("value") > 50).cast("int").alias("on_"))
-    return s.withColumn("wide", F.max("on_").over(w)).select("k", "n", "on_", F.min("wide").over(w).alias("closed"))
+    return evaluation.closed(s, ["k"], ["n"], "on_").drop("wide")
 
 
 @query("""SELECT g, x AS threshold, round(f, 6) AS best FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY round(f, 9) DESC, x) AS k

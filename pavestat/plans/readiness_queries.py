@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
+from ..operators import evaluation as V
 from ..operators import joins as J
 from ..operators import localization as L
 from ..operators import order as O
@@ -313,12 +314,8 @@ def tag_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH s AS (SELECT sum(l_quantity) AS tp, sum(l_linenumber) AS fp, sum(l_discount * 100) AS fn, count(*) AS n, avg(l_tax) AS accuracy FROM lineitem),
  e AS (SELECT *, tp / (tp + fp) AS p, tp / (tp + fn) AS r FROM s) SELECT n, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r), 6) AS f1, round(accuracy, 6) AS accuracy FROM e""")
 def lane_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Found, wrong and missed lanes of a dataset summed before the ratios, 0 where undefined;
-    line accuracies averaged, 0 of no image."""
-    s = table(spark, sf_dir, "lineitem").agg(F.sum("l_quantity").alias("tp"), F.sum("l_linenumber").alias("fp"), F.sum(F.col("l_discount") * 100).alias("fn"), F.count("*").alias("n"), F.avg("l_tax").alias("a"))
-    p, q = (F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col(x)), F.lit(0.0)) for x in ("fp", "fn"))
-    f = F.coalesce(F.try_divide(2 * p * q, p + q), F.lit(0.0))
-    return s.select("n", r(p).alias("precision"), r(q).alias("recall"), r(f).alias("f1"), r(F.coalesce("a", F.lit(0.0))).alias("accuracy"))
+    d = table(spark, sf_dir, "lineitem").withColumn("missed", F.col("l_discount") * 100)
+    return V.lane_totals(d, "l_quantity", "l_linenumber", "missed", "l_tax").select("n", *[r(F.col(c)).alias(c) for c in ("precision", "recall", "f1", "accuracy")])
 
 
 @query("""WITH g AS (SELECT l_returnflag AS model, l_linestatus AS dataset, avg(l_discount) AS m FROM lineitem GROUP BY 1, 2), q AS (SELECT l_returnflag AS model, quantile_cont(l_quantity, 0.25) AS q1, quantile_cont(l_quantity, 0.5) AS q2, quantile_cont(l_quantity, 0.75) AS q3 FROM lineitem GROUP BY 1)
@@ -326,9 +323,8 @@ def lane_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def figure_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means by model and dataset, the mean of those by model, and the quartiles of all images."""
     d = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("model"), F.col("l_linestatus").alias("dataset"), "l_discount", "l_quantity")
-    means = d.groupBy("model", "dataset").agg(F.avg("l_discount").alias("m")).groupBy("model").agg(F.count("*").alias("datasets"), r(F.avg("m"), 8).alias("mean_of_means"))
-    boxes = O.percentiles(d, ["model"], F.col("l_quantity"), [0.25, 0.5, 0.75])
-    return means.join(boxes, "model").select("model", "datasets", "mean_of_means", *[F.col(f"q{k}").alias(f"q{k + 1}") for k in range(3)])
+    found = V.rollup(d, "model", "dataset", "l_discount", "l_quantity")
+    return found.select("model", F.col("groups").alias("datasets"), r(F.col("mean_of_means"), 8).alias("mean_of_means"), *[F.col(f"q{k}").alias(f"q{k + 1}") for k in range(3)])
 
 
 @query("SELECT count(*) AS samples, count(*) FILTER (quality IS NOT NULL) AS found, count(*) FILTER (quality IS NULL) AS missing, array_to_string(list_sort(list(DISTINCT source)), ',') AS datasets FROM documents LEFT JOIN labels USING (doc_id)")
@@ -341,15 +337,14 @@ def manifest_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderpriority AS outcome, arg_min(o_orderkey, {c: o_totalprice, k: o_orderkey}) AS best_run FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
 def best_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the runs that can be compared (same outcome, finished) the one of the least loss."""
-    d = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
-    return d.groupBy(F.col("o_orderpriority").alias("outcome")).agg(F.min_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("best_run"))
+    d = table(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "outcome")
+    return V.best(d, ["outcome"], "o_totalprice", "o_orderkey", F.col("o_orderstatus") == "F")
 
 
 @query("SELECT o_orderkey FROM orders ORDER BY sha256('17:' || o_orderkey::VARCHAR) LIMIT 200")
 def seeded_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sample of fixed size: the least seeded hashes."""
-    key = F.sha2(F.concat(F.lit("17:"), F.col("o_orderkey").cast("string")), 256)
-    return table(spark, sf_dir, "orders").orderBy(key).limit(200).select("o_orderkey")
+    return V.seeded(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 200, "17")
 
 
 @query("""SELECT p_partkey, regexp_replace(regexp_replace(p_name, '[^a-z]', '/', 'g'), '/', '_', 'g') AS safe, lower(regexp_replace(regexp_replace(trim(p_type), '\\s*/\\s*', ' / ', 'g'), '\\s+', ' ', 'g')) AS tag,

@@ -6,8 +6,10 @@ the columns that follow.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
@@ -38,13 +40,39 @@ def counted_match(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(known, key, "left").agg(F.count("__hit").alias("num_evaluated"), (F.count("*") - F.count("__hit")).alias("num_without_match"))
 
 
-def fallback_join(samples: DataFrame, records: DataFrame, sample: str, record: str, keys: Sequence[tuple[str, str]]) -> DataFrame:
+def fingerprints(df: DataFrame, group: str, key: str) -> DataFrame:
+    """``(group, fingerprint)``: the SHA-256 of the group's keys in order, each with a line's end.
+    Keys are sorted by Spark and streamed: a digest is a chain, so a group is one task's work,
+    but no task holds it. Null keys are out; a group of none has no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, digest, done = None, None, []
+        for batch in batches:
+            for g, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if digest is None or g != now:
+                    if digest is not None:
+                        done.append((now, digest.hexdigest()))
+                    now, digest = g, hashlib.sha256()
+                digest.update(f"{k}\n".encode())
+        if digest is not None:
+            done.append((now, digest.hexdigest()))
+        if done:
+            groups, found = zip(*done, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(groups, pa.string()), pa.array(found)], names=["group", "fingerprint"])
+
+    own = df.where(F.col(key).isNotNull()).select(F.col(group).cast("string").alias("group"), F.col(key).cast("string").alias("key"))
+    found = own.repartition("group").sortWithinPartitions("group", "key").mapInArrow(run, "group string, fingerprint string")
+    return found.withColumnRenamed("group", group)
+
+
+def fallback_join(samples: DataFrame, records: DataFrame, sample: str, record: str, keys: Sequence[tuple[str, str]], order: Sequence[str] = ()) -> DataFrame:
     """Each sample with the record that agrees on the first of ``keys`` that any record
-    agrees on; of several, the first by ``record``. Every key is an equi-join; samples
-    without a match keep a null record."""
+    agrees on; of several, the first by ``order`` (columns of ``records``), then by ``record``.
+    Every key is an equi-join; samples without a match keep a null record."""
     found = None
+    first = F.min_by(record, F.struct(*order, record)).alias(record)
     for rank, (s, r) in enumerate(keys):
-        hits = samples.select(F.col(sample), F.col(s).alias("__v")).join(records.select(F.col(r).alias("__v"), F.col(record)).where("__v is not null").groupBy("__v").agg(F.min(record).alias(record)), "__v")
+        hits = samples.select(F.col(sample), F.col(s).alias("__v")).join(records.where(F.col(r).isNotNull()).groupBy(F.col(r).alias("__v")).agg(first), "__v")
         hits = hits.select(sample, F.struct(F.lit(rank).alias("key_rank"), F.col(record)).alias("__best"))
         found = hits if found is None else found.unionByName(hits)
     best = found.groupBy(sample).agg(F.min("__best").alias("__best"))

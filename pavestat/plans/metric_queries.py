@@ -227,10 +227,9 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.stratified_sample(d, ["p", "s"], "k", 0.05, 3, "13")
 
 
-@query("SELECT n_regionkey AS region, sha256(string_agg(n_name, chr(10) ORDER BY n_name) || chr(10)) AS fingerprint FROM nation GROUP BY 1")
+@query("SELECT c_mktsegment AS segment, sha256(string_agg(c_name, chr(10) ORDER BY c_name) || chr(10)) AS fingerprint FROM customer GROUP BY 1")
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = F.concat(F.array_join(F.array_sort(F.collect_list("n_name")), "\n"), F.lit("\n"))
-    return table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.sha2(joined, 256).alias("fingerprint"))
+    return R.fingerprints(table(spark, sf_dir, "customer").withColumnRenamed("c_mktsegment", "segment"), "segment", "c_name")
 
 
 @query("SELECT o_orderkey, count(l_orderkey) AS lines, coalesce(sum(l_quantity), 0) AS quantity FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")

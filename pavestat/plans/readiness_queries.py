@@ -235,13 +235,13 @@ def verdict_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("dim", "n", *[r(F.col(c)).alias(c) for c in ("exact", "jaccard", "precision", "recall", "f1")], "tp", "fp", "fn")
 
 
-@query("""SELECT n_name || '_' || r_name || '_0' AS sample_id, n_nationkey AS tagged_n_nationkey, c FROM nation JOIN region ON n_regionkey = r_regionkey
- JOIN (SELECT n_name || '_' || r_name || '_0' AS k, n_nationkey * 2 AS c FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 3 <> 0) ON k = n_name || '_' || r_name || '_0'""")
+@query("""WITH d AS (SELECT c_custkey, c_name || '_' || n_name || '_0' AS id FROM customer JOIN nation ON c_nationkey = n_nationkey)
+ SELECT id AS sample_id, c_custkey AS tagged_c_custkey, c_custkey * 2 AS c FROM d WHERE c_custkey % 3 <> 0""")
 def tagged_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    parts = [F.col("n_name"), F.col("r_name"), F.lit("0")]
-    standard = d.where("n_nationkey % 3 <> 0").select(F.concat_ws("_", *parts).alias("sample_id"), (F.col("n_nationkey") * 2).alias("c"))
-    return J.subset(d, standard, parts, meta=["n_nationkey"])[0]
+    d = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    parts = [F.col("c_name"), F.col("n_name"), F.lit("0")]
+    standard = d.where("c_custkey % 3 <> 0").select(F.concat_ws("_", *parts).alias("sample_id"), (F.col("c_custkey") * 2).alias("c"))
+    return J.subset(d, standard, parts, meta=["c_custkey"])[0]
 
 
 @query("""SELECT a.k AS k, a.q AS a_score, b.q AS b_score FROM (SELECT l_orderkey AS k, max(l_quantity) AS q FROM lineitem GROUP BY 1 HAVING max(l_quantity) > 45) a
@@ -259,10 +259,10 @@ def positional_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.positional(d.select("c_custkey", "c_acctbal"), names, ["c_acctbal", "c_custkey"], ["back"]).select("position", "c_custkey", "c_name")
 
 
-@query("""SELECT n_nationkey AS id, n_name AS name, NULL AS balance FROM nation UNION ALL SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_suppkey IN (SELECT n_nationkey FROM nation)""")
+@query("""SELECT p_partkey AS id, p_name AS name, NULL AS balance FROM part UNION ALL SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey IN (SELECT p_partkey FROM part)""")
 def stacked_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+    n = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    s = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
     return J.stacked(n, s.join(J.common(n, s, key="id"), "id", "left_semi"))
 
 

@@ -124,11 +124,11 @@ def flat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.records(spark, csv).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-@query("""WITH m AS (SELECT n_nationkey AS k, n_name, s_acctbal, s_name FROM nation LEFT JOIN supplier ON n_nationkey = s_suppkey) SELECT k, s_acctbal AS d1, s_name AS core FROM m""")
+@query("SELECT p_partkey AS k, c_acctbal AS d1, c_name AS core FROM part LEFT JOIN customer ON p_partkey = c_custkey")
 def output_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples with metrics by kind, written as JSON lines and read back."""
-    samples = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("sample_id"), "n_name")
-    found = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("sample_id"), F.col("s_acctbal").alias("D1_balance"), F.col("s_name").alias("name"))
+    samples = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sample_id"), "p_name")
+    found = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sample_id"), F.col("c_acctbal").alias("D1_balance"), F.col("c_name").alias("name"))
     path = scratch(spark, "manifest")
     writers.write_manifest(writers.output_manifest(found, samples), path)
     got = spark.read.schema("sample_id long, metrics struct<D: struct<D1_balance: double>, core: struct<name: string>>").json(path)

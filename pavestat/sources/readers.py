@@ -244,19 +244,28 @@ def strided(frames: DataFrame, segment: str, order: str, stride: int = 10) -> Da
     return frames.withColumn("__at", at).where((F.col("__at") - 1) % stride == 0).drop("__at")
 
 
-def tag_table(tags: DataFrame, dimensions: list[str]) -> DataFrame:
+#: Different tags of a table of tags at most: each is a column.
+MOST_TAGS = 4096
+
+
+def tag_table(tags: DataFrame, dimensions: list[str], order: tuple[str, ...] = ("sample_id",)) -> DataFrame:
     """``sample_id`` and tags by dimension to a wide table: a column of joined tags for
-    each dimension, and a 0/1 column for each tag, by dimension and name. The tags that
-    occur are collected: a vocabulary, not data. Repeated ids, or a tag with the name of
-    another column, raise ValueError."""
+    each dimension, and a 0/1 column for each tag, by dimension and as they first appear when
+    rows stand by ``order``. The tags that occur are collected: a vocabulary, not data.
+    Repeated ids, over ``MOST_TAGS`` tags, or a tag with the name of another column raise
+    ValueError."""
     by = F.col("predicted_tags.by_dimension")
     again = tags.groupBy("sample_id").count().where("count > 1").limit(1).collect()
     if again:
         raise ValueError(f"repeated sample {again[0][0]!r}")
     column = {d: "tag_" + d.lower().replace(" & ", "_").replace(" ", "_").replace("/", "_") for d in dimensions}
     wide = tags.select("sample_id", "dataset", *[F.array_join(F.coalesce(by[d], F.array()), "; ").alias(c) for d, c in column.items()], F.flatten(F.array(*[F.coalesce(by[d], F.array().cast("array<string>")) for d in dimensions])).alias("__all"))
-    pairs = tags.select(F.explode(by).alias("d", "ts")).select("d", F.explode("ts").alias("t")).where("t is not null").distinct().collect()
-    words = list(dict.fromkeys(t for d in dimensions for t in sorted(r["t"] for r in pairs if r["d"] == d)))
+    seen = tags.select(F.struct(*order).alias("row"), F.explode(by).alias("d", "ts")).select("row", "d", F.posexplode("ts").alias("at", "t")).where("t is not null")
+    pairs = seen.groupBy("d", "t").agg(F.min(F.struct("row", "at")).alias("first")).limit(MOST_TAGS + 1)
+    found = pairs.orderBy("first", "d").select("d", "t").collect()
+    if len(found) > MOST_TAGS:
+        raise ValueError(f"over {MOST_TAGS} tags")
+    words = list(dict.fromkeys(r["t"] for d in dimensions for r in found if r["d"] == d))
     if clash := set(words) & set(wide.columns):
         raise ValueError(f"tags named like columns: {sorted(clash)}")
     return wide.select("*", *[F.array_contains("__all", t).cast("int").alias(t) for t in words]).drop("__all")

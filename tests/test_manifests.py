@@ -43,6 +43,7 @@ def test_tag_table(spark):
     kind = "sample_id string, dataset string, predicted_tags struct<by_dimension: map<string, array<string>>>"
     df = spark.createDataFrame([("a", "d", ({"Road & Light": ["wet", "dark"], "Other": ["x"]},)), ("b", "d", ({},)), ("c", None, None)], kind)
     got = [r.asDict() for r in readers.tag_table(df, ["Road & Light"]).orderBy("sample_id").collect()]
+    assert readers.tag_table(df, ["Road & Light"]).columns[3:] == ["wet", "dark"]  # as they first appear
     assert got[0] == {"sample_id": "a", "dataset": "d", "tag_road_light": "wet; dark", "dark": 1, "wet": 1}
     assert got[1]["dark"] == 0 == got[2]["wet"] and got[2]["tag_road_light"] == ""
     with pytest.raises(ValueError, match="repeated"):

@@ -7,9 +7,10 @@ back up. A leaf gives whole passes over its documents and then a prefix, by toke
 one more pass; each pass has its own seeded order.
 
 Only leaf sums (one row per leaf) reach the driver. Selection does not sort leaves: a
-pass is cut into ``SLICES`` by hash; slices below the budget are taken whole, slices
-above are left, and the one slice per leaf that the budget falls in is ordered. What the
-rows are joined with is one row per leaf, broadcast only if there are few.
+pass is cut into ``SLICES`` by hash, slices are summed, and in the one slice per leaf that
+the budget falls in the keys are ordered, without the rows' other columns. That tells the
+first row that goes over, and a row is taken if it stands before it: texts are compared with
+one row per leaf (broadcast only if there are few) and are not shuffled for it.
 
 Defined results: null branch values are a branch of their own; a null text has no
 tokens; a document is taken if the tokens up to and with it stay within the budget, so
@@ -139,10 +140,17 @@ def mix(
     # one row per leaf: the first slice that goes over the budget, and the tokens before it
     over = F.min(F.struct("slice", (F.col("upto") - F.col("s")).alias("before"))).alias("cut")
     cuts = running.where(F.col("upto") > F.col("left")).groupBy(*[F.col(n).alias(p) for n, p in zip(names, of_leaf, strict=True)]).agg(over)
-    joined = part.join(sized_broadcast(written(cuts, "cuts"), BROADCAST_LEAVES), same)
-    order = Window.partitionBy(*names).orderBy("key", "id", "other").rowsBetween(Window.unboundedPreceding, 0)
-    inside = joined.where(F.col("slice") == F.col("cut.slice"))
-    inside = inside.withColumn("upto", F.col("cut.before") + F.sum("n").over(order)).where("upto <= left")
-    below = joined.where(F.col("slice") < F.col("cut.slice"))
+    # in the slice that the budget falls in: the first row that goes over it, without its columns
+    tie = ["key", "id", "other"]
+    near = part.join(sized_broadcast(written(cuts, "cuts"), BROADCAST_LEAVES), same).where(F.col("slice") == F.col("cut.slice"))
+    equal = near.groupBy(*names, *tie).agg(F.count("*").alias("rows"), F.first("n").alias("n"), F.first("left").alias("left"), F.first("cut.before").alias("before"))
+    order = Window.partitionBy(*names).orderBy(*tie)
+    equal = equal.withColumn("upto", F.col("before") + F.sum(F.col("n") * F.col("rows")).over(order))
+    fits = F.expr("(left - (upto - n * rows)) div nullif(n, 0)").alias("copies")  # of rows that are alike in all
+    first = equal.where("upto > left").groupBy(*[F.col(n).alias(p) for n, p in zip(names, of_leaf, strict=True)]).agg(F.min(F.struct(F.struct(*tie).alias("at"), fits)).alias("end"))
+    ended = part.join(sized_broadcast(written(first, "ends"), BROADCAST_LEAVES), same).drop(*of_leaf)
+    before = ended.where(F.struct(*tie) < F.col("end.at"))
+    alike = ended.where((F.struct(*tie) == F.col("end.at")) & (F.col("end.copies") > 0)).groupBy(*names, *tie).agg(*[F.first(c).alias(c) for c in ("row", "n", "epoch")], F.first("end.copies").alias("copies"))
+    alike = alike.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     columns = [*[F.col("row").getField(c).alias(c) for c in kept], F.col("epoch").alias("mix_epoch"), F.col("n").alias("mix_tokens")]
-    return functools.reduce(DataFrame.unionByName, [x.select(*columns) for x in (whole, below, inside)])
+    return functools.reduce(DataFrame.unionByName, [x.select(*columns) for x in (whole, before, alike)])

@@ -234,6 +234,20 @@ def test_mixing_of_leaves_without_tokens_and_any_names(spark):
     assert sum(r.mix_tokens for r in got) == 20 and sorted(str(r.doc_id) for r in got if r.lang == "fr") == ["100", "101", "None"]
 
 
+def test_mixing_of_rows_that_are_alike(spark):
+    """Of rows that are alike in all as many are taken as fit."""
+    rows = [(1, "en", "w w w")] * 40 + [(None, "en", "w")] * 9 + [(2, "fr", "w w")] * 7 + [(3, "fr", "")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(5)
+    for share in (0.1, 0.35, 0.6, 0.99):
+        got = mixing.mix(df, ["lang"], {}, share=share, seed=5).collect()
+        plan = mixing.budgets({("en",): 129, ("fr",): 14}, {}, int(share * 143), 1)
+        for lang in ("en", "fr"):
+            taken = sum(r.mix_tokens for r in got if r.lang == lang)
+            assert plan[lang,] - 3 < taken <= plan[lang,]
+        again = mixing.mix(df.repartition(2), ["lang"], {}, share=share, seed=5).collect()
+        assert collections.Counter(got) == collections.Counter(again)
+
+
 @pytest.mark.parametrize("languages", [127, 128, 129, 300])
 def test_viterbi_labels_many_languages(languages):
     import numpy as np

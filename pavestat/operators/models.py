@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as E
 from .folds import balanced, grouped
+from .order import written
 
 STEPS, CLOSE = 25, 1e-10
 
@@ -233,9 +234,9 @@ def _variance(mu: Column, family: str, alpha: float) -> Column:
 
 def glm(df: DataFrame, y: str, xs: Sequence[str], family: str) -> Fit:
     """Binomial (also of shares), Poisson or negative binomial with the logit or log link, by
-    reweighted least squares: one aggregate per step, ``STEPS`` at most. Outcomes that are all
-    alike have no fit: ValueError."""
-    own = complete(df, [y, *xs])
+    reweighted least squares: one aggregate per step, ``STEPS`` at most, over the complete rows,
+    written once. Outcomes that are all alike have no fit: ValueError."""
+    own = written(complete(df, [y, *xs]).select(*[f"`{c}`" for c in dict.fromkeys([y, *xs])]), "fitted-rows")
     terms = [F.lit(1.0), *[F.col(f"`{x}`") for x in xs]]
     low, high, mean = own.agg(F.min(y), F.max(y), F.avg(y)).first()
     if low is None or low == high:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -250,3 +251,31 @@ def tertile_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = readiness.tertile_effects(d, ["status"], "o_totalprice", "o_custkey", ["o_orderkey"])
     inside = (F.col("ci_low") < F.col("effect")) & (F.col("effect") < F.col("ci_high"))
     return found.select("status", "n", "n_bottom", *[r(F.col(c)).alias(c) for c in ("bottom_mean", "top_mean", "effect")], inside.alias("inside"))
+
+
+#: Fits of a model with one 0/1 predictor, whose solutions are those of the two groups' means.
+SATURATED = {"ols": "l_extendedprice / 1000", "poisson": "l_linenumber::DOUBLE", "binomial": "(l_discount >= 0.05)::INT::DOUBLE", "fractional": "l_discount"}
+_LINK = {"ols": "{}", "poisson": "ln({})", "binomial": "ln({0} / (1 - {0}))", "fractional": "ln({0} / (1 - {0}))"}
+_MEANS = " UNION ALL ".join(f"SELECT '{f}' AS model, {_LINK[f].format('avg(y) FILTER (x = 0)')} AS b0, {_LINK[f].format('avg(y) FILTER (x = 1)')} AS b1 FROM (SELECT {y} AS y, x FROM d)" for f, y in SATURATED.items())
+
+
+@query(f"""WITH d AS (SELECT *, (l_returnflag = 'R')::INT AS x, l_suppkey AS c FROM lineitem), m AS ({_MEANS}),
+ e AS (SELECT x, c, {SATURATED["ols"]} - avg({SATURATED["ols"]}) OVER (PARTITION BY x) AS e, count(*) OVER (PARTITION BY x) AS n FROM d),
+ h AS (SELECT sum(e * e / ((1 - 1 / n) * (1 - 1 / n)) / (n * n)) FILTER (x = 0) AS v0, sum(e * e / ((1 - 1 / n) * (1 - 1 / n)) / (n * n)) FILTER (x = 1) AS v1, count(*) AS rows FROM e),
+ u AS (SELECT c, coalesce(sum(e / n) FILTER (x = 0), 0) AS u0, coalesce(sum(e / n) FILTER (x = 1), 0) AS u1 FROM e GROUP BY 1),
+ g AS (SELECT sum(u0 * u0) AS v0, sum((u1 - u0) * (u1 - u0)) AS v1, count(*) / (count(*) - 1) * (any_value(rows) - 1) / (any_value(rows) - 2) AS f FROM u, h)
+ SELECT model, round(b0, 6) AS const, round(b1 - b0, 6) AS slope, CASE WHEN model = 'ols' THEN round(sqrt(h.v0), 6) END AS se_const, CASE WHEN model = 'ols' THEN round(sqrt(h.v0 + h.v1), 6) END AS se_slope,
+ CASE WHEN model = 'ols' THEN round(sqrt(g.v0 * f), 6) END AS clustered_const, CASE WHEN model = 'ols' THEN round(sqrt(g.v1 * f), 6) END AS clustered_slope FROM m, h, g""")
+def saturated_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four families by their solvers, and the robust and clustered errors of least squares."""
+    d = table(spark, sf_dir, "lineitem").withColumn("x", (F.col("l_returnflag") == "R").cast("double")).withColumn("c", F.col("l_suppkey"))
+    rows = []
+    for family, y in SATURATED.items():
+        own = d.select("x", "c", F.expr(y).alias("y"))
+        fit = models.ols(own, "y", ["x"]) if family == "ols" else models.glm(own, "y", ["x"], family)
+        errors = [None] * 4
+        if family == "ols":
+            errors = [float(v) for group in (None, "c") for v in np.sqrt(np.diag(models.robust(own, fit, "y", group).covariance))]
+        rows.append((family, *map(float, fit.coef), *errors))
+    found = spark.createDataFrame(rows, "model string, const double, slope double, se_const double, se_slope double, clustered_const double, clustered_slope double")
+    return found.select("model", *[r(F.col(c)).alias(c) for c in found.columns[1:]])

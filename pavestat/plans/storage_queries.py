@@ -261,3 +261,13 @@ def resolved_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sampling_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images with truth in the splits that samples are drawn from."""
     return resolvers.pool(_listing(spark, sf_dir)).select("sample_id", "image_path", "truth_path")
+
+
+@query("SELECT p_partkey, p_name AS name, p_brand || ', ' || p_type AS kind, CASE WHEN p_size > 9 THEN p_size END AS size FROM part")
+def sniffed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts written with a semicolon between, commas within; read back by the delimiter that the
+    first line tells."""
+    path = scratch(spark, "table")
+    d = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"), F.concat_ws(", ", "p_brand", "p_type").alias("kind"), F.when(F.col("p_size") > 9, F.col("p_size")).alias("size"))
+    d.write.option("header", True).option("sep", ";").csv(path)
+    return readers.sniffed_csv(spark, path).select(F.col("p_partkey").cast("long").alias("p_partkey"), "name", "kind", F.col("size").cast("int").alias("size"))

@@ -195,12 +195,13 @@ def _shortfall(*columns: Column) -> Column:
     return 1 - F.coalesce(*[F.when(c != 0, c) for c in columns], F.lit(1.0))
 
 
-def summary(df: DataFrame, least: int = 10, group: Sequence[str] = ()) -> DataFrame:
+def summary(df: DataFrame, least: int = 10, group: Sequence[str] = (), ties: Sequence[str] = ()) -> DataFrame:
     """Per group, or of all records, one row: number of records and of images with markings,
     whether there are confidences, the means of ``MEASURES`` that are there, ``D6`` pooled
     over eligible images, visibility gaps, both scores of the means and the class; of all
     records also the correlations of C1 to C3, the effect of C4, the worst condition of C5 and
-    the bottleneck. Groups under ``least`` records are marked ``skipped``."""
+    the bottleneck, and with ``ties`` (columns that tell records apart) ``C4_tertile``: the effect
+    of the alignment's thirds with its interval, if the columns are there. Groups under ``least`` records are ``skipped``."""
     columns = df.columns
     measures = [m for m in MEASURES if m in columns]
     eligible = F.coalesce(_own(columns, "D_gt_eligible").cast("boolean"), F.lit(False))
@@ -224,6 +225,9 @@ def summary(df: DataFrame, least: int = 10, group: Sequence[str] = ()) -> DataFr
     c = told.agg(*[F.max(F.when(F.col("name") == n, F.col("spearman"))).alias(n) for n in ("C1", "C2", "C3")])  # one row
     out = means.crossJoin(F.broadcast(c))
     out = out.crossJoin(F.broadcast(_geometry_effect(df, least)))
+    if ties and {ALIGNMENT, "D3_f1"} <= set(columns):
+        effect = tertile_effects(df, [], ALIGNMENT, "D3_f1", ties, least)
+        out = out.crossJoin(F.broadcast(effect.select(F.struct(*effect.columns).alias("C4_tertile"))))  # one row
     key = condition_key(df)
     scores = ["R1_marking_readability_score", "R2_reference_detectability_score"]
     if key and set(scores) <= set(columns):
@@ -244,7 +248,11 @@ def summary(df: DataFrame, least: int = 10, group: Sequence[str] = ()) -> DataFr
     return out.withColumn("layer_r3", best)
 
 
-def _geometry_effect(df: DataFrame, least: int, x: str = "I5_geometry_complexity", y: str = "D3_f1") -> DataFrame:
+#: The measures of geometry whose effects on detection a summary has, by median and by thirds.
+GEOMETRY, ALIGNMENT = "I5_geometry_complexity", "I5_alignment_complexity"
+
+
+def _geometry_effect(df: DataFrame, least: int, x: str = GEOMETRY, y: str = "D3_f1") -> DataFrame:
     """One row, ``C4``: the mean of ``y`` at or under the median of ``x`` less that above; null
     under ``least`` pairs, without spread or with an empty side."""
     if not {x, y} <= set(df.columns):

@@ -45,6 +45,15 @@ def test_summary_of_a_dozen(dozen):
     assert D.degradation(dozen.where("weather = 'clear'"), "weather", 5).count() == 0
 
 
+def test_summary_carries_the_interval_of_the_thirds(dozen):
+    own = dozen.withColumn("I5_alignment_complexity", 1 - F.col("D3_f1"))
+    s = D.summary(own, 5, ties=["D3_iou"]).first()
+    low, high = own.orderBy("I5_alignment_complexity").limit(4).agg(F.avg("D3_f1")).first()[0], own.orderBy(F.desc("I5_alignment_complexity")).limit(4).agg(F.avg("D3_f1")).first()[0]
+    assert s.num_records == 12 and s.C4_tertile.n_bottom == 4 and s.C4_tertile.effect == pytest.approx(low - high)
+    assert s.C4_tertile.ci_low < s.C4_tertile.effect < s.C4_tertile.ci_high
+    assert "C4_tertile" not in D.summary(dozen, 5, ties=["D3_iou"]).columns
+
+
 def test_probability_of_a_correlation(spark):
     assert D._tail(0.5, 10) == pytest.approx(0.14111, abs=1e-5) and D._tail(0.9, 30) == pytest.approx(1.22e-11, rel=0.02)
     assert D._tail(1.0, 10) == 0 and D._tail(0.0, 10) == pytest.approx(1) and D._tail(0.5, 2) is None

@@ -28,7 +28,7 @@ ACCURACY = 10_000
 #: Values of a bracket that one task orders.
 HELD = 1 << 20
 #: Parts of a group whose ranks run by themselves, a power of two, and the bits that number them.
-PARTS = 1024
+PARTS = 256
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -104,7 +104,7 @@ def split(by: DataFrame, group: Sequence[str], value: str, parts: int = PARTS) -
 
 def _counted_ranks(by: DataFrame, group: Sequence[str], value: str, as_: str) -> DataFrame:
     """``by(group, value, __n)`` to ``(group, value, as_)``: the average rank of each value."""
-    own = split(by, group, value)
+    own = written(split(by, group, value), "parts")  # both its sums and its ranks read it
     under = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # ``PARTS`` rows
     starts = own.groupBy(*group, "__part").agg(F.sum("__n").alias("__s")).select(*group, "__part", F.coalesce(F.sum("__s").over(under), F.lit(0)).alias("__start"))
     inside = Window.partitionBy(*group, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
@@ -121,7 +121,7 @@ def average_ranks(df: DataFrame, group: Sequence[str], value: str, as_: str) ->
 def ranked_pairs(pairs: DataFrame, group: Sequence[str], x: str, y: str) -> DataFrame:
     """``(group, x, y, __n, __rx, __ry)``: the different pairs of each group, how often each
     stands there, and the average ranks of both. Rows that repeat travel once."""
-    by = pairs.groupBy(*group, x, y).agg(F.count("*").alias("__n"))
+    by = written(pairs.groupBy(*group, x, y).agg(F.count("*").alias("__n")), "pairs")
     cells = F.inline(F.array(*[F.struct(F.lit(s).alias("__side"), F.col(c).alias("__value"), "__n") for s, c in ((0, x), (1, y))]))
     sides = by.select(*group, cells).groupBy(*group, "__side", "__value").agg(F.sum("__n").alias("__n"))
     ranks = _counted_ranks(sides, [*group, "__side"], "__value", "__rank")

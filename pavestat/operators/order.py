@@ -10,6 +10,8 @@
 * ``place``: the row at a place of several columns, one column after another among the rows
   that are equal so far.
 * ``numbered``: positions by sort keys of any type, from the rows of range partitions.
+* ``large_groups`` tells the groups that one task should not order. For all others, which may be
+  as many as the rows, ``middle_parts`` finds medians in a window, without sketches or joins.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ ACCURACY = 10_000
 HELD = 1 << 20
 #: Parts of a group whose ranks run by themselves, a power of two, and the bits that number them.
 PARTS = 256
+#: Hashes of groups whose rows are counted before groups are.
+HASHES = 1 << 16
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -83,6 +87,26 @@ def values_at(df: DataFrame, group: Sequence[str], value: Column, fractions: Seq
     return found.select(*group, "k", "rank", v.alias("v"), "before", "n", F.col("__n").alias("size"))
 
 
+def large_groups(df: DataFrame, group: Sequence[str], most: int) -> DataFrame:
+    """The groups of more than ``most`` rows, written. Rows are counted by a hash of the group
+    first, which shuffles ``HASHES`` numbers a task; only groups under a heavy hash are counted."""
+    own = df.select(*group, F.pmod(F.xxhash64(*group), F.lit(HASHES)).alias("__hash"))
+    heavy = own.groupBy("__hash").agg(F.count("*").alias("__n")).where(F.col("__n") > most).select("__hash")
+    counted = own.join(F.broadcast(heavy), "__hash", "left_semi").groupBy(*group).agg(F.count("*").alias("__n"))
+    return written(counted.where(F.col("__n") > most).select(*group), "large")
+
+
+def middle_parts(df: DataFrame, group: Sequence[str], value: str, as_: str) -> DataFrame:
+    """``df`` with each row's part of its group's median of ``value`` (null or a finite double),
+    which is the sum of the parts: all or half of a middle value, null elsewhere. A task
+    orders a group."""
+    order = Window.partitionBy(*group).orderBy(F.col(value).asc_nulls_last())
+    n = F.count(value).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    df = df.withColumns({"__twice": 2 * F.row_number().over(order), "__n": n})
+    part = F.col(value) * F.when(F.col("__n") % 2 == 1, 1.0).otherwise(0.5)
+    return df.withColumn(as_, F.when(F.col("__twice").between(F.col("__n"), F.col("__n") + 2), part)).drop("__twice", "__n")
+
+
 def percentiles(df: DataFrame, group: Sequence[str], value: Column, qs: Sequence[float]) -> DataFrame:
     """Per group exact percentiles ``q0, q1, ...`` of the finite values, between values where
     they fall so."""
